@@ -97,8 +97,8 @@ class Words:
         return hash_spans(self.data, self.start, self.end)
 
     def windows(self, n: int, seed: int = 0) -> np.ndarray:
-        """A hash of the n words from each word on; meaningless where ``left`` < n."""
-        return window_hash(mix(self.hashes + U(seed) * _C3) if seed else self.hashes, n)
+        """A hash of the n words from each word on, or of those to the text's end."""
+        return window_hash(mix(self.hashes + U(seed) * _C3) if seed else self.hashes, np.minimum(n, self.left))
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -133,14 +133,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def window_hash(h: np.ndarray, n: int) -> np.ndarray:
-    """Of each run of n values, from each place on (shorter at the end)."""
+def window_hash(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of the run of n values from each place on."""
     if not len(h):
         return h.copy()
     up, down = _power(len(h))
     total = np.concatenate([[U(0)], np.cumsum(h * up, dtype=U)])
-    last = np.minimum(np.arange(len(h)) + n, len(h))
-    return mix((total[last] - total[:-1]) * down)
+    return mix((total[np.arange(len(h)) + n] - total[:-1]) * down)
 
 
 def spread(marks: np.ndarray, back: int, ahead: int) -> np.ndarray:

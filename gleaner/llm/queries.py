@@ -15,8 +15,31 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import components
+
+    return components(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import by_limit, encoded_lengths, length_histogram
+
+    return by_limit(length_histogram(encoded_lengths(_table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op5_packing": op5_packing,
+        "op9_jaccard_join": op9_jaccard_join,
+        "op10_token_counts": op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
