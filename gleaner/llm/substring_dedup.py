@@ -225,7 +225,7 @@ def kept_digests(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BATCH
     """Per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
     spark = docs.sparkSession
     docs = pick(docs, doc_id="long", text="string")
-    n = max(2 * partitions(spark), -(-text_bytes(docs) // batch_bytes))
+    n = max(partitions(spark), -(-text_bytes(docs) // batch_bytes))
     dealt = docs.withColumn("batch", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(n)), F.lit(0).cast("long")))
     hits = dealt.groupBy("batch").applyInArrow(_send_anchors(window, n), _ANSWER).groupBy("bucket").applyInArrow(_match_anchors, _ANSWER)
     earlier = dealt.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(_send_windows(window, n), _ANSWER).groupBy("bucket").applyInArrow(_match_windows, _ANSWER)
