@@ -35,15 +35,17 @@ from .graph import connected
 N, PERCENT = 4, 85
 #: Shingles whose order is refined by their frequency; the others come first, by hash.
 FREQUENT = 1 << 18
-#: A shingle is reported as frequent by a batch that has it so often.
-LOCAL = 3
+#: A shingle is reported as frequent by a batch, of about BATCH_SHINGLES, that has it in so many sets.
+LOCAL, BATCH_SHINGLES = 3, 2_000_000
+#: Nodes that share a shingle are held against each other's bounds up to so many; more are taken as they are.
+RUN = 256
 #: Bounds of a block: nodes, and shingles.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 300_000
 #: Bytes of text per hash range.
 RANGE_BYTES = 8 << 20
 #: Largest list of candidate documents that is broadcast (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-_POST = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4")])
+_POST = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
 def shingle_sets(texts, n: int) -> list[np.ndarray]:
@@ -70,6 +72,18 @@ def _sets_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Rec
             yield part, shingle_sets(part["text"], n)
 
 
+def _held(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[dict[int, np.ndarray]]:
+    """The distinct sets, by node, of as many texts as are held at once."""
+    held, size = {}, 0
+    for _, sets in _sets_of(batches, n):
+        held |= {_node(s): s for s in sets if len(s)}
+        size += sum(map(len, sets))
+        if size > BATCH_SHINGLES:
+            yield held
+            held, size = {}, 0
+    yield held
+
+
 def classes(docs: DataFrame, n: int = N) -> DataFrame:
     """doc_id, n_shingles and node (0 without shingles) of every row."""
 
@@ -86,8 +100,8 @@ def frequent_shingles(docs: DataFrame, n: int = N, most: int = FREQUENT) -> np.n
     At most ``most`` rows reach the driver. This only sets the order of shingles: any order gives the same links."""
 
     def count(batches):
-        for b, sets in _sets_of(batches, n):
-            h, c = np.unique(np.concatenate([np.zeros(0, U), *sets]), return_counts=True)
+        for sets in _held(batches, n):
+            h, c = np.unique(np.concatenate([np.zeros(0, U), *sets.values()]), return_counts=True)
             often = c >= LOCAL
             yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["h", "c"])
 
@@ -106,23 +120,26 @@ def _prefix(s: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _send_prefixes(order: np.ndarray, n: int, percent: int, buckets: int):
-    def pack(sets: list[np.ndarray]) -> pa.RecordBatch:
-        parts = {}
-        for s in sets:
-            if len(s):
-                parts[_node(s)] = (_prefix(s, order, percent), len(s))
-        post = np.zeros(sum(len(p) for p, _ in parts.values()), _POST)
+    def pack(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        prefixes = [_prefix(s, order, percent) for s in sets.values()]
+        lengths = [len(p) for p in prefixes]
+        post = np.zeros(sum(lengths), _POST)
         if len(post):
-            post["token"] = np.concatenate([p for p, _ in parts.values()])
-            sizes = [len(p) for p, _ in parts.values()]
-            post["node"], post["n"] = np.repeat(np.array(list(parts)), sizes), np.repeat([k for _, k in parts.values()], sizes)
+            post["token"] = np.concatenate(prefixes)
+            post["at"] = np.concatenate([np.arange(k) for k in lengths])
+            post["node"], post["n"] = np.repeat(np.array(list(sets)), lengths), np.repeat([len(s) for s in sets.values()], lengths)
             post = post[np.lexsort([post["node"], post["token"]])]
             new = np.ones(len(post), bool)
             new[1:] = post["token"][1:] != post["token"][:-1]
+            first = np.append(np.flatnonzero(new), len(post))
+            many = np.repeat(np.diff(first) > RUN, np.diff(first))  # common here: one goes on, with a star to the others
             lead = np.maximum.accumulate(np.where(new, np.arange(len(post)), 0))
-            star = np.concatenate([post[~new], post[lead[~new]]])  # a star's token is its centre, apart from shingles' hashes
-            star["token"] = mix(np.concatenate([post["node"][lead[~new]]] * 2).view(U) ^ U(0x5DEECE66D))
-            post = np.concatenate([post[new], np.unique(star)])
+            far = many & ~new
+            star = np.concatenate([post[far], post[lead[far]]])
+            star["token"] = mix(np.concatenate([post["node"][lead[far]]] * 2).view(U) ^ U(0x5DEECE66D))  # apart from shingles' hashes
+            star["at"] = -1
+            post["at"][many] = -1
+            post = np.concatenate([post[~far], np.unique(star)])
         bucket = (post["token"] >> U(32)) * U(buckets) >> U(32)
         by = np.argsort(bucket, kind="stable")
         post, bucket = post[by], bucket[by]
@@ -130,31 +147,40 @@ def _send_prefixes(order: np.ndarray, n: int, percent: int, buckets: int):
         at = [*at, len(post)]
         return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array([post[a:z].tobytes() for a, z in zip(at, at[1:])], pa.binary())], ["bucket", "packed"])
 
-    def send(batches):
-        held, size = [], 0
-        for _, sets in _sets_of(batches, n):
-            held, size = held + sets, size + sum(map(len, sets))
-            if size > 2_000_000:
-                yield pack(held)
-                held, size = [], 0
-        yield pack(held)
-
-    return send
-
-
-def _meet(table: pa.Table) -> pa.Table:
-    """Stars over the nodes that share a token."""
-    post = np.concatenate([np.frombuffer(x, _POST) for x in table["packed"].to_pylist()])
-    post = post[np.lexsort([post["node"], post["token"]])]
-    new = np.ones(len(post), bool)
-    new[1:] = post["token"][1:] != post["token"][:-1]
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(post)), 0))
-    with_it = (post["node"] != post["node"][lead])
-    edges = np.zeros(int(with_it.sum()), [("a", "<i8"), ("an", "<i4"), ("b", "<i8"), ("bn", "<i4")])
-    edges["a"], edges["an"] = post["node"][with_it], post["n"][with_it]
-    edges["b"], edges["bn"] = post["node"][lead[with_it]], post["n"][lead[with_it]]
-    edges = np.unique(edges)
-    return pa.table({k: pa.array(np.ascontiguousarray(edges[k])) for k in ("a", "an", "b", "bn")})
+    return lambda batches: map(pack, _held(batches, n))
+
+
+def _meet(percent: int):
+    """A forest over the nodes that share a token and, by the token's place in both, can be similar."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        post = np.concatenate([np.frombuffer(x, _POST) for x in table["packed"].to_pylist()])
+        post = post[np.lexsort([post["node"], post["token"]])]
+        new = np.ones(len(post), bool)
+        new[1:] = post["token"][1:] != post["token"][:-1]
+        first = np.append(np.flatnonzero(new), len(post))
+        size = np.diff(first)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for k in np.unique(size[(size > 1) & (size <= RUN)]):  # all runs of one length at once
+            at = first[:-1][size == k]
+            x, y = np.triu_indices(k, 1)
+            for part in np.array_split(at, max(1, len(at) * len(x) // 1_000_000)):
+                a, b = (part[:, None] + x).ravel(), (part[:, None] + y).ravel()
+                na, nb, pa_, pb = post["n"][a], post["n"][b], post["at"][a], post["at"][b]
+                need = -(-percent * (na + nb) // (100 + percent))
+                good = (pa_ < 0) | (pb < 0) | (np.minimum(na - pa_, nb - pb) >= need) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+                good &= post["node"][a] != post["node"][b]
+                pairs.append(np.stack([a[good], b[good]], 1))
+        for a, z in zip(first[:-1][size > RUN], first[1:][size > RUN]):
+            pairs.append(np.stack([np.arange(a + 1, z), np.full(z - a - 1, a)], 1))
+        a, b = np.concatenate(pairs).T
+        edges = np.zeros(len(a), [("a", "<i8"), ("an", "<i4"), ("b", "<i8"), ("bn", "<i4")])
+        edges["a"], edges["an"], edges["b"], edges["bn"] = post["node"][a], post["n"][a], post["node"][b], post["n"][b]
+        edges = np.unique(edges)
+        edges = edges[edges["a"] != edges["b"]]
+        return pa.table({k: pa.array(np.ascontiguousarray(edges[k])) for k in ("a", "an", "b", "bn")})
+
+    return meet
 
 
 def candidates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -162,7 +188,7 @@ def candidates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     order = frequent_shingles(docs, n)
     buckets = max(2 * partitions(docs.sparkSession), -(-text_bytes(docs) // RANGE_BYTES))
     packed = docs.mapInArrow(_send_prefixes(order, n, percent, buckets), "bucket long, packed binary")
-    return packed.groupBy("bucket").applyInArrow(_meet, "a long, an int, b long, bn int")
+    return packed.groupBy("bucket").applyInArrow(_meet(percent), "a long, an int, b long, bn int")
 
 
 def tree_join(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
