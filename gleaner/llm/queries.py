@@ -27,6 +27,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_rules
+
+    return apply_rules(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -39,6 +45,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -62,8 +74,10 @@ def queries() -> dict:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_warc": op2_warc,
         "op3_decontamination": op3_decontamination,
+        "op4_quality_rules": op4_quality_rules,
         "op5_packing": op5_packing,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_secret_scan": op7_secret_scan,
         "op8_license_scan": op8_license_scan,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_token_counts": op10_token_counts,
