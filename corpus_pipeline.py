@@ -1,11 +1,73 @@
-"""The corpus pipeline: quality classifier, n-gram Jaccard join, benchmark decontamination,
-secret scans and best-fit packing, one after the other over ``documents``."""
+"""The corpus pipeline over ``documents``: documents that the quality classifier rejects go, one
+document of each group of near duplicates stays, documents with benchmark passages go, secrets
+are masked, and what is left is packed into sequences.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns the rows that
+the next one reads, written as Parquet in between. All but the last return the columns of docs.
+Rows are told apart by doc_id and text; null texts have no words, so they are judged by their
+size alone, are nobody's copy, and are packed as an end token.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import posixpath
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.llm import decontaminate, jaccard_join, packing, quality, secrets
+from gleaner.llm._spark import shared_dir, without
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that score 0.5 or more."""
+    weights = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs.withColumn("text_hash", F.xxhash64("text")), weights, ("doc_id", "text_hash"))
+    return without(docs, scored.filter("score < 0.5"))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each component of near duplicates the document with the smallest doc_id."""
+    return without(docs, jaccard_join.components(docs).filter("component_id != doc_id"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents without a window of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contamination(docs.withColumn("text_hash", F.xxhash64("text")), benchmark, keep=("doc_id", "text_hash"))
+    return without(docs, found.filter("contaminated"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every document; secrets in its text are masked, and n_chars follows."""
+    masked = secrets.redact(docs)
+    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their sequences and offsets."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicates_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: The classifier and the encoder can't be told in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of ``sf_dir``."""
+    where = posixpath.join(shared_dir(spark), f"pipeline-{uuid.uuid4().hex}")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        at = posixpath.join(where, str(k))
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+    return docs

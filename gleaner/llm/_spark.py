@@ -36,3 +36,15 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 def pick(docs: DataFrame, **columns: str) -> DataFrame:
     """Only these columns of docs, cast: a further column never clashes with an operator's own."""
     return docs.select(*(F.col(k).cast(kind).alias(k) for k, kind in columns.items()))
+
+
+#: Rows of two numbers that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose (doc_id, xxhash64 of text) is among ``gone`` (doc_id, text_hash)."""
+    gone = cut(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct())
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_text")), "left_anti")

@@ -85,13 +85,13 @@ def _held(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[dict[int, np.nd
 
 
 def classes(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, n_shingles and node (0 without shingles) of every row."""
+    """doc_id, text_hash, n_shingles and node (0 without shingles) of every row."""
 
     def make(batches):
         for b, sets in _sets_of(batches, n):
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64())], ["doc_id", "text_hash", "n_shingles", "node"])
 
-    return docs.mapInArrow(make, "doc_id long, n_shingles long, node long")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(make, "doc_id long, text_hash long, n_shingles long, node long")
 
 
 def frequent_shingles(docs: DataFrame, n: int = N, most: int = FREQUENT) -> np.ndarray:
@@ -312,7 +312,7 @@ def links(docs: DataFrame, known: DataFrame, n: int = N, percent: int = PERCENT)
 
 
 def components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_hash."""
     docs = pick(docs, doc_id="long", text="string")
     known = cut(classes(docs, n))
     full = known.filter("n_shingles > 0")
@@ -321,4 +321,4 @@ def components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
     least = first.groupBy("label").agg(F.min("first").alias("component_id")).select((F.col("label") + F.lit(0).cast("long")).alias("of"), "component_id")
     named = first.join(least, F.col("label") == F.col("of")).select((F.col("node") + F.lit(0).cast("long")).alias("class"), "component_id")
     out = known.join(named, (F.col("node") == F.col("class")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
