@@ -39,6 +39,8 @@ FREQUENT = 1 << 18
 LOCAL, BATCH_SHINGLES = 3, 2_000_000
 #: Nodes that share a shingle are held against each other's bounds up to so many; more are taken as they are.
 RUN = 256
+#: 64-bit words of a set's parities.
+PARITY_WORDS = 16
 #: Bounds of a block: nodes, and shingles.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 300_000
 #: Bytes of text per hash range.
@@ -84,14 +86,23 @@ def _held(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[dict[int, np.nd
     yield held
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS numbers whose bits tell whether an odd number of the set's shingles falls on them.
+
+    Two sets' numbers differ in no more bits than the sets differ in shingles."""
+    odd = np.bincount((s >> U(20)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def classes(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, text_hash, n_shingles and node (0 without shingles) of every row."""
+    """doc_id, text_hash, n_shingles, node (0 without shingles) and parity of every row."""
 
     def make(batches):
         for b, sets in _sets_of(batches, n):
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64())], ["doc_id", "text_hash", "n_shingles", "node"])
+            columns = [b["doc_id"], b["text_hash"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([_parity(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "node", "parity"])
 
-    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(make, "doc_id long, text_hash long, n_shingles long, node long")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(make, "doc_id long, text_hash long, n_shingles long, node long, parity array<long>")
 
 
 def frequent_shingles(docs: DataFrame, n: int = N, most: int = FREQUENT) -> np.ndarray:
@@ -160,7 +171,7 @@ def _meet(percent: int):
         new[1:] = post["token"][1:] != post["token"][:-1]
         first = np.append(np.flatnonzero(new), len(post))
         size = np.diff(first)
-        pairs = [np.zeros((0, 2), np.int64)]
+        pairs, tested = [np.zeros((0, 2), np.int64)], 0
         for k in np.unique(size[(size > 1) & (size <= RUN)]):  # all runs of one length at once
             at = first[:-1][size == k]
             x, y = np.triu_indices(k, 1)
@@ -171,24 +182,33 @@ def _meet(percent: int):
                 good = (pa_ < 0) | (pb < 0) | (np.minimum(na - pa_, nb - pb) >= need) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
                 good &= post["node"][a] != post["node"][b]
                 pairs.append(np.stack([a[good], b[good]], 1))
+        tested = sum(map(len, pairs))
         for a, z in zip(first[:-1][size > RUN], first[1:][size > RUN]):
             pairs.append(np.stack([np.arange(a + 1, z), np.full(z - a - 1, a)], 1))
         a, b = np.concatenate(pairs).T
-        edges = np.zeros(len(a), [("a", "<i8"), ("an", "<i4"), ("b", "<i8"), ("bn", "<i4")])
+        edges = np.zeros(len(a), [("a", "<i8"), ("an", "<i4"), ("b", "<i8"), ("bn", "<i4"), ("star", "?")])
+        edges["star"] = (np.arange(len(a)) >= tested) | (post["at"][a] < 0) | (post["at"][b] < 0)
         edges["a"], edges["an"], edges["b"], edges["bn"] = post["node"][a], post["n"][a], post["node"][b], post["n"][b]
         edges = np.unique(edges)
         edges = edges[edges["a"] != edges["b"]]
-        return pa.table({k: pa.array(np.ascontiguousarray(edges[k])) for k in ("a", "an", "b", "bn")})
+        return pa.table({k: pa.array(np.ascontiguousarray(edges[k])) for k in edges.dtype.names})
 
     return meet
 
 
-def candidates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """a, an, b, bn: a forest whose components hold every similar pair, with the sets' sizes."""
+def candidates(docs: DataFrame, known: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """a, an, b, bn: a graph whose components hold every similar pair, with the sets' sizes.
+
+    Pairs whose parities differ in more bits than similar sets can are left out; known: classes(), a row each node."""
     order = frequent_shingles(docs, n)
     buckets = max(2 * partitions(docs.sparkSession), -(-text_bytes(docs) // RANGE_BYTES))
     packed = docs.mapInArrow(_send_prefixes(order, n, percent, buckets), "bucket long, packed binary")
-    return packed.groupBy("bucket").applyInArrow(_meet(percent), "a long, an int, b long, bn int")
+    edges = packed.groupBy("bucket").applyInArrow(_meet(percent), "a long, an int, b long, bn int, star boolean").distinct()
+    for end in "ab":
+        edges = edges.join(known.select(F.col("node").alias(end), F.col("parity").alias(f"{end}_parity")), end)
+    apart = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("an") + F.col("bn"))
+    return edges.filter(F.col("star") | near).select("a", "an", "b", "bn")
 
 
 def tree_join(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -296,13 +316,14 @@ def _blocks(nodes: DataFrame, percent: int, spread: int) -> DataFrame:
 def links(docs: DataFrame, known: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """a, b: a forest over the nodes (classes of equal sets) with the components of all similar pairs."""
     spark = docs.sparkSession
-    near = cut(candidates(docs, n, percent))
+    first = cut(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity")))
+    near = cut(candidates(docs, first, n, percent))
+    first = first.drop("parity")
     labels = connected(near)
     sizes = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("an").alias("n")), F.struct(F.col("b").alias("node"), F.col("bn").alias("n")))).alias("x")).select("x.node", "x.n").distinct()
     nodes = cut(sizes.join(labels, "node"))
     total = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles")).first()
     spread = max(2 * partitions(spark), -(-(total.shingles or 0) // BLOCK_SHINGLES))
-    first = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     blocks = _blocks(nodes, percent, spread).join(first, "node")
     if total.n <= BROADCAST_ROWS:
         texts = docs.join(F.broadcast(nodes.select("node").join(first, "node").select("doc_id").distinct()), "doc_id")
