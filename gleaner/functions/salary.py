@@ -83,34 +83,35 @@ def _found(text: Column, pattern: str, amounts: int) -> Column:
     return F.arrays_zip(group(1, "before"), group(2, "whole"), group(3, "a"), group(3 + amounts - 1, "b"), group(3 + amounts, "after"))
 
 
+def _readings(text: Column, currency: str, amounts: int, pattern: str, labelled: bool) -> Column:
+    """The credible readings of one pattern."""
+
+    def read(x: Column) -> Column:
+        return F.struct(period(x["after"], x["before"]).alias("p"), amount(x["a"]).alias("va"), amount(x["b"]).alias("vb"), label_window(x["before"]).alias("w"), F.concat(x["before"], x["whole"], x["after"]).alias("near"), F.trim(x["whole"]).alias("literal"))
+
+    def keep(x: Column) -> Column:
+        ma, mb = monthly(x["va"], x["p"]), monthly(x["vb"], x["p"])
+        good = x["va"].isNotNull() & x["vb"].isNotNull() & ~any_of(x["near"], rules.VAGUE_PAY) & ~any_of(x["near"], rules.PAY_NOISE)
+        if currency == "PEN":
+            good &= credible(x["va"], x["p"]) & credible(x["vb"], x["p"])
+        good &= ma.between(*rules.MONTHLY_RANGE[currency]) & mb.between(*rules.MONTHLY_RANGE[currency])
+        if amounts == 2:
+            good &= F.greatest(ma, mb) <= 6 * F.least(ma, mb)
+        good &= ~any_of(x["w"], rules.NOT_PAY)
+        return good & any_of(x["w"], rules.EXPLICIT_LABELS) if labelled else good
+
+    def rate(x: Column, i: Column) -> Column:
+        ma, mb = monthly(x["va"], x["p"]), monthly(x["vb"], x["p"])
+        trust = F.lit(100 - 5 * (currency == "USD") - 5 * (amounts == 1)) - F.when(x["p"] != "mensual", 25).otherwise(0) + F.when(any_of(x["w"], rules.PAY_LABELS), 5).otherwise(0)
+        return F.struct((-F.least(trust, F.lit(100))).alias("distrust"), F.least(ma, mb).cast("int").alias("minimo"), i.alias("i"), F.greatest(ma, mb).cast("int").alias("maximo"), F.lit(currency).alias("moneda"), x["literal"].alias("literal"))
+
+    rows = F.transform(F.filter(F.transform(_found(text, pattern, amounts), read), keep), rate)
+    return F.when(text.rlike(r"\d\d"), F.when(F.size(rows) > 0, rows))
+
+
 def candidates(text: Column, labelled: bool) -> Column:
     """array<struct> of credible readings of a collapsed text, by the first pattern that has any."""
-    out = []
-    for currency, amounts, pattern in _patterns():
-
-        def read(x: Column, currency=currency) -> Column:
-            name = period(x["after"], x["before"])
-            return F.struct(name.alias("p"), amount(x["a"]).alias("va"), amount(x["b"]).alias("vb"), label_window(x["before"]).alias("w"), F.concat(x["before"], x["whole"], x["after"]).alias("near"), F.trim(x["whole"]).alias("literal"))
-
-        def keep(x: Column, currency=currency, amounts=amounts) -> Column:
-            ma, mb = monthly(x["va"], x["p"]), monthly(x["vb"], x["p"])
-            good = x["va"].isNotNull() & x["vb"].isNotNull() & ~any_of(x["near"], rules.VAGUE_PAY) & ~any_of(x["near"], rules.PAY_NOISE)
-            if currency == "PEN":
-                good &= credible(x["va"], x["p"]) & credible(x["vb"], x["p"])
-            good &= ma.between(*rules.MONTHLY_RANGE[currency]) & mb.between(*rules.MONTHLY_RANGE[currency])
-            if amounts == 2:
-                good &= F.greatest(ma, mb) <= 6 * F.least(ma, mb)
-            good &= ~any_of(x["w"], rules.NOT_PAY)
-            return good & any_of(x["w"], rules.EXPLICIT_LABELS) if labelled else good
-
-        def rate(x: Column, i: Column, currency=currency, amounts=amounts) -> Column:
-            ma, mb = monthly(x["va"], x["p"]), monthly(x["vb"], x["p"])
-            trust = F.lit(100 - 5 * (currency == "USD") - 5 * (amounts == 1)) - F.when(x["p"] != "mensual", 25).otherwise(0) + F.when(any_of(x["w"], rules.PAY_LABELS), 5).otherwise(0)
-            return F.struct((-F.least(trust, F.lit(100))).alias("distrust"), F.least(ma, mb).cast("int").alias("minimo"), i.alias("i"), F.greatest(ma, mb).cast("int").alias("maximo"), F.lit(currency).alias("moneda"), x["literal"].alias("literal"))
-
-        rows = F.transform(F.filter(F.transform(_found(text, pattern, amounts), read), keep), rate)
-        out.append(F.when(text.rlike(r"\d\d"), F.when(F.size(rows) > 0, rows)))
-    return F.coalesce(*out, F.array().cast(_RATED))
+    return F.coalesce(*(_readings(text, *p, labelled) for p in _patterns()), F.array().cast(_RATED))
 
 
 _RATED = "array<struct<distrust:int,minimo:int,i:int,maximo:int,moneda:string,literal:string>>"
