@@ -39,8 +39,6 @@ FREQUENT = 1 << 18
 LOCAL, BATCH_SHINGLES = 3, 2_000_000
 #: Nodes that share a shingle are held against each other's bounds up to so many; more are taken as they are.
 RUN = 256
-#: 64-bit words of a set's parities.
-PARITY_WORDS = 16
 #: Bounds of a block: nodes, and shingles.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 300_000
 #: Bytes of text per hash range.
@@ -87,10 +85,11 @@ def _held(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[dict[int, np.nd
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    """PARITY_WORDS numbers whose bits tell whether an odd number of the set's shingles falls on them.
+    """Bits, as many as the set has shingles (in powers of two), that tell whether an odd number of its shingles falls on them.
 
-    Two sets' numbers differ in no more bits than the sets differ in shingles."""
-    odd = np.bincount((s >> U(20)).astype(np.int64) % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    Two sets' bits differ in no more places than the sets differ in shingles; halves laid over each other give the next smaller size."""
+    size = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s >> U(20)).astype(np.int64) % size, minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -206,7 +205,10 @@ def candidates(docs: DataFrame, known: DataFrame, n: int = N, percent: int = PER
     edges = packed.groupBy("bucket").applyInArrow(_meet(percent), "a long, an int, b long, bn int, star boolean").distinct()
     for end in "ab":
         edges = edges.join(known.select(F.col("node").alias(end), F.col("parity").alias(f"{end}_parity")), end)
-    apart = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    halved = lambda c, m: F.zip_with(F.slice(c, 1, m), F.slice(c, m + 1, m), lambda x, y: x.bitwiseXOR(y))
+    size = F.least(F.size("a_parity"), F.size("b_parity"))
+    a, b = (F.when(F.size(c) > size, halved(c, size)).otherwise(F.col(c)) for c in ("a_parity", "b_parity"))  # sizes of near enough sets differ by one step at most
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = (100 + percent) * apart <= (100 - percent) * (F.col("an") + F.col("bn"))
     return edges.filter(F.col("star") | near).select("a", "an", "b", "bn")
 
