@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import any_of, collapse
+from .text import any_of, collapse, let
 
 SALARY = "struct<minimo:int,maximo:int,moneda:string,periodo:string,literal:string,confianza:int>"
 AMOUNT = r"(?<!\d)(?:\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?|\d{2,6}(?:[.,]\d{1,2})?)(?!\d)"
@@ -84,29 +84,29 @@ def _found(text: Column, pattern: str, amounts: int) -> Column:
 
 
 def _readings(text: Column, currency: str, amounts: int, pattern: str, labelled: bool) -> Column:
-    """The credible readings of one pattern."""
+    """The credible readings of one pattern, in steps: what was found, its period and values, its monthly values."""
+    low, high = rules.MONTHLY_RANGE[currency]
 
     def read(x: Column) -> Column:
-        return F.struct(period(x["after"], x["before"]).alias("p"), amount(x["a"]).alias("va"), amount(x["b"]).alias("vb"), label_window(x["before"]).alias("w"), F.concat(x["before"], x["whole"], x["after"]).alias("near"), F.trim(x["whole"]).alias("literal"))
+        near = F.concat(x["before"], x["whole"], x["after"])
+        return F.struct(period(x["after"], x["before"]).alias("p"), amount(x["a"]).alias("va"), (amount(x["b"]) if amounts == 2 else amount(x["a"])).alias("vb"), label_window(x["before"]).alias("w"), (any_of(near, rules.VAGUE_PAY) | any_of(near, rules.PAY_NOISE)).alias("noisy"), F.trim(x["whole"]).alias("literal"))
+
+    def convert(x: Column) -> Column:
+        sane = credible(x["va"], x["p"]) & credible(x["vb"], x["p"]) if currency == "PEN" else F.lit(True)
+        return F.struct(x["p"].alias("p"), x["w"].alias("w"), x["literal"].alias("literal"), (sane & ~x["noisy"]).alias("sane"), monthly(x["va"], x["p"]).alias("ma"), monthly(x["vb"], x["p"]).alias("mb"))
 
     def keep(x: Column) -> Column:
-        ma, mb = monthly(x["va"], x["p"]), monthly(x["vb"], x["p"])
-        good = x["va"].isNotNull() & x["vb"].isNotNull() & ~any_of(x["near"], rules.VAGUE_PAY) & ~any_of(x["near"], rules.PAY_NOISE)
-        if currency == "PEN":
-            good &= credible(x["va"], x["p"]) & credible(x["vb"], x["p"])
-        good &= ma.between(*rules.MONTHLY_RANGE[currency]) & mb.between(*rules.MONTHLY_RANGE[currency])
+        good = x["sane"] & x["ma"].between(low, high) & x["mb"].between(low, high) & ~any_of(x["w"], rules.NOT_PAY)
         if amounts == 2:
-            good &= F.greatest(ma, mb) <= 6 * F.least(ma, mb)
-        good &= ~any_of(x["w"], rules.NOT_PAY)
+            good &= F.greatest(x["ma"], x["mb"]) <= 6 * F.least(x["ma"], x["mb"])
         return good & any_of(x["w"], rules.EXPLICIT_LABELS) if labelled else good
 
     def rate(x: Column, i: Column) -> Column:
-        ma, mb = monthly(x["va"], x["p"]), monthly(x["vb"], x["p"])
         trust = F.lit(100 - 5 * (currency == "USD") - 5 * (amounts == 1)) - F.when(x["p"] != "mensual", 25).otherwise(0) + F.when(any_of(x["w"], rules.PAY_LABELS), 5).otherwise(0)
-        return F.struct((-F.least(trust, F.lit(100))).alias("distrust"), F.least(ma, mb).cast("int").alias("minimo"), i.alias("i"), F.greatest(ma, mb).cast("int").alias("maximo"), F.lit(currency).alias("moneda"), x["literal"].alias("literal"))
+        return F.struct((-F.least(trust, F.lit(100))).alias("distrust"), F.least(x["ma"], x["mb"]).cast("int").alias("minimo"), i.alias("i"), F.greatest(x["ma"], x["mb"]).cast("int").alias("maximo"), F.lit(currency).alias("moneda"), x["literal"].alias("literal"))
 
-    rows = F.transform(F.filter(F.transform(_found(text, pattern, amounts), read), keep), rate)
-    return F.when(text.rlike(r"\d\d"), F.when(F.size(rows) > 0, rows))
+    rows = F.transform(F.filter(F.transform(F.transform(_found(text, pattern, amounts), read), convert), keep), rate)
+    return F.when(text.rlike(pattern), let(rows, lambda r: F.when(F.size(r) > 0, r)))
 
 
 def candidates(text: Column, labelled: bool) -> Column:
@@ -117,19 +117,29 @@ def candidates(text: Column, labelled: bool) -> Column:
 _RATED = "array<struct<distrust:int,minimo:int,i:int,maximo:int,moneda:string,literal:string>>"
 
 
+def salary_of(plain: Column, readings: Column) -> Column:
+    """The salary of a collapsed text with its candidates: the legal minimum if it is named, else the best one."""
+    wage = F.struct(F.lit(rules.MINIMUM_WAGE).alias("minimo"), F.lit(rules.MINIMUM_WAGE).alias("maximo"), F.lit("PEN").alias("moneda"), F.lit("mensual").alias("periodo"), F.lit("RMV").alias("literal"), F.lit(85).alias("confianza")).cast(SALARY)
+
+    def found(best: Column) -> Column:
+        pay = F.struct(best["minimo"].alias("minimo"), best["maximo"].alias("maximo"), best["moneda"].alias("moneda"), F.lit("mensual").alias("periodo"), best["literal"].alias("literal"), (-best["distrust"]).alias("confianza"))
+        return F.when(best.isNotNull(), pay.cast(SALARY))
+
+    return F.when(plain.rlike(r"(?U)\b(?:rmv|remuneraci[oó]n m[ií]nima vital|sueldo m[ií]nimo)\b"), wage).otherwise(let(F.array_min(readings), found))
+
+
+def several_of(readings: Column) -> Column:
+    return F.size(F.array_distinct(F.transform(readings, lambda x: F.struct(x["minimo"].alias("a"), x["maximo"].alias("b"))))) > 1
+
+
 def extract_salary(text: Column, labelled: bool = False) -> Column:
     """The salary that a text declares, as SALARY, or null: the most trusted reading, the lowest of equals."""
-    plain = collapse(text)
-    best = F.array_min(candidates(plain, labelled))
-    found = F.when(best.isNotNull(), F.struct(best["minimo"].alias("minimo"), best["maximo"].alias("maximo"), best["moneda"].alias("moneda"), F.lit("mensual").alias("periodo"), best["literal"].alias("literal"), (-best["distrust"]).alias("confianza")).cast(SALARY))
-    wage = F.struct(F.lit(rules.MINIMUM_WAGE).alias("minimo"), F.lit(rules.MINIMUM_WAGE).alias("maximo"), F.lit("PEN").alias("moneda"), F.lit("mensual").alias("periodo"), F.lit("RMV").alias("literal"), F.lit(85).alias("confianza")).cast(SALARY)
-    return F.when(plain.rlike(r"(?U)\b(?:rmv|remuneraci[oó]n m[ií]nima vital|sueldo m[ií]nimo)\b"), wage).otherwise(found)
+    return let(collapse(text), lambda t: salary_of(t, candidates(t, labelled)))
 
 
 def declares_several(text: Column) -> Column:
     """Whether a text labels more than one distinct salary."""
-    pairs = F.transform(candidates(collapse(text), True), lambda x: F.struct(x["minimo"].alias("a"), x["maximo"].alias("b")))
-    return F.size(F.array_distinct(pairs)) > 1
+    return let(collapse(text), lambda t: several_of(candidates(t, True)))
 
 
 def declares_vague(text: Column) -> Column:

@@ -20,6 +20,11 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(packed)))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once: a lambda over an array of one."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_pattern(words, start: str = r"(?U)\b", end: str = r"\b") -> str:
     """One alternation, in order, of literal words between word boundaries."""
     return f"{start}(?:{'|'.join(map(literal, words))}){end}"

@@ -8,12 +8,12 @@ from pyspark.sql.window import Window
 
 from ..functions import classify, salary, score, titles
 from ..functions.rules import THRESHOLD
-from ..functions.text import once, summary, with_blocks
+from ..functions.text import collapse, once, summary, with_blocks
 
 
 def lenient_date(text: Column) -> Column:
     """The date of an ISO text's first ten characters, or null (A10)."""
-    return F.try_to_date(F.substring(text.cast("string"), 1, 10), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring(text.cast("string"), 1, 10), "yyyy-MM-dd")
 
 
 def still_open(raw: DataFrame, as_of: Column, max_age: int = 60) -> DataFrame:
@@ -28,7 +28,10 @@ def process(raw: DataFrame, as_of: Column) -> DataFrame:
     """Postings of raw ones: blocks, salary, place, mode, category, score, title, fingerprint."""
     body = F.coalesce(F.nullif("descripcion_html", F.lit("")), F.nullif("texto_plano", F.lit("")), F.lit(""))
     df = with_blocks(raw.withColumn("body", body)).withColumn("plain", F.array_join("lines", " "))
-    df = once(df, ambiguous=salary.declares_several(F.col("plain")), by_label=salary.extract_salary(F.col("plain"), True), by_field=salary.extract_salary(F.col("sueldo_texto")), anywhere=salary.extract_salary(F.col("plain")))
+    df = once(df, plain_low=collapse(F.col("plain")), texts=F.array(collapse(F.col("sueldo_texto")), collapse(F.col("plain"))))
+    # the large expressions are built once: labelled readings of the body, any readings of field and body
+    df = once(df, labelled=salary.candidates(F.col("plain_low"), True), any_pay=F.transform("texts", lambda t: salary.salary_of(t, salary.candidates(t, False))))
+    df = once(df, ambiguous=salary.several_of(F.col("labelled")), by_label=salary.salary_of(F.col("plain_low"), F.col("labelled")), by_field=F.get("any_pay", F.lit(0)), anywhere=F.get("any_pay", F.lit(1)))
     located = F.concat_ws(" ", F.coalesce("ubicacion_texto", F.lit("")), "plain")
     df = once(
         df,

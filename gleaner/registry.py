@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import queries as _queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    """The whole chain from pages of postings to scored postings."""
+    return _queries.QUERIES["process_postings"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_queries.ORACLES)

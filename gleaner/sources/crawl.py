@@ -30,7 +30,7 @@ def sitemap_urls(maps: DataFrame, xml: str = "xml") -> DataFrame:
     rows = F.when(F.size(bodies) > 0, F.arrays_zip(kinds.alias("kind"), bodies.alias("body"))).otherwise(F.transform(bare, lambda x: F.struct(F.lit("url").alias("kind"), x.alias("body"))))
     each = maps.select(*(c for c in maps.columns if c != xml), F.posexplode(rows).alias("pos", "x"))
     inside = lambda tag: F.regexp_extract("x.body", rf"(?is)<(?:\w+:)?{tag}>(.*?)</(?:\w+:)?{tag}>", 1)
-    out = each.select(*(c for c in maps.columns if c != xml), "pos", F.regexp_replace(inside("loc"), r"\s+", "").alias("loc"), F.try_to_date(F.substring(F.trim(inside("lastmod")), 1, 10), F.lit("yyyy-MM-dd")).alias("lastmod"), (F.lower("x.kind") == "sitemap").alias("is_map"))
+    out = each.select(*(c for c in maps.columns if c != xml), "pos", F.regexp_replace(inside("loc"), r"\s+", "").alias("loc"), F.try_to_date(F.substring(F.trim(inside("lastmod")), 1, 10), "yyyy-MM-dd").alias("lastmod"), (F.lower("x.kind") == "sitemap").alias("is_map"))
     return out.filter("loc <> ''")
 
 

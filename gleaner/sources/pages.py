@@ -22,7 +22,7 @@ def _month(name: Column, prefix: bool = False) -> Column:
 
 def _day(text: Column, pattern: str, prefix: bool = False) -> Column:
     part = lambda k: F.regexp_extract(text, pattern, k)
-    return F.when(text.rlike(pattern), F.try_to_date(F.format_string("%s-%02d-%02d", part(3), _month(part(2), prefix), part(1).try_cast("int")), F.lit("yyyy-MM-dd")))
+    return F.when(text.rlike(pattern), F.try_to_date(F.format_string("%s-%02d-%02d", part(3), _month(part(2), prefix), part(1).try_cast("int")), "yyyy-MM-dd"))
 
 
 def spanish_date(text: Column) -> Column:
@@ -33,7 +33,7 @@ def spanish_date(text: Column) -> Column:
 
 def flexible_date(value: Column) -> Column:
     """A date from milliseconds since 1970 or an ISO text."""
-    return F.coalesce(F.to_date(F.timestamp_millis(value.try_cast("bigint"))), F.try_to_date(F.substring(value, 1, 10), F.lit("yyyy-MM-dd")))
+    return F.coalesce(F.to_date(F.timestamp_millis(value.try_cast("bigint"))), F.try_to_date(F.substring(value, 1, 10), "yyyy-MM-dd"))
 
 
 def meta(html: Column, name: str) -> Column:
@@ -179,7 +179,7 @@ def job_posting_fields(node: Column) -> Column:
     return F.struct(
         _json_text(node, "$.title").alias("puesto"), _json_text(node, "$.hiringOrganization").alias("empresa"),
         F.coalesce(F.nullif(F.concat_ws(", ", city, region), F.lit("")), street, F.lit("")).alias("ubicacion"), F.coalesce(pay, F.lit("")).alias("sueldo_texto"),
-        F.try_to_date(F.substring(_json(node, "$.datePosted"), 1, 10), F.lit("yyyy-MM-dd")).alias("publicado"), F.try_to_date(F.substring(_json(node, "$.validThrough"), 1, 10), F.lit("yyyy-MM-dd")).alias("vence"),
+        F.try_to_date(F.substring(_json(node, "$.datePosted"), 1, 10), "yyyy-MM-dd").alias("publicado"), F.try_to_date(F.substring(_json(node, "$.validThrough"), 1, 10), "yyyy-MM-dd").alias("vence"),
         F.when(F.upper(F.coalesce(_json(node, "$.jobLocationType"), F.lit(""))).contains("TELECOMMUTE"), "remoto").otherwise("").alias("modalidad"), _json_text(node, "$.description").alias("cuerpo"),
     )
 
