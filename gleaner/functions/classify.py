@@ -6,20 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import any_of, fold, fold_python, literal, words_pattern
+from .text import any_of, fold, fold_python, let, literal, words_pattern
 
 
 def work_mode(text: Column) -> Column:
     """Hybrid before remote before on-site, which is also the default (K1)."""
-    t = fold(text)
     hybrid = ("hibrido", "semipresencial", "mixto", "3 dias en oficina", "2 dias remoto")
     remote = ("remoto", "teletrabajo", "home office", "100% remoto", "desde casa", "work from home")
-    return F.when(t.rlike(words_pattern(hybrid)), "Híbrido").when(t.rlike(words_pattern(remote)), "Remoto").otherwise("Presencial")
+    return let(fold(text), lambda t: F.when(t.rlike(words_pattern(hybrid)), "Híbrido").when(t.rlike(words_pattern(remote)), "Remoto").otherwise("Presencial"))
 
 
 def place(location: Column, body: Column) -> Column:
     """struct<ciudad, departamento>: the first known city, else district, else region, in list order (K2)."""
-    t = fold(F.concat(F.coalesce(location, F.lit("")), F.lit(" "), F.substring(F.coalesce(body, F.lit("")), 1, 1200)))
+    return let(fold(F.concat(F.coalesce(location, F.lit("")), F.lit(" "), F.substring(F.coalesce(body, F.lit("")), 1, 1200))), _place)
+
+
+def _place(t: Column) -> Column:
     pair = lambda a, b: F.struct(F.lit(a).alias("ciudad"), F.lit(b).alias("departamento"))
     out = F
     for city, region in rules.CITIES.items():
@@ -43,11 +45,10 @@ def _scores(text: Column, with_title_only: bool) -> Column:
 
 def category(title: Column, body: Column) -> Column:
     """The category with most cues in the title, else in title and start of the body; internships only by title, and first (K3)."""
-    by_title = _scores(fold(title), True)
-    by_text = _scores(fold(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(body, F.lit("")), 1, 500))), False)
-    best = lambda rows: F.array_max(rows)["name"]
-    intern = F.exists(by_title, lambda x: x["name"] == "Prácticas")
-    return F.when(intern, "Prácticas").otherwise(F.coalesce(best(by_title), best(by_text), F.lit("Otros")))
+    whole = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(body, F.lit("")), 1, 500))
+    by_text = lambda: let(fold(whole), lambda t: F.array_max(_scores(t, False))["name"])
+    intern = lambda rows: F.exists(rows, lambda x: x["name"] == "Prácticas")
+    return let(let(fold(title), lambda t: _scores(t, True)), lambda rows: F.when(intern(rows), "Prácticas").otherwise(F.coalesce(F.array_max(rows)["name"], by_text(), F.lit("Otros"))))
 
 
 def is_hidden_employer(name: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import rules
 from .classify import is_hidden_employer
 from .salary import declares_vague
-from .text import any_of, fold, is_filler
+from .text import any_of, fold, is_filler, let
 
 RESULT = "struct<total:int,sueldo:int,funciones:int,requisitos:int,beneficios:int,metadata:int,motivos:array<string>,notas:array<string>>"
 
@@ -91,18 +91,27 @@ def score_metadata(employer: Column, city: Column, mode: Column, published: Colu
 
 def evaluate(salary, duties, requirements, benefits, employer, city, mode, published, deadline, text, profile, as_of) -> Column:
     """RESULT of a posting: parts, total, reasons in order, and notes (A6); all arguments are columns."""
+    lists = F.struct(useful(duties).alias("d"), useful(requirements).alias("r"), useful(benefits).alias("b"))
+    return let(lists, lambda x: _evaluate(salary, x["d"], x["r"], x["b"], employer, city, mode, published, deadline, text, profile, as_of))
+
+
+def _evaluate(salary, duties, requirements, benefits, employer, city, mode, published, deadline, text, profile, as_of) -> Column:
     parts = {
         "sueldo": score_salary(salary, text),
-        "funciones": score_duties(useful(duties), _profile(profile, 0)),
-        "requisitos": score_requirements(useful(requirements), _profile(profile, 1)),
-        "beneficios": score_benefits(useful(benefits), _profile(profile, 2)),
+        "funciones": score_duties(duties, _profile(profile, 0)),
+        "requisitos": score_requirements(requirements, _profile(profile, 1)),
+        "beneficios": score_benefits(benefits, _profile(profile, 2)),
         "metadata": score_metadata(employer, city, mode, published, deadline, _profile(profile, 3), as_of),
     }
-    total = sum((p for p, _, _ in parts.values()), F.lit(0))
+    points = F.struct(*(p[0].alias(k) for k, p in parts.items()))
     gather = lambda k: F.array_compact(F.array(*(x.cast("string") for p in parts.values() for x in p[k])))
-    reasons = gather(1)
-    low = F.when((F.size(reasons) == 0) & (total < rules.THRESHOLD), F.array(F.format_string(f"Score %d por debajo del umbral {rules.THRESHOLD}", total)))
-    return F.struct(total.alias("total"), *(p[0].alias(k) for k, p in parts.items()), F.coalesce(low, reasons).alias("motivos"), gather(2).alias("notas")).cast(RESULT)
+
+    def result(x: Column) -> Column:
+        total = sum((x["p"][k] for k in parts), F.lit(0))
+        low = F.when((F.size(x["m"]) == 0) & (total < rules.THRESHOLD), F.array(F.format_string(f"Score %d por debajo del umbral {rules.THRESHOLD}", total)))
+        return F.struct(total.alias("total"), *(x["p"][k].alias(k) for k in parts), F.coalesce(low, x["m"]).alias("motivos"), x["n"].alias("notas")).cast(RESULT)
+
+    return let(F.struct(points.alias("p"), gather(1).alias("m"), gather(2).alias("n")), result)
 
 
 def explain(result: Column) -> Column:

@@ -94,7 +94,10 @@ _TRIM = r"[ :.\-–—¿?¡!*]"
 
 def heading(line: Column) -> Column:
     """The section that a line opens: ``descartado`` or one of SECTIONS, else null."""
-    bare = F.regexp_replace(fold(line), f"^{_TRIM}+|{_TRIM}+$", "")
+    return let(F.regexp_replace(fold(line), f"^{_TRIM}+|{_TRIM}+$", ""), _section)
+
+
+def _section(bare: Column) -> Column:
     out = F.when(F.char_length(bare) > 60, F.lit(None).cast("string"))
     out = out.when(bare.rlike(rf"^(?:{'|'.join(map(literal, rules.CLOSING))})(?: .*)?$"), "descartado")
     for section, titles in rules.HEADINGS.items():
@@ -124,6 +127,14 @@ def partition(lines: Column) -> Column:
     return F.aggregate(marked, start, step, lambda s: F.struct(*(s[n].alias(n) for n in names)))
 
 
+def firsts(items: Column, key) -> Column:
+    """The items whose key no earlier one has; keys are made once an item."""
+    named = F.transform(items, lambda x: F.struct(key(x).alias("k"), x.alias("x")))
+    with_keys = lambda s: F.struct(s.alias("s"), F.transform(s, lambda x: x["k"]).alias("k"))
+    pick = lambda p: F.transform(F.filter(p["s"], lambda x, i: F.array_position(p["k"], x["k"]) == i + 1), lambda x: x["x"])
+    return let(let(named, with_keys), pick)
+
+
 def clean_items(items: Column, least: int = 12, most: int = 320, limit: int = 12) -> Column:
     """The lines that look like items of a list, first of equal ones, capitalised."""
     trimmed = F.transform(items, lambda x: F.regexp_replace(x, r"^[ \-–—•*:;]+|[ \-–—•*:;]+$", ""))
@@ -134,11 +145,8 @@ def clean_items(items: Column, least: int = 12, most: int = 320, limit: int = 12
         & ~x.rlike(r"(?iu)^(?:av\.|jr\.|calle|telf|tel[eé]fono|correo|email|enviar cv|postula)")
         & ~x.rlike(r"(?iuU)no\s+(?:se\s+)?especificad"),
     )
-    keyed = F.transform(good, lambda x: F.struct(F.substring(fold(x), 1, 70).alias("k"), x.alias("x")))
-    keys = F.transform(keyed, lambda s: s["k"])
-    first = F.filter(keyed, lambda s, i: F.array_position(keys, s["k"]) == i + 1)
-    capital = F.transform(first, lambda s: F.concat(F.upper(F.substring(s["x"], 1, 1)), F.substring(s["x"], 2, 1_000_000)))
-    return F.slice(capital, 1, limit)
+    first = firsts(good, lambda x: F.substring(fold(x), 1, 70))
+    return F.slice(F.transform(first, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1_000_000))), 1, limit)
 
 
 def rescue_duties(lines: Column) -> Column:
@@ -147,7 +155,7 @@ def rescue_duties(lines: Column) -> Column:
 
     def is_duty(line: Column) -> Column:
         first = F.regexp_replace(F.substring_index(fold(line), " ", 1), "[,.:]+$", "")
-        return first.isin(verbs) | first.endswith("ar") & (F.char_length(first) > 5)
+        return let(first, lambda w: w.isin(verbs) | w.endswith("ar") & (F.char_length(w) > 5))
 
     return F.filter(lines, is_duty)
 

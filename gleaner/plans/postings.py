@@ -44,13 +44,14 @@ def process(raw: DataFrame, as_of: Column) -> DataFrame:
         vence=lenient_date(F.col("extra")["vence"]),
         clean=titles.clean_title(F.col("puesto")),
     )
+    df = once(df, named=titles.names_job(F.col("clean")))
     text = F.concat_ws(" ", F.coalesce("sueldo_texto", F.lit("")), "plain")
     df = once(
         df,
         result=score.evaluate(F.col("pay"), F.col("funciones"), F.col("requisitos"), F.col("beneficios"), F.col("empresa"), F.col("where.ciudad"), F.col("modalidad"), F.col("publicado"), F.col("vence"), text, F.col("perfil"), as_of),
-        deduced=F.when(~titles.names_job(F.col("clean")), titles.deduce_title(F.col("resumen"), F.col("funciones"), F.col("requisitos"))),
+        deduced=F.when(~F.col("named"), titles.deduce_title(F.col("resumen"), F.col("funciones"), F.col("requisitos"))),
     )
-    unnamed = ~titles.names_job(F.col("clean")) & F.col("deduced").isNull()
+    unnamed = ~F.col("named") & F.col("deduced").isNull()
     vetoes = F.array_compact(F.array(F.when(unnamed, "El aviso no dice qué puesto es"), F.when(F.col("ambiguous"), "El aviso declara dos sueldos distintos (varias modalidades)")))
     df = once(df, title=F.coalesce("deduced", "clean"), reasons=F.concat("result.motivos", vetoes))
     parts = ("sueldo", "funciones", "requisitos", "beneficios", "metadata")
