@@ -3,10 +3,10 @@
 Documents are encoded and, where longer than a sequence, cut into full pieces (the first piece
 takes the remainder). Only the histogram of piece lengths, with at most as many rows as a
 sequence has tokens, goes to the driver. There bin completion fills sequences around the largest
-piece left: it enumerates undominated fillings, fewest and largest pieces first, prunes those
-that waste more than the best one, and applies the filling as often as the counts allow. A
-best-fit-decreasing plan is the first incumbent; the plan with fewer sequences is kept, and the
-search ends when the incumbent meets the lower bound. The plan says for each length which ranks
+piece left: it branches on undominated fillings, applies one as often as the counts allow, and
+prunes branches that waste more than a better plan could. A best-fit-decreasing plan is the first
+incumbent; the plan with fewer sequences is kept, and the search ends when the incumbent meets
+the lower bound, or after a bounded number of nodes. The plan says for each length which ranks
 go to which sequences; pieces are ranked within their length in salted chunks and joined with it.
 
 Defined cases: null or empty text is its end token alone; rows that repeat a doc_id are packed
@@ -16,8 +16,10 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from .token_counts import encoder, vocabulary_path
 CAPACITY, END_ID = 1024, 2
 #: Fillings tried around one piece before the best one found is taken.
 FILLINGS = 20_000
+#: Fillings that are branched on, and nodes of the search, before the best plan found is kept.
+BRANCHES, NODES = 3, 5_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -61,6 +65,9 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
         rest = sum(x * n for x, n in counts.items() if small <= x <= capacity // 2)
         room = sum((capacity - x) * n for x, n in half)
         best = max(best, big + sum(n for _, n in half) + max(0, -(-(rest - room) // capacity)))
+    for k in range(1, 20):  # dual feasible functions: at most k pieces longer than capacity / (k + 1) share a sequence
+        weighed = sum(n * (Fraction(x, capacity) if x * (k + 1) % capacity == 0 else Fraction(x * (k + 1) // capacity, k)) for x, n in counts.items())
+        best = max(best, math.ceil(weighed))
     return best
 
 
@@ -90,55 +97,69 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [p for same in left.values() for p in same]
 
 
-def _filling(gap: int, lengths: list[int], counts: dict[int, int], tries: int) -> tuple[int, ...]:
-    """The filling of the gap with least waste: large pieces first, a branch ends when its waste can't be the least."""
-    best: list = [gap + 1, ()]
+def _fillings(gap: int, lengths: list[int], counts: dict[int, int], tries: int) -> list[tuple[int, ...]]:
+    """Undominated fillings of the gap, least waste first: large pieces come first, a full one ends the search."""
+    found: list[tuple[int, tuple[int, ...]]] = []
     left = [tries]
-    total = sum(x * counts[x] for x in lengths if x <= gap)
 
-    def search(room: int, at: int, used: tuple[int, ...]) -> None:
+    def search(room: int, at: int, used: tuple[int, ...]) -> bool:
         left[0] -= 1
-        if room < best[0]:
-            best[:] = [room, used]
-        if best[0] == 0 or left[0] <= 0:
-            return
         if counts.get(room, 0) > used.count(room) and (not used or room <= used[-1]):
-            best[:] = [0, (*used, room)]
-            return
+            found.append((0, (*used, room)))
+            return True
+        fits = False
         for i in range(at, len(lengths)):
             x = lengths[i]
             if x <= room and used.count(x) < counts[x]:
-                search(room - x, i, (*used, x))
-                if best[0] == 0 or left[0] <= 0:
-                    return
-
-    if total + best[0] > gap or total:
-        search(gap, 0, ())
-    return best[1]
-
-
-def complete(counts: dict[int, int], capacity: int, most: int, tries: int = FILLINGS) -> list[tuple[tuple[int, ...], int]] | None:
-    """Bin completion; None as soon as the plan can't have fewer than ``most`` sequences."""
-    counts, plan = dict(counts), []
-    spare = (most - 1) * capacity - sum(x * n for x, n in counts.items())
-    while counts:
-        x = max(counts)
-        counts[x] -= 1
-        gap = capacity - x
-        fill = _filling(gap, sorted((y for y in counts if y <= gap and counts[y]), reverse=True), counts, tries)
-        counts[x] += 1
-        held = (x, *fill)
-        need = {y: held.count(y) for y in held}
-        times = min(counts[y] // k for y, k in need.items())
-        spare -= times * (gap - sum(fill))
-        if spare < 0:
-            return None
-        for y, k in need.items():
-            counts[y] -= times * k
-            if not counts[y]:
-                del counts[y]
-        plan.append((held, times))
-    return plan
+                fits = True
+                if search(room - x, i, (*used, x)) or left[0] <= 0:
+                    return True
+        if not fits:
+            found.append((room, used))
+            if len(found) > 4 * BRANCHES:
+                found[:] = sorted(found, key=lambda f: f[0])[:BRANCHES]
+        return False
+
+    search(gap, 0, ())
+    return [used for _, used in sorted(found, key=lambda f: f[0])[:BRANCHES]] or [()]
+
+
+def complete(counts: dict[int, int], capacity: int, most: int, tries: int = FILLINGS, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]] | None:
+    """Bin completion: the plan with fewest sequences found, fewer than ``most``, or None.
+
+    Branches are the fillings around the largest piece left; one ends when its waste is more than
+    a better plan could have, and all end at the lower bound or after so many nodes."""
+    total, least = sum(x * n for x, n in counts.items()), lower_bound(counts, capacity)
+    best = None
+    stack = [(dict(counts), (), 0, None)]
+    while stack and nodes and most > least:
+        left, held, times, above = stack.pop()
+        nodes -= 1
+        waste, size = (above[1], above[2]) if above else (0, 0)
+        if times:
+            left = dict(left)
+            for y in set(held):
+                left[y] -= times * held.count(y)
+                if not left[y]:
+                    del left[y]
+            waste, size = waste + times * (capacity - sum(held)), size + times
+        if waste > (most - 1) * capacity - total:
+            continue
+        here = (above, waste, size, held, times)
+        if not left:
+            best, most = here, size
+            continue
+        x = max(left)
+        rest = left | {x: left[x] - 1}
+        for fill in reversed(_fillings(capacity - x, sorted((y for y in rest if y <= capacity - x and rest[y]), reverse=True), rest, tries)):
+            held = (x, *fill)
+            stack.append((left, held, min(left[y] // held.count(y) for y in set(held)), here))
+    plan = []
+    while best:
+        if best[4]:
+            plan.append((best[3], best[4]))
+        best = best[0]
+    return plan or None
 
 
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
