@@ -84,5 +84,37 @@ def queries() -> dict:
     }
 
 
+_SPACED = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP1 = f"""
+with d as (select row_number() over () as r, doc_id, {_SPACED.format("coalesce(text, '')")} as w from documents),
+k as (select r, doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) as h from (select *, unnest(range(1, len(w) - 18)) as s from d)),
+f as (select h, min({{'d': doc_id, 's': s}}) as first from k group by h),
+g as (select distinct r, unnest(range(s, s + 20)) as at from k join f using (h) where {{'d': doc_id, 's': s}} > first),
+x as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as at from d),
+o as (select x.r, count(g.at) as gone, coalesce(string_agg(word, ' ' order by x.at) filter (g.at is null), '') as kept from x left join g on x.r = g.r and x.at = g.at group by x.r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(gone, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join o using (r)
+"""
+
+_OP2 = """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+r as (select *, case when octet_length(b) >= 1000 then max(page_id) over (partition by b) else page_id end as top from p)
+select page_id, octet_length(b) as payload_bytes, sha1(b) as payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to from r
+"""
+
+_OP3 = f"""
+with d as (select row_number() over () as r, doc_id, {_PLAIN} as w from documents), b as (select distinct item_id, {_PLAIN} as w from benchmark),
+i as (select distinct item_id, len(v) as n, array_to_string(v, ' ') as k from (select item_id, w[s:s + 9] as v from (select *, unnest(range(1, greatest(len(w) - 8, 2))) as s from b where len(w) > 0))),
+k as (select r, s, n, array_to_string(w[s:s + n - 1], ' ') as k from (select *, unnest(range(1, len(w) - n + 2)) as s from d, (select distinct n from i) where len(w) >= n)),
+h as (select r, s, i.n, item_id from k join i on k.k = i.k and k.n = i.n),
+c as (select r, count(distinct p) as n_hit from (select r, unnest(range(s, s + n)) as p from h) group by r),
+j as (select r, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') as items from h group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join c using (r) left join j using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators whose whole result SQL can tell; the tests hold the others against plain versions."""
+    return {"op1_substring_dedup": _OP1, "op2_warc": _OP2, "op3_decontamination": _OP3}
