@@ -53,7 +53,8 @@ def _accents() -> tuple[str, str]:
 
 def fold(text: Column) -> Column:
     """Lower case without accents; null is empty."""
-    return F.lower(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), *_accents()), r"\p{Mn}", ""))
+    plain = lambda t: F.lower(F.regexp_replace(F.translate(t, *_accents()), r"\p{Mn}", ""))
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), plain(t)).otherwise(F.lower(t)))
 
 
 def fold_python(text: str) -> str:
