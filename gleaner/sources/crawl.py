@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 
 
 
-@F.pandas_udf("string")
 def _plain(content: pd.Series) -> pd.Series:
     """Bytes as text; gzip is known by its first bytes."""
     return content.map(lambda b: None if b is None else (gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b).decode("utf-8", "replace"))
@@ -19,7 +18,7 @@ def _plain(content: pd.Series) -> pd.Series:
 
 def sitemap_text(files: DataFrame, content: str = "content") -> DataFrame:
     """files (as of the binaryFile source) with ``xml``."""
-    return files.withColumn("xml", _plain(content))
+    return files.withColumn("xml", F.pandas_udf(_plain, "string")(content))
 
 
 def sitemap_urls(maps: DataFrame, xml: str = "xml") -> DataFrame:
