@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from gleaner.llm import decontaminate, jaccard_join, packing, quality, secrets
 from gleaner.llm._spark import shared_dir, without
 
+#: Words of a shingle and least similarity in per cent of the near-duplicate stage (operator 9's query has its own).
+STAGE_N, STAGE_PERCENT = 5, 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that score 0.5 or more."""
@@ -29,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of near duplicates the document with the smallest doc_id."""
-    return without(docs, jaccard_join.components(docs).filter("component_id != doc_id"))
+    return without(docs, jaccard_join.components(docs, n=STAGE_N, percent=STAGE_PERCENT).filter("component_id != doc_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

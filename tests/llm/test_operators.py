@@ -249,3 +249,12 @@ def test_pipeline(spark):
     # masks may make texts alike again, so only the original ones are held apart
     original = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert all(d == k for d, _, k in brute.components(sorted((i, original[i]) for i in text))) and len(pairs) == len(text)
+
+
+def test_near_duplicates_stage_joins_at_080(spark):
+    import corpus_pipeline as c
+
+    words = [f"w{k}" for k in range(300)]
+    texts = [words[:100], words[:120], words[150:250], words[150:276]]  # 96 of 116 shingles shared, then 96 of 122
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert rows(c.near_duplicates_stage(spark, table, SF), "doc_id") == [(0,), (2,), (3,)]
