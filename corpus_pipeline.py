@@ -4,7 +4,8 @@ are masked, and what is left is packed into sequences.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns the rows that
 the next one reads, written as Parquet in between. All but the last return the columns of docs.
-Rows are told apart by doc_id and text; null texts have no words, so they are judged by their
+Rows are told apart by doc_id and text (of rows that repeat both and have words, the near-duplicate
+stage keeps one); null texts have no words, so they are judged by their
 size alone, are nobody's copy, and are packed as an end token.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontaminate, jaccard_join, packing, quality, secrets
-from gleaner.llm._spark import shared_dir, without
+from gleaner.llm._spark import cut, shared_dir, without
 
 #: Words of a shingle and least similarity in per cent of the near-duplicate stage (operator 9's query has its own).
 STAGE_N, STAGE_PERCENT = 5, 80
@@ -31,8 +32,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near duplicates the document with the smallest doc_id."""
-    return without(docs, jaccard_join.components(docs, n=STAGE_N, percent=STAGE_PERCENT).filter("component_id != doc_id"))
+    """Keeps of each component of near duplicates one document: the least by doc_id (null last), text hash and columns."""
+    known = jaccard_join.labelled(docs, n=STAGE_N, percent=STAGE_PERCENT).filter("label is not null")
+    each = cut(known.groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")))
+    least = each.groupBy(F.col("label").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("least"))
+    each = each.join(least, F.col("label") == F.col("of")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("least.id")) & (F.col("text_hash") == F.col("least.hash")))
+    kept, again = without(docs, each.filter("not stays")), cut(each.filter("stays and rows > 1").select("doc_id", "text_hash"))
+    if again.isEmpty():
+        return kept
+    # rows that repeat both doc_id and text, one of each
+    again = again.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text"))
+    repeated = kept.join(again, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("of_text")), "left_semi")
+    one = repeated.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return without(kept, again.select(F.col("of").alias("doc_id"), F.col("of_text").alias("text_hash"))).unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

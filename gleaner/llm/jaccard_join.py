@@ -15,8 +15,8 @@ texts is lost to the components, and no group is expanded into all pairs.
 
 Defined cases: a text with fewer than ``n`` words is one shingle; null, empty or wordless texts
 have none and are linked with nothing; rows that repeat a doc_id are documents of their own; a
-null doc_id counts after all others as component id; an empty table gives an empty result;
-further columns are ignored.
+null doc_id counts after all others as component id and is linked like any other; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -280,7 +280,7 @@ def _join_block(n: int, percent: int):
         nodes, groups = table["node"].to_numpy(), table["group"].to_numpy()
         own = {}
         for k, s in enumerate(sets):
-            if _node(s) == nodes[k]:  # else another row of the same doc_id
+            if _node(s) == nodes[k]:  # else another text of the same hash
                 own.setdefault(groups[k], {})[nodes[k]] = s
         edges = [(list(held)[x], list(held)[y]) for held in own.values() if len(held) > 1 for x, y in tree_join(list(held.values()), percent)]
         a, b = zip(*edges) if edges else ((), ())
@@ -318,30 +318,41 @@ def _blocks(nodes: DataFrame, percent: int, spread: int) -> DataFrame:
 def links(docs: DataFrame, known: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """a, b: a forest over the nodes (classes of equal sets) with the components of all similar pairs."""
     spark = docs.sparkSession
-    first = cut(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity")))
+    # of each node one text, named by doc_id (null last) and text_hash, and how many rows have both
+    each = known.groupBy("node", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"), F.first("parity").alias("parity"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "rows")).alias("one")
+    first = cut(each.groupBy("node").agg(one, F.first("parity").alias("parity")).select("node", F.col("one.doc_id").alias("of"), F.col("one.text_hash").alias("of_text"), "one.rows", "parity"))
     near = cut(candidates(docs, first, n, percent))
     first = first.drop("parity")
     labels = connected(near)
     sizes = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("an").alias("n")), F.struct(F.col("b").alias("node"), F.col("bn").alias("n")))).alias("x")).select("x.node", "x.n").distinct()
     nodes = cut(sizes.join(labels, "node"))
-    total = nodes.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles")).first()
+    named = nodes.select("node", "n").join(first, "node")
+    total = named.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("shingles"), F.max("rows").alias("rows")).first()
     spread = max(2 * partitions(spark), -(-(total.shingles or 0) // BLOCK_SHINGLES))
-    blocks = _blocks(nodes, percent, spread).join(first, "node")
+    blocks = _blocks(nodes, percent, spread).join(first.drop("rows"), "node")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_text"))
     if total.n <= BROADCAST_ROWS:
-        texts = docs.join(F.broadcast(nodes.select("node").join(first, "node").select("doc_id").distinct()), "doc_id")
-    else:
-        texts = docs
-    return blocks.join(texts, "doc_id").groupBy("block").applyInArrow(_join_block(n, percent), "a long, b long")
+        texts = texts.join(F.broadcast(named.select("of", "of_text").distinct()), same, "left_semi")
+    if (total.rows or 0) > 1:  # rows that repeat both doc_id and text
+        texts = texts.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+    return blocks.join(texts, same).select("block", "node", "group", "text").groupBy("block").applyInArrow(_join_block(n, percent), "a long, b long")
 
 
-def components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_hash."""
+def labelled(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), text_hash, label (a number of the component, null without shingles)."""
     docs = pick(docs, doc_id="long", text="string")
     known = cut(classes(docs, n))
     full = known.filter("n_shingles > 0")
     labels = connected(cut(links(docs, full, n, percent)))
     first = full.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = first.groupBy("label").agg(F.min("first").alias("component_id")).select((F.col("label") + F.lit(0).cast("long")).alias("of"), "component_id")
-    named = first.join(least, F.col("label") == F.col("of")).select((F.col("node") + F.lit(0).cast("long")).alias("class"), "component_id")
+    named = first.join(least, F.col("label") == F.col("of")).select((F.col("node") + F.lit(0).cast("long")).alias("class"), "component_id", "label")
     out = known.join(named, (F.col("node") == F.col("class")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "label")
+
+
+def components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """labelled() without the label."""
+    return labelled(docs, n, percent).drop("label")

@@ -156,7 +156,7 @@ def _send_windows(window: int, buckets: int):
         rows = np.zeros(len(at), _PLACE)
         rows["a"], rows["b"] = b.named(at)
         rows["doc"], rows["nth"] = b.ids[b.of[at]], b.nth[at]
-        rows = rows[np.lexsort([rows["b"], rows["a"]])]  # stable: the earliest of each name stays first
+        rows = rows[np.lexsort([rows["nth"], rows["doc"], rows["b"], rows["a"]])]  # the earliest of each name first
         new = np.ones(len(rows), bool)
         new[1:] = (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])
         rows = rows[new]
@@ -190,7 +190,7 @@ def _remove(window: int):
         if len(at):
             names = np.zeros(len(at), _NAME)
             names["a"], names["b"] = b.named(at)
-            order = np.lexsort([names["b"], names["a"]])
+            order = np.lexsort([b.nth[at], b.ids[b.of[at]], names["b"], names["a"]])
             names, at = names[order], at[order]
             new = np.ones(len(at), bool)
             new[1:] = (names["a"][1:] != names["a"][:-1]) | (names["b"][1:] != names["b"][:-1])

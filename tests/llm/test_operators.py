@@ -258,3 +258,26 @@ def test_near_duplicates_stage_joins_at_080(spark):
     texts = [words[:100], words[:120], words[150:250], words[150:276]]  # 96 of 116 shingles shared, then 96 of 122
     table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     assert rows(c.near_duplicates_stage(spark, table, SF), "doc_id") == [(0,), (2,), (3,)]
+
+
+def test_null_and_repeated_ids_are_linked(spark):
+    import corpus_pipeline as c
+
+    words = [f"w{k}" for k in range(400)]
+    far, alike = " ".join(words[300:360]), [" ".join(words[:100] + [f"x{k}"] + words[100:106]) for k in range(3)]
+    table = [(None, alike[0]), (None, alike[0]), (None, alike[1]), (7, alike[2]), (7, far), (7, far), (None, far + " x"), (8, far), (None, None), (None, "uno"), (None, "uno"), (9, "")]
+    table += [(20, " ".join(words[110:210])), (None, " ".join(words[110:202])), (None, " ".join(words[110:195])), (None, " ".join(words[370:390])), (None, " ".join(words[370:391]))]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.component_id) for r in jaccard_join.components(docs).collect())
+    assert got == {(None, 7): 4, (7, 7): 3, (8, 7): 1, (None, None): 5, (9, 9): 1, (20, 20): 1, (None, 20): 2}
+    kept = collections.Counter(tuple(r) for r in c.near_duplicates_stage(spark, docs, SF).collect())
+    last = min((r for r in table[-2:]), key=lambda r: spark.range(1).select(F.xxhash64(F.lit(r[1]))).first()[0])
+    assert kept == collections.Counter([table[3], (7, far), (None, None), (None, "uno"), (9, ""), table[12], last])
+
+
+def test_substring_dedup_of_repeated_ids(spark):
+    words = [f"w{k}" for k in range(80)]
+    table = [(1, " ".join(words[40:55] + words[:25])), (1, " ".join(words[:25])), (1, " ".join(words[60:70] + words[:25])), (2, " ".join(words[3:25])), (0, None)]
+    for order in (table, table[::-1], table[1:] + table[:1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        assert rows(substring_dedup.kept_digests(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.kept(table)
