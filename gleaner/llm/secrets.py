@@ -3,9 +3,11 @@
 Base patterns name three kinds of secrets. Beyond them, every long token of mixed characters is
 tested: its encoding is inferred from its characters; a chi-squared test holds its characters
 against a uniform alphabet, a runs test and a lag-1 serial correlation hold their order against
-chance (a token goes if any of these is below ``LEAST_P``), and the number of equal character
-pairs is held against ordinary text. The last gives the p-value of being ordinary; discoveries are
-controlled at a false discovery rate per encoding, with weights in proportion to length. The
+chance (a token goes if any of these is below ``LEAST_P``). The number of equal character pairs,
+and the likelihood of its letters and of its changes between lower case, upper case and digits, are
+held against ordinary text: the less of both, doubled, is the p-value of being ordinary (the inverse
+of a likelihood ratio is one, by Markov's inequality). Discoveries are controlled at a false
+discovery rate per encoding, with weights in proportion to length up to ``WEIGHED`` characters. The
 counts for that come from a histogram of p-values, which has a bounded number of rows.
 
 Finds are located natively: a text is split at the pattern and the lengths of the pieces and of
@@ -32,16 +34,28 @@ PATTERNS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: Tokens that are tested: maximal runs of these characters, of LEAST to MOST characters.
+#: Tokens that are tested: maximal runs of these characters, of LEAST characters or more.
 TOKEN = r"[A-Za-z0-9+/_=-]"
-LEAST, MOST = 20, 4096
+LEAST = 20
+#: Longer tokens weigh as much as those of this length, so that one very long token takes no weight from all others.
+WEIGHED = 64
 #: Least p-value of each test of randomness, and the false discovery rate.
 LEAST_P, RATE = 0.001, 0.001
 #: Share of equal pairs of characters in ordinary text of an encoding.
-ORDINARY = {"hex": 0.12, "base32": 0.07, "base64": 0.06}
-_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
-ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base64": _BASE64}
-_SIZES = {"hex": 16, "base32": 36, "base64": 62}
+ORDINARY = {"hex": 0.12, "base32": 0.07, "base32hex": 0.07, "base36": 0.07, "base62": 0.06, "base64": 0.06}
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BASE64 = _LETTERS + _LETTERS.lower() + "0123456789+/"
+ALPHABETS = {"hex": "0123456789ABCDEF", "base32": _LETTERS + "234567", "base32hex": "0123456789" + _LETTERS[:22], "base36": _LETTERS + "0123456789", "base62": _BASE64, "base64": _BASE64}
+_SIZES = {"hex": 16, "base32": 32, "base32hex": 32, "base36": 36, "base62": 62, "base64": 64}
+#: Per mille of A to Z in ordinary text of the four languages, and the share that is taken as even.
+_PER_MILLE = (80, 14, 32, 43, 145, 14, 16, 34, 74, 4, 6, 44, 28, 79, 56, 21, 7, 67, 73, 72, 43, 13, 11, 3, 9, 7)
+_EVEN = 0.1
+_USUAL = [(1 - _EVEN) * x / sum(_PER_MILLE) + _EVEN / 26 for x in _PER_MILLE]
+#: Share of changes between neighbours that are lower case, upper case or digits: in ordinary tokens, and at random.
+ORDINARY_CHANGES = {"hex": 0.12, "base32": 0.12, "base32hex": 0.12, "base36": 0.12, "base62": 0.25, "base64": 0.25}
+_CHANGES = {k: 1 - sum((sum(map(c, v[:62])) / min(len(v), 62)) ** 2 for c in (str.islower, str.isupper, str.isdigit)) for k, v in ALPHABETS.items()}
+#: Log of the mean share that a letter of an encoding has in ordinary text.
+_LETTER_MEAN = {k: math.log(sum(u for u, x in zip(_USUAL, _LETTERS) if x in v) / sum(x in v for x in _LETTERS)) for k, v in ALPHABETS.items()}
 
 
 def _upper_tail(z: Column) -> Column:
@@ -70,24 +84,31 @@ def finds(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     enough = F.lit(False)
     for rank, (_, _, _, least) in enumerate(PATTERNS):
         enough |= (F.col("rank") == rank) & (F.char_length("value") >= least)
-    random = (F.col("rank") == len(PATTERNS)) & (F.char_length("value") <= MOST)
+    random = F.col("rank") == len(PATTERNS)
     return cut(placed.filter(F.col("kind").isNull() | F.col("size").isNotNull() & (enough | random)).drop("i", "gap", "size"))
 
 
 def battery(tokens: DataFrame) -> DataFrame:
     """tokens (value and more) of a known encoding that pass the tests of randomness, with encoding, size and p (of being ordinary)."""
     value = F.col("value")
+    some, upper = value.rlike("[0-9].*[0-9]"), F.upper("value")
+    one_case = (value.rlike("^[A-Z0-9]+=*$") & value.rlike("[A-Z]") | value.rlike("^[a-z0-9]+=*$") & value.rlike("[a-z]")) & some
     encoding = (
         F.when(value.rlike("^[0-9a-f]+$|^[0-9A-F]+$") & value.rlike("[0-9]") & value.rlike("[A-Fa-f]"), "hex")
-        .when(value.rlike("^[A-Z0-9]+=*$") & value.rlike("[0-9].*[0-9]") & value.rlike("[A-Z]"), "base32")
-        .when(value.rlike("[0-9].*[0-9]") & value.rlike("[A-Z].*[A-Z]") & value.rlike("[a-z].*[a-z]"), "base64")
+        .when(one_case & upper.rlike("^[A-Z2-7]+=*$"), "base32")
+        .when(one_case & upper.rlike("^[0-9A-V]+=*$"), "base32hex")
+        .when(one_case, "base36")
+        .when(some & value.rlike("[A-Z].*[A-Z]") & value.rlike("[a-z].*[a-z]"), F.when(value.rlike("[+/_-]"), "base64").otherwise("base62"))
     )
-    bare = F.regexp_replace(F.when(F.col("encoding") == "hex", F.lower("value")).otherwise(F.col("value")), "=+$", "")
+    wide = F.col("encoding").isin("base62", "base64")
+    bare = F.regexp_replace(F.when(wide, F.translate("value", "-_", "+/")).otherwise(upper), "=+$", "")
     df = tokens.withColumn("encoding", encoding).filter("encoding is not null").withColumn("bare", bare)
     named = lambda of: F.element_at(F.create_map(*(x for k, v in of.items() for x in (F.lit(k), F.lit(v)))), F.col("encoding"))
     df = df.withColumn("alphabet", named(ALPHABETS)).withColumn("k", named(_SIZES).cast("double")).withColumn("usual", named(ORDINARY))
-    codes = F.transform(F.sequence(F.lit(1), F.char_length("bare")), lambda i: F.position(F.substring(F.col("bare"), i, F.lit(1)), F.col("alphabet")).cast("double"))
-    df = df.filter(F.char_length("bare") >= LEAST).select("*", F.explode(F.array(codes)).alias("codes"))
+    df = df.withColumns({"random_changes": named(_CHANGES), "usual_changes": named(ORDINARY_CHANGES), "letter_mean": named(_LETTER_MEAN)})
+    df = df.filter(F.char_length("bare") >= LEAST).select("*", F.explode(F.array(F.filter(F.split("bare", ""), lambda x: x != ""))).alias("chars"))
+    codes = F.transform("chars", lambda x: F.position(x, F.col("alphabet")).cast("double"))
+    df = df.select("*", F.explode(F.array(codes)).alias("codes"))
     n = F.size("codes").cast("double")
     total = lambda column, f: F.aggregate(column, F.lit(0.0), lambda a, x: a + f(x))
     squares = F.aggregate(F.array_distinct("codes"), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter("codes", lambda x: x == c)).cast("double"), F.lit(2.0)))
@@ -96,9 +117,16 @@ def battery(tokens: DataFrame) -> DataFrame:
     middle = (F.col("k") + 1) / 2
     highs = total("codes", lambda x: F.when(x > middle, 1.0).otherwise(0.0))
     turns = F.aggregate(F.sequence(F.lit(1), F.size("codes") - 1), F.lit(1.0), lambda a, i: a + F.when((F.get("codes", i) > middle) != (F.get("codes", i - 1) > middle), 1.0).otherwise(0.0))
+    # log of the likelihood at random over that in ordinary text, of letters and of changes
+    rare = F.array(*(F.lit(-math.log(u)) for u in _USUAL))
+    letters = total("chars", lambda x: F.coalesce(F.get(rare, F.position(F.upper(x), F.lit(_LETTERS)) - 1) + F.col("letter_mean"), F.lit(0.0)))
+    kind = lambda x: F.when(x.between("a", "z"), 1).when(x.between("A", "Z"), 2).when(x.between("0", "9"), 3)
+    change, stay = F.log(F.col("random_changes") / F.col("usual_changes")), F.log((1 - F.col("random_changes")) / (1 - F.col("usual_changes")))
+    step = lambda i: F.coalesce(F.when(kind(F.get("chars", i)) != kind(F.get("chars", i - 1)), change).when(kind(F.get("chars", i)) == kind(F.get("chars", i - 1)), stay), F.lit(0.0))
+    changes = F.aggregate(F.sequence(F.lit(1), F.size("chars") - 1), F.lit(0.0), lambda a, i: a + step(i))
     spread = total("codes", lambda x: (x - F.col("mean")) * (x - F.col("mean")))
     lagged = F.aggregate(F.sequence(F.lit(1), F.size("codes") - 1), F.lit(0.0), lambda a, i: a + (F.get("codes", i) - F.col("mean")) * (F.get("codes", i - 1) - F.col("mean")))
-    df = df.select("*", F.explode(F.array(F.struct(highs.alias("highs"), turns.alias("runs"), spread.alias("spread"), lagged.alias("lagged")))).alias("t"))
+    df = df.select("*", F.explode(F.array(F.struct(highs.alias("highs"), turns.alias("runs"), spread.alias("spread"), lagged.alias("lagged"), (letters + changes).alias("ratio")))).alias("t"))
     df = df.select("*", "t.*")
     n, k = F.col("n"), F.col("k")
     chi = k * F.col("squares") / n - n
@@ -111,15 +139,17 @@ def battery(tokens: DataFrame) -> DataFrame:
     pairs, equal = n * (n - 1) / 2, (F.col("squares") - n) / 2
     usual = F.col("usual")
     ordinary = _upper_tail((pairs * usual - equal) / F.sqrt(pairs * usual * (1 - usual)))
+    ordinary = F.least(2 * F.least(ordinary, F.exp(-F.col("ratio"))), F.lit(1.0))
     df = df.withColumns({"p": ordinary, "uniform": uniform, "run": runs, "serial": serial, "size": n})
     return df.filter(f"uniform >= {LEAST_P} and run >= {LEAST_P} and serial >= {LEAST_P}").select(*tokens.columns, "encoding", "size", "p")
 
 
 def discoveries(tested: DataFrame, rate: float = RATE) -> DataFrame:
     """The tested tokens that are found at the false discovery rate, by weights in proportion to length."""
-    means = tested.groupBy("encoding").agg(F.avg("size").alias("usual_size"), F.count(F.lit(1)).alias("tests"))
+    weight = F.least("size", F.lit(float(WEIGHED)))
+    means = tested.groupBy("encoding").agg(F.avg(weight).alias("usual_size"), F.count(F.lit(1)).alias("tests"))
     weighed = tested.join(F.broadcast(means), "encoding")  # one row an encoding
-    level = F.floor(-10 * F.log10(F.greatest(F.col("p") * F.col("usual_size") / F.col("size"), F.lit(1e-30))))
+    level = F.floor(-10 * F.log10(F.greatest(F.col("p") * F.col("usual_size") / weight, F.lit(1e-30))))
     weighed = weighed.withColumn("level", F.greatest(level, F.lit(0)))
     counts = weighed.groupBy("encoding", "tests", "level").agg(F.count(F.lit(1)).alias("n"))  # at most 301 rows an encoding
     upto = Window.partitionBy("encoding").orderBy(F.desc("level"))

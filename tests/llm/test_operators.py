@@ -281,3 +281,19 @@ def test_substring_dedup_of_repeated_ids(spark):
     for order in (table, table[::-1], table[1:] + table[:1]):
         docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
         assert rows(substring_dedup.kept_digests(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.kept(table)
+
+
+def test_secret_scan_of_any_length_and_case(spark):
+    r = random.Random(8)
+    alphabets = {"base64": secrets._BASE64, "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base32": "abcdefghijklmnopqrstuvwxyz234567"}
+    plain = ["Report-2024-FinalVersion-v12", "thisIsALongMethodName2ForTests3", "covid19vaccine2021report", "internationalization18n2", "Abc123" * 1000]
+    table, sizes = [(k, f"see {x} there") for k, x in enumerate(plain)], {}
+    for kind, alphabet in alphabets.items():
+        for size in (20, 32, 5000):
+            for _ in range(20):
+                sizes[len(table)] = (kind, size)
+                table.append((len(table), "x " + "".join(r.choice(alphabet) for _ in range(size)) + " y"))
+    found = {x.doc_id: x.spans for x in secrets.scan(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    caught = collections.Counter(k for i, k in sizes.items() if found[i] == f"random:2:{2 + k[1]}")
+    assert all(caught[k] >= least for k in set(sizes.values()) for least in [{20: 4, 32: 14, 5000: 18}[k[1]]]), caught
+    assert not any(found[k] for k in range(len(plain)))
