@@ -193,6 +193,16 @@ def illegible(spark, d):
     return table(spark, d, "documents").select("doc_id", documents.illegible(F.expr(_BROKEN)).alias("roto"))
 
 
+_WHOLE = _BROKEN.replace("substr(text, 1, 60)", "coalesce(text, '')")
+_SHOWN = f"trim({_WHOLE}, ' ')"
+
+
+@register("illegible_whole", rf"select doc_id, length({_SHOWN}) < 12 or regexp_matches({_SHOWN}, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}][¡¿]') or length(regexp_replace({_SHOWN}, '[^\p{{L}}\s\p{{Z}}\x0B\x{{85}}]', '', 'g')) / greatest(length({_SHOWN}), 1) < 0.8 as roto from documents")
+def illegible_whole(spark, d):
+    """As illegible, over whole texts."""
+    return table(spark, d, "documents").select("doc_id", documents.illegible(F.expr(_WHOLE)).alias("roto"))
+
+
 @register("document_duties", "select cast(o_orderkey as varchar) as url, concat('Elaborar informes tecnicos del area ', o_custkey, ' de la entidad', case when o_orderkey % 2 = 0 then '|Coordinar las compras de la oficina central' else '' end) as funciones from orders where o_orderkey % 5 <> 0")
 def document_duties(spark, d):
     k = F.col("o_orderkey")

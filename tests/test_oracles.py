@@ -23,3 +23,11 @@ def test_entry_points_import_without_llm():
     import __spark_entry__ as e
 
     assert set(registry.queries()) <= set(e.queries())
+
+
+def test_illegible_whole_sees_the_end_of_long_texts(spark, tmp_path):
+    plain = "palabra " * 200
+    texts = [(2, plain + "fin"), (2, plain + "f¡in"), (2, plain + "12345 " * 200), (3, None), (3, "á" * 11)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.roto for r in registry.queries()["illegible_whole"](spark, str(tmp_path)).collect()]
+    assert got == [False, True, True, True, True]
