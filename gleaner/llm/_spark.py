@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only a session without one gets its own (local tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a local session without one gets its own (as in tests), a cluster must tell one."""
     sc = spark.sparkContext
     told = sc._jsc.sc().getCheckpointDir()
     if told.isDefined():
         return told.get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    where = where or tempfile.mkdtemp(prefix="spark-shared-")
     sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -38,13 +41,27 @@ def pick(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*(F.col(k).cast(kind).alias(k) for k, kind in columns.items()))
 
 
-#: Rows of two numbers that may be broadcast; more are joined by shuffle.
+#: Small rows that may be broadcast, once counted; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has no more than so many rows; df is counted, so it should be cut before."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of docs has it."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose (doc_id, xxhash64 of text) is among ``gone`` (doc_id, text_hash)."""
-    gone = cut(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text")).distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_text")), "left_anti")
+    of, of_text = free(docs, "gone_id", "gone_text")
+    gone = small(cut(gone.select(F.col("doc_id").alias(of), F.col("text_hash").alias(of_text)).distinct()))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(of_text)), "left_anti")

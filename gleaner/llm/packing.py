@@ -97,8 +97,32 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [p for same in left.values() for p in same]
 
 
-def _fillings(gap: int, lengths: list[int], counts: dict[int, int], tries: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of the gap, least waste first: large pieces come first, a full one ends the search."""
+def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the pieces of filling b can be dealt onto those of a, none over its piece: then a is at least as good.
+
+    Fillings of many small pieces are not compared; they are only branched on once more than needed."""
+    if sum(b) > sum(a) or len(b) > 10:
+        return False
+    room = list(a)
+
+    def deal(k: int) -> bool:
+        if k == len(b):
+            return True
+        for i in range(len(room)):
+            if room[i] >= b[k] and room[i] not in room[:i]:
+                room[i] -= b[k]
+                if deal(k + 1):
+                    return True
+                room[i] += b[k]
+        return False
+
+    return deal(0)
+
+
+def _fillings(gap: int, lengths: list[int], counts: dict[int, int], tries: int, branches: int | None = BRANCHES) -> list[tuple[int, ...]]:
+    """Undominated fillings of the gap, least waste first; large pieces come first.
+
+    With ``branches``, a full one ends the search and so many are given; without, all are."""
     found: list[tuple[int, tuple[int, ...]]] = []
     left = [tries]
 
@@ -106,33 +130,38 @@ def _fillings(gap: int, lengths: list[int], counts: dict[int, int], tries: int)
         left[0] -= 1
         if counts.get(room, 0) > used.count(room) and (not used or room <= used[-1]):
             found.append((0, (*used, room)))
-            return True
+            if branches is not None or not used:  # one piece that fills the gap dominates all else
+                return True
         fits = False
         for i in range(at, len(lengths)):
             x = lengths[i]
             if x <= room and used.count(x) < counts[x]:
                 fits = True
-                if search(room - x, i, (*used, x)) or left[0] <= 0:
+                if x < room and search(room - x, i, (*used, x)) or branches is not None and left[0] <= 0:
                     return True
         if not fits:
             found.append((room, used))
-            if len(found) > 4 * BRANCHES:
-                found[:] = sorted(found, key=lambda f: f[0])[:BRANCHES]
+            if branches is not None and len(found) > 4 * branches:
+                found[:] = sorted(found, key=lambda f: f[0])[:branches]
         return False
 
     search(gap, 0, ())
-    return [used for _, used in sorted(found, key=lambda f: f[0])[:BRANCHES]] or [()]
+    every = [used for _, used in sorted(found, key=lambda f: f[0])]
+    best = [b for k, b in enumerate(every) if not any(_dominates(a, b) for j, a in enumerate(every) if j != k)]
+    return best[:branches] or [()]
 
 
-def complete(counts: dict[int, int], capacity: int, most: int, tries: int = FILLINGS, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]] | None:
+def complete(counts: dict[int, int], capacity: int, most: int, tries: int = FILLINGS, nodes: int = NODES, exact: bool = False) -> list[tuple[tuple[int, ...], int]] | None:
     """Bin completion: the plan with fewest sequences found, fewer than ``most``, or None.
 
     Branches are the fillings around the largest piece left; one ends when its waste is more than
-    a better plan could have, and all end at the lower bound or after so many nodes."""
+    a better plan could have, and all end at the lower bound or after so many nodes. The exact
+    search tries every undominated filling, one sequence at a time, without such an end: it is for
+    few pieces, as its time is not bounded."""
     total, least = sum(x * n for x, n in counts.items()), lower_bound(counts, capacity)
     best = None
     stack = [(dict(counts), (), 0, None)]
-    while stack and nodes and most > least:
+    while stack and (nodes or exact) and most > least:
         left, held, times, above = stack.pop()
         nodes -= 1
         waste, size = (above[1], above[2]) if above else (0, 0)
@@ -151,9 +180,9 @@ def complete(counts: dict[int, int], capacity: int, most: int, tries: int = FILL
             continue
         x = max(left)
         rest = left | {x: left[x] - 1}
-        for fill in reversed(_fillings(capacity - x, sorted((y for y in rest if y <= capacity - x and rest[y]), reverse=True), rest, tries)):
+        for fill in reversed(_fillings(capacity - x, sorted((y for y in rest if y <= capacity - x and rest[y]), reverse=True), rest, tries, None if exact else BRANCHES)):
             held = (x, *fill)
-            stack.append((left, held, min(left[y] // held.count(y) for y in set(held)), here))
+            stack.append((left, held, 1 if exact else min(left[y] // held.count(y) for y in set(held)), here))
     plan = []
     while best:
         if best[4]:
@@ -162,14 +191,20 @@ def complete(counts: dict[int, int], capacity: int, most: int, tries: int = FILL
     return plan or None
 
 
-def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+def packing_plan(counts: dict[int, int], capacity: int = CAPACITY, exact: bool = False) -> list[tuple[tuple[int, ...], int]]:
+    """The best plan found; with ``exact`` one that no plan has fewer sequences than."""
     plan = best_fit(counts, capacity)
     size = sum(n for _, n in plan)
     if size > lower_bound(counts, capacity):
-        plan = complete(counts, capacity, size) or plan
+        plan = complete(counts, capacity, size, exact=exact) or plan
     return plan
 
 
+def gap(plan: list[tuple[tuple[int, ...], int]], counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """How many sequences the plan has beyond the lower bound: 0 proves that none has fewer."""
+    return sum(n for _, n in plan) - lower_bound(counts, capacity)
+
+
 def _places(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
     """length, first and last rank + 1, sequences, the first's id, offset: equal lengths lie side by side."""
     rows, ranked, first = [], {}, 0

@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._spark import pick
+from ._spark import cut, pick
 
 #: Ranks of the vocabulary ``byte_bpe_50k.json``: the same ids, encoded several times faster.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The token that ``byte_bpe_50k.json`` adds to its ranks; its string is that one id wherever it stands in a text.
+ADDED = {"<|endoftext|>": 50256}
 #: Width of the ranges of lengths that are summed apart.
 RANGE = 1024
 
@@ -38,19 +40,19 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> array of ids, by the vocabulary file at ``path``; special tokens' strings are ordinary text."""
+    """text -> array of ids, by the vocabulary file at ``path``, as its ``tokenizers`` file gives them: added tokens' strings are their ids."""
     if path.endswith(".tiktoken"):
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: own.encode_to_numpy(text, disallowed_special=())
+        own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+        plain, special = (lambda text: own.encode_to_numpy(text, disallowed_special=())), set(ADDED)
+        return lambda text: own.encode_to_numpy(text, allowed_special=special) if any(x in text for x in special) else plain(text)
     from tokenizers import Tokenizer
 
     file = Tokenizer.from_file(path)
-    file.encode_special_tokens = True
     return lambda text: np.array(file.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -68,8 +70,8 @@ def encoded_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
-    """n_tokens, n_docs: how many documents have each encoded length."""
-    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    """n_tokens, n_docs: how many documents have each encoded length; kept, so that texts are encoded once for all answers."""
+    return cut(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 def by_limit(histogram: DataFrame) -> DataFrame:
