@@ -6,7 +6,7 @@ all documents are indexed, every rolling window of block length probes that inde
 is extended to the windows around it; windows that are equal to an earlier one join to maximal
 repeated spans, whose words are removed.
 
-On Spark: documents are dealt into batches by a hash of their id. A batch sends each distinct
+On Spark: documents are dealt into batches by a hash of their id and text. A batch sends each distinct
 rolling-block hash once (with marks "stands at a block's place" and "more than once here"),
 packed by hash range; a range's task answers which hashes are anchors. Batches then send the
 96-bit hashes of the windows around their hits, again once each, with the earliest place; the
@@ -33,8 +33,8 @@ from ._spark import partitions, pick, text_bytes
 from ._words import Words, U, spread
 
 WINDOW = 20
-#: Bytes of text in a batch: what one task holds at once.
-BATCH_BYTES = 4 << 20
+#: Bytes of text in a batch: what one task holds at once; and bytes of text for each range of hashes.
+BATCH_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
 _ALIGNED, _AGAIN = U(1), U(2)
 _NULL_ID = np.iinfo(np.int64).min
 
@@ -104,17 +104,17 @@ def _send_anchors(window: int, buckets: int):
         runs = _runs(keys >> U(2))
         some = np.bitwise_or.reduceat(keys, runs[:-1]) if len(keys) else keys
         some |= np.where(np.diff(runs) > 1, _AGAIN, U(0))
-        return _by_bucket(table["batch"][0].as_py(), some, some >> U(2), 46, buckets, lambda a, z: _planes(some[a:z], 6))
+        return _by_bucket(table["batch"][0].as_py(), some >> U(16), buckets, lambda a, z: _planes(some[a:z], 6))
 
     return send
 
 
-def _by_bucket(batch: int, rows: np.ndarray, order: np.ndarray, bits: int, buckets: int, packed) -> pa.Table:
-    """A row for each hash range that has some of the sorted rows."""
-    edge = np.array([(i << bits) // buckets for i in range(1, buckets)], dtype=U)
-    cut = np.concatenate([[0], np.searchsorted(order, edge), [len(rows)]])
-    full = np.flatnonzero(np.diff(cut))
-    return pa.table({"bucket": pa.array(full, pa.int64()), "batch": pa.array(np.full(len(full), batch), pa.int64()), "packed": pa.array([packed(cut[i], cut[i + 1]) for i in full], pa.binary())})
+def _by_bucket(batch: int, high: np.ndarray, buckets: int, packed) -> pa.Table:
+    """A row for each hash range that has some rows; high: the rows' sorted hashes, as numbers of 32 bits."""
+    bucket = (high * U(buckets)) >> U(32)
+    cut = _runs(bucket)
+    full = bucket[cut[:-1]].astype(np.int64)
+    return pa.table({"bucket": pa.array(full, pa.int64()), "batch": pa.array(np.full(len(full), batch), pa.int64()), "packed": pa.array([packed(a, z) for a, z in zip(cut[:-1], cut[1:])], pa.binary())})
 
 
 def _answers(bucket, batch: np.ndarray, keys: np.ndarray, packed) -> pa.Table:
@@ -150,7 +150,7 @@ _PLACE = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("nth", "<i4")])
 def _send_windows(window: int, buckets: int):
     def send(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows or not told.num_rows:
-            return _by_bucket(0, np.zeros(0, U), np.zeros(0, U), 64, buckets, bytes)
+            return _by_bucket(0, np.zeros(0, U), buckets, bytes)
         b = _Batch(docs, window)
         at = b.candidates(_hits(told))
         rows = np.zeros(len(at), _PLACE)
@@ -160,7 +160,7 @@ def _send_windows(window: int, buckets: int):
         new = np.ones(len(rows), bool)
         new[1:] = (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])
         rows = rows[new]
-        return _by_bucket(docs["batch"][0].as_py(), rows, rows["a"], 64, buckets, lambda x, z: rows[x:z].tobytes())
+        return _by_bucket(docs["batch"][0].as_py(), rows["a"] >> U(32), buckets, lambda x, z: rows[x:z].tobytes())
 
     return send
 
@@ -172,8 +172,10 @@ def _match_windows(table: pa.Table) -> pa.Table:
     rows = np.concatenate(parts)
     order = np.lexsort([rows["nth"], rows["doc"], rows["b"], rows["a"]])
     rows, batch = rows[order], batch[order]
-    later = np.zeros(len(rows), bool)
-    later[1:] = (rows["a"][1:] == rows["a"][:-1]) & (rows["b"][1:] == rows["b"][:-1])
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])
+    lead = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+    later = (rows["doc"] > lead["doc"]) | (rows["nth"] > lead["nth"])
     rows, batch = rows[later], batch[later]
     order = np.argsort(batch, kind="stable")
     named = np.zeros(len(rows), _NAME)
@@ -221,13 +223,15 @@ def _remove(window: int):
     return remove
 
 
-def kept_digests(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def kept_digests(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BATCH_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
     spark = docs.sparkSession
     docs = pick(docs, doc_id="long", text="string")
-    n = max(partitions(spark), -(-text_bytes(docs) // batch_bytes))
-    dealt = docs.withColumn("batch", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(n)), F.lit(0).cast("long")))
-    hits = dealt.groupBy("batch").applyInArrow(_send_anchors(window, n), _ANSWER).groupBy("bucket").applyInArrow(_match_anchors, _ANSWER)
-    earlier = dealt.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(_send_windows(window, n), _ANSWER).groupBy("bucket").applyInArrow(_match_windows, _ANSWER)
+    size = text_bytes(docs)
+    batches, ranges = (max(partitions(spark), -(-size // each)) for each in (batch_bytes, range_bytes))
+    # by text too: rows without an id, or with one that repeats, are spread like all others
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
+    hits = dealt.groupBy("batch").applyInArrow(_send_anchors(window, ranges), _ANSWER).groupBy("bucket").applyInArrow(_match_anchors, _ANSWER)
+    earlier = dealt.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(_send_windows(window, ranges), _ANSWER).groupBy("bucket").applyInArrow(_match_windows, _ANSWER)
     told = hits.withColumn("kind", F.lit(0)).unionByName(earlier.withColumn("kind", F.lit(1)))
     return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
