@@ -1,12 +1,15 @@
 """Operator 3: benchmark decontamination by a prefix-filtered set join, in DataFrame functions only.
 
-Every benchmark item gives windows of ``window`` words (one shorter window if it has fewer). Words
-are ordered by their frequency over all documents. As a window is only found where all of its
-words are, its prefix is its rarest word alone: documents are searched for these words in one
-pass, each find carries the words around it, and is joined with the windows of that prefix word.
-Bounds on length and place are checked, then the window is verified word by word. The benchmark
-is taken in blocks of at most ``BLOCK_WORDS`` prefix words, so what is broadcast is bounded;
-documents are neither shuffled nor joined, only their finds are grouped by row.
+Every benchmark item gives windows of ``window`` words (one shorter window if it has fewer). A
+window's set is its shingles of ``SHINGLE`` words (a shorter window is one shingle). All places of
+all documents where a benchmark shingle stands are found in one pass; shingles are ordered by how
+often that is. As a window is only found where all of its shingles are, its prefix is its rarest
+shingle alone: the places of that shingle are joined with the windows whose prefix it is, the
+bounds on place and length are checked, and what is left is verified word by word in the text.
+
+Spark joins the places by hashes of shingles: sides that are small, once counted, are broadcast,
+larger ones are shuffled and skewed keys split. Counts are made before their shuffle. Nothing of
+the benchmark or the documents but the kinds of shingle (at most ``SHINGLE``) goes to the driver.
 
 Defined cases: null or wordless documents and items have no words and no hits; rows that repeat
 a doc_id are each returned, rows that repeat an item_id are one item; a null item_id is the
@@ -16,17 +19,17 @@ columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, pick
+from ._spark import cut, pick, small
 
 WINDOW = 10
-#: Prefix words, and words counted, in one pass over the documents.
-BLOCK_WORDS = 50_000
+#: Words of a shingle.
+SHINGLE = 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased: for counting.
+WORD_OF_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,6 +42,15 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _shingles(w: Column, kinds: list[int]) -> Column:
+    """Array of (at, key) of the shingles of these numbers of words; at: from 0."""
+    each = []
+    for k in kinds:
+        starts = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
+        each.append(F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *(F.get(w, i + j) for j in range(k))).alias("key"))))  # noqa: B023
+    return F.concat(*each)
+
+
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """item, window (array of words): every window of every item."""
     items = once(pick(benchmark, item_id="string", text="string"), "w", words(F.col("text")))
@@ -48,51 +60,58 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return named.distinct()
 
 
-def word_counts(docs: DataFrame, wanted: list[str]) -> DataFrame:
-    """word, n: how often each wanted word stands in all documents."""
-    found = F.explode(F.filter("w", lambda x: x.isin(wanted)))
-    return once(docs, "w", words(F.col("text"))).select(found.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def window_shingles(windows: DataFrame) -> DataFrame:
+    """window, at, key: the shingles of each distinct window."""
+    each = [windows.filter(least).select("window", F.inline(_shingles(F.col("window"), [k]))) for k, least in [(k, F.size("window") == k) for k in range(1, SHINGLE)] + [(SHINGLE, F.size("window") >= SHINGLE)]]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def _blocks(items: list, size: int) -> list[list]:
-    return [items[k : k + size] for k in range(0, len(items), size)]
+def places(docs: DataFrame, keys: DataFrame, kinds: list[int]) -> DataFrame:
+    """doc_id, text_hash, n_words, at, key: where the shingles among ``keys`` stand in documents."""
+    rows = once(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), "w", words(F.col("text")))
+    each = rows.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.inline(_shingles(F.col("w"), kinds)))
+    return each.join(small(keys), "key", "left_semi")
 
 
-def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """windows with their rarest word and its place from 0."""
-    vocabulary = [r.word for r in windows.select(F.explode("window").alias("word")).distinct().collect()]
-    spark = docs.sparkSession
-    counts = [word_counts(docs, b) for b in _blocks(vocabulary, BLOCK_WORDS)]
-    n = reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "word string, n long")
-    each = windows.select("item", "window", F.posexplode("window").alias("at", "word")).join(n, "word", "left")
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "word")).alias("rarest")
-    return each.groupBy("item", "window").agg(rarest).select("item", "window", F.col("rarest.at").alias("place"), F.col("rarest.word").alias("prefix"))
+def _hits(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """of, of_text, hits: the (first, window) among those near that stand in the text word by word."""
+    asked = near.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")).agg(F.collect_set(F.struct("first", "window")).alias("asked"))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("of_text"))
+    rows = docs.select("doc_id", "text").join(small(cut(asked)), same)
+    one = rows.groupBy("of", "of_text").agg(F.first("text").alias("text"), F.first("asked").alias("asked"))  # rows of one id and text have equal hits
+    one = once(one, "w", words(F.col("text")))
+    stands = F.filter("asked", lambda h: F.slice("w", h["first"] + 1, F.size(h["window"])) == h["window"])
+    return one.select("of", "of_text", stands.alias("hits")).filter(F.size("hits") > 0)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of every row with n_words, n_hit, n_items, items_sha256, contaminated."""
-    docs = docs.select(*dict.fromkeys([*keep, "text"]))
-    windows = cut(prefixes(docs, item_windows(benchmark, window)))
-    wanted = sorted(r.prefix for r in windows.select("prefix").distinct().collect())
-    rows = once(docs.withColumn("row", F.monotonically_increasing_id()), "w", words(F.col("text")))
-    here = lambda b: F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.get("w", i - 1).isin(b))
-    start = lambda i: F.greatest(i - window + 1, F.lit(1))
-    none = F.array(F.struct(F.lit(0).alias("i"), F.lit("").alias("word"), F.array().cast("array<string>").alias("near")))
-    parts = []
-    for b in _blocks(wanted, BLOCK_WORDS) or [[]]:
-        around = F.transform(here(b), lambda i: F.struct(i.alias("i"), F.get("w", i - 1).alias("word"), F.slice("w", start(i), 2 * window - 1).alias("near")))
-        around = F.when(F.size("w") > 0, F.concat(none, around)).otherwise(none) if b else none
-        mine = F.broadcast(windows.filter(F.col("prefix").isin(b)).withColumn("size", F.size("window")))
-        found = rows.select("row", *keep, F.size("w").cast("long").alias("n_words"), F.inline(around)).join(mine, F.col("word") == F.col("prefix"), "left")
-        first = F.col("i") - F.col("place")
-        offset = first - start(F.col("i"))
-        inside = (first >= 1) & (offset >= 0) & (offset + F.col("size") <= F.size("near"))
-        equal = F.coalesce(F.when(inside, F.slice("near", offset + 1, F.col("size")) == F.col("window")), F.lit(False))
-        parts.append(found.withColumn("hit", F.when(equal, F.struct((first - 1).alias("first"), "size"))).withColumn("item", F.when(equal, F.col("item"))).filter("hit is not null or i = 0").select("row", *keep, "n_words", "hit", "item"))
-    by_row = reduce(DataFrame.unionByName, parts).groupBy("row").agg(*(F.first(c).alias(c) for c in (*keep, "n_words")), F.collect_set("hit").alias("hits"), F.collect_set("item").alias("items"))
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["first"], h["first"] + h["size"] - 1))))
-    out = by_row.withColumn("n_hit", F.size(covered).cast("long"))
-    return out.select(*keep, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    docs = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
+    items = cut(item_windows(benchmark, window))
+    shingles = cut(window_shingles(items.select("window").distinct()))
+    kinds = sorted(r.k for r in shingles.select(F.least(F.size("window"), F.lit(SHINGLE)).alias("k")).distinct().collect())  # at most SHINGLE rows
+    found = cut(places(docs, cut(shingles.select("key").distinct()), kinds or [SHINGLE]))
+    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    ranked = shingles.join(often, "key", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "key")).alias("rarest"))
+    # a window with a shingle that stands nowhere is nowhere
+    prefixes = ranked.filter("rarest.n > 0").select("window", F.size("window").alias("size"), F.col("rarest.at").alias("place"), F.col("rarest.key").alias("prefix"))
+    near = found.join(small(cut(prefixes)), F.col("key") == F.col("prefix")).withColumn("first", F.col("at") - F.col("place"))
+    hits = cut(_hits(docs, near.filter("first >= 0 and first + size <= n_words")))
+    windows = hits.select("of", "of_text", F.explode(F.array_distinct(F.transform("hits", lambda h: h["window"]))).alias("window"))
+    named = windows.join(small(items), "window").groupBy("of", "of_text").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["first"], h["first"] + F.size(h["window"]) - 1))))
+    measured = hits.select(F.col("of").alias("id"), F.col("of_text").alias("id_text"), F.size(covered).cast("long").alias("hit"))
+    told = measured.join(named, F.col("id").eqNullSafe(F.col("of")) & (F.col("id_text") == F.col("of_text")))
+    told = small(cut(told.select("of", "of_text", "hit", F.size("items").cast("long").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("sha"))))
+    rows = docs.join(told, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("of_text")), "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return rows.select(
+        *keep, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_OF_ANY_CASE)).cast("long").alias("n_words"), count("hit").alias("n_hit"), count("n").alias("n_items"),
+        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), (count("hit") > 0).alias("contaminated"),
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
