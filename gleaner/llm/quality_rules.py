@@ -1,11 +1,16 @@
 """Operator 4: quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each document gets base measures (exact) and ratios made from them. For every language and source
-a mergeable quantile sketch of each ratio gives its quartiles; a document is kept if no ratio lies
-beyond its group's fence, ``FENCE`` quartile distances outside the quartiles (and at least
-``SLACK`` of the measure). Sketches of groups with fewer than ``GROUP_ROWS`` documents are merged
-into their language's, and those of such languages into that of all. Documents that fail the base
-rules don't count for thresholds.
+a mergeable sketch of each ratio gives its quartiles; a document is kept if no ratio lies beyond
+its group's fence, ``FENCE`` times the distance from the median to the quartile on that side. That
+distance is taken to be no less than one count in a document of median size (a symbol, a letter, a
+line, a window found twice), below which a ratio can't be told; there are no fixed cutoffs.
+Documents that fail the base rules don't count for thresholds.
+
+The sketch is a histogram of logarithmic buckets, ``ACCURACY`` wide: it is deterministic, so
+verdicts don't change between runs, it has a bounded number of rows a group, and sketches merge by
+adding up. Groups with fewer than ``GROUP_ROWS`` documents take the merged sketch of their
+language, and those of such languages that of all.
 
 Repeated words are found per document without comparing all its windows: hashes of three-word
 windows, with their places in the low bits, are sorted as numbers, and only places whose hash
@@ -18,25 +23,31 @@ returned; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._spark import cut, pick
+from ._spark import cut, pick, small
 from .decontaminate import once
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]+"
-FENCE, GROUP_ROWS = 4.0, 100
+FENCE, GROUP_ROWS = 8.0, 100
 #: Base rules: least words, most words in repeated windows (per cent).
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Ratios, the side on which they are suspect, and the least distance of a fence from the median.
-SLACK = {
-    "symbol_share": ("high", 0.05),
-    "upper_share": ("high", 0.15),
-    "dup_line_share": ("high", 0.30),
-    "repeat_share": ("high", 0.30),
-    "word_length": ("both", 2.0),
+#: Ratios: the side on which they are suspect, what they are a share of, and the least count that changes them.
+RATIOS = {
+    "symbol_share": ("high", "word_chars", 1),
+    "upper_share": ("high", "word_chars", 1),
+    "dup_line_share": ("high", "n_lines", 1),
+    "repeat_share": ("high", "n_words", 6),
+    "word_length": ("both", "n_words", 1),
+    "mark_share": ("both", "n_words", 1),
 }
+#: Width of a bucket of the sketch, as a share of its value.
+ACCURACY = 0.01
 #: Bits of a sorted number that hold a place; longer documents are compared by words alone.
 PLACE_BITS = 24
 _PLACE = (1 << PLACE_BITS) - 1
@@ -79,6 +90,7 @@ def measures(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").alias("n_lines"),
         without("[A-Z]+").alias("n_upper"),
+        without("[.,;:!?]+").alias("n_marks"),
     )
     df = _repeated(df)
     return df.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
@@ -95,35 +107,59 @@ def _with_ratios(df: DataFrame) -> DataFrame:
         "dup_line_share": _share("n_dup_lines", "n_lines"),
         "repeat_share": _share("n_repeat_words", "n_words"),
         "word_length": _share("word_chars", "n_words"),
+        "mark_share": _share("n_marks", "n_words"),
     })
 
 
+def sketches(good: DataFrame, group: tuple[str, str]) -> DataFrame:
+    """key_1, key_2, measure, bucket, n: of each group, how many documents have a value in a bucket (null: 0)."""
+    named = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in (*RATIOS, *dict.fromkeys(of for _, of, _ in RATIOS.values()))))
+    each = good.select(F.col(group[0]).alias("key_1"), F.col(group[1]).alias("key_2"), F.inline(named))
+    bucket = F.when(F.col("x") > 0, F.round(F.log("x") / math.log1p(ACCURACY)).cast("int"))
+    return each.groupBy("key_1", "key_2", "measure", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def quartiles(held: DataFrame, *by: str) -> DataFrame:
+    """by, and for each measure m: m_1, m_2, m_3, from sketches that are merged by these columns."""
+    merged = held.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy(*by, "measure")  # as many rows as a sketch has buckets
+    ranked = merged.select("*", F.sum("n").over(of.orderBy(F.asc_nulls_first("bucket"))).alias("upto"), F.sum("n").over(of).alias("all"))
+    value = F.coalesce(F.exp(F.col("bucket") * math.log1p(ACCURACY)), F.lit(0.0))
+    at = lambda m, k: F.min(F.when((F.col("measure") == m) & (4 * F.col("upto") >= k * F.col("all")), value)).alias(f"{m}_{k}")
+    return ranked.groupBy(*by).agg(*(at(m, k) for m in (*RATIOS, *dict.fromkeys(of for _, of, _ in RATIOS.values())) for k in (1, 2, 3)))
+
+
 def thresholds(measured: DataFrame, group: tuple[str, str] = ("lang", "source"), fence: float = FENCE, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """group columns, and low_/high_ fences of each ratio."""
-    outer, inner = group
-    good = _with_ratios(measured).filter(~F.col("base_failed"))
-    sketches = good.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m).alias(m) for m in SLACK))
-    sketches = cut(sketches)  # one row a group
-    merged = lambda *by: sketches.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in SLACK))
-    marked = lambda df, tag: df.select(*(c for c in (outer, inner) if c in df.columns), *(F.col(c).alias(f"{tag}_{c}") for c in ("n", *SLACK)))
-    all_, by_outer = marked(merged(), "a"), marked(merged(outer), "o").withColumnRenamed(outer, "outer_key")
-    df = marked(sketches, "g").join(F.broadcast(by_outer), F.col(outer).eqNullSafe(F.col("outer_key"))).join(F.broadcast(all_))
+    """key_1, key_2 of each group, and low_/high_ fences of each ratio."""
+    held = cut(sketches(_with_ratios(measured).filter(~F.col("base_failed")), group))
+    sizes = held.filter("measure = 'n_words'").groupBy("key_1", "key_2").agg(F.sum("n").alias("rows"))
+    outer = sizes.groupBy(F.col("key_1").alias("of")).agg(F.sum("rows").alias("outer_rows"))
+    sizes = sizes.join(outer, F.col("key_1").eqNullSafe(F.col("of")))
+    # each group's pool: itself, its language or all
+    level = F.when(F.col("rows") >= group_rows, 2).when(F.col("outer_rows") >= group_rows, 1).otherwise(0)
+    pools = cut(sizes.select("key_1", "key_2", level.alias("level"), F.when(level > 0, F.col("key_1")).alias("pool_1"), F.when(level > 1, F.col("key_2")).alias("pool_2")))
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), (F.col("key_1") if k else F.lit(None).cast("string")).alias("pool_1"), (F.col("key_2") if k > 1 else F.lit(None).cast("string")).alias("pool_2")) for k in range(3)))
+    pooled = held.select("measure", "bucket", "n", F.inline(levels))
+    asked = pools.select(F.col("level").alias("l"), F.col("pool_1").alias("p1"), F.col("pool_2").alias("p2")).distinct()
+    same = (F.col("level") == F.col("l")) & F.col("pool_1").eqNullSafe(F.col("p1")) & F.col("pool_2").eqNullSafe(F.col("p2"))
+    of = quartiles(pooled.join(asked, same, "left_semi"), "level", "pool_1", "pool_2")
     columns = []
-    for m, (side, slack) in SLACK.items():
-        sketch = F.when(F.col("g_n") >= group_rows, F.col(f"g_{m}")).when(F.col("o_n") >= group_rows, F.col(f"o_{m}")).otherwise(F.col(f"a_{m}"))
-        q1, q2, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5, 0.75))
-        high = F.greatest(q3 + fence * (q3 - q1), q2 + slack)
-        low = F.least(q1 - fence * (q3 - q1), q2 - slack) if side == "both" else F.lit(float("-inf"))
-        columns += [low.alias(f"low_{m}"), high.alias(f"high_{m}")]
-    return df.select(F.col(outer).alias("key_1"), F.col(inner).alias("key_2"), *columns)
+    for m, (side, share_of, step) in RATIOS.items():
+        q1, q2, q3 = (F.col(f"{m}_{k}") for k in (1, 2, 3))
+        least = step / F.greatest(F.col(f"{share_of}_2"), F.lit(1.0))
+        high = q2 + fence * F.greatest(q3 - q2, least)
+        low = q2 - fence * F.greatest(q2 - q1, least) if side == "both" else F.lit(float("-inf"))
+        columns += [low.alias(f"low_{m}"), high.alias(f"high_{m}"), (q3 - q2 >= least).alias(f"by_spread_{m}")]
+    fences = of.select(F.col("level").alias("l"), F.col("pool_1").alias("p1"), F.col("pool_2").alias("p2"), *columns)
+    return pools.join(fences, same).drop("level", "pool_1", "pool_2", "l", "p1", "p2")
 
 
 def apply_rules(docs: DataFrame, fence: float = FENCE, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     measured = cut(measures(pick(docs, doc_id="long", text="string", lang="string", source="string"), ("doc_id", "lang", "source")))
-    limits = thresholds(measured, fence=fence, group_rows=group_rows)
+    limits = small(cut(thresholds(measured, fence=fence, group_rows=group_rows)))
     inside = F.lit(True)
-    for m in SLACK:
+    for m in RATIOS:
         inside &= F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
     joined = _with_ratios(measured).join(limits, F.col("lang").eqNullSafe(F.col("key_1")) & F.col("source").eqNullSafe(F.col("key_2")), "left")
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
