@@ -8,11 +8,13 @@ over a bounded sample of labelled rows, in one task. Scores are sparse dot produ
 Arrow batches.
 
 Only labelled rows whose crc32(doc_id as text) mod 3 isn't 1 are learned from, about
-``SAMPLE_ROWS`` of them at most, chosen by a hash of their id. Labels, lang, source and doc_id are
-no inputs of a score.
+``SAMPLE_ROWS`` of them at most, chosen by a hash of their id, and of these, in order of that hash,
+the ones whose texts have ``SAMPLE_BYTES`` together. Labels, lang, source and doc_id are no inputs
+of a score.
 
 Defined cases: null or empty text is scored by its size alone; of a doc_id with several labels
-the least is learned; labels without a row, or null ones, are not used; without any label the
+the least is learned, of one with several texts that with the least hash; labels without a row, or
+null ones, are not used; without any label the
 score is 0.5; repeated rows are each scored; further columns are ignored.
 """
 
@@ -24,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._spark import pick
+from ._spark import cut, pick
 from ._words import U, Words, mix
 
 BITS = 18
-#: At most about so many labelled rows are learned from.
-SAMPLE_ROWS = 8_000
+#: At most about so many labelled rows, and bytes of their texts, are learned from.
+SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 256 << 20
 #: Of the updates: step size, its damping, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.001
 EPOCHS = 3
@@ -108,13 +111,23 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Weights learned from the labelled rows that aren't held out."""
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, text, quality of the rows to learn from: one a doc_id, bounded in number and size."""
     docs = pick(docs, doc_id="long", text="string")
     labels = pick(labels, doc_id="long", quality="int").dropna().filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, sample_rows / max(labels.count(), 1))
     chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = docs.join(F.broadcast(chosen), "doc_id")  # about sample_rows rows of two numbers
+    found = docs.join(F.broadcast(chosen), "doc_id")  # about sample_rows rows of two numbers
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"), F.first("quality").alias("quality"))
+    kept = cut(one.select("doc_id", F.col("one.text").alias("text"), "quality"))
+    sizes = kept.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # about sample_rows rows of two numbers
+    enough = sizes.withColumn("upto", upto).filter(F.col("upto") <= sample_bytes).select("doc_id")
+    return kept.join(F.broadcast(enough), "doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:
+    """Weights learned from the labelled rows that aren't held out."""
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
@@ -123,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> n
         w = train(rows, table["quality"].to_numpy().astype(float))
         return pa.table({"weights": pa.array([w.tobytes()], pa.binary())})
 
-    found = sample.groupBy(F.lit(0).alias("one")).applyInArrow(_without_key(learn), "weights binary").first()
+    found = sample(docs, labels, sample_rows, sample_bytes).groupBy(F.lit(0).alias("one")).applyInArrow(_without_key(learn), "weights binary").first()
     return np.frombuffer(found.weights, np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
