@@ -3,12 +3,16 @@
 Base patterns name three kinds of secrets. Beyond them, every long token of mixed characters is
 tested: its encoding is inferred from its characters; a chi-squared test holds its characters
 against a uniform alphabet, a runs test and a lag-1 serial correlation hold their order against
-chance (a token goes if any of these is below ``LEAST_P``). The number of equal character pairs,
-and the likelihood of its letters and of its changes between lower case, upper case and digits, are
-held against ordinary text: the less of both, doubled, is the p-value of being ordinary (the inverse
-of a likelihood ratio is one, by Markov's inequality). Discoveries are controlled at a false
-discovery rate per encoding, with weights in proportion to length up to ``WEIGHED`` characters. The
-counts for that come from a histogram of p-values, which has a bounded number of rows.
+chance; the least of the three p-values, times three, is how likely the token is if it is random.
+The chi-squared statistic itself (as the number of equal character pairs), and the likelihood of
+its letters and of its changes between lower case, upper case and digits, are also held against
+ordinary text: the less of both, doubled, is the p-value of being ordinary (the inverse of a
+likelihood ratio is one, by Markov's inequality). The quotient of both, being ordinary over being
+random, goes into the discovery control: it is no less than a p-value of being ordinary, and a
+token that fails a test of randomness is held to that much more evidence. Discoveries are
+controlled at a false discovery rate per encoding, with weights in proportion to length up to
+``WEIGHED`` characters. The counts for that come from a histogram of p-values, which has a bounded
+number of rows.
 
 Finds are located natively: a text is split at the pattern and the lengths of the pieces and of
 the matches are added up.
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._spark import cut, pick
+from ._spark import cut, free, pick
 
 # The base patterns, by kind, in order of rank; the least length is that of the last group.
 PATTERNS = (
@@ -39,8 +43,8 @@ TOKEN = r"[A-Za-z0-9+/_=-]"
 LEAST = 20
 #: Longer tokens weigh as much as those of this length, so that one very long token takes no weight from all others.
 WEIGHED = 64
-#: Least p-value of each test of randomness, and the false discovery rate.
-LEAST_P, RATE = 0.001, 0.001
+#: The false discovery rate, and the p-value of being random below which nothing else makes a token a find.
+RATE, LEAST_P = 0.001, 1e-5
 #: Share of equal pairs of characters in ordinary text of an encoding.
 ORDINARY = {"hex": 0.12, "base32": 0.07, "base32hex": 0.07, "base36": 0.07, "base62": 0.06, "base64": 0.06}
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -89,7 +93,8 @@ def finds(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """tokens (value and more) of a known encoding that pass the tests of randomness, with encoding, size and p (of being ordinary)."""
+    """tokens (value and more) of a known encoding, with encoding, size, the p-values uniform, run and serial of the three tests of
+    randomness, and p, by which a token is found: that of being ordinary over that of being random."""
     value = F.col("value")
     some, upper = value.rlike("[0-9].*[0-9]"), F.upper("value")
     one_case = (value.rlike("^[A-Z0-9]+=*$") & value.rlike("[A-Z]") | value.rlike("^[a-z0-9]+=*$") & value.rlike("[a-z]")) & some
@@ -140,8 +145,10 @@ def battery(tokens: DataFrame) -> DataFrame:
     usual = F.col("usual")
     ordinary = _upper_tail((pairs * usual - equal) / F.sqrt(pairs * usual * (1 - usual)))
     ordinary = F.least(2 * F.least(ordinary, F.exp(-F.col("ratio"))), F.lit(1.0))
-    df = df.withColumns({"p": ordinary, "uniform": uniform, "run": runs, "serial": serial, "size": n})
-    return df.filter(f"uniform >= {LEAST_P} and run >= {LEAST_P} and serial >= {LEAST_P}").select(*tokens.columns, "encoding", "size", "p")
+    df = df.withColumns({"ordinary": ordinary, "uniform": uniform, "run": runs, "serial": serial, "size": n})
+    random = F.least(3 * F.least("uniform", "run", "serial"), F.lit(1.0))
+    p = F.when(random < LEAST_P, 1.0).otherwise(F.least(F.col("ordinary") / random, F.lit(1.0)))
+    return df.select(*tokens.columns, "encoding", "size", "uniform", "run", "serial", p.alias("p"))
 
 
 def discoveries(tested: DataFrame, rate: float = RATE) -> DataFrame:
@@ -203,10 +210,11 @@ def redact(docs: DataFrame, rate: float = RATE, mark: str = "[SECRET]") -> DataF
     gone = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("gone"))
     named = found.filter("kind is null").select("row", "doc_id", "text_hash").join(gone, "row")
     # equal rows have equal spans: one of them tells all
-    told = named.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")).agg(F.max("gone").alias("gone"))
-    joined = docs.join(told, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("of_text")), "left")
-    after = lambda i: F.coalesce(F.when(i > 0, F.get("gone", i - 1)["z"]), F.lit(0))
+    of, of_text, spans_of = free(docs, "of", "of_text", "gone")
+    told = named.groupBy(F.col("doc_id").alias(of), F.col("text_hash").alias(of_text)).agg(F.max("gone").alias(spans_of))
+    joined = docs.join(told, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(of_text)), "left")
+    after = lambda i: F.coalesce(F.when(i > 0, F.get(spans_of, i - 1)["z"]), F.lit(0))
     before = lambda s, i: F.substring(F.col("text"), (after(i) + 1).cast("int"), (s["a"] - after(i)).cast("int"))
-    pieces = F.array_join(F.transform("gone", lambda s, i: F.concat(before(s, i), F.lit(mark))), "")
-    rest = F.substring(F.col("text"), (F.element_at("gone", -1)["z"] + 1).cast("int"), F.lit(2**31 - 1))
-    return joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat(pieces, rest))).select(*docs.columns)
+    pieces = F.array_join(F.transform(spans_of, lambda s, i: F.concat(before(s, i), F.lit(mark))), "")
+    rest = F.substring(F.col("text"), (F.element_at(spans_of, -1)["z"] + 1).cast("int"), F.lit(2**31 - 1))
+    return joined.withColumn("text", F.when(F.col(spans_of).isNull(), F.col("text")).otherwise(F.concat(pieces, rest))).select(*docs.columns)
