@@ -6,7 +6,11 @@ Each stage is (name, function); a function takes (spark, docs, sf_dir) and retur
 the next one reads, written as Parquet in between. All but the last return the columns of docs.
 Rows are told apart by doc_id and text (of rows that repeat both and have words, the near-duplicate
 stage keeps one); null texts have no words, so they are judged by their
-size alone, are nobody's copy, and are packed as an end token.
+size alone, are nobody's copy, and are packed as an end token. Of documents that tie in a group the
+one with the least doc_id stays, null counting last, then the least text hash. An empty table stays
+empty in every stage; further columns are carried along, whatever their names, up to packing.
+Stage outputs lie in the shared folder under a name of their own for each run; the folder is the
+caller's to clear, as the last result is read from it lazily.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontaminate, jaccard_join, packing, quality, secrets
-from gleaner.llm._spark import cut, shared_dir, without
+from gleaner.llm._spark import cut, free, shared_dir, without
 
 #: Words of a shingle and least similarity in per cent of the near-duplicate stage (operator 9's query has its own).
 STAGE_N, STAGE_PERCENT = 5, 80
@@ -41,10 +45,11 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if again.isEmpty():
         return kept
     # rows that repeat both doc_id and text, one of each
-    again = again.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text"))
-    repeated = kept.join(again, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("of_text")), "left_semi")
-    one = repeated.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
-    return without(kept, again.select(F.col("of").alias("doc_id"), F.col("of_text").alias("text_hash"))).unionByName(one)
+    of, of_text = free(docs, "of", "of_text")
+    named = again.select(F.col("doc_id").alias(of), F.col("text_hash").alias(of_text))
+    repeated = kept.join(named, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(of_text)), "left_semi")
+    one = repeated.groupBy("doc_id", F.xxhash64("text").alias(of_text)).agg(F.min(F.struct(*docs.columns)).alias(of)).select(f"{of}.*")
+    return without(kept, again).unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
