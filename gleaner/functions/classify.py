@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import any_of, fold, fold_python, let, literal, words_pattern
+from .text import any_of, by_first_letter, constant, fold, fold_python, let, words_pattern
 
 
 def work_mode(text: Column) -> Column:
@@ -21,26 +21,47 @@ def place(location: Column, body: Column) -> Column:
     return let(fold(F.concat(F.coalesce(location, F.lit("")), F.lit(" "), F.substring(F.coalesce(body, F.lit("")), 1, 1200))), _place)
 
 
+def _named(t: Column, words) -> Column:
+    """The words of a list that stand in a folded text, as far as they come first in the list where several start."""
+    return F.regexp_extract_all(t, F.lit(rf"(?U)\b(?=({by_first_letter(words)})\b)"), F.lit(1))
+
+
 def _place(t: Column) -> Column:
-    pair = lambda a, b: F.struct(F.lit(a).alias("ciudad"), F.lit(b).alias("departamento"))
-    out = F
-    for city, region in rules.CITIES.items():
-        out = out.when(t.rlike(words_pattern([city])), pair(city.title(), region))
-    out = out.when(t.rlike(words_pattern(rules.DISTRICTS)), pair("Lima", "Lima"))
-    for region in rules.REGIONS:
-        out = out.when(t.rlike(words_pattern([fold_python(region)])), pair(region, region))
-    return out.otherwise(pair("", ""))
+    """One search for all cities and regions, in list order by their rank, and one for districts between them."""
+    pair = lambda a, b: {"ciudad": a, "departamento": b}
+    ranked = {city: {"rank": k, **pair(city.title(), region)} for k, (city, region) in enumerate(rules.CITIES.items())}
+    regions = {fold_python(r): {"rank": k, **pair(r, r)} for k, r in enumerate(rules.REGIONS)}
+    kind = "map<string,struct<rank:int,ciudad:string,departamento:string>>"
+    first = lambda table: F.array_min(F.transform(_named(t, list(table)), lambda x: F.try_element_at(constant(table, kind), x)))
+    of = lambda x: F.struct(x["ciudad"].alias("ciudad"), x["departamento"].alias("departamento"))
+    lima, none = (F.struct(F.lit(x).alias("ciudad"), F.lit(x).alias("departamento")) for x in ("Lima", ""))
+    later = lambda: F.when(t.rlike(words_pattern(rules.DISTRICTS)), lima).otherwise(let(first(regions), lambda x: F.when(x.isNotNull(), of(x)).otherwise(none)))
+    return let(first(ranked), lambda x: F.when(x.isNotNull(), of(x)).otherwise(later()))
+
+
+def _cues() -> tuple[str, dict[str, list[int]]]:
+    """A pattern of the longest cue at a place, and for each cue the numbers of those that stand there with it: category * 1000 + cue."""
+    numbers: dict[str, list[int]] = {}
+    for rank, cues in enumerate(rules.CATEGORY_CUES.values()):
+        for k, cue in enumerate(sorted({fold_python(c) for c in cues})):
+            numbers.setdefault(cue, []).append(1000 * rank + k)
+    longest = sorted(numbers, key=lambda c: (-len(c), c))
+    # a cue's beginnings that are cues stand there too, but the one that must be a whole word
+    closed = {c: sorted(n for b, each in numbers.items() if c.startswith(b) and (b != "intern" or b == c) for n in each) for c in longest}
+    return rf"(?U)\b(?=({by_first_letter([c + chr(92) + 'b' if c == 'intern' else c for c in longest])}))", closed
 
 
 def _scores(text: Column, with_title_only: bool) -> Column:
     """array<struct<score, -rank, name>> of the categories that have a cue in a folded text."""
-    rows = []
-    for rank, (name, cues) in enumerate(rules.CATEGORY_CUES.items()):
-        if name == "Prácticas" and not with_title_only:
-            continue
-        hits = [text.rlike(rf"(?U)\b{literal(c)}" + (r"\b" if c == "intern" else "")).cast("int") for c in sorted({fold_python(c) for c in cues})]
-        rows.append(F.struct(sum(hits[1:], hits[0]).alias("score"), F.lit(-rank).alias("rank"), F.lit(name).alias("name")))
-    return F.filter(F.array(*rows), lambda x: x["score"] > 0)
+    pattern, closed = _cues()
+    stand = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.try_element_at(constant(closed, "map<string,array<int>>"), x))))
+
+    def rows(hits: Column) -> Column:
+        score = lambda rank: F.size(F.filter(hits, lambda h: F.floor(h / 1000) == rank))
+        named = [(k, name) for k, name in enumerate(rules.CATEGORY_CUES) if name != "Prácticas" or with_title_only]
+        return F.filter(F.array(*(F.struct(score(k).alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("name")) for k, name in named)), lambda x: x["score"] > 0)
+
+    return let(stand, lambda hits: F.when(F.size(hits) > 0, rows(hits)).otherwise(F.array().cast("array<struct<score:int,rank:int,name:string>>")))
 
 
 def category(title: Column, body: Column) -> Column:

@@ -111,7 +111,9 @@ def _readings(text: Column, currency: str, amounts: int, pattern: str, labelled:
 
 def candidates(text: Column, labelled: bool) -> Column:
     """array<struct> of credible readings of a collapsed text, by the first pattern that has any."""
-    return F.coalesce(*(_readings(text, *p, labelled) for p in _patterns()), F.array().cast(_RATED))
+    none = F.array().cast(_RATED)
+    can = text.rlike(r"\d") & text.rlike("|".join(_CURRENCY.values()))
+    return F.when(can, F.coalesce(*(_readings(text, *p, labelled) for p in _patterns()), none)).otherwise(none)
 
 
 _RATED = "array<struct<distrust:int,minimo:int,i:int,maximo:int,moneda:string,literal:string>>"

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
+from html import entities
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,19 @@ def words_pattern(words, start: str = r"(?U)\b", end: str = r"\b") -> str:
     return f"{start}(?:{'|'.join(map(literal, words))}){end}"
 
 
+def by_first_letter(words) -> str:
+    """A pattern of one of the words, of several that match at a place the first; those of a letter are tried together."""
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[0], []).append(literal(w[1:]) if not w.endswith(r"\b") else literal(w[1:-2]) + r"\b")
+    return "(?:" + "|".join(f"{literal(c)}(?:{'|'.join(rest)})" for c, rest in groups.items()) + ")"
+
+
+def constant(table: dict, kind: str) -> Column:
+    """A map of fixed values, made once for a query."""
+    return F.from_json(F.lit(json.dumps(table)), kind)
+
+
 def literal(text: str) -> str:
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
 
@@ -51,9 +66,17 @@ def _accents() -> tuple[str, str]:
     return "".join(source), "".join(base)
 
 
+# The accented letters of the languages that postings are in, and their bases.
+_COMMON = ("áéíóúüñÁÉÍÓÚÜÑàâçèêëîïôùûÀÂÇÈÊËÎÏÔÙÛäöÄÖ", "aeiouunAEIOUUNaaceeeiiouuAACEEEIIOUUaoAO")
+
+
 def fold(text: Column) -> Column:
-    """Lower case without accents; null is empty."""
-    plain = lambda t: F.lower(F.regexp_replace(F.translate(t, *_accents()), r"\p{Mn}", ""))
+    """Lower case without accents; null is empty.
+
+    The whole table of accents is only gone through where a text has others than the common ones."""
+    common = lambda t: F.translate(t, *_COMMON)
+    rest = lambda t: F.when(t.rlike(r"[\u00C0-\uFFFF]"), F.regexp_replace(F.translate(t, *_accents()), r"\p{Mn}", "")).otherwise(t)
+    plain = lambda t: F.lower(let(common(t), rest))
     return let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), plain(t)).otherwise(F.lower(t)))
 
 
@@ -61,15 +84,51 @@ def fold_python(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").lower()
 
 
-#: Entities that are decoded natively; numeric ones are left to html_unescape_udf.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&bull;": "•", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&euro;": "€", "&deg;": "°", "&iexcl;": "¡", "&iquest;": "¿", "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó", "&uacute;": "ú", "&ntilde;": "ñ", "&uuml;": "ü", "&Aacute;": "Á", "&Eacute;": "É", "&Iacute;": "Í", "&Oacute;": "Ó", "&Uacute;": "Ú", "&Ntilde;": "Ñ", "&Uuml;": "Ü", "&amp;": "&"}
+@functools.cache
+def _named() -> tuple[str, str]:
+    """Names of entities and their characters as a JSON map, and a pattern of those that need no semicolon, longest first."""
+    open_ = sorted((k for k in entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    return json.dumps(dict(entities.html5)), f"^({'|'.join(open_)})"
+
+
+@functools.cache
+def _numbered() -> str:
+    """Numbers that stand for other characters, as browsers read them, as a JSON map: those of Windows-1252, and 13 as itself."""
+    return json.dumps({str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)})
+
+
+_ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _number(name: Column) -> Column:
+    """The character of '#233;' or '#xE9;'; none for numbers that are no characters of a text."""
+    digits = F.rtrim(F.regexp_replace(name, "^#[xX]?", ""), F.lit(";"))
+    n = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("decimal(38,0)")
+    known = F.try_element_at(F.from_json(F.lit(_numbered()), "map<string,string>"), n.cast("string"))
+    char = F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32")
+    bad = n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    dropped = n.between(1, 8) | n.between(0xE, 0x1F) | (n == 0x7F) | (n == 0xB) | n.between(0xFDD0, 0xFDEF) | ((n % 65536) >= 65534)
+    return F.when(bad, "\ufffd").otherwise(F.coalesce(known, F.when(dropped, "").otherwise(char)))
+
+
+def _entity(name: Column) -> Column:
+    """What '&' and this name stand for: a character, one with a rest, or themselves."""
+    table, open_ = _named()
+    of = lambda x: F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), x)
+    start = F.regexp_extract(name, open_, 1)
+    rest = F.when(start != "", F.concat(of(start), F.substring(name, F.char_length(start) + 1, F.char_length(name))))
+    return F.when(name.startswith("#"), _number(name)).otherwise(F.coalesce(of(name), rest, F.concat(F.lit("&"), name)))
 
 
 def unescape(text: Column) -> Column:
-    """Decodes the usual entities, ``&amp;`` last."""
-    for entity, c in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(c))
-    return text
+    """Decodes all entities, named and numeric, with and without their semicolon."""
+
+    def decode(t: Column) -> Column:
+        names = F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(1))
+        pieces = F.transform(F.split(t, _ENTITY, -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+        return let(names, lambda n: F.array_join(F.transform(pieces, lambda p: F.concat(p["x"], F.coalesce(let(F.get(n, p["i"]), _entity), F.lit("")))), ""))
+
+    return let(text, lambda t: F.when(t.rlike(_ENTITY), decode(t)).otherwise(t))
 
 
 def html_to_lines(html: Column) -> Column:

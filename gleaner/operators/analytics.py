@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,14 +21,20 @@ def overview(table: DataFrame) -> DataFrame:
     return table.agg(n.alias("total"), live.alias("vigentes"), percent(live, n, 1).alias("tasa"), without.alias("sin_sueldo"), percent(without, n).cast("int").alias("pct_sin_sueldo"))
 
 
-def upper_median(table: DataFrame, value: str, *by: str) -> DataFrame:
+def upper_median(table: DataFrame, value: str, *by: str, accuracy: int = 10_000) -> DataFrame:
     """The value in place count/2 (from 0) of the sorted ones, by group.
 
-    Counts by value first: a group's distinct values are ranked, not its rows."""
-    counts = table.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*by)
-    ranked = counts.select("*", F.sum("_n").over(group.orderBy(value)).alias("_upto"), F.sum("_n").over(group).alias("_all"))
-    return ranked.filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min(value).alias("mediana"))
+    A sketch of each group brackets the place to within a few of its ``accuracy`` parts; rows below
+    the bracket are only counted, and only the bracket's distinct values are ranked."""
+    known = table.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    slack = 2.0 / accuracy
+    bracket = F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], accuracy)
+    groups = known.groupBy(*(F.col(b).alias(f"_{b}") for b in by)).agg(bracket.alias("_bracket"), F.count(F.lit(1)).alias("_all"))
+    same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] or [F.col("_all").isNotNull()]
+    placed = known.join(groups, reduce(lambda x, y: x & y, same)).withColumn("_low", F.get("_bracket", F.lit(0))).filter(F.col("_v") <= F.get("_bracket", F.lit(1)))
+    counts = placed.groupBy(*by, "_all", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v")))
+    return counts.withColumn("_upto", upto).filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min("_v").alias("mediana"))
 
 
 def count_by(table: DataFrame, field: str, empty: str | None = None) -> DataFrame:

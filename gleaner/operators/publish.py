@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.salary import salary_text
 from ..functions.text import fold
+from . import analytics, store
 
 # Months of long dates.
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "setiembre", "octubre", "noviembre", "diciembre")
@@ -83,6 +84,21 @@ def stale_pages(published: DataFrame, current: DataFrame, key: str = "slug") ->
     return published.join(current.select(key), key, "left_anti")
 
 
+def export_payload(table: DataFrame, as_of: Column, limit: int = 500) -> DataFrame:
+    """The document of a site in one row: day, number, statistics and the best ``limit`` postings that retention keeps."""
+    swept = store.sweep(table, as_of)
+    best = web_projection(store.live(swept, limit), as_of)
+    order = F.struct("dias", (-F.col("score")).alias("low"), "huella")
+    offers = best.agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*best.columns).alias("x")))), lambda e: e["x"]).alias("ofertas"))  # at most ``limit`` rows
+    both = offers.withColumn("k", F.lit(1)).join(analytics.overview(swept).select(F.struct("*").alias("stats"), F.lit(1).alias("k")), "k")
+    return both.select(F.to_json(F.struct(as_of.alias("generado"), F.size("ofertas").alias("total"), "stats", "ofertas")).alias("documento"))
+
+
 def export_json(table: DataFrame, folder: str, as_of: Column) -> None:
-    """Writes the projection as JSON lines, a file for each partition."""
-    web_projection(table, as_of).write.json(folder)
+    """Writes the document as text, one file."""
+    export_payload(table, as_of).write.text(folder)
+
+
+def site_robots(site: str, leaving: str = "salida") -> str:
+    """The robots text of a site: all is open but the pages that lead away, and where the sitemap is."""
+    return f"User-agent: *\nAllow: /\nDisallow: /{leaving}/\n\nSitemap: {site}/sitemap.xml\n"

@@ -20,15 +20,29 @@ def profile_from_source(source: Column) -> Column:
     return F.when(F.lower(source).contains("estado"), "publico").otherwise("privado")
 
 
+def newest(batch: DataFrame, key: str, order: tuple) -> DataFrame:
+    """The row of each key that comes last by ``order`` (nulls first); counted up before the shuffle."""
+    return batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("_row")).select("_row.*")
+
+
 def upsert(target: DataFrame, batch: DataFrame, key: str, now: Column, order: tuple = ()) -> DataFrame:
     """target with the rows of batch put in by key: all columns are overwritten but the key and
-    ``capturado``; ``visto_ultima_vez`` is now and ``vigente`` true (P3). Of rows of one key the last by ``order`` counts."""
-    if order:
-        last = Window.partitionBy(key).orderBy(*(F.col(c).desc_nulls_last() for c in order))
-        batch = batch.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
-    held = target.select(F.col(key).alias("_key"), F.col("capturado").alias("_first"))
-    new = batch.join(held, F.col(key) == F.col("_key"), "left").withColumns({"capturado": F.coalesce("_first", now), "visto_ultima_vez": now, "vigente": F.lit(True)}).drop("_key", "_first")
-    return target.join(batch.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    ``capturado``; ``visto_ultima_vez`` is now and ``vigente`` true (P3). Of rows of one key the last by ``order`` counts.
+
+    One outer join by key; a side that is already partitioned by it is not shuffled again."""
+    batch = newest(batch, key, order) if order else batch
+    held = target.select(F.col(key).alias("_key"), F.struct(*target.columns).alias("_old"))
+    new = batch.select(F.col(key).alias("_new_key"), F.struct(*batch.columns).alias("_new"))
+    both = held.join(new, F.col("_key") == F.col("_new_key"), "full")
+    came = F.col("_new_key").isNotNull()
+
+    def value(c: str) -> Column:
+        old = F.col("_old")[c] if c in target.columns else F.lit(None)
+        mine = F.col("_new")[c] if c in batch.columns else F.lit(None)
+        mine = {"capturado": F.coalesce(F.col("_old.capturado"), now), "visto_ultima_vez": now, "vigente": F.lit(True)}.get(c, mine)
+        return F.when(came, mine).otherwise(old).alias(c)
+
+    return both.select(*map(value, dict.fromkeys([*target.columns, *batch.columns, "capturado", "visto_ultima_vez", "vigente"])))
 
 
 def statuses(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
@@ -81,8 +95,27 @@ def rejected(table: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def published_urls(table: DataFrame) -> DataFrame:
-    """fuente and its distinct live URLs, sorted."""
-    return table.filter("aprobada and vigente").groupBy("fuente").agg(F.array_sort(F.collect_set("url")).alias("urls"))
+    """fuente and url of what is approved and live, each once: a row for each URL, however many a source has."""
+    return table.filter("aprobada and vigente").select("fuente", "url").distinct()
+
+
+def repair_urls(table: DataFrame, urls: DataFrame) -> DataFrame:
+    """fuente and url of the given URLs that a source has published: these are read again instead of discovered ones."""
+    return published_urls(table).join(urls.select("url").distinct(), "url", "left_semi").select("fuente", "url")
+
+
+def run_rows(postings: DataFrame, began: Column, ended: Column, detail: Column) -> DataFrame:
+    """A row of the run log for each source: when, how many were read, approved and rejected (P10).
+
+    Copies of a fingerprint are read, but judged once."""
+    first = postings.groupBy("fuente", "huella").agg(F.count(F.lit(1)).alias("n"), F.max("aprobada").alias("ok"))
+    counts = first.groupBy("fuente").agg(F.sum("n").cast("int").alias("leidas"), F.count_if("ok").cast("int").alias("aprobadas"), F.count_if(~F.col("ok")).cast("int").alias("rechazadas"))
+    return counts.select(began.alias("inicio"), ended.alias("fin"), "fuente", "leidas", "aprobadas", "rechazadas", detail.alias("detalle"))
+
+
+def append_runs(runs: DataFrame, folder: str) -> None:
+    """Appends to the run log; what is there stays."""
+    runs.write.mode("append").parquet(folder)
 
 
 def clean_titles(table: DataFrame) -> DataFrame:
@@ -124,3 +157,30 @@ def write_version(table: DataFrame, folder: str, version: int) -> str:
 
 def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(f"{folder}/v={version}")
+
+
+def bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_buckets(table: DataFrame, folder: str, key: str, version: int, buckets: int) -> None:
+    """Writes rows as a version of their key buckets; run again, it replaces just that version."""
+    table.withColumn("bucket", bucket(key, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={version}")
+
+
+def read_buckets(spark: SparkSession, folder: str, version: int, only: list[int] | None = None) -> DataFrame:
+    """The table as of a version: of each key bucket the last version up to it, of all buckets or of some.
+
+    Which versions a bucket has is read from the folders' names, not from rows."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/v=*/bucket=*")
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last: dict[int, int] = {}
+    for status in fs.globStatus(fs_path) or ():
+        at = str(status.getPath())
+        v, b = (int(x.split("=")[1]) for x in at.rsplit("/", 2)[1:])
+        if v <= version and (only is None or b in only):
+            last[b] = max(v, last.get(b, v))
+    schema = spark.read.parquet(f"{folder}/schema").schema
+    if not last:
+        return spark.read.schema(schema).parquet(f"{folder}/schema")
+    return spark.read.schema(schema).parquet(*(f"{folder}/v={v}/bucket={b}" for b, v in sorted(last.items())))

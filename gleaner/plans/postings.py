@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import classify, salary, score, titles
 from ..functions.rules import THRESHOLD
@@ -68,20 +67,33 @@ def process(raw: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def dedupe_run(df: DataFrame, key: str, *order) -> DataFrame:
-    """The first row of each key in the given order, with n_copies of it."""
-    by_key = Window.partitionBy(key)
-    ranked = df.withColumn("_nth", F.row_number().over(by_key.orderBy(*order))).withColumn("n_copies", F.count(F.lit(1)).over(by_key))
-    return ranked.filter("_nth = 1").drop("_nth")
+def dedupe_run(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key in the given order (nulls first), with n_copies of it (P2); counted up before the shuffle."""
+    one = df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"), F.count(F.lit(1)).alias("n_copies"))
+    return one.select("_row.*", "n_copies")
 
 
 def run_metrics(postings: DataFrame) -> DataFrame:
-    """read, approved, rejected, distinct, duplicates and rate of approval."""
+    """read, approved, rejected, distinct, duplicates and rate of approval."""
     n, good, distinct = F.count(F.lit(1)), F.count_if("aprobada"), F.count_distinct("huella")
     rate = F.coalesce(F.bround(F.try_divide(100.0 * good, n), 1), F.lit(0.0))
     return postings.agg(n.alias("leidas"), good.alias("aprobadas"), (n - good).alias("rechazadas"), distinct.alias("distintas"), (n - distinct).alias("duplicadas"), rate.alias("tasa"))
 
 
+def run_summary(postings: DataFrame, stored: DataFrame, swept: DataFrame) -> DataFrame:
+    """A run in one row: read, approved and rejected (of the first of each fingerprint), new, duplicates, expired, rate.
+
+    stored: the fingerprints known before; swept: the table after retention, with ``motivo_retiro``."""
+    first = postings.groupBy("huella").agg(F.count(F.lit(1)).alias("n"), F.max("aprobada").alias("ok"))
+    known = stored.select(F.col("huella").alias("_known")).distinct()
+    each = first.join(known, F.col("huella") == F.col("_known"), "left").select("n", "ok", F.col("_known").isNull().alias("new"), F.lit(0).alias("gone"))
+    gone = swept.filter("motivo_retiro is not null").select(F.lit(0).cast("long").alias("n"), F.lit(None).cast("boolean").alias("ok"), F.lit(False).alias("new"), F.lit(1).alias("gone"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    good, judged = F.count_if("ok"), F.count("ok")
+    rate = F.coalesce(F.bround(F.try_divide(100.0 * good, judged), 1), F.lit(0.0))
+    return each.unionByName(gone).agg(total("n").alias("leidas"), good.alias("aprobadas"), F.count_if(~F.col("ok")).alias("rechazadas"), F.count_if("new").alias("nuevas"), (total("n") - judged).alias("duplicadas"), total("gone").alias("vencidas"), rate.alias("tasa"))
+
+
 def reason_histogram(postings: DataFrame, reasons: str = "motivos_rechazo") -> DataFrame:
     """Reasons with their numbers masked, by count."""
     each = postings.select(F.explode(reasons).alias("m")).select(F.regexp_replace("m", r"\d+", "N").alias("motivo"))

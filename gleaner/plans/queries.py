@@ -334,7 +334,7 @@ b as (select * from s where not old qualify row_number() over (partition by user
 @register("upsert_latest", _UPSERT + "select coalesce(b.user_id, t.user_id) as user_id, coalesce(b.event_id, t.event_id) as event_id, coalesce(t.ts, timestamp '2030-01-01') as capturado, case when b.user_id is not null then timestamp '2030-01-01' else t.ts end as visto from b full join t on b.user_id = t.user_id")
 def upsert_latest(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "ts")
-    held = postings.dedupe_run(e.filter("event_id % 3 = 0"), "user_id", F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", F.col("ts").alias("capturado"), F.col("ts").alias("visto_ultima_vez"), F.lit(True).alias("vigente"))
+    held = store.newest(e.filter("event_id % 3 = 0"), "user_id", ("ts", "event_id")).select("user_id", "event_id", F.col("ts").alias("capturado"), F.col("ts").alias("visto_ultima_vez"), F.lit(True).alias("vigente"))
     batch = e.filter("event_id % 3 <> 0")
     new = store.upsert(held, batch.withColumnRenamed("ts", "at"), "user_id", F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"), ("at", "event_id"))
     return new.select("user_id", "event_id", "capturado", F.col("visto_ultima_vez").alias("visto"))
@@ -358,10 +358,19 @@ def rejected_top(spark, d):
     return store.rejected(o).select("o_orderkey")
 
 
-@register("urls_by_source", "select regexp_extract(url, '^https?://([^/?#]+)', 1) as fuente, cast(count(distinct url) as int) as n, md5(array_to_string(list_sort(list(distinct url)), ' ')) as urls from pages where page_id % 3 <> 0 group by 1")
+@register("urls_by_source", "select distinct regexp_extract(url, '^https?://([^/?#]+)', 1) as fuente, url from pages where page_id % 3 <> 0")
 def urls_by_source(spark, d):
-    p = table(spark, d, "pages").select("url", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("fuente"), (F.col("page_id") % 3 != 0).alias("aprobada"), F.lit(True).alias("vigente"))
-    return store.published_urls(p).select("fuente", F.size("urls").alias("n"), F.md5(F.array_join("urls", " ")).alias("urls"))
+    return store.published_urls(_published(spark, d))
+
+
+def _published(spark, d) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("fuente"), (F.col("page_id") % 3 != 0).alias("aprobada"), F.lit(True).alias("vigente"))
+
+
+@register("repair_urls", "select distinct regexp_extract(url, '^https?://([^/?#]+)', 1) as fuente, url from pages where page_id % 3 <> 0 and url in (select url from pages where page_id % 2 = 0)")
+def repair_urls(spark, d):
+    """The published URLs of a list to be read again."""
+    return store.repair_urls(_published(spark, d), table(spark, d, "pages").filter("page_id % 2 = 0"))
 
 
 @register("rescore_flips")
@@ -452,9 +461,9 @@ def long_date(spark, d):
     return table(spark, d, "orders").select("o_orderkey", publish.long_date(F.to_date("o_orderdate")).alias("fecha"), analytics.level(F.col("o_orderkey") % 100).alias("nivel"))
 
 
-def _cards(spark, d) -> DataFrame:
+def _cards(spark, d, *more: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").select(F.md5(k.cast("string")).alias("huella"), F.lit("Operario").alias("puesto"), F.when(k % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("empresa"), F.lit("").alias("ciudad"), F.lit("Lima").alias("departamento"), F.when(k % 2 == 0, "Remoto").alias("modalidad"), F.lit(None).cast("string").alias("categoria"), F.when(k % 5 == 0, 0).otherwise(1500).alias("sueldo_min"), F.lit(0).alias("sueldo_max"), F.lit("PEN").alias("moneda"), F.lit("a < b").alias("resumen"), F.array(F.lit("Gestionar")).alias("funciones"), F.array().cast("array<string>").alias("requisitos"), F.array(F.lit("EPS")).alias("beneficios"), F.lit(80).alias("score"), F.lit("portal").alias("fuente"), F.lit("u").alias("url"), F.to_date("o_orderdate").alias("publicado"), F.when(k % 4 == 0, F.date_add(F.to_date("o_orderdate"), 30)).alias("vence"))
+    return table(spark, d, "orders").select(*more, F.md5(k.cast("string")).alias("huella"), F.lit("Operario").alias("puesto"), F.when(k % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("empresa"), F.lit("").alias("ciudad"), F.lit("Lima").alias("departamento"), F.when(k % 2 == 0, "Remoto").alias("modalidad"), F.lit(None).cast("string").alias("categoria"), F.when(k % 5 == 0, 0).otherwise(1500).alias("sueldo_min"), F.lit(0).alias("sueldo_max"), F.lit("PEN").alias("moneda"), F.lit("a < b").alias("resumen"), F.array(F.lit("Gestionar")).alias("funciones"), F.array().cast("array<string>").alias("requisitos"), F.array(F.lit("EPS")).alias("beneficios"), F.lit(80).alias("score"), F.lit("portal").alias("fuente"), F.lit("u").alias("url"), F.to_date("o_orderdate").alias("publicado"), F.when(k % 4 == 0, F.date_add(F.to_date("o_orderdate"), 30)).alias("vence"))
 
 
 _HASH = "md5(cast(o_orderkey as varchar))"
@@ -482,10 +491,10 @@ def sitemap_entries(spark, d):
     return publish.sitemap_entries(_cards(spark, d), "https://x.pe")
 
 
-@register("stale_pages", f"select {sql.slug('p_name', 'md5(p_name)')} as slug from part where p_partkey % 2 = 0 except select {sql.slug('p_name', 'md5(p_name)')} from part where p_partkey % 3 = 0")
+@register("stale_pages", f"select {sql.slug('p_name', 'md5(p_name)')} as slug from part except select {sql.slug('p_name', 'md5(p_name)')} from part where p_partkey % 3 = 0")
 def stale_pages(spark, d):
     p = table(spark, d, "part").select("p_partkey", publish.slug(F.col("p_name"), F.md5("p_name")).alias("slug"))
-    return publish.stale_pages(p.filter("p_partkey % 2 = 0").select("slug").distinct(), p.filter("p_partkey % 3 = 0"))
+    return publish.stale_pages(p.select("slug").distinct(), p.filter("p_partkey % 3 = 0"))
 
 
-from . import source_queries  # noqa: E402,F401  registers its own
+from . import chain_queries, source_queries  # noqa: E402,F401  register their own

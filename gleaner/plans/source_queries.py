@@ -19,9 +19,12 @@ _PATH = "regexp_extract(url, '^https?://[^/]+(/.*)$', 1)"
 
 
 def scratch(spark) -> str:
-    """A folder that driver and executors share: the checkpoint folder's, or a local one where none is set."""
+    """A folder that driver and executors share: the checkpoint folder's; a local session without one gets its own, a cluster must tell one."""
     told = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return posixpath.join(told.get() if told.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-"), uuid.uuid4().hex)
+    where = told.get() if told.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return posixpath.join(where or tempfile.mkdtemp(prefix="spark-scratch-"), uuid.uuid4().hex)
 
 
 @register("meta_and_heading", r"""select page_id, regexp_extract(html, '(?i)<meta[^>]+name="d"[^>]*content="([^"]*)"', 1) as d, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as h1 from (select page_id, concat('<meta name="d" content="p', page_id, '">', html) as html from pages)""")
@@ -76,7 +79,7 @@ def tender_postings(spark, d):
 _NODE = """concat('<script type="application/ld+json">', case when o_orderkey % 3 = 0 then '{"@graph":[{"@type":"WebSite"},' else '' end, '{"@type":"JobPosting","title":"Puesto ', cast(o_orderkey as varchar(20)), '","hiringOrganization":{"name":"Empresa"},"jobLocation":{"address":{"addressLocality":"Lima","addressRegion":"LIM"}},"baseSalary":{"currency":"PEN","value":{"minValue":', cast(o_custkey as varchar(20)), ',"maxValue":', cast(o_custkey + 9 as varchar(20)), ',"unitText":"MONTH"}},"datePosted":"2026-01-02T00:00:00","jobLocationType":"TELECOMMUTE",}', case when o_orderkey % 3 = 0 then ']}' else '' end, '</script>')"""
 
 
-@register("jsonld_fields", "select o_orderkey, concat('Puesto ', o_orderkey) as puesto, 'Empresa' as empresa, 'Lima, LIM' as ubicacion, concat('S/ ', o_custkey, ' a S/ ', o_custkey + 9, ' mensual') as sueldo_texto, date '2026-01-02' as publicado, 'remoto' as modalidad from orders")
+@register("jsonld_fields", "select o_orderkey, concat('Puesto ', o_orderkey) as puesto, 'Empresa' as empresa, 'Lima, LIM' as ubicacion, case when o_custkey = 0 then 'S/ 9 mensual' else concat('S/ ', o_custkey, ' a S/ ', o_custkey + 9, ' mensual') end as sueldo_texto, date '2026-01-02' as publicado, 'remoto' as modalidad from orders")
 def jsonld_fields(spark, d):
     o = text.once(table(spark, d, "orders"), node=pages.job_posting_node(F.expr(_NODE)))
     o = text.once(o, j=pages.job_posting_fields(F.col("node")))
@@ -105,10 +108,11 @@ def pdf_links(spark, d):
     return pages.pdf_links(links.select("page_id", F.array_join(F.transform("l", lambda x: x["a"]), "").alias("html")), ["page_id"])
 
 
-@register("official_links", f"""select page_id, concat('https://', href, '.gob.pe/ver') as href, cast(6 as int) as score, row_number() over (partition by page_id order by min(pos)) as rank from ({_ANCHORS}) where pos % 2 = 0 and not regexp_matches(href, '[^A-Za-z]') group by page_id, href""")
+@register("official_links", f"""select page_id, concat('https://', regexp_replace(href, '[^A-Za-z0-9]+', '-', 'g'), '.gob.pe/ver') as href, cast(6 as int) as score, row_number() over (partition by page_id order by min(pos)) as rank from ({_ANCHORS}) where pos % 2 = 0 group by page_id, 2""")
 def official_links(spark, d):
-    each = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="/([^"]+)">'), F.lit(1))).alias("pos", "href")).filter(~F.col("href").rlike("[^A-Za-z]"))
-    to = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("https://"), "href", F.lit(".gob.pe/ver"))).otherwise(F.concat(F.lit("https://facebook.com/"), "href"))
+    each = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="/([^"]+)">'), F.lit(1))).alias("pos", "href"))
+    name = F.regexp_replace("href", "[^A-Za-z0-9]+", "-")
+    to = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("https://"), name, F.lit(".gob.pe/ver"))).otherwise(F.concat(F.lit("https://facebook.com/"), name))
     links = each.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit('<a href="'), to, F.lit('">x</a>')).alias("a")))).alias("l"))
     return pages.official_links(links.select("page_id", F.lit("portal.pe").alias("host"), F.array_join(F.transform("l", lambda x: x["a"]), "").alias("html")), ["page_id"])
 
@@ -124,16 +128,22 @@ def url_correlative(spark, d):
     return table(spark, d, "pages").select("page_id", crawl.correlative(F.concat_ws("-", "url", (F.col("page_id") * 37).cast("string"), (F.col("page_id") * 1001).cast("string"))).alias("n"))
 
 
-@register("url_quota", "select url from (select url, min(src * 1000000 + pos) as p from (select url, 0 as src, page_id as pos from pages where page_id % 3 = 0 union all select url, 1, page_id from pages where page_id % 2 = 0) group by url) order by p limit 60")
+@register("url_quota", "select url from (select url, min(case when page_id % 3 = 0 then 0 else 1 end * 1000000000 + page_id) as p from pages group by url) order by p, url limit 60")
 def url_quota(spark, d):
+    """A third of the pages as the listing, the others as the sitemap: the first 60 URLs of both."""
     p = table(spark, d, "pages").select("url", F.col("page_id").alias("pos"))
-    return crawl.fill_up(p.filter("pos % 3 = 0"), p.filter("pos % 2 = 0"), 60).select("url")
+    return crawl.fill_up(p.filter("pos % 3 = 0"), p.filter("pos % 3 <> 0"), 60).select("url")
+
+
+_HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
 
 
-@register("stale_run", "select page_id from (select *, coalesce(max(case when run >= 4 then 1 else 0 end) over (order by page_id rows between unbounded preceding and 1 preceding), 0) as stop from (select *, sum(old) over (partition by brk order by page_id) as run from (select *, sum(1 - old) over (order by page_id) as brk from (select page_id, case when page_id % 17 > 11 or page_id % 5 = 0 then 1 else 0 end as old from pages)))) where stop = 0")
+@register("stale_run", f"""with p as (select page_id, {_HOST} as host, case when page_id % 17 > 3 then 1 else 0 end as old from pages),
+b as (select *, sum(1 - old) over (partition by host order by page_id) as brk from p), r as (select *, sum(old) over (partition by host, brk order by page_id) as run from b)
+select host, page_id from (select *, coalesce(max(case when run >= 4 then 1 else 0 end) over (partition by host order by page_id rows between unbounded preceding and 1 preceding), 0) as stop from r) where stop = 0""")
 def stale_run(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.lit("x").alias("fuente"))
-    return crawl.until_stale(p, "page_id", (F.col("page_id") % 17 > 11) | (F.col("page_id") % 5 == 0), 4).select("page_id")
+    p = table(spark, d, "pages").select("page_id", F.expr(_HOST).alias("host"))
+    return crawl.until_stale(p, "page_id", F.col("page_id") % 17 > 3, 4, "host", 50).select("host", "page_id")
 
 
 @register("vacancy_counts", "select count(*) filter (n > 1) as de_varias_plazas, coalesce(sum(n) filter (n > 1), 0) as plazas_en_juego from (select page_id % 7 as n from pages)")
@@ -142,11 +152,11 @@ def vacancy_counts(spark, d):
     return crawl.vacancy_counts(p, pages.vacancies(F.col("url")))
 
 
-@register("sitemap_recency", "select concat('https://x.pe/', o_orderkey) as loc, cast(o_orderdate as date) as lastmod from orders where o_orderkey % 5 = 0 or cast(o_orderdate as date) >= date '1998-08-01' - 365".replace("o_orderkey % 5 = 0 or", ""))
+@register("sitemap_recency", "select concat('https://x.pe/', o_orderkey) as loc, case when o_orderkey % 5 <> 0 then cast(o_orderdate as date) end as lastmod from orders where o_orderkey % 5 = 0 or cast(o_orderdate as date) >= date '1998-08-01' - 365")
 def sitemap_recency(spark, d):
-    xml = F.concat(F.lit("junk <urlset xmlns='http://x'><url><loc>https://x.pe\n/"), "o_orderkey", F.lit("</loc><lastmod>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</lastmod></url></urlset>"))
+    xml = F.concat(F.lit("junk <urlset xmlns='http://x'><url><loc>https://x.pe\n/"), "o_orderkey", F.lit("</loc>"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.concat(F.lit("<lastmod>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</lastmod>"))), F.lit("</url></urlset>"))
     urls = crawl.sitemap_urls(table(spark, d, "orders").select(xml.alias("xml")))
-    return crawl.recent(urls, F.lit(AS_OF).cast("date"), 365, False).select("loc", "lastmod")
+    return crawl.recent(urls, F.lit(AS_OF).cast("date"), 365).select("loc", "lastmod")
 
 
 _ROBOTS = "User-agent: otro\nDisallow: /\n\nUser-agent: *\nDisallow: /en # lengua\nAllow: /en/*5\nDisallow: /*page=3\nAllow: /fr$\nDisallow: /de/\nCrawl-delay: 4\nSitemap: https://x/s.xml"
@@ -184,23 +194,24 @@ def startup_sources(spark, d):
     return crawl.select_sources(s, "AL 3").unionByName(crawl.select_sources(s, "al 5"))
 
 
-_BROKEN = "concat(substr(text, 1, 60), case when doc_id % 4 = 0 then ' a¡b' when doc_id % 4 = 1 then ' ||//..//||//..//||//..//||//' else '' end)"
-_LETTERS = f"length(regexp_replace(trim({_BROKEN}), '[^\\p{{L}}\\s]', '', 'g'))"
+def _broken(key: str) -> str:
+    return f"concat(coalesce(text, ''), case when {key} % 4 = 0 then ' a¡b' when {key} % 4 = 1 then ' ||//..//||//..//||//..//||//' else '' end)"
 
 
-@register("illegible", f"select doc_id, length(trim({_BROKEN})) < 12 or regexp_matches({_BROKEN}, '[a-zA-Z0-9_][¡¿]') or {_LETTERS} / length(trim({_BROKEN})) < 0.8 as roto from documents")
-def illegible(spark, d):
-    return table(spark, d, "documents").select("doc_id", documents.illegible(F.expr(_BROKEN)).alias("roto"))
+def _illegible_sql(columns: str, key: str, of: str) -> str:
+    shown = f"trim({_broken(key)}, ' ')"
+    return rf"select {columns}, length({shown}) < 12 or regexp_matches({shown}, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}][¡¿]') or length(regexp_replace({shown}, '[^\p{{L}}\s\p{{Z}}\x0B\x{{85}}]', '', 'g')) / greatest(length({shown}), 1) < 0.8 as roto from {of}"
 
 
-_WHOLE = _BROKEN.replace("substr(text, 1, 60)", "coalesce(text, '')")
-_SHOWN = f"trim({_WHOLE}, ' ')"
+@register("illegible", _illegible_sql("conv_id, turn", "conv_id", "conversations"))
+def illegible(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", documents.illegible(F.expr(_broken("conv_id"))).alias("roto"))
 
 
-@register("illegible_whole", rf"select doc_id, length({_SHOWN}) < 12 or regexp_matches({_SHOWN}, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}][¡¿]') or length(regexp_replace({_SHOWN}, '[^\p{{L}}\s\p{{Z}}\x0B\x{{85}}]', '', 'g')) / greatest(length({_SHOWN}), 1) < 0.8 as roto from documents")
+@register("illegible_whole", _illegible_sql("doc_id", "doc_id", "documents"))
 def illegible_whole(spark, d):
-    """As illegible, over whole texts."""
-    return table(spark, d, "documents").select("doc_id", documents.illegible(F.expr(_WHOLE)).alias("roto"))
+    """As illegible, over whole long texts."""
+    return table(spark, d, "documents").select("doc_id", documents.illegible(F.expr(_broken("doc_id"))).alias("roto"))
 
 
 @register("document_duties", "select cast(o_orderkey as varchar) as url, concat('Elaborar informes tecnicos del area ', o_custkey, ' de la entidad', case when o_orderkey % 2 = 0 then '|Coordinar las compras de la oficina central' else '' end) as funciones from orders where o_orderkey % 5 <> 0")
@@ -211,16 +222,6 @@ def document_duties(spark, d):
     return found.select("url", F.array_join("funciones", "|").alias("funciones"))
 
 
-@register("enrich_postings", "select o_orderkey, case when o_orderkey % 4 = 0 then null when o_orderkey % 3 = 0 then 'sin_bases' when o_orderkey % 5 = 0 then 'sin_funciones' end as por_que_no, cast(case when o_orderkey % 4 = 0 then 4 when o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0 then 3 else 1 end as int) as n from orders")
-def enrich_postings(spark, d):
-    o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    items = lambda n: F.array_repeat(F.lit("Gestionar la cartera"), n)
-    base = o.select("o_orderkey", k.cast("string").alias("url"), F.when(k % 4 == 0, items(4)).otherwise(items(1)).alias("funciones"))
-    links = o.filter("o_orderkey % 3 <> 0").select(k.cast("string").alias("url"), F.concat(F.lit("pdf"), k).alias("href"), F.lit(1).alias("rank"))
-    found = o.filter("o_orderkey % 5 <> 0").select(F.concat(F.lit("pdf"), k).alias("url"), items(3).alias("funciones"))
-    return documents.enrich(base, links, found).select("o_orderkey", "por_que_no", F.size("funciones").alias("n"))
-
-
 @register("stream_first_seen", "select distinct user_id, event_type from events")
 def stream_first_seen(spark, d):
     """Events as a stream of the table's file: each user's first event of a type within the time to live."""
@@ -230,10 +231,18 @@ def stream_first_seen(spark, d):
     return ingest.drain(ingest.first_seen(stream, ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type"), f"{where}/out", f"{where}/checkpoint")
 
 
-def _folder_of(spark, d, name: str) -> str:
-    """A folder with only this table's files, as a stream source reads folders: the table is written there."""
+def _folder_of(spark, d, name: str, files: int | None = None) -> str:
+    """A folder with only this table's files, as a stream source reads folders: the table is written there, by time in several files if asked."""
     where = f"{scratch(spark)}/{name}"
-    table(spark, d, name).write.parquet(where)
+    df = table(spark, d, name)
+    if files is None:
+        df.write.parquet(where)
+        return where
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = df.agg(F.min(at).alias("a"), F.max(at).alias("z")).first()
+    part = F.floor((at - low) * files / (high - low + 1))
+    for k in range(files):  # one after the other, as they would come in
+        df.filter(part == k).coalesce(1).write.mode("append").parquet(where)
     return where
 
 
@@ -242,9 +251,18 @@ def stream_upsert(spark, d):
     """Events as a stream, put by key into a versioned table, one micro-batch after the other."""
     where = scratch(spark)
     ingest.start_table(spark, f"{where}/t", "user_id bigint, event_id bigint, at timestamp, capturado timestamp, visto_ultima_vez timestamp, vigente boolean")
-    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(_folder_of(spark, d, "events"))
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(_folder_of(spark, d, "events", 3))
     rows = stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"))
-    q = ingest.upsert_stream(rows, f"{where}/t", "user_id", ("at", "event_id"), "2030-01-01 00:00:00", f"{where}/checkpoint")
+    q = ingest.upsert_stream(rows, f"{where}/t", "user_id", ("at", "event_id"), "2030-01-01 00:00:00", f"{where}/checkpoint", 8)
     q.awaitTermination()
     last = q.lastProgress["batchId"] if q.lastProgress else -1
-    return store.read_version(spark, f"{where}/t", last + 1).select("user_id", "event_id")
+    return store.read_buckets(spark, f"{where}/t", last + 1).select("user_id", "event_id")
+
+
+@register("stream_windows", "select date_trunc('hour', ts) as desde, event_type, count(*) as n from events group by all")
+def stream_windows(spark, d):
+    """Events as a stream, counted by hour and type; with all of them late enough in the day, none is dropped."""
+    where = scratch(spark)
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(_folder_of(spark, d, "events"))
+    counts = ingest.counts_by_window(stream, "ts", ["event_type"], "1 hour", "3650 days")
+    return ingest.totals(counts, f"{where}/out", f"{where}/checkpoint").select(F.col("desde").cast("timestamp_ntz").alias("desde"), "event_type", "n")

@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 
 from ..functions import rules
-from ..functions.text import ENTITIES, fold_python
+from ..functions.text import fold_python
+
+
+#: The entities that the given pages and the made ones hold, ``&amp;`` last.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&aacute;": "á", "&eacute;": "é", "&iacute;": "í", "&oacute;": "ó", "&uacute;": "ú", "&ntilde;": "ñ", "&amp;": "&"}
 
 
 def lit(text: str) -> str:

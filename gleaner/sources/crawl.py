@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
-import gzip
+import zlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.classify import detect_ats
+
+#: Most bytes that a packed sitemap may unfold to: the limit of the sitemaps protocol.
+MOST_BYTES = 50 << 20
+
+
+def _unfold(b: bytes | None) -> str | None:
+    """Bytes as text; gzip is known by its first bytes. What is damaged, or unfolds beyond MOST_BYTES, is null."""
+    if b is None or b[:2] != b"\x1f\x8b":
+        return b if b is None else b.decode("utf-8", "replace")
+    out = zlib.decompressobj(wbits=31)
+    try:
+        text = out.decompress(b, MOST_BYTES)
+    except zlib.error:
+        return None
+    return text.decode("utf-8", "replace") if out.eof else None
 
 
 def _plain(content: pd.Series) -> pd.Series:
-    """Bytes as text; gzip is known by its first bytes."""
-    return content.map(lambda b: None if b is None else (gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b).decode("utf-8", "replace"))
+    return content.map(_unfold)
 
 
 def sitemap_text(files: DataFrame, content: str = "content") -> DataFrame:
-    """files (as of the binaryFile source) with ``xml``."""
+    """files (as of the binaryFile source) with ``xml``, null for damaged ones."""
     return files.withColumn("xml", F.pandas_udf(_plain, "string")(content))
 
 
@@ -63,13 +79,82 @@ def correlative(url: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(url, F.lit(r"(\d{4,})"), F.lit(1)), lambda x: x.try_cast("bigint"))), F.lit(0).cast("bigint"))
 
 
-def until_stale(pages: DataFrame, order: str, old: Column, run: int = 40, by: str = "fuente") -> DataFrame:
-    """Pages in order up to the end of the first ``run`` old ones in a row."""
-    w = Window.partitionBy(by).orderBy(order)
-    df = pages.withColumn("_old", old.cast("int")).withColumn("_break", F.sum(1 - F.col("_old")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_run", F.sum("_old").over(Window.partitionBy(by, "_break").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_stop", F.coalesce(F.max((F.col("_run") >= run).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return df.filter("_stop = 0").drop("_old", "_break", "_run", "_stop")
+#: Sitemaps that are followed from one, by their first entries; and levels of them.
+CHILDREN, LEVELS = 8, 4
+
+
+def discover(maps: DataFrame, roots: DataFrame, limit: int, pattern: str = "", as_of: Column | None = None, days: int = 30, levels: int = LEVELS) -> DataFrame:
+    """fuente, url, rank of the postings that sources' sitemaps lead to.
+
+    maps: map_url, xml of what was read; roots: fuente, map_url, pos. Maps are followed level by
+    level, first come first, up to CHILDREN from each, and no further once three times the limit of
+    URLs is reached. With ``as_of`` the recent ones come, newest first; else the highest numbers.
+    ``levels`` bounds the depth: each is one join with the entries."""
+    entries = sitemap_urls(maps)
+    children = entries.filter("is_map").select(F.col("map_url").alias("parent"), F.col("pos").alias("at"), F.col("loc").alias("child"))
+    path = F.array(F.col("pos").cast("int"))
+    frontier = roots.select("fuente", "map_url", F.struct(F.lit(0).alias("level"), path.alias("path")).alias("order"))
+    seen = frontier
+    for level in range(1, levels):
+        led = frontier.join(children, F.col("map_url") == F.col("parent")).select("fuente", "order", "at", "child")
+        known = seen.select(F.col("fuente").alias("f"), F.col("map_url").alias("m"), F.col("order").alias("o"))
+        led = led.join(known, (F.col("fuente") == F.col("f")) & (F.col("child") == F.col("m")) & (F.col("o") <= F.col("order")), "left_anti")
+        nth = F.row_number().over(Window.partitionBy("fuente", "order").orderBy("at"))  # as many rows as a map has
+        led = led.withColumn("nth", nth).filter(F.col("nth") <= CHILDREN)
+        into = F.struct(F.lit(level).alias("level"), F.concat("order.path", F.array(F.col("nth"))).alias("path"))
+        frontier = led.select("fuente", F.col("child").alias("map_url"), into.alias("order"))
+        seen = seen.unionByName(frontier)
+    first = seen.groupBy("fuente", "map_url").agg(F.min("order").alias("order"))
+    found = entries.filter("not is_map").select(F.col("map_url").alias("of"), "pos", "loc", "lastmod")
+    sizes = found.groupBy("of").agg(F.count(F.lit(1)).alias("n"))
+    ordered = Window.partitionBy("fuente").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)  # a source's maps: at most roots * CHILDREN ** (levels - 1)
+    before = first.join(sizes, F.col("map_url") == F.col("of"), "left").withColumn("before", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(ordered), F.lit(0)))
+    read = before.filter(F.col("before") < 3 * limit).select("fuente", "order", F.col("map_url").alias("map"))
+    urls = found.join(read, F.col("of") == F.col("map")).select("fuente", F.col("loc").alias("url"), F.struct("order", "pos").alias("place"), "lastmod")
+    if as_of is not None:
+        urls = urls.filter((F.col("lastmod") >= F.date_sub(as_of, days)) | F.col("lastmod").isNull())
+        better = F.struct(F.coalesce(-F.unix_date("lastmod"), F.lit(2**31 - 1)), "place")
+    else:
+        better = F.struct(-correlative(F.col("url")), "place")
+    urls = urls.filter(F.col("url").rlike(pattern)) if pattern else urls
+    # the best of each source, cut before they are gathered: by halves of a hash, then together
+    keyed = urls.select("fuente", "url", better.alias("better"), F.pmod(F.xxhash64("url"), F.lit(64)).alias("part"))
+    part = F.row_number().over(Window.partitionBy("fuente", "part").orderBy("better"))
+    rank = F.row_number().over(Window.partitionBy("fuente").orderBy("better"))
+    best = keyed.withColumn("nth", part).filter(F.col("nth") <= limit).withColumn("rank", rank)
+    return best.filter(F.col("rank") <= limit).select("fuente", "url", "rank")
+
+
+#: Numbers of a source's order that one task looks through.
+STRETCH = 100_000
+
+
+def until_stale(pages: DataFrame, order: str, old: Column, run: int = 40, by: str = "fuente", stretch: int = STRETCH) -> DataFrame:
+    """Pages in order up to the end of the first ``run`` old ones in a row (S8); ``order`` is a whole number.
+
+    Each stretch of the order is looked through by itself: how many old ones it starts and ends
+    with, and where the first long run inside it ends. Stretches, a row each, then carry what they
+    end with into the next."""
+    keyed = pages.select(F.col(by).alias("_by"), F.col(order).cast("long").alias("_order"), old.cast("int").alias("_is_old"), F.floor(F.col(order) / stretch).alias("_part"))
+    w = Window.partitionBy("_by", "_part").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+    keyed = keyed.withColumn("_break", F.sum(1 - F.col("_is_old")).over(w))
+    inside = Window.partitionBy("_by", "_part", "_break").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+    keyed = keyed.withColumn("_run", F.sum("_is_old").over(inside))
+    ends = keyed.filter((F.col("_is_old") == 1) & (F.col("_run") <= run))
+    # the places of a stretch's leading old ones, of which one may end a run that began before it
+    parts = keyed.groupBy("_by", "_part").agg(
+        F.count_if((F.col("_break") == 0) & (F.col("_is_old") == 1)).alias("lead"), F.count(F.lit(1)).alias("n"), F.max_by("_run", F.struct("_order", "_break", "_run")).alias("tail"),
+        F.min(F.when(F.col("_run") == run, F.col("_order"))).alias("stop"),
+    )
+    upto = Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    mixed = F.col("lead") < F.col("n")
+    # what is carried in: the tail of the last stretch with a fresh page, and all of those that are old throughout after it
+    parts = parts.withColumn("_all", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("_base", F.coalesce(F.max(F.when(mixed, F.struct("_part", (F.col("_all") + F.col("n") - F.col("tail")).alias("base")))).over(upto)["base"], F.lit(0)))
+    parts = parts.withColumn("carried", F.col("_all") - F.col("_base"))
+    asked = parts.filter("carried + lead >= " + str(run)).select(F.col("_by").alias("b"), F.col("_part").alias("p"), F.greatest(run - F.col("carried"), F.lit(1)).alias("r"))
+    across = ends.filter("_break = 0").join(asked, F.col("_by").eqNullSafe(F.col("b")) & (F.col("_part") == F.col("p")) & (F.col("_run") == F.col("r"))).select("_by", F.col("_order").alias("stop"))
+    stops = parts.filter("stop is not null").select("_by", "stop").unionByName(across).groupBy(F.col("_by").alias("_of")).agg(F.min("stop").alias("_stop"))
+    return pages.join(stops, F.col(by).eqNullSafe(F.col("_of")), "left").filter(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_of", "_stop")
 
 
 def vacancy_counts(urls: DataFrame, n: Column) -> DataFrame:
@@ -77,12 +162,16 @@ def vacancy_counts(urls: DataFrame, n: Column) -> DataFrame:
     return urls.agg(F.count_if(n > 1).alias("de_varias_plazas"), F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("plazas_en_juego"))
 
 
-def robots_rules(files: DataFrame, agent: str, host: str = "host", text: str = "text") -> DataFrame:
-    """host, allowed, pattern, regex, delay, sitemaps of the group for our agent."""
+def _robots_lines(files: DataFrame, host: str, text: str) -> DataFrame:
+    """host, pos, field, value, group of the lines that count; consecutive agents open one group."""
     lines = files.select(host, F.posexplode(F.split(text, r"\r?\n")).alias("pos", "raw"))
     plain = F.trim(F.regexp_replace("raw", "#.*$", ""))
     kept = lines.withColumn("line", plain).filter(F.col("line").contains(":")).select(host, "pos", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("field"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value"))
-    kept = kept.filter(F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay", "sitemap"))
+    return kept.filter(F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay", "sitemap"))
+
+
+def _our_rules(kept: DataFrame, agent: str, host: str) -> DataFrame:
+    """The lines of the groups of the agent that is us, else of '*': the first agent whose name is part of ours."""
     by = Window.partitionBy(host).orderBy("pos")
     rules = kept.filter("field <> 'sitemap'")
     opens = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(by), F.lit("")) != "user-agent")
@@ -92,12 +181,27 @@ def robots_rules(files: DataFrame, agent: str, host: str = "host", text: str = "
     ranked = agents.withColumn("kind", F.when(ours, 0).when(F.col("agent") == "*", 1)).filter("kind is not null")
     named = ranked.groupBy("h").agg(F.min(F.struct("kind", "at", "agent")).alias("m")).select("h", "m.agent")
     mine = agents.join(named, ["h", "agent"]).select("h", "g").distinct()
-    chosen = rules.filter("field <> 'user-agent'").join(mine, (F.col(host) == F.col("h")) & (F.col("group") == F.col("g"))).drop("h", "g", "group")
+    return rules.filter("field <> 'user-agent'").join(mine, (F.col(host) == F.col("h")) & (F.col("group") == F.col("g"))).drop("h", "g", "group")
+
+
+def robots_rules(files: DataFrame, agent: str, host: str = "host", text: str = "text") -> DataFrame:
+    """host, allowed, pattern, regex of the group for our agent."""
+    chosen = _our_rules(_robots_lines(files, host, text), agent, host)
     free = (F.col("field") == "disallow") & (F.col("value") == "")
     paths = chosen.filter("field in ('allow', 'disallow')").select(host, ((F.col("field") == "allow") | free).alias("allowed"), F.when(free, "/").otherwise(F.col("value")).alias("pattern"))
     return paths.filter("pattern <> ''").withColumn("regex", pattern_regex(F.col("pattern")))
 
 
+def robots_policy(files: DataFrame, agent: str, host: str = "host", text: str = "text") -> DataFrame:
+    """host, delay of the group for our agent (null without one), and the sitemaps that the file names, in order (R2)."""
+    kept = _robots_lines(files, host, text)
+    delay = F.col("value").try_cast("double")
+    delays = _our_rules(kept, agent, host).filter("field = 'crawl-delay'").filter(delay.isNotNull()).groupBy(F.col(host).alias("dh")).agg(F.max_by(delay, F.col("pos")).alias("delay"))
+    maps = kept.filter("field = 'sitemap'").groupBy(F.col(host).alias("mh")).agg(F.array_sort(F.collect_list(F.struct("pos", F.regexp_replace("value", r"\s+", "").alias("url")))).alias("m"))
+    hosts = files.select(host).distinct().join(delays, F.col(host) == F.col("dh"), "left").join(maps, F.col(host) == F.col("mh"), "left")
+    return hosts.select(host, "delay", F.coalesce(F.transform("m", lambda x: x["url"]), F.array().cast("array<string>")).alias("sitemaps"))
+
+
 def pattern_regex(pattern: Column) -> Column:
     """A robots pattern as an anchored regex: only * and a final $ are special."""
     quoted = F.regexp_replace(F.regexp_replace(pattern, r"\$$", ""), r"([\\.^$|?+()\[\]{}])", r"\\$1")
@@ -137,7 +241,7 @@ def select_sources(sources: DataFrame, part: str) -> DataFrame:
 
 def startup_sources(sources: DataFrame) -> DataFrame:
     """Sources once each, the first of a name."""
-    return sources.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("rank"))).filter("_n = 1").drop("_n")
+    return sources.groupBy("name").agg(F.min_by(F.struct(*sources.columns), F.col("rank")).alias("s")).select("s.*")
 
 
 def cache_key(url: Column) -> Column:
@@ -145,3 +249,48 @@ def cache_key(url: Column) -> Column:
     return F.substring(F.sha1(url.cast("binary")), 1, 20)
 
 
+
+
+def diagnose(sources: DataFrame, policies: DataFrame, urls: DataFrame, samples: DataFrame) -> DataFrame:
+    """What a look at each source tells before it is left to itself: robots, URLs found, JSON-LD, details.
+
+    sources: fuente, nota, sitemaps (its own); policies: fuente, legible, nota_robots, declarados;
+    urls: fuente, url, rank; samples: url, puesto, empresa, sueldo_texto, con_jsonld, html."""
+    of = lambda df, tag: df.withColumnRenamed("fuente", f"_{tag}")
+    counts = urls.groupBy("fuente").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min_by("url", "rank").alias("first"))
+    df = sources.join(of(policies, "p"), F.col("fuente") == F.col("_p"), "left").join(of(counts, "c"), F.col("fuente") == F.col("_c"), "left")
+    df = df.join(samples.withColumnRenamed("url", "_url"), F.col("first") == F.col("_url"), "left")
+    readable, n = F.coalesce("legible", F.lit(False)), F.coalesce("n", F.lit(0))
+    asked = readable & (n > 0) & F.col("_url").isNotNull()
+    sample = F.concat(F.lit("Muestra: "), "puesto", F.lit(" — "), "empresa", F.lit(" ["), F.coalesce(F.nullif("sueldo_texto", F.lit("")), F.lit("sin campo de sueldo")), F.lit("]"))
+    empty_page = F.col("html").contains("enable JavaScript") | (F.char_length("html") < 2000)
+    shown = F.when(F.col("con_jsonld"), sample).when(empty_page, "La página llega vacía: es una SPA, marcar necesita_render=True").otherwise("HTML completo pero sin JSON-LD: hay que escribir un parser propio")
+    detail = F.array_compact(F.array(F.nullif("nota", F.lit("")), F.col("nota_robots"), F.when((F.col("declarados") > 0) & (F.col("sitemaps") == 0), F.concat(F.lit("Sitemaps declarados: "), F.col("declarados").cast("string"))), F.when(readable & (n == 0), "No se descubrieron avisos: revisar sitemap o patrón"), F.when(asked, shown)))
+    return df.select("fuente", F.when(readable, "permite").otherwise("bloquea").alias("robots"), F.when(readable, n).otherwise(0).alias("urls"), F.when(asked, F.col("con_jsonld")).alias("con_jsonld"), detail.alias("detalle"))
+
+
+def connector_advice(url: Column, html: Column, allowed: Column, note: Column, has_jsonld: Column) -> Column:
+    """Which reader a company's job page needs, with the account's name where the page tells it."""
+    page = F.coalesce(html, F.lit(""))
+    ats = F.coalesce(F.nullif(detect_ats(url), F.lit("")), detect_ats(page))
+    account = lambda text, pattern, default: F.coalesce(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), F.lit(default))
+    site = F.coalesce(F.nullif(F.regexp_extract(page, r"careersite/(\d+)", 1), F.lit("")), account(url, r"careersite/(\d+)", "<n>"))
+    said = lambda *parts: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
+    return (
+        F.when(~allowed, said("No se puede leer: ", note))
+        .when(html.isNull(), said("No respondió: ", note))
+        .when(ats == "greenhouse", said("Usa Greenhouse. Agrega:  Greenhouse('", account(page, r"(?i)greenhouse\.io/(?:embed/job_board\?for=|boards/)?([a-z0-9_-]+)", "<cuenta>"), "', 'Nombre de la empresa')"))
+        .when(ats == "lever", said("Usa Lever. Agrega:  Lever('", account(page, r"(?i)lever\.co/([a-z0-9_-]+)", "<cuenta>"), "', 'Nombre de la empresa')"))
+        .when(ats == "cornerstone", said("Usa Cornerstone OnDemand (careersite ", site, "). Los avisos se piden por su API interna; revisá qué llama la página antes de raspar."))
+        .when(ats == "gupy", said("Usa Gupy (", account(F.concat(url, page), r"(?i)https?://([a-z0-9-]+)\.gupy\.io", "<cuenta>"), ".gupy.io). Expone los avisos en JSON; vale la pena escribirle un lector, sirve para varias empresas."))
+        .when(ats != "", said("Usa ", ats, ". No hay lector directo todavía; probá si la página del aviso trae JSON-LD (motor probar-url --parser jsonld <url del aviso>)."))
+        .when(has_jsonld, "Web propia con JSON-LD. Usa portal_propio(...) y funcionará sin más.")
+        .when(page.contains("enable JavaScript") | (F.char_length(page) < 2000), "Web propia hecha en JavaScript: necesita Playwright (necesita_render=True).")
+        .otherwise("Web propia sin JSON-LD: hay que revisar el HTML a mano y escribirle un parser, o pedirle a la empresa un feed.")
+    )
+
+
+def catalogue(*parts: DataFrame) -> DataFrame:
+    """The sources of several catalogues as one, the first of each name, by catalogue and rank."""
+    ranked = [p.select("name", F.struct(F.lit(k).alias("part"), "rank").alias("rank")) for k, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, ranked).groupBy("name").agg(F.min("rank").alias("first")).select("name", "first.part", "first.rank")

@@ -141,46 +141,80 @@ def tender_postings(pages: DataFrame, as_of: Column) -> DataFrame:
     return kept.filter("_low = _high and _n = 1").select("url", "card", "puesto", "sueldo_texto", "requisitos", "vence")
 
 
+#: Levels of lists and graphs that are opened.
+NESTED = 3
+
+
+def _values(path: str, kind: str):
+    return lambda v: F.try_variant_get(v, path, kind)
+
+
+def _opened(values: Column) -> Column:
+    """An array of variants with lists and graphs replaced by what they hold."""
+    listed, graph, one = _values("$", "array<variant>"), _values("$['@graph']", "array<variant>"), _values("$['@graph']", "variant")
+    inside = lambda v: F.coalesce(listed(v), graph(v), F.when(one(v).isNotNull(), F.array(one(v))), F.array(v))
+    return F.flatten(F.transform(values, inside))
+
+
 def job_posting_node(html: Column) -> Column:
-    """The first JobPosting of a page's JSON-LD, as JSON text, or null; trailing commas are forgiven."""
-    scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    repaired = lambda x: F.regexp_replace(x, r",\s*([}\]])", "$1")
-    valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x).when(F.try_parse_json(repaired(x)).isNotNull(), repaired(x))
-    parts = F.filter(F.transform(scripts, valid), lambda x: x.isNotNull())
-    listed = lambda x: F.coalesce(F.filter(F.from_json(x, "array<string>"), lambda y: y.startswith("{")), F.array().cast("array<string>"))
-    flat = F.flatten(F.transform(parts, lambda x: F.concat(F.when(F.trim(x).startswith("["), listed(x)).otherwise(F.array(x)), listed(F.get_json_object(x, "$.@graph")))))
-    return F.get(F.filter(flat, lambda x: F.lower(F.coalesce(F.get_json_object(x, "$.@type"), F.lit(""))).contains("jobposting")), F.lit(0))
+    """The first JobPosting of a page's JSON-LD, as a variant, or null.
+
+    Scripts are parsed once, and again without trailing commas only where that fails."""
+    scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    parse = lambda x: F.coalesce(F.try_parse_json(F.trim(x)), F.try_parse_json(F.regexp_replace(F.trim(x), r",\s*([}\]])", "$1")))
+    values = F.filter(F.transform(scripts, parse), lambda v: v.isNotNull())
+    for _ in range(NESTED):
+        values = _opened(values)
+    kind = _values("$['@type']", "string")
+    return F.when(html.contains("ld+json"), F.get(F.filter(values, lambda v: F.lower(kind(v)) == "jobposting"), F.lit(0)))
 
 
 def _json(node: Column, path: str) -> Column:
-    return F.nullif(F.get_json_object(node, path), F.lit(""))
+    return F.nullif(F.try_variant_get(node, path, "string"), F.lit(""))
+
+
+def _plain(value: Column) -> Column:
+    """The value, unless it is JSON of an object or a list."""
+    return F.when(~value.rlike(r"^[\[{]"), value)
 
 
 def _json_text(node: Column, path: str) -> Column:
     """A text, or the name, value or first item of what stands there."""
-    raw = _json(node, path)
-    return F.coalesce(_json(node, f"{path}.name"), _json(node, f"{path}.value"), _json(node, f"{path}[0].name"), _json(node, f"{path}[0]"), F.when(~raw.rlike(r"^[\[{]"), raw), F.lit(""))
+    first = lambda p: F.coalesce(_json(node, f"{p}.name"), _json(node, f"{p}.value"), _plain(_json(node, p)))
+    return F.coalesce(first(path), first(f"{path}[0]"), F.lit(""))
 
 
-def job_posting_fields(node: Column) -> Column:
-    """struct of a JobPosting node: title, employer, location, salary text, dates, mode, body."""
-    city = F.coalesce(_json(node, "$.jobLocation.address.addressLocality"), _json(node, "$.jobLocation[0].address.addressLocality"))
-    region = F.coalesce(_json(node, "$.jobLocation.address.addressRegion"), _json(node, "$.jobLocation[0].address.addressRegion"))
-    street = F.when(~_json(node, "$.jobLocation.address").rlike(r"^[\[{]"), _json(node, "$.jobLocation.address"))
-    units = {"HOUR": "por hora", "DAY": "diario", "WEEK": "semanal", "MONTH": "mensual", "YEAR": "anual"}
+# Units of pay and the words that tell them.
+UNITS = {"HOUR": "por hora", "DAY": "diario", "WEEK": "semanal", "MONTH": "mensual", "YEAR": "anual"}
+
+
+def _pay(node: Column) -> Column:
+    """The pay of a node as text: a range, one amount, or what it says."""
+    base = "$.baseSalary"
+    sign = F.when(F.coalesce(_json(node, f"{base}.currency"), _json(node, f"{base}.currencyCode"), F.lit("PEN")) == "PEN", "S/ ").otherwise("US$ ")
     unit = F
-    for k, v in units.items():
-        unit = unit.when(F.upper(_json(node, "$.baseSalary.value.unitText")) == k, v)
+    for k, v in UNITS.items():
+        unit = unit.when(F.upper(_json(node, f"{base}.value.unitText")) == k, v)
     unit = unit.otherwise("mensual")
-    sign = F.when(F.coalesce(_json(node, "$.baseSalary.currency"), F.lit("PEN")) == "PEN", "S/ ").otherwise("US$ ")
-    low, high, one = (_json(node, f"$.baseSalary.value.{k}") for k in ("minValue", "maxValue", "value"))
-    scalar = F.coalesce(F.when(~_json(node, "$.baseSalary.value").rlike(r"^[\[{]"), _json(node, "$.baseSalary.value")), F.when(~_json(node, "$.baseSalary").rlike(r"^[\[{]"), _json(node, "$.baseSalary")))
-    pay = F.when(low.isNotNull() & high.isNotNull(), F.concat(sign, low, F.lit(" a "), sign, high, F.lit(" "), unit)).when(F.coalesce(low, high, one).isNotNull(), F.concat(sign, F.coalesce(low, high, one), F.lit(" "), unit)).when(scalar.isNotNull(), F.concat(sign, scalar))
+    known = lambda k: F.nullif(_json(node, f"{base}.value.{k}"), F.lit("0"))
+    low, high, one = known("minValue"), known("maxValue"), known("value")
+    single = F.coalesce(one, low, high)
+    said = F.when(F.try_variant_get(node, base, "double").isNull() | ~_json(node, base).rlike(r"^[0-9.eE+-]+$"), _plain(_json(node, base)))
+    pay = F.when(low.isNotNull() & high.isNotNull(), F.concat(sign, low, F.lit(" a "), sign, high, F.lit(" "), unit)).when(single.isNotNull(), F.concat(sign, single, F.lit(" "), unit))
+    return F.coalesce(pay, F.concat(sign, _plain(_json(node, f"{base}.value"))), said, F.lit(""))
+
+
+def job_posting_fields(node: Column) -> Column:
+    """struct of a JobPosting node: title, employer, location, salary text, dates, mode, body, id."""
+    at = lambda k: F.coalesce(_json(node, f"$.jobLocation.address.{k}"), _json(node, f"$.jobLocation[0].address.{k}"))
+    street = F.coalesce(_plain(_json(node, "$.jobLocation.address")), _plain(_json(node, "$.jobLocation[0].address")), _plain(_json(node, "$.jobLocation")))
+    day = lambda k: F.try_to_date(F.substring(F.trim(_json(node, k)), 1, 10), "yyyy-MM-dd")
     return F.struct(
-        _json_text(node, "$.title").alias("puesto"), _json_text(node, "$.hiringOrganization").alias("empresa"),
-        F.coalesce(F.nullif(F.concat_ws(", ", city, region), F.lit("")), street, F.lit("")).alias("ubicacion"), F.coalesce(pay, F.lit("")).alias("sueldo_texto"),
-        F.try_to_date(F.substring(_json(node, "$.datePosted"), 1, 10), "yyyy-MM-dd").alias("publicado"), F.try_to_date(F.substring(_json(node, "$.validThrough"), 1, 10), "yyyy-MM-dd").alias("vence"),
-        F.when(F.upper(F.coalesce(_json(node, "$.jobLocationType"), F.lit(""))).contains("TELECOMMUTE"), "remoto").otherwise("").alias("modalidad"), _json_text(node, "$.description").alias("cuerpo"),
+        F.trim(_json_text(node, "$.title")).alias("puesto"), F.trim(_json_text(node, "$.hiringOrganization")).alias("empresa"),
+        F.coalesce(F.nullif(F.concat_ws(", ", at("addressLocality"), at("addressRegion")), F.lit("")), street, F.lit("")).alias("ubicacion"), _pay(node).alias("sueldo_texto"),
+        day("$.datePosted").alias("publicado"), day("$.validThrough").alias("vence"),
+        F.when(F.upper(_json_text(node, "$.jobLocationType")).contains("TELECOMMUTE"), "remoto").otherwise("").alias("modalidad"), F.coalesce(_json(node, "$.description"), F.lit("")).alias("cuerpo"),
+        F.coalesce(_json(node, "$.identifier.value"), _plain(_json(node, "$.identifier")), F.lit("")).alias("id_externo"),
     )
 
 
@@ -210,6 +244,28 @@ OFFICIAL_HINTS = ("oficial", "anuncio", "postular", "bases", "convocatoria", "tr
 SOCIAL_HOSTS = ("facebook", "twitter", "wa.me", "instagram", "linkedin", "google", "youtube")
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """A link as a browser follows it from a page's address: absolute, of the host, or of the page's folder; dot segments are taken out."""
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    bare = F.regexp_replace(base, r"[?#].*$", "")
+    path = F.substring(bare, F.char_length(root) + 1, F.char_length(bare))
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    query = F.regexp_extract(href, r"([?#].*)$", 1)
+    target = F.regexp_replace(href, r"[?#].*$", "")
+    joined = F.when(target.startswith("/"), target).when(target == "", path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), target))
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).when(x == ".", kept).otherwise(F.array_append(kept, x))
+    parts = F.split(joined, "/")
+    clean = F.array_join(F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.array(F.lit("")), step), "/")
+    ending = F.when(joined.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(scheme, href))
+        .when(href == "", base)
+        .otherwise(F.concat(root, clean, ending, query))
+    )
+
+
 def _links(pages: DataFrame, pattern: str, keep: list[str]) -> DataFrame:
     group = lambda k, name: F.regexp_extract_all("html", F.lit(pattern), F.lit(k)).alias(name)
     each = pages.select(*keep, F.posexplode(F.arrays_zip(group(1, "href"), group(2, "label"))).alias("pos", "x"))
@@ -222,9 +278,12 @@ def _best(links: DataFrame, keep: list[str]) -> DataFrame:
     return first.select(*keep, "href", (-F.col("m.low")).alias("score"), F.row_number().over(by_page.orderBy("m.low", "m.pos")).alias("rank"))
 
 
-def pdf_links(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, href, score, rank of a page's PDF links, most promising first."""
-    links = _links(pages, r"""(?is)<a[^>]+href=["']([^"']+\.pdf[^"']*)["'][^>]*>(.*?)</a>""", keep)
+def pdf_links(pages: DataFrame, keep: list[str], base: str | None = None) -> DataFrame:
+    """keep, href, score, rank of a page's PDF links, most promising first; relative ones are resolved from column ``base``."""
+    links = _links(pages, r"""(?is)<a[^>]+href=["']([^"']+\.pdf[^"']*)["'][^>]*>(.*?)</a>""", [*dict.fromkeys([*keep, *([base] if base else [])])])
+    if base:
+        from_page = F.when(F.col(base).endswith("/"), F.col(base)).otherwise(F.concat(base, F.lit("/")))
+        links = links.withColumn("href", resolve(from_page, F.col("href")))
     score = sum((F.when(any_of(F.col("context"), words), weight).otherwise(0) for words, weight in PDF_HINTS), F.lit(0))
     return _best(links.withColumn("score", score), keep)
 
@@ -236,3 +295,67 @@ def official_links(pages: DataFrame, keep: list[str], host: str = "host") -> Dat
     score = F.when(F.col("to").contains(".gob.pe"), 6).otherwise(0) + sum((F.when(F.col("context").contains(h), 3).otherwise(0) for h in OFFICIAL_HINTS), F.lit(0))
     good = links.filter((F.col("to") != F.col(host)) & ~any_of(F.col("to"), SOCIAL_HOSTS)).withColumn("score", score).filter("score > 0")
     return _best(good, keep)
+
+
+# What the law grants in each labour regime, under the heading that the reader of benefits knows.
+REGIME_BENEFITS = {
+    "CAS": (
+        "Régimen CAS (D. Leg. 1057): afiliación a EsSalud a cargo de la entidad",
+        "Afiliación a un régimen pensionario (ONP o AFP) a elección",
+        "30 días calendario de vacaciones al año",
+        "Aguinaldos por Fiestas Patrias y Navidad según la ley de presupuesto",
+        "Jornada máxima de 48 horas semanales",
+    ),
+    "728": (
+        "Régimen laboral privado (D. Leg. 728): planilla con todos los beneficios de ley",
+        "Gratificaciones de julio y diciembre",
+        "Compensación por Tiempo de Servicios (CTS)",
+        "30 días calendario de vacaciones al año",
+        "Seguro de salud EsSalud y afiliación pensionaria",
+    ),
+    "276": (
+        "Régimen de carrera administrativa (D. Leg. 276): nombramiento o contrato en planilla",
+        "Aguinaldos por Fiestas Patrias y Navidad",
+        "30 días calendario de vacaciones al año",
+        "Seguro de salud EsSalud y afiliación pensionaria",
+        "Escala remunerativa y línea de carrera del sector público",
+    ),
+}
+
+
+def statutory_benefits(name: Column) -> Column:
+    """The regime's benefits as a block of HTML with its heading, else empty."""
+    out = F
+    for k, items in REGIME_BENEFITS.items():
+        out = out.when(name == k, "<p>Beneficios</p><ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+    return out.otherwise("")
+
+
+def public_postings(pages: DataFrame, source: Column) -> DataFrame:
+    """A raw posting for each page (url, html) of a public tender that has a title (M5).
+
+    The title is the heading's, the JSON-LD's or the site's; pay, place and dates are those of the
+    sheet, then of the JSON-LD, then of the description. The body is the description, the JSON-LD's
+    body, the whole page, and the benefits of the regime."""
+    html = F.coalesce("html", F.lit(""))
+    df = once(pages.select("url", html.alias("html")), node=job_posting_node(F.col("html")), lines=html_to_lines(F.col("html")), about=F.coalesce(F.nullif(meta(F.col("html"), "description"), F.lit("")), meta(F.col("html"), "og:description")), named=meta(F.col("html"), "og:title"))
+    df = once(df, j=job_posting_fields(F.col("node")))
+    beside = lambda *labels: F.coalesce(*(F.nullif(value_beside(F.col("lines"), x), F.lit("")) for x in labels), F.lit(""))
+    known = lambda c: F.nullif(c, F.lit(""))
+    title = F.coalesce(known(heading_text(F.col("html"))), known(F.col("j.puesto")), known(F.trim(F.substring_index("named", " - ", 1))))
+    of_site = F.when(F.col("named").contains(" - "), F.trim(F.substring_index(F.regexp_replace("named", r"(?s)^.*? - ", ""), "|", 1)))
+    told = F.regexp_extract("about", r"(?i)(?:sueldo|remuneraci[oó]n(?:\s+mensual)?)[:\s]*((?:S/|US\$)\s*[\d.,]+)", 1)
+    df = once(
+        df, puesto=title, empresa=F.coalesce(known(F.col("j.empresa")), known(of_site), beside("Entidad", "Institución")), sueldo_texto=F.coalesce(known(beside("Sueldo", "Remuneración")), known(F.col("j.sueldo_texto")), told),
+        place=F.coalesce(known(beside("Ubicación", "Lugar de trabajo")), F.trim(F.concat_ws(" ", "j.ubicacion", "j.modalidad"))), mode=value_beside(F.col("lines"), "Modalidad"), contract=beside("Contrato", "Régimen"),
+        publicado=F.coalesce(*(spanish_date(value_beside(F.col("lines"), x)) for x in ("Publicación", "Fecha de publicación")), F.col("j.publicado")),
+        vence=F.coalesce(*(spanish_date(value_beside(F.col("lines"), x)) for x in ("Fecha límite", "Cierre de postulación")), spanish_date(F.right(meta(F.col("html"), "description"), F.lit(60)))),
+    ).filter("puesto is not null")
+    df = once(df, regimen=regime(F.concat_ws(" ", "contract", "named", "url")))
+    benefits = statutory_benefits(F.col("regimen"))
+    body = F.concat(F.lit("<p>"), "about", F.lit("</p>"), F.coalesce("j.cuerpo", F.lit("")), "html", benefits)
+    extra = {"perfil": F.lit("publico"), "regimen": F.col("regimen"), "contrato": F.col("contract"), "beneficios_de_ley": (benefits != "").cast("string"), "vence": F.coalesce(F.col("vence").cast("string"), F.lit(""))}
+    return df.select(
+        source.alias("fuente"), "url", "puesto", "empresa", body.alias("descripcion_html"), F.lit("").alias("texto_plano"), F.trim(F.concat_ws(" ", "place", "mode")).alias("ubicacion_texto"), "sueldo_texto", "publicado",
+        F.coalesce("j.id_externo", F.lit("")).alias("id_externo"), F.create_map(*(x for k, v in extra.items() for x in (F.lit(k), v))).alias("extra"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import read_version, upsert, write_version
+from ..operators.store import bucket, read_buckets, upsert, write_buckets
 
 
 def first_seen(stream: DataFrame, key: list[str], time: str, ttl: str = "30 days") -> DataFrame:
@@ -21,21 +21,27 @@ def counts_by_window(stream: DataFrame, time: str, by: list[str], width: str = "
     return at.groupBy(F.window(time, width), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("desde"), *by, "n")
 
 
-def upsert_stream(stream: DataFrame, folder: str, key: str, order: tuple, now: str, checkpoint: str) -> StreamingQuery:
-    """Puts every micro-batch into a versioned table: batch n makes version n + 1, again if it is run again."""
+#: Key buckets of a table that a stream is put into.
+BUCKETS = 64
+
+
+def upsert_stream(stream: DataFrame, folder: str, key: str, order: tuple, now: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Puts every micro-batch into a table of key buckets: batch n makes version n + 1 of the buckets it has rows for, again if it is run again.
+
+    Other buckets are neither read nor written."""
 
     def put(batch: DataFrame, n: int) -> None:
         spark: SparkSession = batch.sparkSession
-        held = read_version(spark, folder, n)
-        new = upsert(held, batch, key, F.lit(now).cast("timestamp"), order)
-        new.write.mode("overwrite").parquet(f"{folder}/v={n + 1}")
+        touched = [r.b for r in batch.select(bucket(key, buckets).alias("b")).distinct().collect()]  # at most ``buckets`` rows
+        if touched:
+            write_buckets(upsert(read_buckets(spark, folder, n, touched), batch, key, F.lit(now).cast("timestamp"), order), folder, key, n + 1, buckets)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def start_table(spark: SparkSession, folder: str, schema: str) -> str:
-    """An empty version 0 for upsert_stream."""
-    return write_version(spark.createDataFrame([], schema), folder, 0)
+def start_table(spark: SparkSession, folder: str, schema: str) -> None:
+    """An empty table for upsert_stream: its columns."""
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/schema")
 
 
 def drain(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
@@ -43,3 +49,14 @@ def drain(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     spark = stream.sparkSession
     stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(folder)
+
+
+def totals(counts: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Runs a stream of counts over what is there and returns the last count of each group: every micro-batch writes those it changed."""
+    spark, keys = counts.sparkSession, [c for c in counts.columns if c != "n"]
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/k={k}")
+
+    counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(folder).groupBy(*keys).agg(F.max_by("n", "k").alias("n"))
