@@ -41,13 +41,16 @@ def pick(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*(F.col(k).cast(kind).alias(k) for k, kind in columns.items()))
 
 
-#: Small rows that may be broadcast, once counted; more are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows, and bytes of them as JSON, that may be broadcast, once counted; more are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has no more than so many rows; df is counted, so it should be cut before."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if it has no more than so many rows and bytes; both are counted, so df should be cut before."""
+    if df.count() > rows:
+        return df
+    found = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first().n or 0
+    return F.broadcast(df) if found <= size else df
 
 
 def free(docs: DataFrame, *names: str) -> list[str]:
