@@ -9,6 +9,7 @@ from . import rules
 from .text import any_of, collapse, let
 
 SALARY = "struct<minimo:int,maximo:int,moneda:string,periodo:string,literal:string,confianza:int>"
+# How an amount, a currency and a range are written.
 AMOUNT = r"(?<!\d)(?:\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?|\d{2,6}(?:[.,]\d{1,2})?)(?!\d)"
 _CURRENCY = {"PEN": r"(?:s/\.?|soles?|pen\b|nuevos soles)", "USD": r"(?:us\$|usd\b|d[oó]lares?|\$)"}
 _TO = r"\s*(?:a|-|–|hasta|y)\s*"

@@ -70,12 +70,16 @@ def _accents() -> tuple[str, str]:
 _COMMON = ("áéíóúüñÁÉÍÓÚÜÑàâçèêëîïôùûÀÂÇÈÊËÎÏÔÙÛäöÄÖ", "aeiouunAEIOUUNaaceeeiiouuAACEEEIIOUUaoAO")
 
 
+# Where other accents can be: not among signs, punctuation and letters that have no base.
+_ACCENTED = r"[\u00C0-\u00D6\u00D8-\u00DE\u00E0-\u00F6\u00F8-\u1FFF\u2100-\uFFFF]"
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents; null is empty.
 
     The whole table of accents is only gone through where a text has others than the common ones."""
     common = lambda t: F.translate(t, *_COMMON)
-    rest = lambda t: F.when(t.rlike(r"[\u00C0-\uFFFF]"), F.regexp_replace(F.translate(t, *_accents()), r"\p{Mn}", "")).otherwise(t)
+    rest = lambda t: F.when(t.rlike(_ACCENTED), F.regexp_replace(F.translate(t, *_accents()), r"\p{Mn}", "")).otherwise(t)
     plain = lambda t: F.lower(let(common(t), rest))
     return let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), plain(t)).otherwise(F.lower(t)))
 
@@ -131,15 +135,19 @@ def unescape(text: Column) -> Column:
     return let(text, lambda t: F.when(t.rlike(_ENTITY), decode(t)).otherwise(t))
 
 
+# What goes, what breaks a line, and what opens an item.
+DROPPED = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
+BREAKS = (r"(?i)<\s*br\s*/?\s*>", r"(?i)</\s*(?:p|div|li|tr|h[1-6]|section|ul|ol)\s*>")
+ITEM = r"(?i)<\s*li[^>]*>"
+
+
 def html_to_lines(html: Column) -> Column:
     """Array of clean lines; breaks follow block tags."""
-    t = F.coalesce(html, F.lit(""))
-    t = F.regexp_replace(t, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
-    t = F.regexp_replace(t, r"(?i)<\s*br\s*/?\s*>", "\n")
-    t = F.regexp_replace(t, r"(?i)</\s*(?:p|div|li|tr|h[1-6]|section|ul|ol)\s*>", "\n")
-    t = F.regexp_replace(t, r"(?i)<\s*li[^>]*>", "\n• ")
-    t = unescape(F.regexp_replace(t, r"<[^>]+>", " "))
-    t = F.replace(F.replace(t, F.lit(" "), F.lit(" ")), F.lit("​"), F.lit(""))
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), DROPPED, " ")
+    for pattern in BREAKS:
+        t = F.regexp_replace(t, pattern, "\n")
+    t = unescape(F.regexp_replace(F.regexp_replace(t, ITEM, "\n• "), r"<[^>]+>", " "))
+    t = F.replace(F.replace(t, F.lit("\u00a0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
 
     def clean(line: Column) -> Column:
         line = F.regexp_replace(F.regexp_replace(line, r"[ \t]+", " "), r"(?U)^\s+|\s+$", "")

@@ -99,6 +99,17 @@ def export_json(table: DataFrame, folder: str, as_of: Column) -> None:
     export_payload(table, as_of).write.text(folder)
 
 
+def site(table: DataFrame, published: DataFrame, as_of: Column, address: str, limit: int = 1000) -> dict[str, DataFrame]:
+    """What a build of the site writes (W2): the export, a page for each of the best postings that retention keeps after
+    their titles are cleaned and reviewed, their sitemap, and the published pages to take down.
+
+    published: slug of the pages that are there."""
+    kept = store.review_titles(store.clean_titles(store.sweep(table, as_of)).drop("cambio")).drop("titulo")
+    best = store.live(kept, limit)
+    pages = best.select("huella", slug(F.col("puesto"), F.col("huella")).alias("slug")).join(job_posting(best), "huella").select("slug", "documento")
+    return {"export": export_payload(kept, as_of), "pages": pages, "sitemap": sitemap_entries(best, address), "gone": stale_pages(published, pages)}
+
+
 def site_robots(site: str, leaving: str = "salida") -> str:
     """The robots text of a site: all is open but the pages that lead away, and where the sitemap is."""
     return f"User-agent: *\nAllow: /\nDisallow: /{leaving}/\n\nSitemap: {site}/sitemap.xml\n"

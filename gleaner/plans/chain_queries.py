@@ -78,9 +78,10 @@ _TENDER = (
 
 @register(
     "tender_pages",
-    """select concat('https://x.pe/', o_orderkey) as url, case when o_orderkey % 4 <> 0 then concat('Técnico ', o_orderkey) else concat('Analista ', o_orderkey) end as puesto, concat('Municipalidad ', o_custkey) as empresa,
-    case when o_orderkey % 3 = 0 then 'S/ 1800' else 'S/ 2500.' end as sueldo_texto, 'Cusco Presencial' as ubicacion_texto, case o_orderkey % 5 when 0 then 'CAS' when 1 then '728' when 2 then '276' else '' end as regimen,
-    case when o_orderkey % 2 = 0 then '2026-08-03' else '2026-07-24' end as vence, cast(case o_orderkey % 5 when 0 then 5 when 1 then 4 when 2 then 5 else 0 end as int) as n_beneficios from orders""",
+    """with t as (select *, concat(o_orderkey, ' ', o_custkey) as numbers from orders), r as (select *, case when o_orderkey % 5 = 0 or contains(numbers, '1057') then 'CAS' when o_orderkey % 5 = 1 or contains(numbers, '728') then '728' when o_orderkey % 5 = 2 or contains(numbers, '276') then '276' else '' end as regimen from t)
+    select concat('https://x.pe/', o_orderkey) as url, case when o_orderkey % 4 <> 0 then concat('Técnico ', o_orderkey) else concat('Analista ', o_orderkey) end as puesto, concat('Municipalidad ', o_custkey) as empresa,
+    case when o_orderkey % 3 = 0 then 'S/ 1800' else 'S/ 2500.' end as sueldo_texto, 'Cusco Presencial' as ubicacion_texto, regimen,
+    case when o_orderkey % 2 = 0 then '2026-08-03' else '2026-07-24' end as vence, cast(case regimen when 'CAS' then 5 when '728' then 4 when '276' then 5 else 0 end as int) as n_beneficios from r""",
 )
 def tender_pages(spark, d):
     """Public tender pages read into raw postings; their benefits are counted as the reader of sections sees them (one of regime 728 reads as a heading)."""
@@ -314,3 +315,19 @@ def export_payload(spark, d):
     get = lambda path: F.get_json_object("documento", path)
     keys = F.from_json(get("$.ofertas[*].huella"), "array<string>")
     return p.select(get("$.total").alias("total"), get("$.generado").alias("generado"), get("$.stats.total").alias("filas"), get("$.stats.vigentes").alias("vigentes"), F.md5(F.array_join(keys, ",")).alias("huellas"))
+
+
+@register(
+    "site_build",
+    f"""with c as (select *, {_HASH} as huella, cast(o_orderdate as date) as day from orders where o_custkey % 3 = 0), s as (select *, case when o_orderkey % 4 = 0 then day + 30 end as vence from c),
+    l as (select * from s where not coalesce(vence < date '{_EXPORT_AT}', false) and not (vence is null and datediff('day', day, date '{_EXPORT_AT}') > 45) and datediff('day', day, date '{_EXPORT_AT}') <= 60),
+    t as (select * from l order by day desc, huella limit 1000), p as (select concat('operario-', left(huella, 8)) as slug from t), old as (select concat('operario-', left({_HASH}, 8)) as slug from orders where o_orderkey % 2 = 0)
+    select 'pages' as parte, slug as valor from p union all select 'gone', slug from (select slug from old except all select slug from p) union all select 'sitemap', concat('<url><loc>https://x.pe/oferta/operario-', left(huella, 8), '/</loc><lastmod>', cast(day as varchar), '</lastmod></url>') from t""",
+)
+def site_build(spark, d):
+    """The pages, sitemap entries and pages to take down of a build of the site."""
+    cards = _cards(spark, d, "o_custkey").withColumns({"aprobada": F.col("o_custkey") % 3 == 0, "vigente": F.lit(True), "perfil": F.lit("privado"), "motivos_rechazo": F.array().cast("array<string>")})
+    old = _cards(spark, d, "o_orderkey").filter("o_orderkey % 2 = 0").select(publish.slug(F.col("puesto"), F.col("huella")).alias("slug"))
+    built = publish.site(cards, old, F.lit(_EXPORT_AT).cast("date"), "https://x.pe")
+    part = lambda k, c: built[k].select(F.lit(k).alias("parte"), F.col(c).alias("valor"))
+    return part("pages", "slug").unionByName(part("gone", "slug")).unionByName(part("sitemap", "entry"))

@@ -253,16 +253,25 @@ e as (select *, case when len(why) = 0 and total < 70 then [concat('Score ', tot
 """
 
 
-def _scored(spark, d) -> DataFrame:
+def _stored(spark, d) -> DataFrame:
+    """Orders as stored postings, with as many duties, requirements and benefits as their keys say."""
     n = lambda k: F.expr(_N[k]).cast("int")
     # items of 46, 30 and 30 characters that name what makes them concrete
-    items = lambda k, t: F.transform(F.when(n(k) > 0, F.sequence(F.lit(1), n(k))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit(t), i.cast("string")))
+    items = lambda k, t: F.transform(F.when(n(k) > 0, F.sequence(F.lit(1), n(k))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit(t), i.cast("string"))).alias(k)
     k = F.col("o_orderkey")
-    pay = F.when(k % 9 != 0, F.struct(F.lit(2000).alias("minimo"), F.when(k % 2 == 0, 2500).otherwise(2000).alias("maximo"), F.lit("PEN").alias("moneda"), F.lit("mensual").alias("periodo"), F.lit("").alias("literal"), F.lit(95).alias("confianza")))
-    employer = F.when(F.col("o_custkey") % 10 == 0, "Importante Empresa del rubro").otherwise("Textiles Andinos")
-    profile = F.when(k % 4 == 0, "publico").otherwise("privado")
-    result = score.evaluate(pay, items("funciones", "Coordinar la atencion de pedidos de la zona n"), items("requisitos", "Experiencia en el cargo, nivel"), items("beneficios", "Planilla y seguro desde el mes"), employer, F.lit("Lima"), F.lit("Presencial"), F.to_date("o_orderdate"), F.lit(None).cast("date"), F.lit(""), profile, as_of())
-    return text.once(table(spark, d, "orders"), r=result).select("o_orderkey", "r")
+    return table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", F.when(k % 9 != 0, 2000).otherwise(0).alias("sueldo_min"), F.when(k % 2 == 0, 2500).otherwise(2000).alias("sueldo_max"), F.lit("PEN").alias("moneda"), F.lit(95).alias("sueldo_confianza"),
+        items("funciones", "Coordinar la atencion de pedidos de la zona n"), items("requisitos", "Experiencia en el cargo, nivel"), items("beneficios", "Planilla y seguro desde el mes"),
+        F.when(F.col("o_custkey") % 10 == 0, "Importante Empresa del rubro").otherwise("Textiles Andinos").alias("empresa"), F.lit("Lima").alias("ciudad"), F.lit("Presencial").alias("modalidad"), F.to_date("o_orderdate").alias("publicado"),
+        F.lit(None).cast("date").alias("vence"), F.lit("").alias("resumen"), F.when(k % 4 == 0, "publico").otherwise("privado").alias("perfil"),
+    )
+
+
+def _scored(spark, d) -> DataFrame:
+    t = _stored(spark, d)
+    pay = F.when(F.col("sueldo_min") > 0, F.struct(F.col("sueldo_min").alias("minimo"), F.col("sueldo_max").alias("maximo"), "moneda", F.lit("mensual").alias("periodo"), F.lit("").alias("literal"), F.col("sueldo_confianza").alias("confianza")))
+    result = score.evaluate(pay, *(F.col(c) for c in ("funciones", "requisitos", "beneficios", "empresa", "ciudad", "modalidad", "publicado", "vence", "resumen", "perfil")), as_of())
+    return text.once(t, r=result).select("o_orderkey", "r")
 
 
 @register("score_rubric", _RUBRIC + "select o_orderkey, cast(sueldo as int) as sueldo, cast(funciones as int) as funciones, cast(requisitos as int) as requisitos, cast(beneficios as int) as beneficios, cast(metadata as int) as metadata, cast(total as int) as total, array_to_string(motivos, '; ') as motivos, len(motivos) = 0 and total >= 70 as aprobada from e")
@@ -281,11 +290,29 @@ def run_metrics(spark, d):
     return postings.run_metrics(s)
 
 
-@register("process_postings")
+#: The page of a posting whose sections, words and dates come and go with its key.
+CHAIN_HTML = POSTING_HTML.replace("'<p>Beneficios: Planilla completa desde el primer d&iacute;a</p>", "'<h3>Beneficios</h3><p>Planilla completa desde el primer d&iacute;a</p>").replace("'<html><body><p>Empresa", "'<html><body><p>', case when o_orderkey % 12 = 5 then 'Se busca cocinero de planta para una empresa' else 'Empresa' end, '")
+_PAID_CHAIN = f"""case o_orderkey % 8 when 0 then {_A} when 1 then {_A} when 2 then {_DAILY} when 3 then 1000 + o_orderkey % 900 when 5 then 1130 else 0 end"""
+_CHAIN = f"""
+with o as (select *, {_PAID_CHAIN} as low, {_PAID_CHAIN} + case when o_orderkey % 8 = 1 then 500 else 0 end as high, case o_orderkey % 8 when 2 then 70 when 3 then 90 else 100 end as trust, o_orderkey % 70 as age, case when o_orderkey % 4 = 0 then 21 else 45 end as days,
+  case when o_orderkey % 3 = 0 then 'Operario de Produccion' when o_orderkey % 3 = 1 then 'Asesor de ventas' when o_orderkey % 12 = 5 then 'Cocinero de planta' else 'Papa Johns' end as title,
+  (length(concat('Gestionar el pedido numero ', o_orderkey, ' del cliente asignado.')) + length(concat('Elaborar reportes de ventas del cliente ', o_custkey)) + length('Coordinar despachos')) / 3.0 as mean
+  from orders join customer on o_custkey = c_custkey),
+p as (select *, case when low = 0 then 0 else 20 + case when high > low then 6 else 3 end + case when trust >= 95 then 4 when trust >= 85 then 2 else 0 end end + 14 + case when mean >= 60 then 6 when mean >= 40 then 3 else 0 end + 17 + case when o_orderkey % 2 = 0 then 13 else 0 end + 8 + case when age <= 3 then 2 when age <= 10 then 1 else 0 end as total,
+  list_filter([case when o_orderkey % 8 = 4 then 'Sueldo declarado como ''a convenir'' o similar' when low = 0 then 'No declara sueldo' end, case when o_orderkey % 2 = 1 then 'Solo 0 beneficios listados (mínimo 2)' end,
+  case when age > days then concat('No dice hasta cuándo postular y se publicó hace ', age, ' días (máximo ', days, ' sin fecha de cierre)') end, case when age > 60 then concat('Publicado hace ', age, ' días (máximo 60)') end], lambda x: x is not null) as why from o),
+r as (select *, list_concat(case when len(why) = 0 and total < 70 then [concat('Score ', total, ' por debajo del umbral 70')] else why end, case when title = 'Papa Johns' then ['El aviso no dice qué puesto es'] else [] end) as reasons from p)
+select {sql.fingerprint('title', 'c_name', "'Trujillo'")} as huella, concat('https://x.pe/', o_orderkey) as url, title as puesto, 'Trujillo' as ciudad, case when o_orderkey % 3 = 0 then 'Ingeniería' else 'Ventas' end as categoria, 'Presencial' as modalidad, cast(low as int) as sueldo_min, cast(high as int) as sueldo_max,
+  case when o_orderkey % 8 = 3 then 'USD' else 'PEN' end as moneda, cast(total as int) as score, cast(3 as int) as n_funciones, cast(3 as int) as n_requisitos, cast(case when o_orderkey % 2 = 0 then 2 else 1 end as int) as n_beneficios, array_to_string(reasons, '; ') as motivos, len(reasons) = 0 and total >= 70 as aprobada from r
+"""
+
+
+@register("process_postings", _CHAIN)
 def process_postings(spark, d):
     """The whole chain from raw postings to scored ones."""
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    raw = o.select(F.col("o_orderpriority").alias("fuente"), F.concat(F.lit("https://x.pe/"), "o_orderkey").alias("url"), F.expr("concat(case o_orderkey % 3 when 0 then 'OPERARIO DE PRODUCCION / PLANILLA' when 1 then 'Asesor de ventas' else 'Papa Johns' end, '')").alias("puesto"), F.col("c_name").alias("empresa"), F.expr(POSTING_HTML).alias("descripcion_html"), F.lit("").alias("texto_plano"), F.lit("Trujillo").alias("ubicacion_texto"), F.expr(PAY_TEXT).alias("sueldo_texto"), F.to_date("o_orderdate").alias("publicado"), F.lit("").alias("id_externo"), F.create_map(F.lit("perfil"), F.when(F.col("o_orderkey") % 4 == 0, "publico").otherwise("privado")).alias("extra"))
+    age = (F.col("o_orderkey") % 70).cast("int")
+    raw = o.select(F.col("o_orderpriority").alias("fuente"), F.concat(F.lit("https://x.pe/"), "o_orderkey").alias("url"), F.expr("case o_orderkey % 3 when 0 then 'OPERARIO DE PRODUCCION / PLANILLA' when 1 then 'Asesor de ventas' else 'Papa Johns' end").alias("puesto"), F.col("c_name").alias("empresa"), F.expr(CHAIN_HTML).alias("descripcion_html"), F.lit("").alias("texto_plano"), F.lit("Trujillo").alias("ubicacion_texto"), F.expr(PAY_TEXT).alias("sueldo_texto"), F.date_sub(as_of(), age).alias("publicado"), F.lit("").alias("id_externo"), F.create_map(F.lit("perfil"), F.when(F.col("o_orderkey") % 4 == 0, "publico").otherwise("privado")).alias("extra"))
     p = postings.process(raw, as_of())
     return p.select("huella", "url", "puesto", "ciudad", "categoria", "modalidad", "sueldo_min", "sueldo_max", "moneda", "score", F.size("funciones").alias("n_funciones"), F.size("requisitos").alias("n_requisitos"), F.size("beneficios").alias("n_beneficios"), F.array_join("motivos_rechazo", "; ").alias("motivos"), "aprobada")
 
@@ -373,11 +400,17 @@ def repair_urls(spark, d):
     return store.repair_urls(_published(spark, d), table(spark, d, "pages").filter("page_id % 2 = 0"))
 
 
-@register("rescore_flips")
+_THEN = "1998-06-10"
+_OK = "(" + _RUBRIC + "select o_orderkey, len(motivos) = 0 and total >= 70 as ok, total from e)"
+
+
+@register("rescore_flips", f"select case when b.ok and not (a.ok and b.o_orderkey % 7 <> 0) then 'entra' when not b.ok and a.ok and b.o_orderkey % 7 <> 0 then 'sale' else 'igual' end as cambio, count(*) as n, cast(sum(b.total) as bigint) as puntos from {_OK.replace(AS_OF, _THEN)} a join {_OK} b on a.o_orderkey = b.o_orderkey group by 1")
 def rescore_flips(spark, d):
-    s = _scored(spark, d).join(table(spark, d, "orders"), "o_orderkey")
-    t = s.select("o_orderkey", F.lit(2000).alias("sueldo_min"), F.lit(2000).alias("sueldo_max"), F.lit("PEN").alias("moneda"), F.lit(95).alias("sueldo_confianza"), F.array(F.lit("Gestionar la cartera de clientes")).alias("funciones"), F.array(F.lit("Experiencia de dos años")).alias("requisitos"), F.array(F.lit("Planilla completa")).alias("beneficios"), F.lit("Textiles").alias("empresa"), F.lit("Lima").alias("ciudad"), F.lit("Presencial").alias("modalidad"), F.to_date("o_orderdate").alias("publicado"), F.lit(None).cast("date").alias("vence"), F.lit("").alias("resumen"), F.lit("privado").alias("perfil"), F.col("r.motivos").alias("motivos_rechazo"), ((F.size("r.motivos") == 0) & (F.col("r.total") >= 70)).alias("aprobada"), F.col("r.total").alias("score"))
-    return store.rescore(t, as_of()).groupBy("cambio").agg(F.count(F.lit(1)).alias("n"))
+    """Stored postings, approved as of an earlier day (a seventh of them not), scored anew."""
+    before = F.lit(_THEN).cast("date")
+    t = _stored(spark, d).withColumns({"motivos_rechazo": F.array().cast("array<string>"), "aprobada": F.lit(True)})
+    t = store.rescore(t, before).drop("cambio").withColumn("aprobada", F.col("aprobada") & (F.col("o_orderkey") % 7 != 0))
+    return store.rescore(t, as_of()).groupBy("cambio").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("puntos"))
 
 
 # -- analytics -----------------------------------------------------------------------------------

@@ -159,14 +159,26 @@ def sitemap_recency(spark, d):
     return crawl.recent(urls, F.lit(AS_OF).cast("date"), 365).select("loc", "lastmod")
 
 
-_ROBOTS = "User-agent: otro\nDisallow: /\n\nUser-agent: *\nDisallow: /en # lengua\nAllow: /en/*5\nDisallow: /*page=3\nAllow: /fr$\nDisallow: /de/\nCrawl-delay: 4\nSitemap: https://x/s.xml"
-_RULES = [("/en", False), ("/en/*5", True), ("/*page=3", False), ("/fr$", True), ("/de/", False)]
-
-
-@register("robots_allowed", "with r(n, ok, re) as (values " + ", ".join(f"({len(p)}, {ok}, '{('^' + p.replace('*', '.*'))}')" for p, ok in _RULES) + f"), u as (select page_id, {_PATH} as path from pages) select page_id, coalesce((select arg_max(ok, n * 10 + cast(ok as int)) from r where regexp_matches(u.path, replace(r.re, '?', '\\?'))), true) as permitted from u")
+_ROBOTS = (
+    "User-agent: otro\nDisallow: /\n\nUser-agent: *\nDisallow: /en # lengua\nAllow: /en/*5\nDisallow: /*page=3\nAllow: /fr$\nDisallow: /de/\nCrawl-delay: 4\nSitemap: https://x/s.xml",
+    "User-agent: Lector\nUser-agent: otro\nDisallow: /*?page=\nAllow: /*?page=1$\n\nUser-agent: *\nDisallow: /",
+    "User-agent: *\nDisallow:\nDisallow: /e",
+)
+_RULES = (
+    (("/en", False), ("/en/*5", True), ("/*page=3", False), ("/fr$", True), ("/de/", False)),
+    (("/*?page=", False), ("/*?page=1$", True)),
+    (("/", True), ("/e", False)),
+)
+_ASKED = f"concat({_PATH}, case page_id % 4 when 1 then '?page=1' when 2 then '?page=2' when 3 then '?x=1&page=3' else '' end)"
+_RULE_ROWS = ", ".join(f"({h}, {len(p)}, {ok}, '{'^' + p.replace('?', chr(92) + '?').replace('*', '.*')}')" for h, rules in enumerate(_RULES) for p, ok in rules)
+
+
+@register("robots_allowed", f"with r(h, n, ok, re) as (values {_RULE_ROWS}), u as (select page_id, page_id % 5 as h, {_ASKED} as path from pages) select u.page_id, coalesce(arg_max(ok, n * 10 + cast(ok as int)), true) as permitted from u left join r on u.h = r.h and regexp_matches(u.path, r.re) group by 1")
 def robots_allowed(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.lit("x").alias("host"), F.expr(_PATH).alias("path"))
-    files = table(spark, d, "region").filter("r_regionkey = 0").select(F.lit("x").alias("host"), F.lit(_ROBOTS).alias("text"))
+    """Paths with queries under the rules of five hosts, of which two have none."""
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("h"), (F.col("page_id") % 5).cast("string")).alias("host"), F.expr(_ASKED).alias("path"))
+    text_of = F.when(F.col("r_regionkey") == 0, _ROBOTS[0]).when(F.col("r_regionkey") == 1, _ROBOTS[1]).when(F.col("r_regionkey") == 2, _ROBOTS[2]).otherwise("")
+    files = table(spark, d, "region").select(F.concat(F.lit("h"), "r_regionkey").alias("host"), text_of.alias("text"))
     return crawl.allowed(p, crawl.robots_rules(files, "lector/1.0"), "page_id").select("page_id", "permitted")
 
 
