@@ -217,3 +217,49 @@ def test_added_tokens_are_one_id(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.n_tokens for r in token_counts.encoded_lengths(docs).collect()} == {k: len(x) for k, x in enumerate(want)}
     assert {r.doc_id: r.length for r in packing.pack(docs).collect()} == {k: len(x) + 1 for k, x in enumerate(want)}
+
+
+def plain_battery(value):
+    """Encoding and the p-values of the three tests of randomness, by the book."""
+    import re
+
+    some, has = len(re.findall("[0-9]", value)) >= 2, lambda p: re.search(p, value) is not None
+    one_case = some and (re.fullmatch("[A-Z0-9]+=*", value) and has("[A-Z]") or re.fullmatch("[a-z0-9]+=*", value) and has("[a-z]"))
+    if (re.fullmatch("[0-9a-f]+", value) or re.fullmatch("[0-9A-F]+", value)) and has("[0-9]") and has("[A-Fa-f]"):
+        kind, k = "hex", 16
+    elif one_case and re.fullmatch("[A-Z2-7]+=*", value.upper()):
+        kind, k = "base32", 32
+    elif one_case and re.fullmatch("[0-9A-V]+=*", value.upper()):
+        kind, k = "base32hex", 32
+    elif one_case:
+        kind, k = "base36", 36
+    elif some and len(re.findall("[A-Z]", value)) >= 2 and len(re.findall("[a-z]", value)) >= 2:
+        kind, k = ("base64", 64) if has("[+/_-]") else ("base62", 62)
+    else:
+        return None
+    bare = value.translate(str.maketrans("-_", "+/")) if kind in ("base62", "base64") else value.upper()
+    codes = [secrets.ALPHABETS[kind].index(c) + 1 for c in re.sub("=+$", "", bare)]
+    n, tail = len(codes), lambda z: math.erfc(z / math.sqrt(2)) / 2
+    if n < secrets.LEAST:
+        return None
+    chi = k * sum(c * c for c in collections.Counter(codes).values()) / n - n
+    uniform = tail(((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+    high = [c > (k + 1) / 2 for c in codes]
+    h = sum(high)
+    runs, expected = 1 + sum(a != b for a, b in itertools.pairwise(high)), 2 * h * (n - h) / n + 1
+    run = 2 * tail(abs(runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 0.01)))
+    mean = sum(codes) / n
+    spread = sum((c - mean) ** 2 for c in codes)
+    lag = sum((a - mean) * (b - mean) for a, b in itertools.pairwise(codes)) / spread if spread else 1.0
+    return kind, uniform, run, 2 * tail(abs(lag) * math.sqrt(n))
+
+
+def test_battery_equals_the_plain_one(spark):
+    r = random.Random(12)
+    kinds = [v[: secrets._SIZES[k]] for k, v in secrets.ALPHABETS.items()] + ["abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef", "ab", "aB1"]
+    values = ["".join(r.choice(a) for _ in range(r.choice([20, 21, 33, 64, 200]))) + "=" * r.choice([0, 0, 1, 2]) for a in kinds for _ in range(12)] + ["a1" * 10, "=" * 30, "1" * 25]
+    got = {x.id: x for x in secrets.battery(spark.createDataFrame(list(enumerate(values)), "id long, value string")).collect()}
+    want = {k: p for k, v in enumerate(values) if (p := plain_battery(v))}
+    assert set(got) == set(want) and len(want) > 70
+    for k, (kind, *ps) in want.items():
+        assert got[k].encoding == kind and [got[k].uniform, got[k].run, got[k].serial] == pytest.approx(ps, rel=1e-3, abs=1e-6)
