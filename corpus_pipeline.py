@@ -9,8 +9,8 @@ stage keeps one); null texts have no words, so they are judged by their
 size alone, are nobody's copy, and are packed as an end token. Of documents that tie in a group the
 one with the least doc_id stays, null counting last, then the least text hash. An empty table stays
 empty in every stage; further columns are carried along, whatever their names, up to packing.
-Stage outputs lie in the shared folder under a name of their own for each run; the folder is the
-caller's to clear, as the last result is read from it lazily.
+Stage outputs lie in the shared folder under a name of their own for each run. One goes when the next
+is written; the last is the caller's to clear, as the result is read from it lazily.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontaminate, jaccard_join, packing, quality, secrets
-from gleaner.llm._spark import cut, free, shared_dir, without
+from gleaner.llm._spark import cut, free, remove, shared_dir, without
 
 #: Words of a shingle and least similarity in per cent of the near-duplicate stage (operator 9's query has its own).
 STAGE_N, STAGE_PERCENT = 5, 80
@@ -90,4 +90,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         at = posixpath.join(where, str(k))
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if k:
+            remove(spark, posixpath.join(where, str(k - 1)))
     return docs
