@@ -38,6 +38,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_key(df: DataFrame, key: str, groups: int, each: int = 4) -> DataFrame:
+    """df dealt by a key that has so many groups, ``each`` of them a task: tasks grow in number with the groups, not in size."""
+    return df.repartition(max(partitions(df.sparkSession), -(-groups // each)), key)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first().n or 0
 

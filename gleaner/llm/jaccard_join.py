@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, partitions, pick, text_bytes
+from ._spark import by_key, cut, partitions, pick, text_bytes
 from ._words import U, Words, mix
 from .graph import connected
 
@@ -80,14 +80,22 @@ def _node(s: np.ndarray, renamed: frozenset[int] = frozenset()) -> int:
 
 
 def _hash(s: np.ndarray, seed: int) -> int:
-    if not len(s):
-        return 0
-    return int((np.add.reduce(mix(s + U(seed) * _SEED)) ^ mix(np.array([len(s) + seed], U))[0]).astype(np.int64))
+    return int(_hashes(s, np.array([0, len(s)]), seed)[0])
 
 
-def _least(s: np.ndarray) -> list[int]:
-    """The least of each of KEYS hashes of the set's shingles: sets of similarity x share each of them with about that chance."""
-    return [int(mix(s + U(k + 2) * _SEED).min().astype(np.int64)) for k in range(KEYS)] if len(s) else []
+def _hashes(flat: np.ndarray, edge: np.ndarray, seed: int) -> np.ndarray:
+    """Of the sets that lie one after the other between the edges; 0 of empty ones."""
+    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(flat + U(seed) * _SEED), dtype=U)])
+    size = np.diff(edge)
+    return np.where(size > 0, (total[edge[1:]] - total[edge[:-1]]) ^ mix(size.astype(U) + U(seed)), U(0)).astype(np.int64)
+
+
+def _least(flat: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """For each set the least of each of KEYS hashes of its shingles: sets of similarity x share each of them with about that chance."""
+    full = np.flatnonzero(np.diff(edge))
+    least = np.stack([np.minimum.reduceat(mix(flat + U(k + 2) * _SEED), edge[:-1][full]) if len(full) else np.zeros(0, U) for k in range(KEYS)], 1)
+    ends = np.cumsum(np.concatenate([[0], np.where(np.diff(edge) > 0, KEYS, 0)]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(least.ravel().astype(np.int64)))
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -101,7 +109,9 @@ def _held(batches: Iterator[pa.RecordBatch], n: int, renamed: frozenset[int] = f
     """The distinct sets, by node, of as many texts as are held at once."""
     held, size = {}, 0
     for _, sets in _sets_of(batches, n):
-        held |= {_node(s, renamed): s for s in sets if len(s)}
+        flat, edge = np.concatenate([np.zeros(0, U), *sets]), np.cumsum([0, *map(len, sets)])
+        names = _hashes(flat, edge, 0).tolist()
+        held |= {_hash(s, 1) if name in renamed else name: s for name, s in zip(names, sets) if len(s)}
         size += sum(map(len, sets))
         if size > BATCH_SHINGLES:
             yield held
@@ -123,8 +133,9 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
 
     def make(batches):
         for b, sets in _sets_of(batches, n):
-            long, longs = pa.int64(), pa.list_(pa.int64())
-            columns = [b["doc_id"], b["text_hash"], *(pa.array(x, t) for x, t in (([len(s) for s in sets], long), ([_hash(s, 0) for s in sets], long), ([_hash(s, 1) for s in sets], long), ([_parity(s) for s in sets], longs), ([_least(s) for s in sets], longs)))]
+            flat, edge = np.concatenate([np.zeros(0, U), *sets]), np.cumsum([0, *map(len, sets)])
+            parities = pa.array([_parity(s) for s in sets], pa.list_(pa.int64()))
+            columns = [b["doc_id"], b["text_hash"], pa.array(np.diff(edge)), pa.array(_hashes(flat, edge, 0)), pa.array(_hashes(flat, edge, 1)), parities, _least(flat, edge)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "node", "second", "parity", "least"])
 
     return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(make, "doc_id long, text_hash long, n_shingles long, node long, second long, parity array<long>, least array<long>")
@@ -242,7 +253,7 @@ def candidates(docs: DataFrame, known: DataFrame, n: int = N, percent: int = PER
     order = frequent_shingles(docs, n)
     buckets = max(2 * partitions(docs.sparkSession), -(-text_bytes(docs) // RANGE_BYTES))
     packed = docs.mapInArrow(_send_prefixes(order, n, percent, buckets, renamed), "bucket long, packed binary")
-    edges = packed.groupBy("bucket").applyInArrow(_meet(percent), "a long, an int, b long, bn int, star boolean").distinct()
+    edges = by_key(packed, "bucket", buckets).groupBy("bucket").applyInArrow(_meet(percent), "a long, an int, b long, bn int, star boolean").distinct()
     for end in "ab":
         edges = edges.join(known.select(F.col("node").alias(end), F.col("parity").alias(f"{end}_parity")), end)
     halved = lambda c, m: F.zip_with(F.slice(c, 1, m), F.slice(c, m + 1, m), lambda x, y: x.bitwiseXOR(y))
@@ -405,7 +416,8 @@ def _join_groups(docs: DataFrame, first: DataFrame, placed: DataFrame, n: int, p
     if (asked.rows or 0) > 1:  # rows that repeat both doc_id and text
         texts = texts.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
     blocks = placed.select("node", "group", "part", F.pmod("group", F.lit(spread)).alias("block")).join(named.drop("rows"), "node")
-    return blocks.join(texts, same).select("block", "node", "group", "part", "text").groupBy("block").applyInArrow(_join_block(n, percent, renamed), "a long, b long")
+    gathered = by_key(blocks.join(texts, same).select("block", "node", "group", "part", "text"), "block", spread, 8)
+    return gathered.groupBy("block").applyInArrow(_join_block(n, percent, renamed), "a long, b long")
 
 
 def links(docs: DataFrame, known: DataFrame, n: int = N, percent: int = PERCENT, renamed: frozenset[int] = frozenset()) -> DataFrame:
