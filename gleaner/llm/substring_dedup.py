@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import partitions, pick, text_bytes
+from ._spark import by_key, partitions, pick, text_bytes
 from ._words import Words, U, spread
 
 WINDOW = 20
@@ -230,8 +230,9 @@ def kept_digests(docs: DataFrame, window: int = WINDOW, batch_bytes: int = BATCH
     size = text_bytes(docs)
     batches, ranges = (max(partitions(spark), -(-size // each)) for each in (batch_bytes, range_bytes))
     # by text too: rows without an id, or with one that repeats, are spread like all others
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
-    hits = dealt.groupBy("batch").applyInArrow(_send_anchors(window, ranges), _ANSWER).groupBy("bucket").applyInArrow(_match_anchors, _ANSWER)
-    earlier = dealt.groupBy("batch").cogroup(hits.groupBy("batch")).applyInArrow(_send_windows(window, ranges), _ANSWER).groupBy("bucket").applyInArrow(_match_windows, _ANSWER)
+    dealt = by_key(docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))), "batch", batches)
+    to_ranges, to_batches = (lambda df: by_key(df, "bucket", ranges, 1).groupBy("bucket")), (lambda df: by_key(df, "batch", batches).groupBy("batch"))
+    hits = to_ranges(dealt.groupBy("batch").applyInArrow(_send_anchors(window, ranges), _ANSWER)).applyInArrow(_match_anchors, _ANSWER)
+    earlier = to_ranges(dealt.groupBy("batch").cogroup(to_batches(hits)).applyInArrow(_send_windows(window, ranges), _ANSWER)).applyInArrow(_match_windows, _ANSWER)
     told = hits.withColumn("kind", F.lit(0)).unionByName(earlier.withColumn("kind", F.lit(1)))
-    return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return dealt.groupBy("batch").cogroup(to_batches(told)).applyInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
