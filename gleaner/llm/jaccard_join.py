@@ -197,7 +197,7 @@ def _send_prefixes(order: np.ndarray, n: int, percent: int, buckets: int, rename
             star["at"] = -1
             post["at"][many] = -1
             post = np.concatenate([post[~far], np.unique(star)])
-        bucket = (post["token"] >> U(32)) * U(buckets) >> U(32)
+        bucket = (mix(post["token"]) >> U(32)) * U(buckets) >> U(32)  # mixed: prefixes hold the least hashes of their sets
         by = np.argsort(bucket, kind="stable")
         post, bucket = post[by], bucket[by]
         full, at = np.unique(bucket, return_index=True)
