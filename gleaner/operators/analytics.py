@@ -26,15 +26,15 @@ def upper_median(table: DataFrame, value: str, *by: str, accuracy: int = 10_000)
 
     A sketch of each group brackets the place to within a few of its ``accuracy`` parts; rows below
     the bracket are only counted, and only the bracket's distinct values are ranked."""
-    known = table.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    slack = 2.0 / accuracy
+    known = table.filter(F.col(value).isNotNull()).select(*by, F.lit(0).alias("_one"), F.col(value).alias("_v"))
+    keys, slack = ("_one", *by), 2.0 / accuracy
     bracket = F.percentile_approx("_v", [0.5 - slack, 0.5 + slack], accuracy)
-    groups = known.groupBy(*(F.col(b).alias(f"_{b}") for b in by)).agg(bracket.alias("_bracket"), F.count(F.lit(1)).alias("_all"))
-    same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] or [F.col("_all").isNotNull()]
-    placed = known.join(groups, reduce(lambda x, y: x & y, same)).withColumn("_low", F.get("_bracket", F.lit(0))).filter(F.col("_v") <= F.get("_bracket", F.lit(1)))
-    counts = placed.groupBy(*by, "_all", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v")))
-    return counts.withColumn("_upto", upto).filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min("_v").alias("mediana"))
+    groups = known.groupBy(*(F.col(b).alias(f"_of{b}") for b in keys)).agg(bracket.alias("_bracket"), F.count(F.lit(1)).alias("_all"))
+    same = reduce(lambda x, y: x & y, (F.col(b).eqNullSafe(F.col(f"_of{b}")) for b in keys))
+    placed = known.join(groups, same).withColumn("_low", F.get("_bracket", F.lit(0))).filter(F.col("_v") <= F.get("_bracket", F.lit(1)))
+    counts = placed.groupBy(*keys, "_all", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v")))
+    return counts.withColumn("_upto", upto).filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min("_v").alias("mediana")).drop("_one")
 
 
 def count_by(table: DataFrame, field: str, empty: str | None = None) -> DataFrame:

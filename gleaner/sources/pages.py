@@ -59,7 +59,8 @@ def value_beside(lines: Column, label: str) -> Column:
     bare = literal(label.lower().rstrip(":"))
     alone = lambda x: F.lower(F.regexp_replace(F.trim(x), ":+$", "")) == label.lower().rstrip(":")
     beside = lambda x: F.regexp_replace(F.regexp_extract(F.trim(x), rf"(?iu)^{bare}\s*[:\-–—]?\s*(.+)$", 1), r"^[ :\-–—]+|[ :\-–—]+$", "")
-    found = F.transform(lines, lambda x, i: F.when(alone(x), F.coalesce(F.trim(F.get(lines, i + 1)), F.lit(""))).otherwise(F.nullif(beside(x), F.lit(""))))
+    read = lambda x, i: F.when(alone(x), F.coalesce(F.trim(F.get(lines, i + 1)), F.lit(""))).otherwise(F.nullif(beside(x), F.lit("")))
+    found = F.transform(lines, lambda x, i: F.when(F.lower(x).contains(label.lower().rstrip(":")), read(x, i)))  # few lines have the label at all
     return F.coalesce(F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)), F.lit(""))
 
 
