@@ -50,6 +50,15 @@ def _keys(packed: bytes, width: int) -> np.ndarray:
     return out.view(U).ravel()
 
 
+def _lanes(rows: np.ndarray) -> bytes:
+    """Rows as their first bytes, then their second ones, and so on: of sorted rows with small numbers, most lanes are nearly constant."""
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(-1, rows.itemsize).T).tobytes()
+
+
+def _rows(packed: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def _runs(keys: np.ndarray) -> np.ndarray:
     """Where runs of equal values start, and the length as the last."""
     if not len(keys):
@@ -160,14 +169,14 @@ def _send_windows(window: int, buckets: int):
         new = np.ones(len(rows), bool)
         new[1:] = (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1])
         rows = rows[new]
-        return _by_bucket(docs["batch"][0].as_py(), rows["a"] >> U(32), buckets, lambda x, z: rows[x:z].tobytes())
+        return _by_bucket(docs["batch"][0].as_py(), rows["a"] >> U(32), buckets, lambda x, z: _lanes(rows[x:z]))
 
     return send
 
 
 def _match_windows(table: pa.Table) -> pa.Table:
     """For each batch, the windows that another batch has earlier."""
-    parts = [np.frombuffer(x, _PLACE) for x in table["packed"].to_pylist()]
+    parts = [_rows(x, _PLACE) for x in table["packed"].to_pylist()]
     batch = np.repeat(table["batch"].to_numpy(), [len(x) for x in parts])
     rows = np.concatenate(parts)
     order = np.lexsort([rows["nth"], rows["doc"], rows["b"], rows["a"]])
@@ -180,7 +189,7 @@ def _match_windows(table: pa.Table) -> pa.Table:
     order = np.argsort(batch, kind="stable")
     named = np.zeros(len(rows), _NAME)
     named["a"], named["b"] = rows["a"], rows["b"]
-    return _answers(table["bucket"][0].as_py(), batch[order], named[order], lambda x: x.tobytes())
+    return _answers(table["bucket"][0].as_py(), batch[order], named[order], _lanes)
 
 
 def _remove(window: int):
@@ -198,7 +207,7 @@ def _remove(window: int):
             new[1:] = (names["a"][1:] != names["a"][:-1]) | (names["b"][1:] != names["b"][:-1])
             lead = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
             later = (b.ids[b.of[at]] > b.ids[b.of[lead]]) | (b.nth[at] > b.nth[lead])
-            elsewhere = np.concatenate([np.zeros(0, _NAME), *(np.frombuffer(x, _NAME) for x in told.filter(pa.array(kind == 1))["packed"].to_pylist())])
+            elsewhere = np.concatenate([np.zeros(0, _NAME), *(_rows(x, _NAME) for x in told.filter(pa.array(kind == 1))["packed"].to_pylist())])
             elsewhere = elsewhere[np.lexsort([elsewhere["b"], elsewhere["a"]])]
             # names of one 64-bit half are looked up, then held against the other half
             lo, hi = np.searchsorted(elsewhere["a"], names["a"]), np.searchsorted(elsewhere["a"], names["a"], side="right")
