@@ -67,3 +67,13 @@ def test_windows_shared_by_rows_without_an_id(spark):
     columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
     assert rows(substring_dedup.kept_digests(docs), *columns) == sorted(want, key=repr)
     assert rows(substring_dedup.kept_digests(docs, batch_bytes=100, range_bytes=100), *columns) == sorted(want, key=repr)
+
+
+def test_decontamination_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "small", lambda df: df)
+    items = [(1, LONG), (2, " ".join(WORDS[105:118])), (3, "w100 w101"), (4, " ".join(WORDS[50:60]) + " nowhere")]
+    table = [(i, t) for i, t in TABLE if i is not None]
+    docs, bench = spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for window in (2, 10):
+        got = rows(decontaminate.decontaminate(docs, bench, window), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        assert got == sorted(brute.contaminated(table, items, window), key=repr)
