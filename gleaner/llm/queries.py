@@ -69,6 +69,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_limit(length_histogram(encoded_lengths(_table(spark, sf_dir, "documents"))))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .window_packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import rank
+
+    return rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -81,6 +99,9 @@ def queries() -> dict:
         "op8_license_scan": op8_license_scan,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_token_counts": op10_token_counts,
+        "op11_whitening": op11_whitening,
+        "op12_window_packing": op12_window_packing,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -114,7 +135,20 @@ j as (select r, count(distinct item_id) as n_items, array_to_string(list_sort(li
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join c using (r) left join j using (r)
 """
 
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP13 = f"""
+with d as (select row_number() over () as r, doc_id, {_TERMS.format(_LOWER)} as w from documents),
+t as (select r, doc_id, len(w) as n, unnest(w) as term from d where len(w) > 0),
+i as (select distinct item_id, unnest({_TERMS.format(_LOWER)}) as term from benchmark),
+s as (select count(*) as docs, sum(len(w)) as words from d where len(w) > 0),
+p as (select r, any_value(doc_id) as doc_id, any_value(n) as n, term, count(*) as tf from t where term in (select term from i) group by r, term),
+f as (select term, cast(floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double)) as bigint) as weight from p, s group by term),
+e as (select item_id, r, any_value(doc_id) as doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) as score from p join f using (term) join i using (term), s group by item_id, r),
+k as (select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank, doc_id, score from e where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as score from k where rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators whose whole result SQL can tell; the tests hold the others against plain versions."""
-    return {"op1_substring_dedup": _OP1, "op2_warc": _OP2, "op3_decontamination": _OP3}
+    return {"op1_substring_dedup": _OP1, "op2_warc": _OP2, "op3_decontamination": _OP3, "op13_ranked_search": _OP13}
