@@ -208,17 +208,17 @@ def _tree(parts: DataFrame, combine: Callable[[list[list[np.ndarray]]], list[np.
     names = [c for c in parts.columns if c != "part"]
     schema = ", ".join(["part long", *(f"{c} binary" for c in names)])
 
-    def few(key, table: pa.Table) -> pa.Table:
+    def few(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["part"])
         out = combine([[np.frombuffer(r[c], np.int64 if c == "exact" else float) for c in names] for r in rows])
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(names, out)}})
+        return pa.table({"part": pa.array([rows[0]["part"] // FAN], pa.int64()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(names, out)}})
 
     parts = cut(parts)
     top = parts.agg(F.max("part").alias("n")).first().n
     if top is None:
         return None
     while True:
-        parts = parts.groupBy(F.floor(F.col("part") / FAN).alias("part")).applyInArrow(few, schema)
+        parts = parts.groupBy(F.floor(F.col("part") / FAN).alias("few")).applyInArrow(few, schema)
         if not top:
             break
         top //= FAN

@@ -116,7 +116,7 @@ def plan(places: list[int], price: list[int], capacity: int = CAPACITY, chain: i
     at, cost, came = [0], [0], [-1]
     known = {0: 0}
     queue: deque[int] = deque([0])  # states by place, ascending in cost + place
-    full: deque[tuple[int, int, int]] = deque([(capacity, 0, 1)])  # place, state before, full windows in a row: ascending in place
+    full: deque[tuple[int, int, int]] = deque([(capacity, 0, 1)] if chain else [])  # place, state before, full windows in a row: ascending in place
     n, k = len(places), 0
     while k < n:
         here = places[k]
