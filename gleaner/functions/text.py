@@ -214,7 +214,7 @@ def clean_items(items: Column, least: int = 12, most: int = 320, limit: int = 12
         & ~x.rlike(r"(?iuU)no\s+(?:se\s+)?especificad"),
     )
     first = firsts(good, lambda x: F.substring(fold(x), 1, 70))
-    return F.slice(F.transform(first, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1_000_000))), 1, limit)
+    return F.slice(F.transform(first, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), 1, limit)
 
 
 def rescue_duties(lines: Column) -> Column:

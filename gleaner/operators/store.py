@@ -120,7 +120,7 @@ def append_runs(runs: DataFrame, folder: str) -> None:
 
 def clean_titles(table: DataFrame) -> DataFrame:
     """table with cleaned titles and ``cambio``; keys stay."""
-    return table.withColumn("_new", titles.clean_title(F.col("puesto"))).withColumn("cambio", F.col("_new") != F.col("puesto")).withColumn("puesto", F.col("_new")).drop("_new")
+    return titles.with_clean_title(table, F.col("puesto"), "_new").withColumn("cambio", F.col("_new") != F.col("puesto")).withColumn("puesto", F.col("_new")).drop("_new")
 
 
 def review_titles(table: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ TITLES = (
 
 @register("title_cases", f"select c_custkey, {_column(TITLES, 1)} as puesto, {_deal([t[2] for t in TITLES], lambda v: str(v).lower())} as nombra from customer")
 def title_cases(spark, d):
-    c = text.once(table(spark, d, "customer").select("c_custkey", F.expr(_deal([t[0] for t in TITLES])).alias("t")), puesto=titles.clean_title(F.col("t")))
+    c = titles.with_clean_title(table(spark, d, "customer"), F.expr(_deal([t[0] for t in TITLES])), "puesto")
     return c.select("c_custkey", "puesto", titles.names_job(F.col("puesto")).alias("nombra"))
 
 

@@ -12,7 +12,7 @@ from ..operators import analytics, publish, store
 from ..sources import crawl, documents, pages
 from . import postings, sql
 from .queries import _HASH, _HOOK, _KEPT, _REASON, _RUBRIC, _SWEEP_AT, _TRADE, _cards, _kept, _scored, register, table
-from .source_queries import scratch
+from ..operators.shared import scratch
 
 # -- text and links ------------------------------------------------------------------------------
 
@@ -158,7 +158,7 @@ def sitemap_files(spark, d):
     n = n.withColumn("plain", F.concat(F.lit("﻿ junk <x>"), F.array_join(F.array_repeat(entry, F.col("size")), ""), F.lit("</x>")))
     packed = F.pandas_udf(_gzip, "binary")("plain")
     content = F.when(F.col("kind") == 0, F.encode("plain", "UTF-8")).when(F.col("kind") == 3, F.substring(packed, 1, 25)).otherwise(packed)
-    urls = crawl.sitemap_urls(crawl.sitemap_text(n.select("n_nationkey", content.alias("content"))).select("n_nationkey", "xml"))
+    urls = crawl.sitemap_urls(crawl.sitemap_text(n.select("n_nationkey", content.alias("content"))))
     counts = urls.groupBy(F.col("n_nationkey").alias("of")).agg(F.count(F.lit(1)).alias("u"), F.count_if("is_map").alias("m"))
     return n.join(counts, F.col("n_nationkey") == F.col("of"), "left").select("n_nationkey", F.coalesce("u", F.lit(0)).cast("int").alias("n_urls"), F.coalesce("m", F.lit(0)).alias("n_maps"))
 

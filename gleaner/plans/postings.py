@@ -41,8 +41,8 @@ def process(raw: DataFrame, as_of: Column) -> DataFrame:
         resumen=summary(F.col("intro"), F.col("funciones"), F.col("puesto")),
         perfil=F.coalesce(F.col("extra")["perfil"], F.lit("privado")),
         vence=lenient_date(F.col("extra")["vence"]),
-        clean=titles.clean_title(F.col("puesto")),
     )
+    df = titles.with_clean_title(df, F.col("puesto"), "clean")
     df = once(df, named=titles.names_job(F.col("clean")))
     text = F.concat_ws(" ", F.coalesce("sueldo_texto", F.lit("")), "plain")
     df = once(

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import store
+from ..operators.shared import scratch
 from ..sources import crawl, documents, pages
 from ..streaming import ingest
 
@@ -18,15 +15,6 @@ from .queries import AS_OF, register, table
 _PATH = "regexp_extract(url, '^https?://[^/]+(/.*)$', 1)"
 
 
-def scratch(spark) -> str:
-    """A folder that driver and executors share: the checkpoint folder's; a local session without one gets its own, a cluster must tell one."""
-    told = spark.sparkContext._jsc.sc().getCheckpointDir()
-    where = told.get() if told.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return posixpath.join(where or tempfile.mkdtemp(prefix="spark-scratch-"), uuid.uuid4().hex)
-
-
 @register("meta_and_heading", r"""select page_id, regexp_extract(html, '(?i)<meta[^>]+name="d"[^>]*content="([^"]*)"', 1) as d, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as h1 from (select page_id, concat('<meta name="d" content="p', page_id, '">', html) as html from pages)""")
 def meta_and_heading(spark, d):
     p = table(spark, d, "pages").select("page_id", F.concat(F.lit('<meta name="d" content="p'), "page_id", F.lit('">'), "html").alias("html"))

@@ -2,50 +2,94 @@
 
 from __future__ import annotations
 
+import codecs
+import re
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.classify import detect_ats
-
-#: Most bytes that a packed sitemap may unfold to: the limit of the sitemaps protocol.
-MOST_BYTES = 50 << 20
-
-
-def _unfold(b: bytes | None) -> str | None:
-    """Bytes as text; gzip is known by its first bytes. What is damaged, or unfolds beyond MOST_BYTES, is null."""
-    if b is None or b[:2] != b"\x1f\x8b":
-        return b if b is None else b.decode("utf-8", "replace")
-    out = zlib.decompressobj(wbits=31)
-    try:
-        text = out.decompress(b, MOST_BYTES)
+from ..operators.shared import kept
+
+#: Bytes of a sitemap that are unfolded and read at a time.
+PIECE = 4 << 20
+#: Numbers of the places of one piece's entries.
+PLACES = 1 << 32
+_ENTRY_END = re.compile(r"(?i)</(?:\w+:)?(?:url|sitemap)>|</(?:\w+:)?loc>(?=\s*<(?:\w+:)?loc>)")
+
+
+def _unfolded(b: bytes, size: int) -> Iterator[bytes]:
+    """The bytes that b stands for, some at a time; gzip is known by its first bytes. Damaged bytes raise zlib.error."""
+    if b[:2] != b"\x1f\x8b":
+        yield from (b[k : k + size] for k in range(0, len(b), size))
+        return
+    while b:  # members of a packed file follow each other
+        out = zlib.decompressobj(wbits=31)
+        yield out.decompress(b, size)
+        while not out.eof:
+            if not (more := out.decompress(out.unconsumed_tail, size)) and not out.unconsumed_tail:
+                raise zlib.error("cut off")
+            yield more
+        b = out.unused_data if out.unused_data[:2] == b"\x1f\x8b" else b""
+
+
+def _texts(b: bytes | None, size: int) -> Iterator[str | None]:
+    """A sitemap as texts that end with an entry's end (the last one with the text's); a damaged one is a single null."""
+    if b is None:
+        yield None
+        return
+    try:  # once through, without keeping it: what is damaged gives nothing, not its start
+        for _ in _unfolded(b, size):
+            pass
     except zlib.error:
-        return None
-    return text.decode("utf-8", "replace") if out.eof else None
+        yield None
+        return
+    decode, held = codecs.getincrementaldecoder("utf-8")("replace").decode, ""
+    for part in _unfolded(b, size):
+        held += decode(part)
+        if len(held) >= size and (ends := [m.end() for m in _ENTRY_END.finditer(held)]):
+            yield held[: ends[-1]]
+            held = held[ends[-1] :]
+    yield held + decode(b"", True)
 
 
-def _plain(content: pd.Series) -> pd.Series:
-    return content.map(_unfold)
+def sitemap_text(files: DataFrame, content: str = "content", size: int = PIECE) -> DataFrame:
+    """files (as of the binaryFile source) with ``xml`` and ``piece`` in place of the content.
 
+    A file of more than ``size`` bytes, unfolded, has a row for each piece of about that size: whole
+    entries, numbered in order. However far it unfolds, all of it is read, a piece at a time. One
+    that is damaged has one row without ``xml``."""
+    others = [c for c in files.columns if c != content]
 
-def sitemap_text(files: DataFrame, content: str = "content") -> DataFrame:
-    """files (as of the binaryFile source) with ``xml``, null for damaged ones."""
-    return files.withColumn("xml", F.pandas_udf(_plain, "string")(content))
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                for k, text in enumerate(_texts(b[content][i].as_py(), size)):
+                    yield pa.RecordBatch.from_arrays([*(b[c].slice(i, 1) for c in others), pa.array([text], pa.string()), pa.array([k], pa.int32())], [*others, "xml", "piece"])
+
+    kinds = T.StructType([*(files.schema[c] for c in others), T.StructField("xml", T.StringType()), T.StructField("piece", T.IntegerType())])
+    return files.select(*others, F.col(content).cast("binary").alias(content)).mapInArrow(unfold, kinds)
 
 
 def sitemap_urls(maps: DataFrame, xml: str = "xml") -> DataFrame:
-    """loc, lastmod, is_map, pos of the entries of sitemaps: junk and broken nesting are passed over."""
+    """loc, lastmod, is_map, pos of the entries of sitemaps: junk and broken nesting are passed over.
+
+    Rows may be pieces of sitemaps, as sitemap_text gives them: then pos goes on from piece to piece, with gaps."""
     entry = r"(?is)<(?:\w+:)?(url|sitemap)>(.*?)</(?:\w+:)?\1>"
     kinds, bodies = (F.regexp_extract_all(xml, F.lit(entry), F.lit(k)) for k in (1, 2))
     bare = F.regexp_extract_all(xml, F.lit(r"(?is)(<(?:\w+:)?loc>.*?</(?:\w+:)?loc>)"), F.lit(1))
     rows = F.when(F.size(bodies) > 0, F.arrays_zip(kinds.alias("kind"), bodies.alias("body"))).otherwise(F.transform(bare, lambda x: F.struct(F.lit("url").alias("kind"), x.alias("body"))))
+    pieces = "piece" in maps.columns
     each = maps.select(*(c for c in maps.columns if c != xml), F.posexplode(rows).alias("pos", "x"))
+    each = each.withColumn("pos", F.col("piece") * F.lit(PLACES) + F.col("pos")).drop("piece") if pieces else each
     inside = lambda tag: F.regexp_extract("x.body", rf"(?is)<(?:\w+:)?{tag}>(.*?)</(?:\w+:)?{tag}>", 1)
-    out = each.select(*(c for c in maps.columns if c != xml), "pos", F.regexp_replace(inside("loc"), r"\s+", "").alias("loc"), F.try_to_date(F.substring(F.trim(inside("lastmod")), 1, 10), "yyyy-MM-dd").alias("lastmod"), (F.lower("x.kind") == "sitemap").alias("is_map"))
+    out = each.select(*(c for c in maps.columns if c not in (xml, "piece")), "pos", F.regexp_replace(inside("loc"), r"\s+", "").alias("loc"), F.try_to_date(F.substring(F.trim(inside("lastmod")), 1, 10), "yyyy-MM-dd").alias("lastmod"), (F.lower("x.kind") == "sitemap").alias("is_map"))
     return out.filter("loc <> ''")
 
 
@@ -79,35 +123,38 @@ def correlative(url: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(url, F.lit(r"(\d{4,})"), F.lit(1)), lambda x: x.try_cast("bigint"))), F.lit(0).cast("bigint"))
 
 
-#: Sitemaps that are followed from one, by their first entries; and levels of them.
-CHILDREN, LEVELS = 8, 4
+#: Sitemaps that are followed from one, by their first entries.
+CHILDREN = 8
 
 
-def discover(maps: DataFrame, roots: DataFrame, limit: int, pattern: str = "", as_of: Column | None = None, days: int = 30, levels: int = LEVELS) -> DataFrame:
+def discover(maps: DataFrame, roots: DataFrame, limit: int, pattern: str = "", as_of: Column | None = None, days: int = 30) -> DataFrame:
     """fuente, url, rank of the postings that sources' sitemaps lead to.
 
     maps: map_url, xml of what was read; roots: fuente, map_url, pos. Maps are followed level by
-    level, first come first, up to CHILDREN from each, and no further once three times the limit of
-    URLs is reached. With ``as_of`` the recent ones come, newest first; else the highest numbers.
-    ``levels`` bounds the depth: each is one join with the entries."""
+    level, first come first, up to CHILDREN from each, until a level leads to no map that its source
+    hasn't seen. Of a source's maps, in this order, those count that come before it has three times
+    the limit of URLs. With ``as_of`` the recent ones come, newest first; else the highest numbers.
+    Each level is a job, kept in the checkpoint folder: a join of what it leads to with the entries."""
     entries = sitemap_urls(maps)
-    children = entries.filter("is_map").select(F.col("map_url").alias("parent"), F.col("pos").alias("at"), F.col("loc").alias("child"))
+    children = kept(entries.filter("is_map").select(F.col("map_url").alias("parent"), F.col("pos").alias("at"), F.col("loc").alias("child")))
     path = F.array(F.col("pos").cast("int"))
-    frontier = roots.select("fuente", "map_url", F.struct(F.lit(0).alias("level"), path.alias("path")).alias("order"))
-    seen = frontier
-    for level in range(1, levels):
-        led = frontier.join(children, F.col("map_url") == F.col("parent")).select("fuente", "order", "at", "child")
-        known = seen.select(F.col("fuente").alias("f"), F.col("map_url").alias("m"), F.col("order").alias("o"))
-        led = led.join(known, (F.col("fuente") == F.col("f")) & (F.col("child") == F.col("m")) & (F.col("o") <= F.col("order")), "left_anti")
+    once_each = lambda df: df.groupBy("fuente", "map_url").agg(F.min("order").alias("order"))
+    frontier = once_each(roots.select("fuente", "map_url", F.struct(F.lit(0).alias("level"), path.alias("path")).alias("order")))
+    seen, level = frontier, 0
+    while True:
+        level += 1
         nth = F.row_number().over(Window.partitionBy("fuente", "order").orderBy("at"))  # as many rows as a map has
-        led = led.withColumn("nth", nth).filter(F.col("nth") <= CHILDREN)
+        led = frontier.join(children, F.col("map_url") == F.col("parent")).select("fuente", "order", "child", "at").withColumn("nth", nth).filter(F.col("nth") <= CHILDREN)
         into = F.struct(F.lit(level).alias("level"), F.concat("order.path", F.array(F.col("nth"))).alias("path"))
-        frontier = led.select("fuente", F.col("child").alias("map_url"), into.alias("order"))
-        seen = seen.unionByName(frontier)
+        led = once_each(led.select("fuente", F.col("child").alias("map_url"), into.alias("order")))
+        frontier = kept(led.join(seen.select("fuente", "map_url"), ["fuente", "map_url"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = kept(seen.unionByName(frontier))
     first = seen.groupBy("fuente", "map_url").agg(F.min("order").alias("order"))
     found = entries.filter("not is_map").select(F.col("map_url").alias("of"), "pos", "loc", "lastmod")
     sizes = found.groupBy("of").agg(F.count(F.lit(1)).alias("n"))
-    ordered = Window.partitionBy("fuente").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)  # a source's maps: at most roots * CHILDREN ** (levels - 1)
+    ordered = Window.partitionBy("fuente").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)  # a row for each of a source's maps
     before = first.join(sizes, F.col("map_url") == F.col("of"), "left").withColumn("before", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(ordered), F.lit(0)))
     read = before.filter(F.col("before") < 3 * limit).select("fuente", "order", F.col("map_url").alias("map"))
     urls = found.join(read, F.col("of") == F.col("map")).select("fuente", F.col("loc").alias("url"), F.struct("order", "pos").alias("place"), "lastmod")

@@ -101,9 +101,35 @@ def test_damaged_sitemaps_are_null(spark):
     import gzip
 
     good = gzip.compress(b"<urlset><url><loc>https://x.pe/a</loc></url></urlset>")
-    files = [(1, good), (2, good[:20]), (3, b"<url><loc>u</loc></url>"), (4, None), (5, b"\x1f\x8bnothing"), (6, gzip.compress(b" " * (crawl.MOST_BYTES + 1)))]
+    files = [(1, good), (2, good[:20]), (3, b"<url><loc>u</loc></url>"), (4, None), (5, b"\x1f\x8bnothing"), (6, good + good), (7, b"")]
     got = {r.id: r.xml for r in crawl.sitemap_text(spark.createDataFrame(files, "id long, content binary")).collect()}
-    assert [k for k, v in got.items() if v is None] == [2, 4, 5, 6] and "a</loc>" in got[1]
+    assert sorted(k for k, v in got.items() if v is None) == [2, 4, 5] and "a</loc>" in got[1] and got[6].count("a</loc>") == 2 and got[7] == ""
+
+
+def test_sitemaps_of_any_size_give_all_urls(spark):
+    import gzip
+
+    n = 500_000
+    xml = "<urlset>" + "".join(f"<url>\n<loc>https://x.pe/aviso/ñandú/{k:09d}</loc><lastmod>2026-01-{k % 28 + 1:02d}</lastmod></url>\n" for k in range(n)) + "</urlset>"
+    assert len(xml.encode()) > 40 << 20
+    bare = "".join(f"<loc>https://x.pe/{k}</loc>\n" for k in range(2000))
+    files = [(1, gzip.compress(xml.encode(), 1)), (2, bare.encode()), (3, gzip.compress(xml.encode(), 1)[:-9])]
+    table = spark.createDataFrame(files, "id long, content binary")
+    urls = crawl.sitemap_urls(crawl.sitemap_text(table, size=1 << 20))
+    got = urls.filter("id = 1").agg(F.count("loc"), F.countDistinct("loc"), F.min("lastmod").cast("string"), F.max("pos") > n).first()
+    assert tuple(got) == (n, n, "2026-01-01", True)
+    inorder = urls.filter("id = 1").orderBy("pos").select(F.substring_index("loc", "/", -1).cast("long").alias("k")).limit(60_000).agg(F.max("k"), F.countDistinct("k")).first()
+    assert tuple(inorder) == (59_999, 60_000)
+    small = crawl.sitemap_urls(crawl.sitemap_text(table.filter("id > 1"), size=500))
+    assert [r.loc for r in small.orderBy("pos").collect()] == [f"https://x.pe/{k}" for k in range(2000)]
+
+
+def test_discovery_follows_any_depth(spark):
+    maps = [(f"m{k}", f"<sitemapindex><sitemap><loc>m{k + 1}</loc></sitemap><sitemap><loc>m{max(k - 1, 0)}</loc></sitemap></sitemapindex>") for k in range(10)]
+    maps.append(("m10", "<urlset><url><loc>https://x.pe/1234</loc></url></urlset>"))
+    roots = spark.createDataFrame([("s", "m0", 0), ("t", "m9", 0)], "fuente string, map_url string, pos int")
+    got = crawl.discover(spark.createDataFrame(maps, "map_url string, xml string"), roots, 5).collect()
+    assert {(r.fuente, r.url, r["rank"]) for r in got} == {("s", "https://x.pe/1234", 1), ("t", "https://x.pe/1234", 1)}
 
 
 def test_discovery_stops_and_orders_by_date(spark):

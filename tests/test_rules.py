@@ -28,7 +28,7 @@ def test_salaries(spark):
 
 def test_titles_and_classes(spark):
     df = spark.createDataFrame([("¡GANA MÁS DE 1800 SOLES! OPERARIO DE PRODUCCIÓN — ATE / PLANILLA",), ("Papa Johns",), (None,)], "t string")
-    rows = df.select(titles.clean_title(F.col("t")).alias("c"), titles.names_job(F.col("t")).alias("n"), classify.category(F.col("t"), F.lit("")).alias("k")).collect()
+    rows = titles.with_clean_title(df, F.col("t"), "c").select("c", titles.names_job(F.col("t")).alias("n"), classify.category(F.col("t"), F.lit("")).alias("k")).collect()
     assert [r.c for r in rows] == ["Operario de Producción", "Papa Johns", ""]
     assert [r.n for r in rows] == [True, False, False]
     assert rows[2].k == "Otros"
