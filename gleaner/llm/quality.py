@@ -7,15 +7,16 @@ the size. Weights are trained by follow-the-regularised-leader updates, document
 over a bounded sample of labelled rows, in one task. Scores are sparse dot products, made in
 Arrow batches.
 
-Only labelled rows whose crc32(doc_id as text) mod 3 isn't 1 are learned from, about
-``SAMPLE_ROWS`` of them at most, chosen by a hash of their id, and of these, in order of that hash,
-the ones whose texts have ``SAMPLE_BYTES`` together. Labels, lang, source and doc_id are no inputs
-of a score.
+Only labelled rows whose crc32(doc_id as text) mod 3 isn't 1, and that have a document, are learned
+from: the ``SAMPLE_ROWS`` ones whose ids have the least hashes, and of these, in order of that hash,
+the ones whose texts have ``SAMPLE_BYTES`` together. The first row of each label is learned in any
+case; its text is cut only where it is longer than the label's part of half of the bytes. Labels,
+lang, source and doc_id are no inputs of a score.
 
 Defined cases: null or empty text is scored by its size alone; of a doc_id with several labels
 the least is learned, of one with several texts that with the least hash; labels without a row, or
 null ones, are not used; without any label the
-score is 0.5; repeated rows are each scored; further columns are ignored.
+score is 0.5; a very long text is scored whole; repeated rows are each scored; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from ._spark import cut, pick
 from ._words import U, Words, mix
 
 BITS = 18
-#: At most about so many labelled rows, and bytes of their texts, are learned from.
+#: At most so many labelled rows (and the first of each label), and bytes of their texts, are learned from.
 SAMPLE_ROWS, SAMPLE_BYTES = 8_000, 256 << 20
 #: Of the updates: step size, its damping, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.001
@@ -112,18 +113,23 @@ def held_out(doc_id="doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """doc_id, text, quality of the rows to learn from: one a doc_id, bounded in number and size."""
+    """doc_id, text, quality of the rows to learn from: one a doc_id, bounded in number and size, and never none of a label that has any."""
     docs = pick(docs, doc_id="long", text="string")
     labels = pick(labels, doc_id="long", quality="int").dropna().filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = min(1.0, sample_rows / max(labels.count(), 1))
-    chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    found = docs.join(F.broadcast(chosen), "doc_id")  # about sample_rows rows of two numbers
-    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"), F.first("quality").alias("quality"))
-    kept = cut(one.select("doc_id", F.col("one.text").alias("text"), "quality"))
-    sizes = kept.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
-    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # about sample_rows rows of two numbers
-    enough = sizes.withColumn("upto", upto).filter(F.col("upto") <= sample_bytes).select("doc_id")
-    return kept.join(F.broadcast(enough), "doc_id")
+    labels = cut(labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("by", F.struct(F.xxhash64("doc_id"), "doc_id")))
+    firsts = labels.groupBy("quality").agg(F.min("by").alias("by")).select("by", F.lit(True).alias("first"))  # a row for each label
+    chosen = labels.orderBy("by").limit(sample_rows).unionByName(labels.join(F.broadcast(firsts.select("by")), "by", "left_semi")).distinct()
+    chosen = chosen.join(F.broadcast(firsts), "by", "left").select("doc_id", "quality", F.coalesce("first", F.lit(False)).alias("first"))
+    found = docs.join(F.broadcast(chosen), "doc_id")  # about sample_rows rows of three values
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"), F.first("quality").alias("quality"), F.first("first").alias("first"))
+    kinds = max(firsts.count(), 1)
+    most = sample_bytes // (2 * kinds)  # bytes of a label's first text
+    short = F.when(F.col("first") & (F.octet_length("one.text") > most), F.left("one.text", F.lit(max(most // 4, 1)))).otherwise(F.col("one.text"))
+    kept = cut(one.select("doc_id", short.alias("text"), "quality", "first"))
+    sizes = kept.select("doc_id", "first", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    upto = F.sum("size").over(Window.orderBy(~F.col("first"), F.xxhash64("doc_id"), "doc_id"))  # about sample_rows rows of three values
+    enough = sizes.withColumn("upto", upto).filter(F.col("first") | (F.col("upto") <= sample_bytes)).select("doc_id")
+    return kept.drop("first").join(F.broadcast(enough), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:

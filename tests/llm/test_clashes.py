@@ -5,7 +5,7 @@ import collections
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, jaccard_join, licenses, packing, quality, quality_rules, secrets, substring_dedup, token_counts
+from gleaner.llm import decontaminate, jaccard_join, licenses, packing, quality, quality_rules, secrets, substring_dedup, token_counts, window_packing
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +17,7 @@ TABLE = [(1, LONG + " " + " ".join(WORDS[100:130])), (1, " ".join(WORDS[100:130]
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = spark.createDataFrame(TABLE, "doc_id long, text string").select("*", F.lit("es").alias("lang"), F.lit(None).cast("string").alias("source"), *(F.lit(k).alias(n) for k, n in enumerate(NAMES)))
+    rows = spark.createDataFrame(TABLE, "doc_id long, text string").select("*", F.lit("es").alias("lang"), F.lit(None).cast("string").alias("source"), *(F.lit(k).alias(n) for k, n in enumerate(NAMES)), F.create_map(F.lit("a"), F.lit(1)).alias("m"), F.array(F.lit(1), F.lit(None)).alias("l"), F.struct(F.lit(1).alias("a"), F.create_map(F.lit("b"), F.lit(2)).alias("text")).alias("st"))
     return rows.repartition(3).cache()
 
 
@@ -29,7 +29,7 @@ def test_operators(spark, docs):
     ids = collections.Counter(i for i, _ in TABLE)
     bench = docs.select(F.col("doc_id").alias("item_id"), "text", *NAMES)
     labels = docs.select("doc_id", F.lit(1).alias("quality"), *NAMES)
-    for df in (substring_dedup.kept_digests(docs), decontaminate.decontaminate(docs, bench), quality_rules.apply_rules(docs), quality.classify(docs, labels), secrets.scan(docs), licenses.scan(docs), jaccard_join.components(docs), packing.pack(docs), token_counts.encoded_lengths(docs)):
+    for df in (substring_dedup.kept_digests(docs), decontaminate.decontaminate(docs, bench), quality_rules.apply_rules(docs), quality.classify(docs, labels), secrets.scan(docs), licenses.scan(docs), jaccard_join.components(docs), packing.pack(docs), window_packing.pack(docs), token_counts.encoded_lengths(docs)):
         assert collections.Counter(r.doc_id for r in df.collect()) == ids
 
 

@@ -108,6 +108,16 @@ def test_learned_rows_are_bounded(spark):
     assert set(everything) == known and all(q == 0 for i, (_, q) in everything.items() if i in (2, 4))
 
 
+@pytest.mark.parametrize(("rows", "size"), [(8000, 10), (1, 1 << 20), (3, 200)])
+def test_something_of_each_label_is_learned(spark, rows, size):
+    docs = spark.createDataFrame([(k, f"{'bueno' if k % 2 else 'malo'} ñandú " * 40) for k in range(50)] + [(99, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(k, 1) for k in range(1000, 6000)], "doc_id long, quality int")  # most labels have no document
+    got = quality.sample(docs, labels, rows, size).collect()
+    assert {r.quality for r in got} == {0, 1} and all(r.text for r in got)
+    assert len(got) <= rows + 2 and sum(len(r.text.encode()) for r in got) <= max(size, 2)
+    assert quality.fit(docs, labels, rows, size).any()
+
+
 def _group(n, spread, r):
     """Texts of about 100 words, whose words' mean length differs by about so much."""
     out = []
