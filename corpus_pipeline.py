@@ -36,7 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near duplicates one document: the least by doc_id (null last), text hash and columns."""
+    """Keeps of each component of near duplicates one document: the least by doc_id (null last), text hash and columns (as JSON)."""
     known = jaccard_join.labelled(docs, n=STAGE_N, percent=STAGE_PERCENT).filter("label is not null")
     each = cut(known.groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")))
     least = each.groupBy(F.col("label").alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("least"))
@@ -48,7 +48,8 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     of, of_text = free(docs, "of", "of_text")
     named = again.select(F.col("doc_id").alias(of), F.col("text_hash").alias(of_text))
     repeated = kept.join(named, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(of_text)), "left_semi")
-    one = repeated.groupBy("doc_id", F.xxhash64("text").alias(of_text)).agg(F.min(F.struct(*docs.columns)).alias(of)).select(f"{of}.*")
+    whole = F.struct(*docs.columns)  # told apart as JSON: columns of map type have no order
+    one = repeated.groupBy("doc_id", F.xxhash64("text").alias(of_text)).agg(F.min_by(whole, F.to_json(whole)).alias(of)).select(f"{of}.*")
     return without(kept, again).unionByName(one)
 
 
