@@ -2,8 +2,8 @@
 
 The documents of a partition, in the table's order, are one stream of tokens. A window is a
 stretch of it of at most ``capacity`` tokens and costs its padding (none if its length is a power
-of two, else what it lacks to ``capacity``) and WINDOW_PRICE, so that a short window is made only
-where it spares more. A cut costs nothing at a document's end, SENTENCE_PRICE at a sentence's end,
+of two, of SHORTEST or more but at the stream's end, else what it lacks to ``capacity``) and
+WINDOW_PRICE, so that a short window is made only where it spares more. A cut costs nothing at a document's end, SENTENCE_PRICE at a sentence's end,
 and INSIDE_PRICE within one. The plan with the least sum is found over these cuts: every document and sentence end, the end of a full window that begins at
 one of them, and, in stretches of STRETCH tokens without any, every STRETCH-th token. The cheapest
 padded window that ends at a place begins where cost + place is least among the ``capacity`` places
@@ -41,12 +41,14 @@ from .token_counts import ADDED, encoder, vocabulary_path
 CAPACITY, END_ID = 1024, 0
 #: What a cut costs, in tokens of padding, at a sentence's end and within a sentence, and what each window does.
 SENTENCE_PRICE, INSIDE_PRICE, WINDOW_PRICE = 2, 8, 16
+#: The shortest window before the stream's end that counts as one of a power of two: shorter ones would hardly be worth their price.
+SHORTEST = 32
 #: Tokens without a sentence's end after which a place to cut is offered all the same.
 STRETCH = 256
 #: Tokens planned at a time, and those of its end that are planned again.
-HORIZON, AGAIN = 65_536, 8_192
+HORIZON, AGAIN = 131_072, 8_192
 #: How many full windows in a row may end within sentences.
-CHAIN = 6
+CHAIN = 4
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -109,9 +111,10 @@ def offered(price: np.ndarray, capacity: int = CAPACITY, stretch: int = STRETCH)
     return at.tolist(), price[at - 1].tolist()
 
 
-def plan(places: list[int], price: list[int], capacity: int = CAPACITY, chain: int = CHAIN) -> tuple[list[int], int]:
+def plan(places: list[int], price: list[int], capacity: int = CAPACITY, chain: int = CHAIN, shortest: int = SHORTEST) -> tuple[list[int], int]:
     """Ends of the windows of the cheapest plan, and its cost. The last place, the stream's end, is free."""
-    free = [s for k in range(64) if (s := 1 << k) <= capacity]
+    every = [s for k in range(64) if (s := 1 << k) <= capacity]
+    free = [s for s in every if shortest <= s < capacity]  # full windows have no padding as it is
     end = places[-1]
     at, cost, came = [0], [0], [-1]
     known = {0: 0}
@@ -132,7 +135,7 @@ def plan(places: list[int], price: list[int], capacity: int = CAPACITY, chain: i
                 queue.popleft()
             before = queue[0]
             least = cost[before] + at[before] + capacity - here
-            for size in free:
+            for size in free if here < end else every:
                 j = known.get(here - size)
                 if j is not None and (cost[j] < least or cost[j] == least and j < before):
                     before, least = j, cost[j]

@@ -87,7 +87,11 @@ def test_no_windows_of_an_empty_table(spark):
     assert (row.start, row.length, row.doc_tokens, row.offset) == (0, 1, 1, 0)
 
 
-def plain_plan(price, capacity, stretch, chain):
+def padding_of(size, capacity, last, shortest):
+    return 0 if size & (size - 1) == 0 and (last or size >= shortest) else capacity - size
+
+
+def plain_plan(price, capacity, stretch, chain, shortest):
     """The least cost over the same cuts, by trying every window."""
     places, _ = window_packing.offered(price, capacity, stretch)
     marks, n = set(places), len(price)
@@ -97,8 +101,7 @@ def plain_plan(price, capacity, stretch, chain):
             best = math.inf
             if row == 0 and i in marks:
                 for j in range(max(0, i - capacity), i):
-                    size = i - j
-                    pad = 0 if size & (size - 1) == 0 else capacity - size
+                    pad = padding_of(i - j, capacity, i == n, shortest)
                     best = min([best, *(cost[j, r] + pad for r in range(chain + 1) if (j, r) in cost)])
                 best += 16 + (int(price[i - 1]) if i < n else 0)
             elif row and i not in marks and (i - capacity, row - 1) in cost:
@@ -114,13 +117,13 @@ def test_plan_is_the_cheapest():
         n, capacity = r.randint(1, 400), r.choice([16, 24, 32, 64])
         price = np.array([r.choices([0, 2, 8], [1, 3, 40 if case % 2 else 8])[0] for _ in range(n)], np.uint8)
         places, cost = window_packing.offered(price, capacity, 16)
-        for chain in (0, 1, 3):
-            ends, found = window_packing.plan(places, cost, capacity, chain)
+        for chain, shortest in ((0, 1), (1, 1), (3, 1), (1, 8), (3, 16)):
+            ends, found = window_packing.plan(places, cost, capacity, chain, shortest)
             sizes = np.diff([0, *ends])
             assert ends[-1] == n and sizes.min() > 0 and sizes.max() <= capacity
-            paid = sum(16 + (0 if s & (s - 1) == 0 else capacity - s) for s in sizes.tolist()) + sum(int(price[e - 1]) for e in ends[:-1])
+            paid = sum(16 + padding_of(s, capacity, e == n, shortest) for s, e in zip(sizes.tolist(), ends)) + sum(int(price[e - 1]) for e in ends[:-1])
             assert paid == found
-            assert found == plain_plan(price, capacity, 16, chain)
+            assert found == plain_plan(price, capacity, 16, chain, shortest)
 
 
 def test_cuts_lie_at_sentence_ends():
