@@ -161,26 +161,3 @@ def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
 
 def bucket(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-
-def write_buckets(table: DataFrame, folder: str, key: str, version: int, buckets: int) -> None:
-    """Writes rows as a version of their key buckets; run again, it replaces just that version."""
-    table.withColumn("bucket", bucket(key, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={version}")
-
-
-def read_buckets(spark: SparkSession, folder: str, version: int, only: list[int] | None = None) -> DataFrame:
-    """The table as of a version: of each key bucket the last version up to it, of all buckets or of some.
-
-    Which versions a bucket has is read from the folders' names, not from rows."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/v=*/bucket=*")
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    last: dict[int, int] = {}
-    for status in fs.globStatus(fs_path) or ():
-        at = str(status.getPath())
-        v, b = (int(x.split("=")[1]) for x in at.rsplit("/", 2)[1:])
-        if v <= version and (only is None or b in only):
-            last[b] = max(v, last.get(b, v))
-    schema = spark.read.parquet(f"{folder}/schema").schema
-    if not last:
-        return spark.read.schema(schema).parquet(f"{folder}/schema")
-    return spark.read.schema(schema).parquet(*(f"{folder}/v={v}/bucket={b}" for b, v in sorted(last.items())))

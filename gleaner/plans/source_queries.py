@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import store
+from ..operators import deltas, store
 from ..operators.shared import scratch
 from ..sources import crawl, documents, pages
 from ..streaming import ingest
@@ -250,13 +250,11 @@ def _folder_of(spark, d, name: str, files: int | None = None) -> str:
 def stream_upsert(spark, d):
     """Events as a stream, put by key into a versioned table, one micro-batch after the other."""
     where = scratch(spark)
-    ingest.start_table(spark, f"{where}/t", "user_id bigint, event_id bigint, at timestamp, capturado timestamp, visto_ultima_vez timestamp, vigente boolean")
+    deltas.create(spark, f"{where}/t", "user_id bigint, event_id bigint, at timestamp, capturado timestamp, visto_ultima_vez timestamp, vigente boolean", "user_id")
     stream = spark.readStream.schema(table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(_folder_of(spark, d, "events", 3))
     rows = stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"))
-    q = ingest.upsert_stream(rows, f"{where}/t", "user_id", ("at", "event_id"), "2030-01-01 00:00:00", f"{where}/checkpoint", 8)
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else -1
-    return store.read_buckets(spark, f"{where}/t", last + 1).select("user_id", "event_id")
+    ingest.upsert_stream(rows, f"{where}/t", "user_id", ("at", "event_id"), "2030-01-01 00:00:00", f"{where}/checkpoint", 2).awaitTermination()
+    return deltas.read(spark, f"{where}/t").select("user_id", "event_id")
 
 
 @register("stream_windows", "select date_trunc('hour', ts) as desde, event_type, count(*) as n from events group by all")

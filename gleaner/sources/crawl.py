@@ -177,7 +177,13 @@ STRETCH = 100_000
 
 
 def until_stale(pages: DataFrame, order: str, old: Column, run: int = 40, by: str = "fuente", stretch: int = STRETCH) -> DataFrame:
-    """Pages in order up to the end of the first ``run`` old ones in a row (S8); ``order`` is a whole number.
+    """Pages in order up to the end of the first ``run`` old ones in a row."""
+    stops = stale_stops(pages, order, old, run, by, stretch)
+    return pages.join(stops, F.col(by).eqNullSafe(F.col("_by")), "left").filter(F.col("stop").isNull() | (F.col(order) <= F.col("stop"))).drop("_by", "stop")
+
+
+def stale_stops(pages: DataFrame, order: str, old: Column, run: int = 40, by: str = "fuente", stretch: int = STRETCH) -> DataFrame:
+    """_by, stop: where the first ``run`` old pages in a row end, for each source that has them; ``order`` is a whole number.
 
     Each stretch of the order is looked through by itself: how many old ones it starts and ends
     with, and where the first long run inside it ends. Stretches, a row each, then carry what they
@@ -200,8 +206,7 @@ def until_stale(pages: DataFrame, order: str, old: Column, run: int = 40, by: st
     parts = parts.withColumn("carried", F.col("_all") - F.col("_base"))
     asked = parts.filter("carried + lead >= " + str(run)).select(F.col("_by").alias("b"), F.col("_part").alias("p"), F.greatest(run - F.col("carried"), F.lit(1)).alias("r"))
     across = ends.filter("_break = 0").join(asked, F.col("_by").eqNullSafe(F.col("b")) & (F.col("_part") == F.col("p")) & (F.col("_run") == F.col("r"))).select("_by", F.col("_order").alias("stop"))
-    stops = parts.filter("stop is not null").select("_by", "stop").unionByName(across).groupBy(F.col("_by").alias("_of")).agg(F.min("stop").alias("_stop"))
-    return pages.join(stops, F.col(by).eqNullSafe(F.col("_of")), "left").filter(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_of", "_stop")
+    return parts.filter("stop is not null").select("_by", "stop").unionByName(across).groupBy("_by").agg(F.min("stop").alias("stop"))
 
 
 def vacancy_counts(urls: DataFrame, n: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import bucket, read_buckets, upsert, write_buckets
+from ..operators import deltas
 
 
 def first_seen(stream: DataFrame, key: list[str], time: str, ttl: str = "30 days") -> DataFrame:
@@ -21,29 +21,25 @@ def counts_by_window(stream: DataFrame, time: str, by: list[str], width: str = "
     return at.groupBy(F.window(time, width), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("desde"), *by, "n")
 
 
-#: Key buckets of a table that a stream is put into.
-BUCKETS = 64
+#: Deltas of a bucket from which on a stream merges it.
+MERGED_AT = 16
 
 
-def upsert_stream(stream: DataFrame, folder: str, key: str, order: tuple, now: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    """Puts every micro-batch into a table of key buckets: batch n makes version n + 1 of the buckets it has rows for, again if it is run again.
+def upsert_stream(stream: DataFrame, folder: str, key: str, order: tuple, now: str, checkpoint: str, merge_at: int = MERGED_AT) -> StreamingQuery:
+    """Puts every micro-batch into a table of deltas: what is written grows with the batch, not with the table.
 
-    Other buckets are neither read nor written."""
+    The table's manifest tells the last batch of this stream (named by its checkpoint) that is in,
+    so a batch that is run again is put in once. Buckets with many deltas are merged in passing."""
 
     def put(batch: DataFrame, n: int) -> None:
         spark: SparkSession = batch.sparkSession
-        touched = [r.b for r in batch.select(bucket(key, buckets).alias("b")).distinct().collect()]  # at most ``buckets`` rows
-        if touched:
-            write_buckets(upsert(read_buckets(spark, folder, n, touched), batch, key, F.lit(now).cast("timestamp"), order), folder, key, n + 1, buckets)
+        if not batch.isEmpty():
+            deltas.put(spark, folder, batch, F.lit(now).cast("timestamp"), order, stream=(checkpoint, n))
+            deltas.compact(spark, folder, merge_at)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def start_table(spark: SparkSession, folder: str, schema: str) -> None:
-    """An empty table for upsert_stream: its columns."""
-    spark.createDataFrame([], schema).write.parquet(f"{folder}/schema")
-
-
 def drain(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     """Runs a stream over what is there, appends its rows to a Parquet folder, and returns them."""
     spark = stream.sparkSession

@@ -75,20 +75,6 @@ def test_upsert_overwrites_all_but_first_capture(spark):
     assert got["b"]["t"] == "y" and got["b"]["vigente"] and got["c"]["capturado"] == now and len(got) == 3
 
 
-def test_key_buckets_keep_versions(spark, tmp_path):
-    folder = str(tmp_path / "t")
-    spark.createDataFrame([], "k long, v string").write.parquet(f"{folder}/schema")
-    assert store.read_buckets(spark, folder, 5).count() == 0
-    put = lambda rows, v: store.write_buckets(spark.createDataFrame(rows, "k long, v string"), folder, "k", v, 4)
-    bucket = {r.k: r.b for r in spark.range(40).select(F.col("id").alias("k"), store.bucket("id", 4).alias("b")).collect()}
-    put([(k, "one") for k in range(40)], 1)
-    some = [k for k in range(40) if bucket[k] == 2]
-    put([(k, "two") for k in some], 2)
-    read = lambda v, only=None: {r.k: r.v for r in store.read_buckets(spark, folder, v, only).collect()}
-    assert set(read(1).values()) == {"one"} and read(2) == {k: "two" if k in some else "one" for k in range(40)}
-    assert read(2, [2]) == {k: "two" for k in some}
-
-
 def test_first_of_each_key_keeps_all_columns(spark):
     rows = [("a", 2, "x", {"p": 1}), ("a", 1, "y", {"p": 2}), ("b", None, "z", None), ("b", 0, "w", None), (None, 1, "q", None)]
     df = spark.createDataFrame(rows, "k string, n int, t string, m map<string,int>")
