@@ -84,40 +84,56 @@ def _found(text: Column, pattern: str, amounts: int) -> Column:
     return F.arrays_zip(group(1, "before"), group(2, "whole"), group(3, "a"), group(3 + amounts - 1, "b"), group(3 + amounts, "after"))
 
 
-def _readings(text: Column, currency: str, amounts: int, pattern: str, labelled: bool) -> Column:
-    """The credible readings of one pattern, in steps: what was found, its period and values, its monthly values."""
-    low, high = rules.MONTHLY_RANGE[currency]
+_MATCH = "array<struct<before:string,whole:string,a:string,b:string,after:string>>"
+
+
+def rated(text: Column) -> Column:
+    """array<struct> of all credible readings of a collapsed text: how little they are trusted, amounts by month, the
+    number ``k`` of the pattern that gave them, and whether a label tells that they are pay (L6).
+
+    What the patterns find is one array that goes through each step once: period and values, monthly values, trust."""
+    patterns = list(_patterns())
+    numbered = lambda found: F.flatten(F.transform(found, lambda f, k: F.transform(f, lambda x, i: x.withField("k", k).withField("i", i))))
+    found = F.array(*(F.when(text.rlike(p), _found(text, p, n)).otherwise(F.array().cast(_MATCH)) for _, n, p in patterns))
+    dollars = lambda x: x["k"].isin([k for k, (currency, _, _) in enumerate(patterns) if currency == "USD"])
+    single = lambda x: x["k"].isin([k for k, (_, n, _) in enumerate(patterns) if n == 1])
 
     def read(x: Column) -> Column:
         near = F.concat(x["before"], x["whole"], x["after"])
-        return F.struct(period(x["after"], x["before"]).alias("p"), amount(x["a"]).alias("va"), (amount(x["b"]) if amounts == 2 else amount(x["a"])).alias("vb"), label_window(x["before"]).alias("w"), (any_of(near, rules.VAGUE_PAY) | any_of(near, rules.PAY_NOISE)).alias("noisy"), F.trim(x["whole"]).alias("literal"))
+        return F.struct(x["k"].alias("k"), x["i"].alias("i"), period(x["after"], x["before"]).alias("p"), amount(x["a"]).alias("va"), amount(x["b"]).alias("vb"), label_window(x["before"]).alias("w"), (any_of(near, rules.VAGUE_PAY) | any_of(near, rules.PAY_NOISE)).alias("noisy"), F.trim(x["whole"]).alias("literal"))
 
     def convert(x: Column) -> Column:
-        sane = credible(x["va"], x["p"]) & credible(x["vb"], x["p"]) if currency == "PEN" else F.lit(True)
-        return F.struct(x["p"].alias("p"), x["w"].alias("w"), x["literal"].alias("literal"), (sane & ~x["noisy"]).alias("sane"), monthly(x["va"], x["p"]).alias("ma"), monthly(x["vb"], x["p"]).alias("mb"))
+        sane = dollars(x) | credible(x["va"], x["p"]) & credible(x["vb"], x["p"])
+        return F.struct(x["k"].alias("k"), x["i"].alias("i"), x["p"].alias("p"), x["w"].alias("w"), x["literal"].alias("literal"), (sane & ~x["noisy"]).alias("sane"), monthly(x["va"], x["p"]).alias("ma"), monthly(x["vb"], x["p"]).alias("mb"))
 
     def keep(x: Column) -> Column:
-        good = x["sane"] & x["ma"].between(low, high) & x["mb"].between(low, high) & ~any_of(x["w"], rules.NOT_PAY)
-        if amounts == 2:
-            good &= F.greatest(x["ma"], x["mb"]) <= 6 * F.least(x["ma"], x["mb"])
-        return good & any_of(x["w"], rules.EXPLICIT_LABELS) if labelled else good
+        low, high = (F.when(dollars(x), rules.MONTHLY_RANGE["USD"][k]).otherwise(rules.MONTHLY_RANGE["PEN"][k]) for k in (0, 1))
+        least, most = F.least(x["ma"], x["mb"]), F.greatest(x["ma"], x["mb"])
+        return x["sane"] & x["ma"].isNotNull() & x["mb"].isNotNull() & (least >= low) & (most <= high) & ~any_of(x["w"], rules.NOT_PAY) & (single(x) | (most <= 6 * least))
 
-    def rate(x: Column, i: Column) -> Column:
-        trust = F.lit(100 - 5 * (currency == "USD") - 5 * (amounts == 1)) - F.when(x["p"] != "mensual", 25).otherwise(0) + F.when(any_of(x["w"], rules.PAY_LABELS), 5).otherwise(0)
-        return F.struct((-F.least(trust, F.lit(100))).alias("distrust"), F.least(x["ma"], x["mb"]).cast("int").alias("minimo"), i.alias("i"), F.greatest(x["ma"], x["mb"]).cast("int").alias("maximo"), F.lit(currency).alias("moneda"), x["literal"].alias("literal"))
+    def rate(x: Column) -> Column:
+        trust = F.lit(100) - F.when(dollars(x), 5).otherwise(0) - F.when(single(x), 5).otherwise(0) - F.when(x["p"] != "mensual", 25).otherwise(0) + F.when(any_of(x["w"], rules.PAY_LABELS), 5).otherwise(0)
+        money = F.when(dollars(x), "USD").otherwise("PEN")
+        return F.struct((-F.least(trust, F.lit(100))).alias("distrust"), F.least(x["ma"], x["mb"]).cast("int").alias("minimo"), x["i"].alias("i"), F.greatest(x["ma"], x["mb"]).cast("int").alias("maximo"), money.alias("moneda"), x["literal"].alias("literal"), x["k"].alias("k"), any_of(x["w"], rules.EXPLICIT_LABELS).alias("labelled"))
 
-    rows = F.transform(F.filter(F.transform(F.transform(_found(text, pattern, amounts), read), convert), keep), rate)
-    return F.when(text.rlike(pattern), let(rows, lambda r: F.when(F.size(r) > 0, r)))
+    can = text.rlike(r"\d") & text.rlike("|".join(_CURRENCY.values()))
+    rows = F.transform(F.filter(F.transform(F.transform(numbered(found), read), convert), keep), rate)
+    return F.when(can, rows).otherwise(F.array().cast(_RATED))
 
 
-def candidates(text: Column, labelled: bool) -> Column:
-    """array<struct> of credible readings of a collapsed text, by the first pattern that has any."""
-    none = F.array().cast(_RATED)
-    can = text.rlike(r"\d") & text.rlike("|".join(_CURRENCY.values()))
-    return F.when(can, F.coalesce(*(_readings(text, *p, labelled) for p in _patterns()), none)).otherwise(none)
+_RATED = "array<struct<distrust:int,minimo:int,i:int,maximo:int,moneda:string,literal:string,k:int,labelled:boolean>>"
+
+
+def chosen(readings: Column, labelled: bool) -> Column:
+    """Of rated readings those of the first pattern that has any, or any with a label."""
+    fits = lambda x: x["labelled"] if labelled else F.lit(True)
+    least = F.array_min(F.transform(readings, lambda x: F.when(fits(x), x["k"])))
+    return let(least, lambda k: F.filter(readings, lambda x: fits(x) & (x["k"] == k)))
 
 
-_RATED = "array<struct<distrust:int,minimo:int,i:int,maximo:int,moneda:string,literal:string>>"
+def candidates(text: Column, labelled: bool) -> Column:
+    """array<struct> of credible readings of a collapsed text, by the first pattern that has any."""
+    return let(rated(text), lambda r: chosen(r, labelled))
 
 
 def salary_of(plain: Column, readings: Column) -> Column:

@@ -28,8 +28,10 @@ def process(raw: DataFrame, as_of: Column) -> DataFrame:
     body = F.coalesce(F.nullif("descripcion_html", F.lit("")), F.nullif("texto_plano", F.lit("")), F.lit(""))
     df = with_blocks(raw.withColumn("body", body)).withColumn("plain", F.array_join("lines", " "))
     df = once(df, plain_low=collapse(F.col("plain")), texts=F.array(collapse(F.col("sueldo_texto")), collapse(F.col("plain"))))
-    # the large expressions are built once: labelled readings of the body, any readings of field and body
-    df = once(df, labelled=salary.candidates(F.col("plain_low"), True), any_pay=F.transform("texts", lambda t: salary.salary_of(t, salary.candidates(t, False))))
+    # the large expression is built once: all readings of the field and the body
+    df = once(df, rated=F.transform("texts", salary.rated))
+    field, whole = (F.get("rated", F.lit(k)) for k in (0, 1))
+    df = once(df, labelled=salary.chosen(whole, True), any_pay=F.array(salary.salary_of(F.get("texts", F.lit(0)), salary.chosen(field, False)), salary.salary_of(F.get("texts", F.lit(1)), salary.chosen(whole, False))))
     df = once(df, ambiguous=salary.several_of(F.col("labelled")), by_label=salary.salary_of(F.col("plain_low"), F.col("labelled")), by_field=F.get("any_pay", F.lit(0)), anywhere=F.get("any_pay", F.lit(1)))
     located = F.concat_ws(" ", F.coalesce("ubicacion_texto", F.lit("")), "plain")
     df = once(

@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table's rows, dealt over all cores where its files make fewer tasks: for work that takes much longer than the rows' way."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_of():
     return F.lit(AS_OF).cast("date")
 
@@ -310,7 +316,7 @@ select {sql.fingerprint('title', 'c_name', "'Trujillo'")} as huella, concat('htt
 @register("process_postings", _CHAIN)
 def process_postings(spark, d):
     """The whole chain from raw postings to scored ones."""
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = dealt(table(spark, d, "orders")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     age = (F.col("o_orderkey") % 70).cast("int")
     raw = o.select(F.col("o_orderpriority").alias("fuente"), F.concat(F.lit("https://x.pe/"), "o_orderkey").alias("url"), F.expr("case o_orderkey % 3 when 0 then 'OPERARIO DE PRODUCCION / PLANILLA' when 1 then 'Asesor de ventas' else 'Papa Johns' end").alias("puesto"), F.col("c_name").alias("empresa"), F.expr(CHAIN_HTML).alias("descripcion_html"), F.lit("").alias("texto_plano"), F.lit("Trujillo").alias("ubicacion_texto"), F.expr(PAY_TEXT).alias("sueldo_texto"), F.date_sub(as_of(), age).alias("publicado"), F.lit("").alias("id_externo"), F.create_map(F.lit("perfil"), F.when(F.col("o_orderkey") % 4 == 0, "publico").otherwise("privado")).alias("extra"))
     p = postings.process(raw, as_of())

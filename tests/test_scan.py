@@ -11,7 +11,7 @@ from gleaner.sources import archive, scan
 from gleaner.streaming import ingest
 
 DAY = datetime.date(2026, 1, 1)
-AS_OF = F.lit("2026-03-01").cast("date")
+AS_OF = datetime.date(2026, 3, 1)
 
 
 @pytest.fixture
@@ -118,7 +118,7 @@ def test_scans_end_as_one_by_one(spark, stretch):
     addresses = spark.createDataFrame([x[:3] for x in rows], "fuente string, url string, pos int")
     seen = spark.createDataFrame([(u,) for _, u, _, kind in rows if kind == "vista"] * 2 + [("other",)], "url string")
     pages = spark.createDataFrame([(u, page(kind, k)) for _, u, k, kind in rows if kind != "sin_leer"], "url string, html string")
-    got = scan.scan(settings, addresses, seen, pages, AS_OF, stretch=stretch)
+    got = scan.scan(settings, addresses, seen, pages, F.lit(AS_OF), stretch=stretch)
     found = {}
     for x in got.orderBy("pos").collect():
         found.setdefault(x.fuente, []).append(x.resultado)
@@ -134,7 +134,7 @@ def test_candidates_follow_the_settings(spark):
     found = [("id", f"https://x/a-{1000 + k}", k, day(500)) for k in range(20)] + [("id", "https://x/b-9999", 0, None), ("id", "https://x/a-1019", 99, None)]
     found += [("date", "old", 0, day(11)), ("date", "undated", 1, None), ("date", "new", 2, day(1)), ("date", "newer", 3, day(0)), ("again", "z-5555", 0, None), ("off", "q", 0, None), ("unknown", "q", 0, None)]
     fixed = spark.createDataFrame([("again", "r2", 2), ("again", "r1", 1), ("again", "r3", 3)], "fuente string, url string, place long")
-    got = scan.candidates(settings, spark.createDataFrame(found, "fuente string, url string, place long, lastmod date"), fixed, AS_OF)
+    got = scan.candidates(settings, spark.createDataFrame(found, "fuente string, url string, place long, lastmod date"), fixed, F.lit(AS_OF))
     by = {}
     for r in got.orderBy("pos").collect():
         by.setdefault(r.fuente, []).append(r.url)
