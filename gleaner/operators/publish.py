@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.salary import salary_text
 from ..functions.text import fold
 from . import analytics, store
+from .shared import kept
 
 # Months of long dates.
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "setiembre", "octubre", "noviembre", "diciembre")
@@ -84,6 +86,57 @@ def stale_pages(published: DataFrame, current: DataFrame, key: str = "slug") ->
     return published.join(current.select(key), key, "left_anti")
 
 
+def pages_changed(changes: DataFrame) -> DataFrame:
+    """slug, accion of the pages that differ between two versions of a table (W2): 'escribir' or 'quitar'.
+
+    Only approved live postings have pages; a posting's page is named by its title and fingerprint."""
+    shown = lambda side: F.when(F.col(side).isNotNull() & F.col(f"{side}.aprobada") & F.col(f"{side}.vigente"), slug(F.col(f"{side}.puesto"), F.col(f"{side}.huella")))
+    both = changes.select(shown("antes").alias("a"), shown("despues").alias("b"))
+    gone, new = F.when(F.col("a").isNotNull() & ~F.col("a").eqNullSafe(F.col("b")), F.struct(F.col("a").alias("slug"), F.lit("quitar").alias("accion"))), F.when(F.col("b").isNotNull(), F.struct(F.col("b").alias("slug"), F.lit("escribir").alias("accion")))
+    return both.select(F.explode(F.array_compact(F.array(gone, new))).alias("x")).select("x.*")
+
+
+#: Entries of a sitemap, and maps of an index, at most.
+MOST_ENTRIES = 50_000
+_SPACE = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+
+
+def _write_maps(entries: DataFrame, folder: str, name: str, tag: str, most: int) -> DataFrame:
+    """Writes distinct entries (entry, lastmod) in order into files of at most ``most``; gives file, n, lastmod.
+
+    Entries are dealt by ranges; each range counts its own, and what the ranges before it have tells its places."""
+    spark = entries.sparkSession
+    parts = kept(entries.groupBy("entry").agg(F.max("lastmod").alias("lastmod")).repartitionByRange("entry").withColumn("part", F.spark_partition_id()))
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("own"))
+    before = F.sum("own").over(Window.orderBy("part")) - F.col("own")  # a row for each range
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("entry")) - 1
+    placed = parts.withColumn("nth", nth).join(F.broadcast(counts.select("part", before.alias("before"))), "part").withColumn("at", F.col("before") + F.col("nth"))
+    placed = placed.select(F.floor(F.col("at") / most).alias("file"), (F.col("at") % most).alias("pos"), "entry", "lastmod")
+    files = kept(placed.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("lastmod").alias("lastmod")))
+    frame = lambda pos, text: files.select("file", F.lit(pos).cast("long").alias("pos"), F.lit(text).alias("entry"))
+    lines = placed.select("file", "pos", "entry").unionByName(frame(-1, f'<?xml version="1.0" encoding="UTF-8"?>\n<{tag} {_SPACE}>')).unionByName(frame(most, f"</{tag}>"))
+    drafts = f"{folder}/.{name}"
+    lines.repartition("file").sortWithinPartitions("file", "pos").select("file", "entry").write.mode("overwrite").partitionBy("file").text(drafts)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for x in fs.globStatus(path(f"{drafts}/file=*/part-*")) or ():  # a name for each file of ``most`` entries
+        at = x.getPath()
+        to = path(f"{folder}/{name}-{at.getParent().getName().split('=')[1]}.xml")
+        fs.delete(to, False)
+        fs.rename(at, to)
+    fs.delete(path(drafts), True)
+    return files
+
+
+def write_sitemap(entries: DataFrame, folder: str, site: str, most: int = MOST_ENTRIES) -> DataFrame:
+    """Writes sitemap-0.xml, ... with the entries (sitemap_entries), in order and each once, and index-0.xml, ... over them (X8). Gives file, n, lastmod."""
+    day = F.nullif(F.regexp_extract("entry", r"<lastmod>([^<]*)</lastmod>", 1), F.lit(""))
+    files = _write_maps(entries.select("entry", day.alias("lastmod")), folder, "sitemap", "urlset", most)
+    loc = F.concat(F.lit(f"<sitemap><loc>{site}/sitemap-"), F.col("file").cast("string"), F.lit(".xml</loc>"), F.coalesce(F.concat(F.lit("<lastmod>"), "lastmod", F.lit("</lastmod>")), F.lit("")), F.lit("</sitemap>"))
+    _write_maps(files.select(loc.alias("entry"), "lastmod"), folder, "index", "sitemapindex", most)
+    return files
+
+
 def export_payload(table: DataFrame, as_of: Column, limit: int = 500) -> DataFrame:
     """The document of a site in one row: day, number, statistics and the best ``limit`` postings that retention keeps."""
     swept = store.sweep(table, as_of)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import score, titles
+from .filters import not_in
 
 #: Days after which rejected and approved postings are read again.
 SKIP_DAYS = {"rejected": 30, "approved": 7}
@@ -78,6 +79,11 @@ def skip_set(table: DataFrame, now: Column) -> DataFrame:
     return table.filter(to_skip(now, F.col("visto_ultima_vez"), F.col("aprobada"))).select("url").distinct()
 
 
+def unread(urls: DataFrame, table: DataFrame, now: Column) -> DataFrame:
+    """The URLs that were not read too recently (P5): most are known to be new by a filter, before any shuffle."""
+    return not_in(urls, "url", skip_set(table, now))
+
+
 def seen_within(table: DataFrame, now: Column, hours: float = 20) -> DataFrame:
     """URLs seen in the last hours."""
     seconds = now.cast("timestamp").cast("double") - F.col("visto_ultima_vez").cast("timestamp").cast("double")
@@ -143,6 +149,17 @@ def rescore(table: DataFrame, as_of: Column) -> DataFrame:
     return table.withColumns({"cambio": flip, "score": F.col("_r.total"), "motivos_rechazo": F.col("_reasons"), "aprobada": F.col("_ok")}).drop("_r", "_reasons", "_ok")
 
 
+def rescored_changes(changes: DataFrame, as_of: Column) -> DataFrame:
+    """The rows that two versions of a table differ in, as they are now, scored by the rules of as_of (P13): rows that
+    haven't changed keep their verdict on that day."""
+    return rescore(changes.filter("despues is not null").select("despues.*"), as_of)
+
+
+def cleaned_changes(changes: DataFrame) -> DataFrame:
+    """The same with cleaned titles: rows whose ``cambio`` is true are written back."""
+    return clean_titles(changes.filter("despues is not null").select("despues.*"))
+
+
 def decode_list(json: Column) -> Column:
     """A JSON list of texts; anything else is empty."""
     return F.coalesce(F.from_json(json, "array<string>"), F.array().cast("array<string>"))

@@ -536,4 +536,4 @@ def stale_pages(spark, d):
     return publish.stale_pages(p.select("slug").distinct(), p.filter("p_partkey % 3 = 0"))
 
 
-from . import case_queries, chain_queries, delta_queries, scan_queries, source_queries  # noqa: E402,F401  register their own
+from . import case_queries, chain_queries, delta_queries, keep_queries, scan_queries, source_queries  # noqa: E402,F401  register their own

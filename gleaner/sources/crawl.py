@@ -260,13 +260,26 @@ def pattern_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.when(pattern.endswith("$"), "$").otherwise(""))
 
 
+def literal_prefix(pattern: Column) -> Column:
+    """What a path that a robots pattern matches begins with: the pattern up to its first star, or its end mark."""
+    return F.regexp_extract(pattern, r"^((?:[^*$]|\$(?!$))*)", 1)
+
+
 def allowed(urls: DataFrame, rules: DataFrame, key: str, host: str = "host", path: str = "path") -> DataFrame:
     """urls with ``permitted``: by the longest matching pattern, allow on ties, allowed if none matches.
 
-    Rules are joined by host; a host's rules are few."""
-    r = rules.select(F.col(host).alias("_host"), "allowed", "pattern", "regex")
+    Rules are found by their literal beginnings: a path is cut to the lengths that its host's
+    beginnings have, and each cut is joined by equality. What is found is then verified, most of it
+    by its length alone. So work grows with the paths and the lengths of beginnings, not with paths times rules."""
+    begin = literal_prefix(F.col("pattern"))
+    each = rules.groupBy(F.col(host).alias("_host"), "pattern").agg(F.max("allowed").alias("allowed"), F.first("regex").alias("regex"))
+    each = each.select("_host", "allowed", "pattern", "regex", begin.alias("_begin"), (begin == F.col("pattern")).alias("_plain"), (F.concat(begin, F.lit("$")) == F.col("pattern")).alias("_whole"))
+    sizes = each.groupBy(F.col("_host").alias("_of")).agg(F.collect_set(F.char_length("_begin")).alias("_sizes"))  # as many as the longest pattern has characters
     decoded = F.coalesce(F.nullif(F.coalesce(F.try_url_decode(path), F.col(path)), F.lit("")), F.lit("/"))
-    hits = urls.select(key, F.col(host), decoded.alias("_path")).join(r, (F.col(host) == F.col("_host")) & F.expr("_path rlike regex"))
+    asked = urls.select(key, F.col(host).alias("_h"), decoded.alias("_path")).join(sizes, F.col("_h") == F.col("_of"))
+    cuts = asked.select(key, "_h", "_path", F.explode(F.filter("_sizes", lambda n: n <= F.char_length("_path"))).alias("_size")).withColumn("_cut", F.substring("_path", F.lit(1), F.col("_size")))
+    hits = cuts.join(each, (F.col("_h") == F.col("_host")) & (F.col("_cut") == F.col("_begin")))
+    hits = hits.filter(F.when(F.col("_plain"), True).when(F.col("_whole"), F.char_length("_path") == F.col("_size")).otherwise(F.expr("_path rlike regex")))
     best = hits.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(F.length("pattern").alias("n"), "allowed")).alias("b"))
     return urls.join(best, F.col(key) == F.col("_key"), "left").withColumn("permitted", F.coalesce("b.allowed", F.lit(True))).drop("_key", "b")
 
