@@ -1,10 +1,13 @@
 """Operator 4: quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each document gets base measures (exact) and ratios made from them. For every language and source
-a mergeable sketch of each ratio gives its quartiles; a document is kept if no ratio lies beyond
-its group's fence, ``FENCE`` times the distance from the median to the quartile on that side. That
-distance is taken to be no less than one count in a document of median size (a symbol, a letter, a
-line, a window found twice), below which a ratio can't be told; there are no fixed cutoffs.
+a mergeable sketch of each ratio gives its quartiles and outer tenths; a document is kept if no
+ratio lies beyond its group's fence, ``FENCE`` times the distance from the median to the quartile
+on that side. Where a ratio's values are mostly equal (symbols, repeated lines and words are 0 in
+most documents) and yet a tenth of them lie apart, the tenth tells the distance, in the proportion
+of a bell curve, so the fence follows the group there too. A distance is no less than one count in
+a document of median size (a symbol, a letter, a line, a window found twice), below which a ratio
+can't be told; there are no fixed cutoffs.
 Documents that fail the base rules don't count for thresholds.
 
 The sketch is a histogram of logarithmic buckets, ``ACCURACY`` wide: it is deterministic, so
@@ -24,6 +27,7 @@ returned; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +50,8 @@ RATIOS = {
     "word_length": ("both", "n_words", 1),
     "mark_share": ("both", "n_words", 1),
 }
+#: The distance to a quartile, where the one to the outer tenth is 1, on a bell curve.
+TENTH = NormalDist().inv_cdf(0.75) / NormalDist().inv_cdf(0.9)
 #: Width of a bucket of the sketch, as a share of its value.
 ACCURACY = 0.01
 #: Bits of a sorted number that hold a place; longer documents are compared by words alone.
@@ -120,13 +126,14 @@ def sketches(good: DataFrame, group: tuple[str, str]) -> DataFrame:
 
 
 def quartiles(held: DataFrame, *by: str) -> DataFrame:
-    """by, and for each measure m: m_1, m_2, m_3, from sketches that are merged by these columns."""
+    """by, and for each measure m: its quartiles m_1, m_2, m_3 and outer tenths m_0, m_4, from sketches that are merged by these columns."""
     merged = held.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     of = Window.partitionBy(*by, "measure")  # as many rows as a sketch has buckets
     ranked = merged.select("*", F.sum("n").over(of.orderBy(F.asc_nulls_first("bucket"))).alias("upto"), F.sum("n").over(of).alias("all"))
     value = F.coalesce(F.exp(F.col("bucket") * math.log1p(ACCURACY)), F.lit(0.0))
-    at = lambda m, k: F.min(F.when((F.col("measure") == m) & (4 * F.col("upto") >= k * F.col("all")), value)).alias(f"{m}_{k}")
-    return ranked.groupBy(*by).agg(*(at(m, k) for m in (*RATIOS, *dict.fromkeys(of for _, of, _ in RATIOS.values())) for k in (1, 2, 3)))
+    twentieths = (2, 5, 10, 15, 18)
+    at = lambda m, k: F.min(F.when((F.col("measure") == m) & (20 * F.col("upto") >= twentieths[k] * F.col("all")), value)).alias(f"{m}_{k}")
+    return ranked.groupBy(*by).agg(*(at(m, k) for m in (*RATIOS, *dict.fromkeys(of for _, of, _ in RATIOS.values())) for k in range(5)))
 
 
 def thresholds(measured: DataFrame, group: tuple[str, str] = ("lang", "source"), fence: float = FENCE, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -145,11 +152,12 @@ def thresholds(measured: DataFrame, group: tuple[str, str] = ("lang", "source"),
     of = quartiles(pooled.join(asked, same, "left_semi"), "level", "pool_1", "pool_2")
     columns = []
     for m, (side, share_of, step) in RATIOS.items():
-        q1, q2, q3 = (F.col(f"{m}_{k}") for k in (1, 2, 3))
+        t0, q1, q2, q3, t4 = (F.col(f"{m}_{k}") for k in range(5))
         least = step / F.greatest(F.col(f"{share_of}_2"), F.lit(1.0))
-        high = q2 + fence * F.greatest(q3 - q2, least)
-        low = q2 - fence * F.greatest(q2 - q1, least) if side == "both" else F.lit(float("-inf"))
-        columns += [low.alias(f"low_{m}"), high.alias(f"high_{m}"), (q3 - q2 >= least).alias(f"by_spread_{m}")]
+        above, below = F.greatest(q3 - q2, TENTH * (t4 - q2)), F.greatest(q2 - q1, TENTH * (q2 - t0))
+        high = q2 + fence * F.greatest(above, least)
+        low = q2 - fence * F.greatest(below, least) if side == "both" else F.lit(float("-inf"))
+        columns += [low.alias(f"low_{m}"), high.alias(f"high_{m}"), (above >= least).alias(f"by_spread_{m}")]
     fences = of.select(F.col("level").alias("l"), F.col("pool_1").alias("p1"), F.col("pool_2").alias("p2"), *columns)
     return pools.join(fences, same).drop("level", "pool_1", "pool_2", "l", "p1", "p2")
 

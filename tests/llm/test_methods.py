@@ -149,6 +149,48 @@ def test_quantile_distances_set_fences(spark):
         assert sum(x[f"by_spread_{m}"] for x in limits) > 0.9 * len(limits)
 
 
+def test_fences_of_sparse_measures_follow_their_group(spark):
+    """A tenth and more of a group with symbols, repeated lines or repeated words gets it other fences."""
+    r = random.Random(8)
+    words = lambda n: ["".join(r.choice("bcdfgaeiou") for _ in range(r.randint(3, 7))) for _ in range(n)]
+    plain = lambda: "\n".join(" ".join(words(12)) for _ in range(9))
+    marked = lambda: " ".join(w + "#" * (k % 3 == 0) for k, w in enumerate(words(100)))
+    again = lambda: "\n".join(x for x in (" ".join(words(12)) for _ in range(9)) for _ in range(1 + (r.random() < 0.3)))
+    groups = {"plain": [plain() for _ in range(150)], "code": [marked() if k % 4 == 0 else plain() for k in range(150)], "lists": [again() if k % 3 == 0 else plain() for k in range(150)]}
+    rows = [(k, t, "es", s) for s, texts in groups.items() for k, t in enumerate(texts)] + [(900, marked(), "es", "plain"), (900, marked(), "es", "code")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {x.key_2: x for x in quality_rules.thresholds(quality_rules.measures(docs, ("doc_id", "lang", "source"))).collect()}
+    assert limits["code"].high_symbol_share > 3 * limits["plain"].high_symbol_share and limits["code"].by_spread_symbol_share
+    for m in ("dup_line_share", "repeat_share"):
+        assert limits["lists"][f"high_{m}"] > limits["plain"][f"high_{m}"] and limits["lists"][f"by_spread_{m}"], m
+    kept = {(x.source, x.doc_id): x.kept for x in docs.join(quality_rules.apply_rules(docs.withColumn("doc_id", F.xxhash64("doc_id", "source"))).select("doc_id", "kept").withColumnRenamed("doc_id", "h"), F.xxhash64(docs.doc_id, docs.source) == F.col("h")).select("source", docs.doc_id, "kept").collect()}
+    assert kept["code", 900] and not kept["plain", 900]
+
+
+def test_verdicts_of_every_document(spark):
+    """kept of every row, recomputed plainly from the values of all documents, rounded as the sketch rounds them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    exact = quality_rules._with_ratios(quality_rules.measures(docs, ("doc_id", "lang", "source"))).collect()
+    found = {x.doc_id: x.kept for x in quality_rules.apply_rules(docs, group_rows=40).collect()}
+    good = [x for x in exact if not x.base_failed]
+    rounded = lambda v: math.exp(round(math.log(v) / math.log(1.01)) * math.log(1.01)) if v > 0 else 0.0
+    quantile = lambda v, n: rounded(sorted(v)[max(math.ceil(len(v) * n / 20) - 1, 0)])
+    rejected = 0
+    for x in exact:
+        own = [y for y in good if (y.lang, y.source) == (x.lang, x.source)]
+        own = own if len(own) >= 40 else [y for y in good if y.lang == x.lang]
+        verdict = not x.base_failed
+        for m, (side, of, step) in quality_rules.RATIOS.items():
+            t0, q1, q2, q3, t4 = (quantile([y[m] for y in own], n) for n in (2, 5, 10, 15, 18))
+            least = step / max(quantile([y[of] for y in own], 10), 1)
+            high = q2 + 8 * max(q3 - q2, (t4 - q2) * 0.6744897501960817 / 1.2815515655446004, least)
+            low = q2 - 8 * max(q2 - q1, (q2 - t0) * 0.6744897501960817 / 1.2815515655446004, least) if side == "both" else -math.inf
+            verdict &= low <= x[m] <= high
+        rejected += not verdict and not x.base_failed
+        assert verdict == found[x.doc_id], x
+    assert 20 < rejected < len(exact) / 4
+
+
 def test_sketches_tell_quartiles(spark):
     r = random.Random(9)
     values = [r.lognormvariate(0, 2) for _ in range(500)] + [0.0] * 100
