@@ -153,9 +153,9 @@ def test_fences_of_sparse_measures_follow_their_group(spark):
     """A tenth and more of a group with symbols, repeated lines or repeated words gets it other fences."""
     r = random.Random(8)
     words = lambda n: ["".join(r.choice("bcdfgaeiou") for _ in range(r.randint(3, 7))) for _ in range(n)]
-    plain = lambda: "\n".join(" ".join(words(12)) for _ in range(9))
+    plain = lambda: "\n".join(" ".join(words(6)) for _ in range(30))
     marked = lambda: " ".join(w + "#" * (k % 3 == 0) for k, w in enumerate(words(100)))
-    again = lambda: "\n".join(x for x in (" ".join(words(12)) for _ in range(9)) for _ in range(1 + (r.random() < 0.3)))
+    again = lambda: "\n".join(x for x in (" ".join(words(6)) for _ in range(30)) for _ in range(1 + (r.random() < 0.2)))
     groups = {"plain": [plain() for _ in range(150)], "code": [marked() if k % 4 == 0 else plain() for k in range(150)], "lists": [again() if k % 3 == 0 else plain() for k in range(150)]}
     rows = [(k, t, "es", s) for s, texts in groups.items() for k, t in enumerate(texts)] + [(900, marked(), "es", "plain"), (900, marked(), "es", "code")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
