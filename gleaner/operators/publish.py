@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.salary import salary_text
 from ..functions.text import fold
 from . import analytics, store
+from .order import running
 from .shared import kept
 
 # Months of long dates.
@@ -104,13 +104,9 @@ _SPACE = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
 def _write_maps(entries: DataFrame, folder: str, name: str, tag: str, most: int) -> DataFrame:
     """Writes distinct entries (entry, lastmod) in order into files of at most ``most``; gives file, n, lastmod.
 
-    Entries are dealt by ranges; each range counts its own, and what the ranges before it have tells its places."""
+    Entries are placed by ranges: no task has more of them in order than a range or a file."""
     spark = entries.sparkSession
-    parts = kept(entries.groupBy("entry").agg(F.max("lastmod").alias("lastmod")).repartitionByRange("entry").withColumn("part", F.spark_partition_id()))
-    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("own"))
-    before = F.sum("own").over(Window.orderBy("part")) - F.col("own")  # a row for each range
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("entry")) - 1
-    placed = parts.withColumn("nth", nth).join(F.broadcast(counts.select("part", before.alias("before"))), "part").withColumn("at", F.col("before") + F.col("nth"))
+    placed = running(entries.groupBy("entry").agg(F.max("lastmod").alias("lastmod")), ["entry"], F.lit(1).cast("long"), "at")
     placed = placed.select(F.floor(F.col("at") / most).alias("file"), (F.col("at") % most).alias("pos"), "entry", "lastmod")
     files = kept(placed.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("lastmod").alias("lastmod")))
     frame = lambda pos, text: files.select("file", F.lit(pos).cast("long").alias("pos"), F.lit(text).alias("entry"))

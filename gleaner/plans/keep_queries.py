@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import publish, store
 from ..operators.shared import scratch
-from ..sources import crawl
+from ..sources import crawl, schedule
 from ..streaming import retention
 from .queries import AS_OF, as_of, register, table
 
@@ -93,3 +93,20 @@ def sitemap_sink(spark, d):
     found = crawl.sitemap_urls(crawl.sitemap_text(files("sitemap"))).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("loc").alias("first"), F.max("loc").alias("last"), F.max("lastmod").alias("lastmod"))
     index = crawl.sitemap_urls(crawl.sitemap_text(files("index"))).filter("is_map").select(F.col("loc").alias("in_index"), F.regexp_extract("loc", r"(\d+)\.xml$", 1).cast("long").alias("file"))
     return found.join(index, "file")
+
+
+# Orders as addresses of hosts, a third of them of one host; delays of most hosts.
+_HOST = "case when o_orderkey % 3 = 0 then 'h0' else concat('h', o_custkey % 60) end"
+
+
+@register("fetch_schedule", f"""with u as (select {_HOST} as host, concat('/', o_orderkey) as url, o_orderkey % 100 as pos from orders),
+h as (select host, count(*) as n from u group by host), d as (select host, n, greatest(case when cast(substr(host, 2) as int) % 4 = 0 then 0 else (cast(substr(host, 2) as int) % 7) * 0.5 end, 2.0, 1.0) as wait from h),
+b as (select *, sum(n) over (order by wait, host) - n as before, sum(n) over () as total from d), f as (select *, cast(floor(before * 6 / total::double) as int) as fetcher from b),
+p as (select *, row_number() over (partition by fetcher order by wait, host) - 1 as place, greatest(max(wait) over (partition by fetcher), count(*) over (partition by fetcher)) as round from f),
+r as (select *, row_number() over (partition by host order by pos, url) - 1 as ronda from u)
+select r.host, url, fetcher, cast(ronda as bigint) as ronda, cast(ronda * round + place * 1.0 as double) as inicio from r join p using (host)""")
+def fetch_schedule(spark, d):
+    """Six fetchers over sixty hosts, one of which has a third of all addresses."""
+    u = table(spark, d, "orders").select(F.expr(_HOST).alias("host"), F.expr("concat('/', o_orderkey)").alias("url"), F.expr("o_orderkey % 100").alias("pos"))
+    hosts = spark.range(60).select(F.concat(F.lit("h"), "id").alias("host"), F.when(F.col("id") % 4 == 0, None).otherwise(F.col("id") % 7 * 0.5).alias("delay"))
+    return schedule.fetch_schedule(u.unionByName(u.withColumn("pos", F.col("pos") + 500)), hosts, 6)

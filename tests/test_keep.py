@@ -7,8 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import filters, publish, store
-from gleaner.sources import crawl
+from gleaner.operators import filters, order, publish, store
+from gleaner.sources import crawl, schedule
 from gleaner.streaming import ingest, retention
 
 
@@ -121,3 +121,35 @@ def test_pages_that_change(spark):
     changes = spark.createDataFrame([("a", ("a" * 8, "Mozo", True, True), ("a" * 8, "Mozo de barra", True, True)), ("b", None, ("b" * 8, "Chofer", True, True)), ("c", ("c" * 8, "Cajera", True, True), ("c" * 8, "Cajera", True, False)), ("d", ("d" * 8, "Guía", False, True), ("d" * 8, "Guía", False, True)), ("e", ("e" * 8, "Sastre", True, True), None), ("f", ("f" * 8, "Sastre", True, True), ("f" * 8, "Sastre", True, True))], f"k string, antes {row}, despues {row}")
     got = {(r.slug.rsplit("-", 1)[0], r.accion) for r in publish.pages_changed(changes).collect()}
     assert got == {("mozo", "quitar"), ("mozo-de-barra", "escribir"), ("chofer", "escribir"), ("cajera", "quitar"), ("sastre", "quitar"), ("sastre", "escribir")}
+
+
+def test_slots_keep_delays_and_fetchers(spark):
+    r = random.Random(1)
+    urls = [(f"h{min(int(r.expovariate(0.2)), 19)}", f"/{k}", r.randint(0, 9)) for k in range(600)] + [(None, "/x", 1), ("h0", "/0", 99)]
+    delays = {f"h{k}": k * 0.7 for k in range(15)}
+    table = spark.createDataFrame(urls, "host string, url string, pos int").repartition(3)
+    slots = schedule.fetch_schedule(table, spark.createDataFrame(list(delays.items()), "host string, delay double"), 4, 0.5).collect()
+    assert len(slots) == len({(h, u) for h, u, _ in urls})
+    by_host, by_fetcher = {}, {}
+    first = {}
+    for h, u, p in urls:
+        first[h, u] = min(p, first.get((h, u), p))
+    for s in slots:
+        by_host.setdefault(s.host, []).append(s)
+        by_fetcher.setdefault(s.fetcher, []).append(s.inicio)
+    for host, own in by_host.items():
+        own.sort(key=lambda s: s.inicio)
+        assert len({s.fetcher for s in own}) == 1 and [(first[host, s.url], s.url) for s in own] == sorted((first[host, s.url], s.url) for s in own)
+        assert all(b.inicio - a.inicio >= max(delays.get(host, 0), 2.0) - 1e-9 for a, b in zip(own, own[1:]))
+    assert len(by_fetcher) > 1
+    for at in by_fetcher.values():
+        at.sort()
+        assert all(b - a >= 0.5 - 1e-9 for a, b in zip(at, at[1:]))
+    assert schedule.fetch_schedule(table.filter("false"), spark.createDataFrame([], "host string, delay double"), 4).count() == 0
+
+
+def test_running_sums_by_ranges(spark):
+    rows = [(k % 3 if k % 7 else None, k * 37 % 500, float(k)) for k in range(500)]
+    got = {(r.g, r.k): r.before for r in order.running(spark.createDataFrame(rows, "g int, k int, v double").repartition(4), ["k"], F.col("v"), "before", ("g",)).collect()}
+    for g, k, _ in rows:
+        assert got[g, k] == sum(v for h, j, v in rows if h == g and j < k)
