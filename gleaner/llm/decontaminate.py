@@ -13,8 +13,8 @@ the benchmark or the documents but the kinds of shingle (at most ``SHINGLE``) go
 
 Defined cases: null or wordless documents and items have no words and no hits; rows that repeat
 a doc_id are each returned, rows that repeat an item_id are one item; a null item_id is the
-empty string; an empty benchmark hits nothing; an empty table gives an empty result; further
-columns are ignored.
+empty string; an empty benchmark hits nothing; a very long text is searched whole; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

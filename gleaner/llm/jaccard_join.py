@@ -24,8 +24,8 @@ pairs.
 
 Defined cases: a text with fewer than ``n`` words is one shingle; null, empty or wordless texts
 have none and are linked with nothing; rows that repeat a doc_id are documents of their own; a
-null doc_id counts after all others as component id and is linked like any other; an empty table
-gives an empty result; further columns are ignored.
+null doc_id counts after all others as component id and is linked like any other; a very long text is
+one set; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Phrases that name a licence outright are located exactly and always give their l
 
 Defined cases: null, empty or wordless text has no places, labels or score; rows that repeat a
 doc_id are each returned; chains that cover equally much give the same score; without templates
-there are only phrases; an empty table gives an empty result; further columns are ignored.
+there are only phrases; a very long text is streamed through the automaton whole; an empty table gives
+an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

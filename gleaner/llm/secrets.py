@@ -19,7 +19,8 @@ the matches are added up.
 
 Defined cases: null text counts as empty; no spans give empty strings and the digest of the empty
 string; a random span that overlaps a base span is dropped; rows that repeat a doc_id are each
-returned; an empty table gives an empty result; further columns are ignored.
+returned; a very long text or token is scanned whole; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ number with the input, not in size.
 Defined cases: null or empty text has no words (n_words 0, hash of the empty string); a text
 shorter than the window loses nothing; rows that repeat a doc_id are each returned, and of
 windows that tie in (doc_id, start) none is earlier; a null doc_id counts as before all others;
-an empty table gives an empty result; further columns are ignored.
+a very long text is one document, held whole by the tasks that group its batch; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ there are in all, how many remain when each document is cut to the limit, and wh
 length the limit is. Sums are made within ranges of lengths and then carried across the ranges,
 so no task holds all lengths.
 
-Defined cases: a null text counts as empty (length 0); repeated rows count each; an empty table
+Defined cases: a null text counts as empty (length 0); repeated rows count each; a very long text is
+encoded whole; an empty table
 has no lengths, and every limit answers zeros; further columns are ignored.
 """
 

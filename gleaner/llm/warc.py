@@ -12,7 +12,8 @@ attempts that ended are in the index.
 
 Defined cases: a null html is an empty payload; a null url is written as ``urn:none``; a null
 page_id is always a response that nothing refers to; rows that repeat the largest page_id of a
-payload are all responses; an empty table makes an empty index; further columns are ignored.
+payload are all responses; a payload of any length is one record;
+an empty table makes an empty index; further columns are ignored.
 """
 
 from __future__ import annotations
