@@ -143,11 +143,12 @@ def discover(maps: DataFrame, roots: DataFrame, limit: int, pattern: str = "", a
     seen, level = frontier, 0
     while True:
         level += 1
+        led = frontier.join(children, F.col("map_url") == F.col("parent")).select("fuente", "order", F.col("child").alias("map_url"), "at")
+        led = led.join(seen.select("fuente", "map_url"), ["fuente", "map_url"], "left_anti")
         nth = F.row_number().over(Window.partitionBy("fuente", "order").orderBy("at"))  # as many rows as a map has
-        led = frontier.join(children, F.col("map_url") == F.col("parent")).select("fuente", "order", "child", "at").withColumn("nth", nth).filter(F.col("nth") <= CHILDREN)
+        led = led.withColumn("nth", nth).filter(F.col("nth") <= CHILDREN)
         into = F.struct(F.lit(level).alias("level"), F.concat("order.path", F.array(F.col("nth"))).alias("path"))
-        led = once_each(led.select("fuente", F.col("child").alias("map_url"), into.alias("order")))
-        frontier = kept(led.join(seen.select("fuente", "map_url"), ["fuente", "map_url"], "left_anti"))
+        frontier = kept(once_each(led.select("fuente", "map_url", into.alias("order"))))
         if frontier.isEmpty():
             break
         seen = kept(seen.unionByName(frontier))
