@@ -123,7 +123,9 @@ class _Reading:
     def __init__(self, options):
         self.path, self.limit = options["path"], int(options["limite"]) if options.get("limite") else None
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no files
+            return
         system, _ = _system(self.path)
         if partition.limit is not None:
             yield from _newest(system, partition.files, partition.limit)
