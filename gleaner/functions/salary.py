@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import any_of, collapse, let
+from .text import WORD_START, any_of, collapse, let
 
 SALARY = "struct<minimo:int,maximo:int,moneda:string,periodo:string,literal:string,confianza:int>"
 # How an amount, a currency and a range are written.
@@ -78,10 +78,23 @@ def _patterns():
 
 
 def _found(text: Column, pattern: str, amounts: int) -> Column:
-    """array<struct<before, all, a, b, after>> of the matches of one pattern."""
-    placed = rf"(?sU)(?=[su$pnd\d])(?<=(^.{{0,{_BEFORE - 1}}}|.{{{_BEFORE}}}))({pattern})(?=(.{{0,{_AFTER}}}))"
+    """array<struct<before, all, a, b, after>> of the matches of one pattern.
+
+    Each match is read with the stretch before it, so that what stands around it follows from lengths; a
+    look behind would try all its lengths at every character."""
+    placed = rf"(?sU)\G(.*?)({pattern})"
     group = lambda k, name: F.regexp_extract_all(text, F.lit(placed), F.lit(k)).alias(name)
-    return F.arrays_zip(group(1, "before"), group(2, "whole"), group(3, "a"), group(3 + amounts - 1, "b"), group(3 + amounts, "after"))
+    each = F.arrays_zip(group(1, "gap"), group(2, "whole"), group(3, "a"), group(3 + amounts - 1, "b"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(_MATCH).alias("found"))
+
+    def step(state: Column, x: Column) -> Column:
+        at = state["end"] + F.char_length(x["gap"])
+        end = at + F.char_length(x["whole"])
+        before = F.substring(text, F.greatest(at - _BEFORE, F.lit(0)) + 1, F.least(at, F.lit(_BEFORE)))
+        match = F.struct(before.alias("before"), x["whole"].alias("whole"), x["a"].alias("a"), x["b"].alias("b"), F.substring(text, end + 1, F.lit(_AFTER)).alias("after"))
+        return F.struct(end.alias("end"), F.array_append(state["found"], match).alias("found"))
+
+    return F.aggregate(each, start, step, lambda s: s["found"])
 
 
 _MATCH = "array<struct<before:string,whole:string,a:string,b:string,after:string>>"
@@ -144,7 +157,7 @@ def salary_of(plain: Column, readings: Column) -> Column:
         pay = F.struct(best["minimo"].alias("minimo"), best["maximo"].alias("maximo"), best["moneda"].alias("moneda"), F.lit("mensual").alias("periodo"), best["literal"].alias("literal"), (-best["distrust"]).alias("confianza"))
         return F.when(best.isNotNull(), pay.cast(SALARY))
 
-    return F.when(plain.rlike(r"(?U)\b(?:rmv|remuneraci[oó]n m[ií]nima vital|sueldo m[ií]nimo)\b"), wage).otherwise(let(F.array_min(readings), found))
+    return F.when(plain.rlike(WORD_START + r"(?:rmv|remuneraci[oó]n m[ií]nima vital|sueldo m[ií]nimo)\b"), wage).otherwise(let(F.array_min(readings), found))
 
 
 def several_of(readings: Column) -> Column:

@@ -36,9 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """A table's rows, dealt over all cores where its files make fewer tasks: for work that takes much longer than the rows' way."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table's rows, dealt evenly over all cores: for work that takes much longer than the rows' way.
+
+    How many tasks its files make says nothing of it: of the pieces of a file only those with the middle
+    of a block of rows have rows, so a small table is mostly one task's work."""
+    s = df.sparkSession
+    return df.repartition(max(4 * s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions()))
 
 
 def as_of():
@@ -133,7 +136,7 @@ _DAILY = "cast(round_even((30 + o_orderkey % 200) * 26.0, 0) as int)"
     cast(case o_orderkey % 8 when 0 then 100 when 1 then 100 when 2 then 70 when 3 then 90 when 5 then 100 end as int) as confianza from orders""",
 )
 def salary_parse(spark, d):
-    o = text.once(table(spark, d, "orders").select("o_orderkey", F.expr(PAY_TEXT).alias("t")), s=salary.extract_salary(F.col("t")))
+    o = text.once(dealt(table(spark, d, "orders")).select("o_orderkey", F.expr(PAY_TEXT).alias("t")), s=salary.extract_salary(F.col("t")))
     return o.select("o_orderkey", "s.minimo", "s.maximo", "s.moneda", "s.confianza")
 
 
@@ -152,7 +155,7 @@ _TWO = "concat('Remuneración: S/ ', cast(1130 + o_orderkey % 3 as varchar(20)),
 
 @register("salary_ambiguous", "select o_orderkey, o_orderkey % 3 <> o_custkey % 3 as varios from orders")
 def salary_ambiguous(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", salary.declares_several(F.expr(_TWO)).alias("varios"))
+    return dealt(table(spark, d, "orders")).select("o_orderkey", salary.declares_several(F.expr(_TWO)).alias("varios"))
 
 
 _VAGUE = "concat(text, case when doc_id % 5 = 0 then ' Sueldo  A Convenir' else '' end)"
