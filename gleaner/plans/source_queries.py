@@ -54,7 +54,7 @@ def _tenders(spark, d):
     part = lambda title, pay: F.concat(F.lit(f"<p>{title}</p><p>► Vacantes: 2</p><p>Experiencia: mínima de un año en el cargo</p><p>Manejo de herramientas</p><p>Salario: S/ "), pay, F.lit("</p>"))
     k = F.col("o_orderkey")
     body = F.concat(F.lit("<p>Plazo para postular: "), F.dayofmonth("o_orderdate").cast("string"), F.lit(" de enero del 2026</p>"), part("Operario de limpieza", F.lit("1350")), F.when(k % 3 == 0, part("Operario de limpieza", F.lit("1350"))).when(k % 3 == 1, part("Operario de Limpieza", F.lit("2800"))).otherwise(part("Especialista legal", F.lit("2800"))), F.lit("<p>¿Cómo postular?</p><p>Mesa de partes</p>"))
-    return table(spark, d, "orders").select(k.cast("string").alias("url"), body.alias("html"))
+    return dealt(table(spark, d, "orders")).select(k.cast("string").alias("url"), body.alias("html"))
 
 
 @register("tender_postings", """select cast(o_orderkey as varchar) as url, cast(card as bigint) as card, case when card = 1 then 'Operario de limpieza' else 'Especialista legal' end as puesto, case when card = 1 then 'S/ 1350' else 'S/ 2800' end as sueldo_texto, 'mínima de un año en el cargo|Manejo de herramientas' as requisitos, make_date(2026, 1, day(o_orderdate)) as vence
@@ -218,7 +218,7 @@ def illegible_whole(spark, d):
 def document_duties(spark, d):
     k = F.col("o_orderkey")
     body = F.concat(F.lit("I. GENERALIDADES\nTexto\n"), F.when(k % 5 == 0, "II. OTROS").otherwise("III. FUNCIONES DEL PUESTO:"), F.lit("\na) Elaborar informes tecnicos del\narea "), "o_custkey", F.lit(" de la entidad;\n"), F.when(k % 2 == 0, "b) Coordinar las compras de la oficina central.\n").otherwise(""), F.lit("4. REQUISITOS\n- Titulo profesional de la carrera"))
-    found = documents.duties(table(spark, d, "orders").select(k.cast("string").alias("url"), body.alias("text")))
+    found = documents.duties(dealt(table(spark, d, "orders")).select(k.cast("string").alias("url"), body.alias("text")))
     return found.select("url", F.array_join("funciones", "|").alias("funciones"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import salary
-from ..functions.text import any_of, fold, fold_python, html_to_lines, literal, once
+from ..functions.text import any_of, fold, fold_python, html_to_lines, let, literal, once
 
 # Months, in order, with their other spelling.
 MONTHS = {"enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8, "setiembre": 9, "septiembre": 9, "octubre": 10, "noviembre": 11, "diciembre": 12}
@@ -22,13 +22,14 @@ def _month(name: Column, prefix: bool = False) -> Column:
 
 def _day(text: Column, pattern: str, prefix: bool = False) -> Column:
     part = lambda k: F.regexp_extract(text, pattern, k)
-    return F.when(text.rlike(pattern), F.try_to_date(F.format_string("%s-%02d-%02d", part(3), _month(part(2), prefix), part(1).try_cast("int")), "yyyy-MM-dd"))
+    month = let(part(2), lambda name: _month(name, prefix))
+    return F.when(text.rlike(pattern), F.try_to_date(F.format_string("%s-%02d-%02d", part(3), month, part(1).try_cast("int")), "yyyy-MM-dd"))
 
 
 def spanish_date(text: Column) -> Column:
     """'21 de julio de 2026', '17 de Agosto del 2026' or '10 ago. 2026' as a date, else null (M3, C4)."""
-    t = fold(text)
-    return F.coalesce(_day(t, r"(\d{1,2})\s*de\s*([a-z]+)\s*del?\s*(\d{4})"), _day(t, r"(\d{1,2})\s+([a-z]{3})\.?\s*(\d{4})", True))
+    dates = lambda t: F.coalesce(_day(t, r"(\d{1,2})\s*de\s*([a-z]+)\s*del?\s*(\d{4})"), _day(t, r"(\d{1,2})\s+([a-z]{3})\.?\s*(\d{4})", True))
+    return let(fold(text), dates)
 
 
 def flexible_date(value: Column) -> Column:
@@ -69,17 +70,20 @@ def bare_label(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), r"(?U)^[^\w]+", ""))
 
 
-def after_label(line: Column, label: str) -> Column:
-    """What follows 'label:' at the start of a line, '' for the bare label, else null."""
-    t = bare_label(line)
-    pattern = rf"^{literal(fold_python(label))}(?:\([^)]*\))?\s*\??\s*(?::(.*))?$"
-    value = F.trim(F.regexp_extract(t, r"^[^:]*:(.*)$", 1))
-    return F.when(fold(t).rlike(pattern), F.when(t.contains(":"), value).otherwise(""))
+def after_label(line: Column, *labels: str) -> Column:
+    """What follows 'label:', with any of the labels, at the start of a line, '' for the bare label, else null."""
+    return let(bare_label(line), lambda t: _after(t, fold(t), *labels))
+
+
+def _after(bare: Column, folded: Column, *labels: str) -> Column:
+    pattern = rf"^(?:{'|'.join(literal(fold_python(x)) for x in labels)})(?:\([^)]*\))?\s*\??\s*(?::(.*))?$"
+    value = F.trim(F.regexp_extract(bare, r"^[^:]*:(.*)$", 1))
+    return F.when(folded.rlike(pattern), F.when(bare.contains(":"), value).otherwise(""))
 
 
 def field(lines: Column, label: str) -> Column:
     """The first value of a strict label; the next line if it is empty there."""
-    found = F.transform(lines, lambda x, i: F.when(after_label(x, label) == "", F.coalesce(bare_label(F.get(lines, i + 1)), F.lit(""))).otherwise(after_label(x, label)))
+    found = F.transform(lines, lambda x, i: let(after_label(x, label), lambda v: F.when(v == "", F.coalesce(bare_label(F.get(lines, i + 1)), F.lit(""))).otherwise(v)))
     return F.coalesce(F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)), F.lit(""))
 
 
@@ -107,24 +111,33 @@ def cards(lines: DataFrame, key: str = "page", pos: str = "pos", line: str = "li
 def card_requirements(block: Column) -> Column:
     """The requirements of a card's lines: from its first such label to the first ending one."""
     starts = ("Profesiones/Oficios", "Profesiones", "Oficios", "Experiencia", "Formación académica", "Requisitos")
-    value = lambda x: F.coalesce(*(after_label(x, s) for s in starts))
-    ends = lambda x: F.coalesce(*(after_label(x, s) for s in REQUIREMENTS_END)).isNotNull()
+
+    def read(t: Column) -> Column:
+        """What a line holds of the labels, each once."""
+        f = lambda *labels: _after(t["bare"], t["folded"], *labels)
+        return F.struct(t["bare"].alias("bare"), f(*starts).alias("value"), f(*REQUIREMENTS_END).isNotNull().alias("ends"), f("Vacantes").isNotNull().alias("vacancies"))
+
+    each = F.transform(block, lambda x: let(bare_label(x), lambda b: let(F.struct(b.alias("bare"), fold(b).alias("folded")), read)))
     state = F.struct(F.lit(False).alias("inside"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        over = s["over"] | ends(x)
-        item = F.when(value(x).isNotNull(), F.when(F.char_length(value(x)) > 10, value(x))).when(s["inside"], F.nullif(bare_label(x), F.lit("")))
-        add = ~over & after_label(x, "Vacantes").isNull() & item.isNotNull()
-        return F.struct((s["inside"] | ~over & value(x).isNotNull()).alias("inside"), over.alias("over"), F.when(add, F.concat(s["out"], F.array(item))).otherwise(s["out"]).alias("out"))
+        over = s["over"] | x["ends"]
+        item = F.when(x["value"].isNotNull(), F.when(F.char_length(x["value"]) > 10, x["value"])).when(s["inside"], F.nullif(x["bare"], F.lit("")))
+        add = ~over & ~x["vacancies"] & item.isNotNull()
+        return F.struct((s["inside"] | ~over & x["value"].isNotNull()).alias("inside"), over.alias("over"), F.when(add, F.concat(s["out"], F.array(item))).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(block, state, step, lambda s: s["out"])
+    return F.aggregate(each, state, step, lambda s: s["out"])
 
 
 def card_salary(block: Column) -> Column:
     """The salary text of a card; empty if its two labels contradict."""
-    a, b = field(block, "Salario"), field(block, "Remuneración")
-    va, vb = salary.extract_salary(a)["minimo"], salary.extract_salary(b)["minimo"]
-    return F.when(va.isNotNull() & vb.isNotNull() & (va != vb), "").otherwise(F.coalesce(F.nullif(a, F.lit("")), b))
+    told = F.transform(F.array(field(block, "Salario"), field(block, "Remuneración")), lambda x: F.struct(x.alias("text"), salary.extract_salary(x)["minimo"].alias("least")))
+
+    def one(x: Column) -> Column:
+        a, b = F.get(x, F.lit(0)), F.get(x, F.lit(1))
+        return F.when(F.coalesce(a["least"] != b["least"], F.lit(False)), "").otherwise(F.coalesce(F.nullif(a["text"], F.lit("")), b["text"]))
+
+    return let(told, one)
 
 
 def tender_postings(pages: DataFrame, as_of: Column) -> DataFrame:
