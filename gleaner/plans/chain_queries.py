@@ -11,7 +11,7 @@ from ..functions import score, text
 from ..operators import analytics, publish, store
 from ..sources import crawl, documents, pages
 from . import postings, sql
-from .queries import _HASH, _HOOK, _KEPT, _REASON, _RUBRIC, _SWEEP_AT, _TRADE, _cards, _kept, _scored, register, table
+from .queries import _HASH, _HOOK, _KEPT, _REASON, _RUBRIC, _SWEEP_AT, _TRADE, _cards, _kept, _scored, dealt, register, table
 from ..operators.shared import scratch
 
 # -- text and links ------------------------------------------------------------------------------
@@ -85,7 +85,7 @@ _TENDER = (
 )
 def tender_pages(spark, d):
     """Public tender pages read into raw postings; their benefits are counted as the reader of sections sees them (one of regime 728 reads as a heading)."""
-    o = table(spark, d, "orders").select(F.concat(F.lit("https://x.pe/"), "o_orderkey").alias("url"), F.expr(_TENDER).alias("html"))
+    o = dealt(table(spark, d, "orders")).select(F.concat(F.lit("https://x.pe/"), "o_orderkey").alias("url"), F.expr(_TENDER).alias("html"))
     raw = pages.public_postings(o, F.lit("estado"))
     raw = text.once(raw, b=text.partition(text.html_to_lines(F.col("descripcion_html"))))
     return raw.select("url", "puesto", "empresa", "sueldo_texto", "ubicacion_texto", F.col("extra")["regimen"].alias("regimen"), F.col("extra")["vence"].alias("vence"), F.size("b.beneficios").alias("n_beneficios"))
