@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, salary, text, titles
 from ..sources import pages
 from . import sql
-from .queries import register, table
+from .queries import dealt, register, table
 
 #: Text, least and most by month, currency and confidence.
 PAY = (
@@ -29,7 +29,7 @@ def _column(rows, k: int, kind: str = "varchar") -> str:
 
 @register("salary_cases", f"select c_custkey, {_column(PAY, 1, 'int')} as minimo, {_column(PAY, 2, 'int')} as maximo, {_column(PAY, 3)} as moneda, {_column(PAY, 4, 'int')} as confianza from customer")
 def salary_cases(spark, d):
-    c = text.once(table(spark, d, "customer").select("c_custkey", F.expr(_deal([p[0] for p in PAY])).alias("t")), s=salary.extract_salary(F.col("t")))
+    c = text.once(dealt(table(spark, d, "customer")).select("c_custkey", F.expr(_deal([p[0] for p in PAY])).alias("t")), s=salary.extract_salary(F.col("t")))
     return c.select("c_custkey", "s.minimo", "s.maximo", "s.moneda", "s.confianza")
 
 
@@ -70,7 +70,7 @@ CARD_PAY = (
 
 @register("card_cases", f"select c_custkey, {_column(CARD_PAY, 1)} as sueldo from customer")
 def card_cases(spark, d):
-    c = text.once(table(spark, d, "customer").select("c_custkey", F.split(F.expr(_deal([x[0] for x in CARD_PAY])), r"\|").alias("l")), s=pages.card_salary(F.col("l")))
+    c = text.once(dealt(table(spark, d, "customer")).select("c_custkey", F.split(F.expr(_deal([x[0] for x in CARD_PAY])), r"\|").alias("l")), s=pages.card_salary(F.col("l")))
     return c.select("c_custkey", F.col("s").alias("sueldo"))
 
 
