@@ -45,7 +45,7 @@ TITLES = (
 
 @register("title_cases", f"select c_custkey, {_column(TITLES, 1)} as puesto, {_deal([t[2] for t in TITLES], lambda v: str(v).lower())} as nombra from customer")
 def title_cases(spark, d):
-    c = titles.with_clean_title(table(spark, d, "customer"), F.expr(_deal([t[0] for t in TITLES])), "puesto")
+    c = titles.with_clean_title(dealt(table(spark, d, "customer")), F.expr(_deal([t[0] for t in TITLES])), "puesto")
     return c.select("c_custkey", "puesto", titles.names_job(F.col("puesto")).alias("nombra"))
 
 
@@ -59,7 +59,7 @@ DEDUCED = (
 @register("deduce_cases", f"select c_custkey, {_column(DEDUCED, 3)} as puesto from customer")
 def deduce_cases(spark, d):
     of = lambda k: F.expr(_deal([x[k] for x in DEDUCED]))
-    return table(spark, d, "customer").select("c_custkey", titles.deduce_title(of(0), F.array(of(1)), F.array(of(2))).alias("puesto"))
+    return dealt(table(spark, d, "customer")).select("c_custkey", titles.deduce_title(of(0), F.array(of(1)), F.array(of(2))).alias("puesto"))
 
 
 #: Lines of a card and its pay; the second contradicts itself.
@@ -88,7 +88,7 @@ PLACES = (
 
 @register("class_cases", f"select c_custkey, {_column(CATEGORIES, 2)} as categoria, {_column(PLACES, 2)} as ciudad, {_column(PLACES, 3)} as departamento from customer")
 def class_cases(spark, d):
-    c = table(spark, d, "customer")
+    c = dealt(table(spark, d, "customer"))
     of = lambda rows, k: F.expr(_deal([r[k] for r in rows]))
     c = text.once(c, k=classify.category(of(CATEGORIES, 0), of(CATEGORIES, 1)), w=classify.place(of(PLACES, 0), of(PLACES, 1)))
     return c.select("c_custkey", F.col("k").alias("categoria"), "w.ciudad", "w.departamento")
