@@ -94,9 +94,12 @@ def fold_python(text: str) -> str:
 
 @functools.cache
 def _named() -> tuple[str, str]:
-    """Names of entities and their characters as a JSON map, and a pattern of those that need no semicolon, longest first."""
+    """Names of entities and their characters as a JSON map of maps by first letter, as a map is gone through key by key, and a pattern of those that need no semicolon, longest first."""
     open_ = sorted((k for k in entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
-    return json.dumps(dict(entities.html5)), f"^({'|'.join(open_)})"
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, char in entities.html5.items():
+        by_letter.setdefault(name[0], {})[name] = char
+    return json.dumps(by_letter), f"^({'|'.join(open_)})"
 
 
 @functools.cache
@@ -122,7 +125,7 @@ def _number(name: Column) -> Column:
 def _entity(name: Column) -> Column:
     """What '&' and this name stand for: a character, one with a rest, or themselves."""
     table, open_ = _named()
-    of = lambda x: F.try_element_at(F.from_json(F.lit(table), "map<string,string>"), x)
+    of = lambda x: F.try_element_at(F.try_element_at(F.from_json(F.lit(table), "map<string,map<string,string>>"), F.substring(x, 1, 1)), x)
     start = F.regexp_extract(name, open_, 1)
     rest = F.when(start != "", F.concat(of(start), F.substring(name, F.char_length(start) + 1, F.char_length(name))))
     return F.when(name.startswith("#"), _number(name)).otherwise(F.coalesce(of(name), rest, F.concat(F.lit("&"), name)))

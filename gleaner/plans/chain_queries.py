@@ -22,7 +22,7 @@ _CODE = "192 + c_custkey % 60"
 @register("html_entities", f"select c_custkey, concat(chr(cast(65 + c_custkey % 26 as int)), ' ', chr(cast({_CODE} as int)), ' € é♥∉Á &lt; ©2 &bogus; €|', chr(65533), ' a & b ', chr(128512)) as t from customer")
 def html_entities(spark, d):
     coded = F.concat(F.lit("&#"), F.expr("65 + c_custkey % 26"), F.lit("; &#x"), F.lower(F.hex(F.expr(_CODE))), F.lit("; &#8364 &eacute;&hearts;&notin;&Aacute &amp;lt; &copy2 &bogus; &#128;|&#0; a & b &#x1F600;"))
-    return table(spark, d, "customer").select("c_custkey", text.unescape(coded).alias("t"))
+    return dealt(table(spark, d, "customer")).select("c_custkey", text.unescape(coded).alias("t"))
 
 
 _HREFS = ("../a.pdf", "/b.pdf", "c/./d.pdf", "https://o.pe/../e.pdf", "//h.pe/f.pdf", "../../../g.pdf?x=1#y", "h.pdf")
