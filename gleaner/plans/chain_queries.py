@@ -255,7 +255,7 @@ _STORED_TITLE = f"case when p_partkey % 2 = 0 then {_HOOK} else 'Operario de pla
 @register("clean_stored_titles", f"select p_partkey, case when p_partkey % 2 = 0 then concat(upper(left({_TRADE}, 1)), substr({_TRADE}, 2), ' de ', upper(left(lower(replace(p_brand, '#', '')), 1)), substr(lower(replace(p_brand, '#', '')), 2)) else 'Operario de planta' end as puesto, p_partkey % 2 = 0 as cambio, false as otra_vez from part")
 def clean_stored_titles(spark, d):
     """Stored titles cleaned, and that a second time changes none."""
-    once = store.clean_titles(table(spark, d, "part").select("p_partkey", F.expr(_STORED_TITLE).alias("puesto"))).withColumnRenamed("cambio", "_cambio")
+    once = store.clean_titles(dealt(table(spark, d, "part")).select("p_partkey", F.expr(_STORED_TITLE).alias("puesto"))).withColumnRenamed("cambio", "_cambio")
     again = store.clean_titles(once)
     return again.select("p_partkey", "puesto", F.col("_cambio").alias("cambio"), F.col("cambio").alias("otra_vez"))
 
