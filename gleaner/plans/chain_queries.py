@@ -62,7 +62,7 @@ _READ_NAMES = ("puesto", "empresa", "ubicacion", "sueldo_texto", "id_externo", "
 def jsonld_shapes(spark, d):
     """JSON-LD as lists, nested graphs, scalars, lists of places and broken scripts."""
     script = F.concat(F.lit("<script type='application/ld+json'>"), F.expr(_case("o_orderkey % 7", _SHAPES, lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'")), F.lit("</script>"))
-    o = text.once(table(spark, d, "orders").select("o_orderkey", script.alias("html")), node=pages.job_posting_node(F.col("html")))
+    o = text.once(dealt(table(spark, d, "orders")).select("o_orderkey", script.alias("html")), node=pages.job_posting_node(F.col("html")))
     o = text.once(o, j=pages.job_posting_fields(F.col("node")))
     return o.select("o_orderkey", *(F.when(F.col("node").isNotNull(), F.col(f"j.{c}")).alias(c) for c in (*_READ_NAMES, "vence")))
 
@@ -264,7 +264,7 @@ def clean_stored_titles(spark, d):
 def review_titles(spark, d):
     k = F.col("p_partkey")
     none = F.array().cast("array<string>")
-    t = table(spark, d, "part").select("p_partkey", F.when(k % 2 == 0, "Papa Johns").otherwise("Operario de planta").alias("puesto"), (k % 5 != 0).alias("aprobada"), F.expr(f"case when p_partkey % 4 = 0 then concat('Se busca ', {_TRADE}, ' de planta para Lima') else 'Trabaja cerca de casa' end").alias("resumen"), none.alias("funciones"), none.alias("requisitos"), none.alias("motivos_rechazo"))
+    t = dealt(table(spark, d, "part")).select("p_partkey", F.when(k % 2 == 0, "Papa Johns").otherwise("Operario de planta").alias("puesto"), (k % 5 != 0).alias("aprobada"), F.expr(f"case when p_partkey % 4 = 0 then concat('Se busca ', {_TRADE}, ' de planta para Lima') else 'Trabaja cerca de casa' end").alias("resumen"), none.alias("funciones"), none.alias("requisitos"), none.alias("motivos_rechazo"))
     return store.review_titles(t).select("p_partkey", "puesto", "aprobada", "titulo", F.array_join("motivos_rechazo", ";").alias("motivos"))
 
 

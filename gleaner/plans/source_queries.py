@@ -26,14 +26,14 @@ _SHEET = "array('Ubicación', c_name, concat('Sueldo: S/ ', cast(c_custkey as va
 
 @register("label_values", "select c_custkey, c_name as ubicacion, concat('S/ ', c_custkey) as sueldo, make_date(2026, case c_nationkey % 3 when 0 then 8 when 1 then 9 else 1 end, c_custkey % 28 + 1) as plazo from customer")
 def label_values(spark, d):
-    c = table(spark, d, "customer").withColumn("lines", F.expr(_SHEET))
+    c = dealt(table(spark, d, "customer")).withColumn("lines", F.expr(_SHEET))
     line = F.col("lines")
     return c.select("c_custkey", pages.value_beside(line, "Ubicación").alias("ubicacion"), pages.value_beside(line, "Sueldo").alias("sueldo"), pages.spanish_date(pages.field(line, "Plazo para postular")).alias("plazo"))
 
 
 @register("dates_and_regimes", "select o_orderkey, cast(o_orderdate as date) as a, cast(o_orderdate as date) as b, case o_orderkey % 4 when 0 then 'CAS' when 1 then '728' when 2 then '276' else '' end as regimen from orders")
 def dates_and_regimes(spark, d):
-    o, day = table(spark, d, "orders"), F.to_date("o_orderdate")
+    o, day = dealt(table(spark, d, "orders")), F.to_date("o_orderdate")
     short = F.element_at(F.array(*(F.lit(m[:3]) for m in ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "set", "oct", "nov", "dic"))), F.month(day))
     contract = F.expr("case o_orderkey % 4 when 0 then 'Contrato CAS vigente' when 1 then 'D. Leg. 728' when 2 then 'ley 276' else 'CASA' end")
     return o.select("o_orderkey", pages.spanish_date(F.concat(F.dayofmonth(day).cast("string"), F.lit(" "), short, F.lit(". "), F.year(day).cast("string"))).alias("a"), pages.flexible_date(F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string")).alias("b"), pages.regime(contract).alias("regimen"))
