@@ -221,7 +221,7 @@ _HOOK = f"concat('¡GANA MÁS DE ', cast(1000 + p_partkey % 900 as varchar(20)),
 
 @register("clean_title", f"select p_partkey, concat(upper(left({_TRADE}, 1)), substr({_TRADE}, 2), ' de ', upper(left(lower(replace(p_brand, '#', '')), 1)), substr(lower(replace(p_brand, '#', '')), 2)) as puesto from part")
 def clean_title(spark, d):
-    return titles.with_clean_title(table(spark, d, "part"), F.expr(_HOOK), "puesto").select("p_partkey", "puesto")
+    return titles.with_clean_title(dealt(table(spark, d, "part")), F.expr(_HOOK), "puesto").select("p_partkey", "puesto")
 
 
 @register("deduce_title", f"select p_partkey, case p_partkey % 4 when 0 then 'Atencion al cliente' when 3 then null else concat(upper(left({_TRADE}, 1)), substr({_TRADE}, 2), ' de planta') end as puesto from part")
