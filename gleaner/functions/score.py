@@ -53,18 +53,18 @@ def _concrete(items: Column, cues) -> Column:
     return F.size(F.filter(items, lambda x: any_of(fold(x), cues)))
 
 
-def score_requirements(items: Column, least: Column):
+def score_requirements(items: Column, concrete: Column, least: Column):
     """Up to 20 points (A3)."""
     n = F.size(items)
-    share = _concrete(items, rules.CONCRETE_REQUIREMENTS) / F.greatest(n, F.lit(1))
+    share = concrete / F.greatest(n, F.lit(1))
     points = F.when(n < least, n * 3).otherwise(F.least(F.lit(20), 11 + F.when(n >= 5, 3).otherwise(0) + F.when(share >= 0.6, 6).when(share >= 0.35, 3).otherwise(0)))
     reason = _some(n < least, F.format_string("Solo %d requisitos (mínimo %d)", n, least))
     return points, [reason], [_some((n >= least) & (share < 0.35), "Requisitos poco verificables (sin años, estudios ni herramientas)")]
 
 
-def score_benefits(items: Column, least: Column):
+def score_benefits(items: Column, concrete: Column, least: Column):
     """Up to 15 points (A4)."""
-    n, concrete = F.size(items), _concrete(items, rules.CONCRETE_BENEFITS)
+    n = F.size(items)
     points = F.when(n < least, n * 3).when(concrete == 0, 4).otherwise(8 + F.when(concrete >= 3, 7).when(concrete == 2, 5).otherwise(2))
     few = _some(n < least, F.format_string("Solo %d beneficios listados (mínimo %d)", n, least))
     return points, [few, _some((n >= least) & (concrete == 0), "Beneficios genéricos: ninguno menciona planilla, seguro, bono ni similar")], []
@@ -92,15 +92,16 @@ def score_metadata(employer: Column, city: Column, mode: Column, published: Colu
 def evaluate(salary, duties, requirements, benefits, employer, city, mode, published, deadline, text, profile, as_of) -> Column:
     """RESULT of a posting: parts, total, reasons in order, and notes (A6); all arguments are columns."""
     lists = F.struct(useful(duties).alias("d"), useful(requirements).alias("r"), useful(benefits).alias("b"))
-    return let(lists, lambda x: _evaluate(salary, x["d"], x["r"], x["b"], employer, city, mode, published, deadline, text, profile, as_of))
+    counted = lambda x: F.struct(*(x[k].alias(k) for k in "drb"), _concrete(x["r"], rules.CONCRETE_REQUIREMENTS).alias("nr"), _concrete(x["b"], rules.CONCRETE_BENEFITS).alias("nb"))
+    return let(let(lists, counted), lambda x: _evaluate(salary, x, employer, city, mode, published, deadline, text, profile, as_of))
 
 
-def _evaluate(salary, duties, requirements, benefits, employer, city, mode, published, deadline, text, profile, as_of) -> Column:
+def _evaluate(salary, lists, employer, city, mode, published, deadline, text, profile, as_of) -> Column:
     parts = {
         "sueldo": score_salary(salary, text),
-        "funciones": score_duties(duties, _profile(profile, 0)),
-        "requisitos": score_requirements(requirements, _profile(profile, 1)),
-        "beneficios": score_benefits(benefits, _profile(profile, 2)),
+        "funciones": score_duties(lists["d"], _profile(profile, 0)),
+        "requisitos": score_requirements(lists["r"], lists["nr"], _profile(profile, 1)),
+        "beneficios": score_benefits(lists["b"], lists["nb"], _profile(profile, 2)),
         "metadata": score_metadata(employer, city, mode, published, deadline, _profile(profile, 3), as_of),
     }
     points = F.struct(*(p[0].alias(k) for k, p in parts.items()))

@@ -159,14 +159,11 @@ def html_to_lines(html: Column) -> Column:
     t = unescape(F.regexp_replace(F.regexp_replace(t, ITEM, "\n• "), r"<[^>]+>", " "))
     t = F.replace(F.replace(t, F.lit("\u00a0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
 
-    def clean(line: Column) -> Column:
-        line = F.regexp_replace(F.regexp_replace(line, r"[ \t]+", " "), r"(?U)^\s+|\s+$", "")
+    t = F.regexp_replace(t, r"[ \t]+", " ")
+
     def clean(line: Column) -> Column:
         line = F.btrim(line, F.lit(WHITE))
         line = F.regexp_replace(line, r"(?U)^[•\-*●▪·o]\s*", "")
-        line = F.regexp_replace(line, r"(?U)^[•\-*●▪·o]\s*", "")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
-
         return F.regexp_replace(line, r"(?U)^\d{1,2}[.)]\s*", "")
 
     some = lambda x: F.char_length(x) > 1
@@ -264,7 +261,7 @@ def summary(intro: Column, duties: Column, title: Column) -> Column:
 
 def is_filler(text: Column) -> Column:
     """Whether a line is a stock phrase without content."""
-    return any_of(fold(text), rules.FILLER) & (F.char_length(text) < 60)
+    return (F.char_length(text) < 60) & any_of(fold(text), rules.FILLER)
 
 
 def collapse(text: Column) -> Column:

@@ -268,7 +268,7 @@ def _stored(spark, d) -> DataFrame:
     # items of 46, 30 and 30 characters that name what makes them concrete
     items = lambda k, t: F.transform(F.when(n(k) > 0, F.sequence(F.lit(1), n(k))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit(t), i.cast("string"))).alias(k)
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").select(
+    return dealt(table(spark, d, "orders")).select(
         "o_orderkey", "o_custkey", F.when(k % 9 != 0, 2000).otherwise(0).alias("sueldo_min"), F.when(k % 2 == 0, 2500).otherwise(2000).alias("sueldo_max"), F.lit("PEN").alias("moneda"), F.lit(95).alias("sueldo_confianza"),
         items("funciones", "Coordinar la atencion de pedidos de la zona n"), items("requisitos", "Experiencia en el cargo, nivel"), items("beneficios", "Planilla y seguro desde el mes"),
         F.when(F.col("o_custkey") % 10 == 0, "Importante Empresa del rubro").otherwise("Textiles Andinos").alias("empresa"), F.lit("Lima").alias("ciudad"), F.lit("Presencial").alias("modalidad"), F.to_date("o_orderdate").alias("publicado"),
