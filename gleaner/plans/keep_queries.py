@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import publish, store
 from ..operators.shared import scratch
 from ..sources import crawl, schedule
-from ..streaming import retention
+from ..streaming import ingest, retention
 from .queries import AS_OF, as_of, register, table
 
 # Customers as postings: published over 200 days up to a month before AS_OF, two thirds with a deadline, one of two profiles.
@@ -28,14 +28,12 @@ def retention_stream(spark, d):
     rows = c.select(F.col("c_custkey").cast("string").alias("huella"), F.expr(_spark_sql(_PUBLISHED)).alias("publicado"), F.expr(_spark_sql(_DEADLINE)).alias("vence"), F.expr(_PROFILE).alias("perfil"))
     rows = rows.withColumn("visto", F.to_timestamp("publicado"))
     clock = spark.range(1).select(F.lit("reloj").alias("huella"), F.lit(None).cast("date").alias("publicado"), F.lit(None).cast("date").alias("vence"), F.lit("").alias("perfil"), F.to_timestamp(F.lit(f"{AS_OF} 00:00:01")).alias("visto"))
-    for low, high in ((0, 70), (70, 140), (140, 200)):  # one after the other, as they would come in
+    groups = max(64, c.count() // 1000)
+    for low, high in ((0, 70), (70, 140), (140, 200)):  # one after the other, as they would come in: each is one batch, in files of all tasks
         part = rows.filter(F.datediff("publicado", F.lit("1998-01-01").cast("date")).between(low, high - 1))
-        part.coalesce(1).write.mode("append").parquet(f"{where}/in")
-    clock.coalesce(1).write.mode("append").parquet(f"{where}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
-    from ..streaming.ingest import drain
-
-    out = drain(retention.retired(stream, "huella", "visto", "0 seconds"), f"{where}/out", f"{where}/checkpoint")
+        (part if high < 200 else part.unionByName(clock)).write.mode("append").parquet(f"{where}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{where}/in")
+        out = ingest.drain(retention.retired(stream, "huella", "visto", "0 seconds", groups), f"{where}/out", f"{where}/checkpoint")
     return out.select("clave", F.to_date("retirada").alias("retirada"), "motivo")
 
 

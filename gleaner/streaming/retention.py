@@ -1,4 +1,4 @@
-"""Retention as time passes: each live posting of a stream has one timer, at the day from which it goes."""
+"""Retention as time passes: live postings of a stream go on their day, told by timers of groups of them."""
 
 from __future__ import annotations
 
@@ -22,48 +22,78 @@ def retirement(published: Column, deadline: Column, profile: Column) -> Column:
     return F.when(first.isNotNull(), F.struct(first["dia"].alias("dia"), first["motivo"].alias("motivo")))
 
 
+#: Groups of postings that share a state and a timer: a posting that is seen rewrites its group's state, so about
+#: one for a thousand postings that wait. A running stream keeps the number it began with.
+GROUPS = 4096
+
+
 class Retire(StatefulProcessor):
-    """Keeps for each posting when and why it goes; a later version of it moves the timer."""
+    """Keeps for each posting of a group when and why it goes, and one timer, for the first of them; a later version
+    of a posting takes the place of the one before.
+
+    A state and a timer for each posting would take several calls and frames of one row a posting."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.due = handle.getValueState("due", "at long, motivo string")
+        self.waiting = handle.getValueState("waiting", "clave array<string>, at array<bigint>, motivo array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(rows)).sort_values("visto", kind="stable").iloc[-1]
-        if self.due.exists():
-            self.handle.deleteTimer(int(self.due.get()[0]))
-            self.due.clear()
-        if pd.isna(last["due"]):
-            return
-        at = int(last["due"])
-        if at <= timerValues.getCurrentWatermarkInMs():  # seen again when it is over already
-            yield _row(key, at, last["motivo"])
-            return
-        self.due.update((at, last["motivo"]))
-        self.handle.registerTimer(at)
+        waiting, passed, over = self._read(), timerValues.getCurrentWatermarkInMs(), {}
+        timer = _first(waiting)
+        last = pd.concat(list(rows)).sort_values("visto", kind="stable").drop_duplicates("clave", keep="last")
+        for posting, due, why in zip(last["clave"].tolist(), last["due"].tolist(), last["motivo"].tolist(), strict=True):
+            posting = None if pd.isna(posting) else posting
+            waiting.pop(posting, None)
+            if not pd.isna(due):  # of those seen again when it is over already, no timer waits
+                (over if due <= passed else waiting)[posting] = (int(due), why)
+        self._write(waiting, timer)
+        yield from _rows(over)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.due.exists():
-            at, why = self.due.get()
-            self.due.clear()
-            yield _row(key, int(at), why)
+        waiting, passed = self._read(), timerValues.getCurrentWatermarkInMs()
+        over = {k: v for k, v in waiting.items() if v[0] <= passed}
+        # Spark takes away the timer that has run out
+        self._write({k: v for k, v in waiting.items() if k not in over}, None)
+        yield from _rows(over)
+
+    def _read(self) -> dict:
+        held = self.waiting.get()
+        return {} if held is None else {k: (at, why) for k, at, why in zip(*held, strict=True)}
+
+    def _write(self, waiting: dict, timer: int | None) -> None:
+        """Keeps these and moves the timer, if there is one, to the first of them."""
+        if waiting:
+            self.waiting.update((list(waiting), [at for at, _ in waiting.values()], [why for _, why in waiting.values()]))
+        else:
+            self.waiting.clear()
+        first = _first(waiting)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
 
     def close(self) -> None:
         pass
 
 
-def _row(key, at: int, why: str) -> pd.DataFrame:
-    return pd.DataFrame({"clave": [key[0]], "retirada": [pd.Timestamp(at, unit="ms", tz="UTC")], "motivo": [why]})
+def _first(waiting: dict) -> int | None:
+    return min((at for at, _ in waiting.values()), default=None)
+
+
+def _rows(over: dict) -> Iterator[pd.DataFrame]:
+    if over:
+        yield pd.DataFrame({"clave": list(over), "retirada": pd.to_datetime([at for at, _ in over.values()], unit="ms", utc=True), "motivo": [why for _, why in over.values()]})
 
 
-def retired(stream: DataFrame, key: str, seen: str, late: str = "1 day") -> DataFrame:
+def retired(stream: DataFrame, key: str, seen: str, late: str = "1 day", groups: int = GROUPS) -> DataFrame:
     """clave, retirada, motivo of the postings (key, publicado, vence, perfil) that go, each when event time
     (``seen``, with lateness ``late``) has passed its day. A posting that is seen again is judged by its last version."""
     ready(stream.sparkSession)
     out = retirement(F.col("publicado"), F.col("vence"), F.col("perfil"))
     rows = stream.select(F.col(key).cast("string").alias("clave"), F.col(seen).cast("timestamp").alias("visto"), (F.unix_date(out["dia"]).cast("long") * 86_400_000).alias("due"), out["motivo"].alias("motivo"))
-    return rows.withWatermark("visto", late).groupBy("clave").transformWithStateInPandas(Retire(), "clave string, retirada timestamp, motivo string", "Append", "EventTime")
+    rows = rows.withColumn("grupo", F.pmod(F.xxhash64("clave"), F.lit(groups))).withWatermark("visto", late)
+    return rows.groupBy("grupo").transformWithStateInPandas(Retire(), "clave string, retirada timestamp, motivo string", "Append", "EventTime")
 
 
 def ready(spark: SparkSession) -> None:

@@ -4,6 +4,7 @@ import datetime
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,93 @@ def test_timers_follow_the_last_version(spark, tmp_path):
     assert spark.read.parquet(out).groupBy("clave").count().filter("count > 1").isEmpty()
 
 
+class _Handle:
+    """One group's state and timers, and how often they are called."""
+
+    def __init__(self):
+        self.held, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def _called(self):
+        self.calls += 1
+
+    def get(self):
+        self._called()
+        return self.held
+
+    def exists(self):
+        self._called()
+        return self.held is not None
+
+    def update(self, value):
+        self._called()
+        self.held = value
+
+    def clear(self):
+        self._called()
+        self.held = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self._called()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self._called()
+        self.timers.discard(at)
+
+
+def test_postings_of_a_group_share_a_state_and_a_timer():
+    class Clock:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.now
+
+    r, clock, handle, plain = random.Random(5), Clock(), _Handle(), {}
+    retire = retention.Retire()
+    retire.init(handle)
+    for n in range(12):
+        clock.now, handle.calls, got, want = 100 * n, 0, [], []
+        batch = [(f"p{r.randrange(3000)}", pd.Timestamp(i, unit="ms"), r.choice([None, r.randrange(100 * n - 50, 100 * n + 900)]), r.choice(["plazo_vencido", "antiguedad"])) for i in r.sample(range(9000), 1000)]
+        for posting, _, due, why in sorted(batch, key=lambda x: x[1]):
+            plain[posting] = (due, why, True)
+        frame = pd.DataFrame(batch, columns=["clave", "visto", "due", "motivo"])
+        for out in retire.handleInputRows((1,), iter([frame[:400], frame[400:]]), clock):
+            got += zip(out["clave"], out["retirada"], out["motivo"], strict=True)
+        for timer in sorted(t for t in handle.timers if t <= clock.now):
+            for out in retire.handleExpiredTimer((1,), clock, None):
+                got += zip(out["clave"], out["retirada"], out["motivo"], strict=True)
+            handle.timers.discard(timer)
+        for posting, (due, why, _) in list(plain.items()):
+            if due is None or due <= clock.now:
+                del plain[posting]
+                want += [] if due is None else [(posting, pd.Timestamp(due, unit="ms", tz="UTC"), why)]
+        assert sorted(got) == sorted(want) and (n == 0 or want)
+        assert handle.calls < 10 and handle.timers == {min(due for due, _, _ in plain.values())}
+
+
+@pytest.mark.parametrize("groups", [1, 64])
+def test_groups_retire_what_single_postings_would(spark, tmp_path, groups):
+    kinds = "huella string, publicado date, vence date, perfil string, visto timestamp"
+    day = lambda n: datetime.date(2026, 1, n)
+    at = lambda n: datetime.datetime(2026, 1, n)
+    batches = [
+        [("a", day(1), day(5), "privado", at(1)), ("b", day(1), day(6), "privado", at(1)), (None, day(1), day(8), "privado", at(1)), ("c", None, None, "x", at(1))],
+        [("e", day(1), day(12), "privado", at(10))],
+        [("a", day(1), day(15), "privado", at(10)), ("f", day(1), day(3), "privado", at(10))],  # a's day had passed, but not yet been told
+        [("clock", None, None, "", at(14)), ("g", day(1), day(20), "privado", at(14))], [("clock", None, None, "", at(28))],
+    ]
+    where, out, check = (str(tmp_path / x) for x in "ioc")
+    for rows in batches:
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(where)
+        stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(where)
+        if rows is not batches[1]:  # the third batch is the first under the second's watermark
+            got = [(r.clave, r.retirada.day) for r in ingest.drain(retention.retired(stream, "huella", "visto", "0 seconds", groups), out, check).collect()]
+    assert sorted(got, key=str) == sorted([("a", 16), ("b", 7), (None, 9), ("e", 13), ("f", 4), ("g", 21)], key=str)
+
+
 def test_sitemap_files(spark, tmp_path):
     entries = spark.createDataFrame([(f"<url><loc>https://x/{k:04d}</loc><lastmod>2026-01-{k % 28 + 1:02d}</lastmod></url>",) for k in range(1003)] + [("<url><loc>https://x/0005</loc><lastmod>2026-01-06</lastmod></url>",), ("<url><loc>https://x/z</loc></url>",)], "entry string").repartition(5)
     where = str(tmp_path / "s")
