@@ -69,7 +69,8 @@ _NODE = """concat('<script type="application/ld+json">', case when o_orderkey %
 
 @register("jsonld_fields", "select o_orderkey, concat('Puesto ', o_orderkey) as puesto, 'Empresa' as empresa, 'Lima, LIM' as ubicacion, case when o_custkey = 0 then 'S/ 9 mensual' else concat('S/ ', o_custkey, ' a S/ ', o_custkey + 9, ' mensual') end as sueldo_texto, date '2026-01-02' as publicado, 'remoto' as modalidad from orders")
 def jsonld_fields(spark, d):
-    o = text.once(dealt(table(spark, d, "orders")), node=pages.job_posting_node(F.expr(_NODE)))
+    o = text.once(dealt(table(spark, d, "orders")), html=F.expr(_NODE))
+    o = text.once(o, node=pages.job_posting_node(F.col("html")))
     o = text.once(o, j=pages.job_posting_fields(F.col("node")))
     return o.select("o_orderkey", "j.puesto", "j.empresa", "j.ubicacion", "j.sueldo_texto", "j.publicado", "j.modalidad")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -165,71 +167,139 @@ def _values(path: str, kind: str):
 
 def _opened(values: Column) -> Column:
     """An array of variants with lists and graphs replaced by what they hold."""
-    listed, graph, one = _values("$", "array<variant>"), _values("$['@graph']", "array<variant>"), _values("$['@graph']", "variant")
-    inside = lambda v: F.coalesce(listed(v), graph(v), F.when(one(v).isNotNull(), F.array(one(v))), F.array(v))
+    listed, graph = _values("$", "array<variant>"), _values("$['@graph']", "variant")
+    inside = lambda v: F.coalesce(listed(v), let(graph(v), lambda g: F.when(g.isNotNull(), F.coalesce(listed(g), F.array(g)))), F.array(v))
     return F.flatten(F.transform(values, inside))
 
 
-def job_posting_node(html: Column) -> Column:
-    """The first JobPosting of a page's JSON-LD, as a variant, or null.
+_TRAILING = r",\s*([}\]])"
+
+
+def _parsed(script: Column) -> Column:
+    """A script's variant, read again without trailing commas where it is no JSON as it stands, or null.
 
-    Scripts are parsed once, and again without trailing commas only where that fails."""
+    A text that fails costs ten times one that doesn't, so one whose trailing commas all stand outside of strings
+    is read without them at once: either it fails as it stands, or they come after its value and change nothing."""
+    count = lambda t: F.regexp_count(t, F.lit(_TRAILING))
+    mended = lambda t: F.try_parse_json(F.regexp_replace(t, _TRAILING, "$1"))
+    no_escapes = lambda t: F.when(t.contains("\\"), F.regexp_replace(t, r"(?s)\\.", "__")).otherwise(t)
+    no_strings = lambda t: F.regexp_replace(no_escapes(t), r'"[^"]*"', '""')
+    read = lambda t, n: F.when(n == 0, F.try_parse_json(t)).when(n == count(no_strings(t)), mended(t)).otherwise(F.coalesce(F.try_parse_json(t), mended(t)))
+    return let(F.trim(script), lambda t: let(count(t), lambda n: read(t, n)))
+
+
+def job_posting_node(html: Column) -> Column:
+    """The first JobPosting of a page's JSON-LD, as a variant, or null."""
     scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    parse = lambda x: F.coalesce(F.try_parse_json(F.trim(x)), F.try_parse_json(F.regexp_replace(F.trim(x), r",\s*([}\]])", "$1")))
-    values = F.filter(F.transform(scripts, parse), lambda v: v.isNotNull())
-    for _ in range(NESTED):
-        values = _opened(values)
+
+    def values(script: Column) -> Column:
+        nested = script.contains("@graph") | script.contains("\\u") | F.ltrim(script, F.lit(" \t\r\n")).startswith("[")  # else there is one object, and nothing to open
+        found = F.filter(F.array(_parsed(script)), lambda v: v.isNotNull())
+        opened = lambda v: functools.reduce(lambda x, _: _opened(x), range(NESTED), v)
+        return let(found, lambda v: F.when(nested, opened(v)).otherwise(v))
+
     kind = _values("$['@type']", "string")
-    return F.when(html.contains("ld+json"), F.get(F.filter(values, lambda v: F.lower(kind(v)) == "jobposting"), F.lit(0)))
+    all_ = F.flatten(F.transform(scripts, values))
+    return F.when(html.contains("ld+json"), F.get(F.filter(all_, lambda v: F.lower(kind(v)) == "jobposting"), F.lit(0)))
+
+
+def _some(text: Column) -> Column:
+    """The text, unless it is empty."""
+    return F.when(text != "", text)
+
+
+def _holds(text: Column, *begins: str) -> Column:
+    """Whether a value's text is JSON of an object or a list, by what it begins with; a text that only begins so has nothing inside."""
+    return F.coalesce(functools.reduce(lambda a, b: a | b, (text.startswith(x) for x in begins)), F.lit(False))
+
+
+def _plain(text: Column) -> Column:
+    """The text, unless it is empty or JSON of an object or a list."""
+    return F.when((text != "") & ~_holds(text, "{", "["), text)
+
 
+def _text(node: Column, path: str) -> Column:
+    return F.try_variant_get(node, path, "string")
 
-def _json(node: Column, path: str) -> Column:
-    return F.nullif(F.try_variant_get(node, path, "string"), F.lit(""))
 
+_NAMED = "struct<name: string, value: string>"
 
-def _plain(value: Column) -> Column:
-    """The value, unless it is JSON of an object or a list."""
-    return F.when(~value.rlike(r"^[\[{]"), value)
 
+def _named(of: Column) -> Column:
+    return F.coalesce(_some(of["name"]), _some(of["value"]))
 
-def _json_text(node: Column, path: str) -> Column:
-    """A text, or the name, value or first item of what stands there."""
-    first = lambda p: F.coalesce(_json(node, f"{p}.name"), _json(node, f"{p}.value"), _plain(_json(node, p)))
-    return F.coalesce(first(path), first(f"{path}[0]"), F.lit(""))
+
+def _inside(node: Column, path: str, text: Column) -> Column:
+    """The name, value or first item of what stands at a path, whose text is this, or the text."""
+    of = lambda p: let(F.try_variant_get(node, p, _NAMED), _named)
+    item = lambda p: let(_text(node, p), lambda t: F.when(_holds(t, "{"), of(p)).otherwise(_plain(t)))
+    return F.when(_holds(text, "{"), of(path)).when(_holds(text, "["), item(f"{path}[0]")).otherwise(_some(text))
 
 
 # Units of pay and the words that tell them.
 UNITS = {"HOUR": "por hora", "DAY": "diario", "WEEK": "semanal", "MONTH": "mensual", "YEAR": "anual"}
 
 
-def _pay(node: Column) -> Column:
-    """The pay of a node as text: a range, one amount, or what it says."""
-    base = "$.baseSalary"
-    sign = F.when(F.coalesce(_json(node, f"{base}.currency"), _json(node, f"{base}.currencyCode"), F.lit("PEN")) == "PEN", "S/ ").otherwise("US$ ")
+_AMOUNT = "struct<unitText: string, minValue: string, maxValue: string, value: string>"
+
+
+def _amount(sign: Column, of: Column) -> Column:
     unit = F
-    for k, v in UNITS.items():
-        unit = unit.when(F.upper(_json(node, f"{base}.value.unitText")) == k, v)
+    for k, word in UNITS.items():
+        unit = unit.when(F.upper(of["unitText"]) == k, word)
     unit = unit.otherwise("mensual")
-    known = lambda k: F.nullif(_json(node, f"{base}.value.{k}"), F.lit("0"))
-    low, high, one = known("minValue"), known("maxValue"), known("value")
-    single = F.coalesce(one, low, high)
-    said = F.when(F.try_variant_get(node, base, "double").isNull() | ~_json(node, base).rlike(r"^[0-9.eE+-]+$"), _plain(_json(node, base)))
-    pay = F.when(low.isNotNull() & high.isNotNull(), F.concat(sign, low, F.lit(" a "), sign, high, F.lit(" "), unit)).when(single.isNotNull(), F.concat(sign, single, F.lit(" "), unit))
-    return F.coalesce(pay, F.concat(sign, _plain(_json(node, f"{base}.value"))), said, F.lit(""))
+    known = lambda k: F.when((of[k] != "") & (of[k] != "0"), of[k])
+    low, high = known("minValue"), known("maxValue")
+    single = F.concat(sign, F.coalesce(known("value"), low, high), F.lit(" "), unit)
+    return F.when(low.isNotNull() & high.isNotNull(), F.concat(sign, low, F.lit(" a "), sign, high, F.lit(" "), unit)).otherwise(single)
+
+
+def _pay(node: Column, pay: Column) -> Column:
+    """The pay of a node as text: a range, one amount, or what it says."""
+    base = "$.baseSalary"
+    sign = F.when(F.coalesce(_some(pay["currency"]), _some(pay["currencyCode"]), F.lit("PEN")) == "PEN", "S/ ").otherwise("US$ ")
+    told = F.when(pay["value"].isNotNull(), _amount(sign, pay["value"])).otherwise(F.concat(sign, let(_text(node, f"{base}.value"), _plain)))
+    said = let(_text(node, base), lambda t: F.when(F.try_variant_get(node, base, "double").isNull() | ~t.rlike(r"^[0-9.eE+-]+$"), _plain(t)))
+    return F.coalesce(F.when(pay.isNotNull(), told).otherwise(said), F.lit(""))
+
+
+_ADDRESS = "struct<addressLocality: string, addressRegion: string>"
+
+
+def _place(node: Column, place: Column) -> Column:
+    """The place of a node: locality and region, or its street, or what it says."""
+    parts = lambda a: _some(F.concat_ws(", ", _some(a["addressLocality"]), _some(a["addressRegion"])))
+    address = lambda a, path: F.when(a.isNotNull(), parts(a)).otherwise(let(_text(node, path), _plain))
+    listed = "$.jobLocation[0].address"
+    of_list = let(F.try_variant_get(node, listed, _ADDRESS), lambda a: address(a, listed))
+    other = let(_text(node, "$.jobLocation"), lambda t: F.when(_holds(t, "["), of_list).otherwise(_plain(t)))
+    return F.coalesce(F.when(place.isNotNull(), address(place["address"], "$.jobLocation.address")).otherwise(other), F.lit(""))
+
+
+#: What a node holds, as it mostly stands there; what has another form is null here, or a text of JSON. Texts of
+#: objects take long to make, so they aren't asked for where an object is usual.
+_POSTING = f"""struct<title: string, hiringOrganization: {_NAMED}, jobLocation: struct<address: {_ADDRESS}>, baseSalary: struct<currency: string, currencyCode: string, value: {_AMOUNT}>,
+datePosted: string, validThrough: string, jobLocationType: string, description: string, identifier: struct<value: string>>"""
 
 
 def job_posting_fields(node: Column) -> Column:
-    """struct of a JobPosting node: title, employer, location, salary text, dates, mode, body, id."""
-    at = lambda k: F.coalesce(_json(node, f"$.jobLocation.address.{k}"), _json(node, f"$.jobLocation[0].address.{k}"))
-    street = F.coalesce(_plain(_json(node, "$.jobLocation.address")), _plain(_json(node, "$.jobLocation[0].address")), _plain(_json(node, "$.jobLocation")))
-    day = lambda k: F.try_to_date(F.substring(F.trim(_json(node, k)), 1, 10), "yyyy-MM-dd")
-    return F.struct(
-        F.trim(_json_text(node, "$.title")).alias("puesto"), F.trim(_json_text(node, "$.hiringOrganization")).alias("empresa"),
-        F.coalesce(F.nullif(F.concat_ws(", ", at("addressLocality"), at("addressRegion")), F.lit("")), street, F.lit("")).alias("ubicacion"), _pay(node).alias("sueldo_texto"),
-        day("$.datePosted").alias("publicado"), day("$.validThrough").alias("vence"),
-        F.when(F.upper(_json_text(node, "$.jobLocationType")).contains("TELECOMMUTE"), "remoto").otherwise("").alias("modalidad"), F.coalesce(_json(node, "$.description"), F.lit("")).alias("cuerpo"),
-        F.coalesce(_json(node, "$.identifier.value"), _plain(_json(node, "$.identifier")), F.lit("")).alias("id_externo"),
-    )
+    """struct of a JobPosting node: title, employer, location, salary text, dates, mode, body, id.
+
+    What a node holds is read once; other forms are looked for only where the usual one isn't there."""
+
+    def fields(p: Column) -> Column:
+        day = lambda k: F.try_to_date(F.substring(F.trim(p[k]), 1, 10), "yyyy-MM-dd")
+        text = lambda k: F.coalesce(_inside(node, f"$.{k}", p[k]), F.lit(""))
+        employer, id_ = p["hiringOrganization"], p["identifier"]
+        employer = F.when(employer.isNotNull(), _named(employer)).otherwise(let(_text(node, "$.hiringOrganization"), lambda t: _inside(node, "$.hiringOrganization", t)))
+        id_ = F.when(id_.isNotNull(), id_["value"]).otherwise(let(_text(node, "$.identifier"), _plain))
+        return F.struct(
+            F.trim(text("title")).alias("puesto"), F.trim(F.coalesce(employer, F.lit(""))).alias("empresa"), _place(node, p["jobLocation"]).alias("ubicacion"), _pay(node, p["baseSalary"]).alias("sueldo_texto"),
+            day("datePosted").alias("publicado"), day("validThrough").alias("vence"),
+            F.when(F.upper(text("jobLocationType")).contains("TELECOMMUTE"), "remoto").otherwise("").alias("modalidad"), F.coalesce(p["description"], F.lit("")).alias("cuerpo"), F.coalesce(id_, F.lit("")).alias("id_externo"),
+        )
+
+    return let(F.try_variant_get(node, "$", _POSTING), fields)
 
 
 GREENHOUSE = "struct<jobs:array<struct<id:string,title:string,absolute_url:string,content:string,location:struct<name:string>,updated_at:string>>>"

@@ -61,3 +61,33 @@ def test_words_begin_after_any_other_sign(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.c for r in df.orderBy("i").select(classify.place(F.col("t"), F.lit(""))["ciudad"].alias("c")).collect()]
     assert got == ["Lima", "Lima", "", "", "", "", "", "Lima", "Lima"]
+
+
+def test_what_a_posting_node_holds_is_read_once(spark):
+    node = F.parse_json(F.col("t"))
+    assert _plan(spark, pages.job_posting_fields(node)).count("try_variant_get") <= 20
+
+
+def test_trailing_commas_go_outside_of_strings_only(spark):
+    job = '{"@type":"JobPosting","title":"%s"%s}%s'
+    cases = [
+        (job % ("Mozo", ",", ""), "Mozo"), (job % ("a, }b", "", ""), "a, }b"), (job % ("a, }b", ",", ""), "a}b"), (job % (r"q\",}z", "", ""), 'q",}z'), (job % (r"q\\", " ,\n", ""), "q\\"),
+        ("[" + job % ("En lista", ",", ",") + "]", "En lista"), ('{"\\u0040graph":[' + job % ("Anidado", "", "") + "],}", "Anidado"), (" \n[[" + job % ("Dos", "", "") + "]]", "Dos"),
+        (job % ("x,}", "", ',"y"}'), "x,}"), (job % ("x,}", "", ",}"), "x,}"), (job % ("x", "", r",\,}"), "x"), ('{"@type":"JobPosting","title":}', None),
+    ]
+    df = spark.createDataFrame([(i, f"<script type='application/ld+json'>{t}</script>") for i, (t, _) in enumerate(cases)], "i int, html string")
+    df = text.once(df, node=pages.job_posting_node(F.col("html")))
+    got = {r.i: r.t for r in df.select("i", F.when(F.col("node").isNotNull(), pages.job_posting_fields(F.col("node"))["puesto"]).alias("t")).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(cases)}
+
+
+@pytest.mark.parametrize(("held", "empresa", "ubicacion", "sueldo_texto", "id_externo"), [
+    ({"hiringOrganization": {"value": "V"}, "jobLocation": {"address": {"addressRegion": "LIM"}}, "baseSalary": {"currency": "USD", "value": {"minValue": 5, "maxValue": 9, "unitText": "hour"}}, "identifier": {"value": 7}}, "V", "LIM", "US$ 5 a US$ 9 por hora", "7"),
+    ({"hiringOrganization": [{"name": "N"}], "jobLocation": [{"address": "Av. 1"}], "baseSalary": {"value": "de 1 a 2"}, "identifier": "i"}, "N", "Av. 1", "S/ de 1 a 2", "i"),
+    ({"hiringOrganization": ["{x", "y"], "jobLocation": {"address": ["z"]}, "baseSalary": 1500, "identifier": {"name": "n"}}, "", "", "", ""),
+    ({"hiringOrganization": {"name": "", "value": {"a": 1}}, "jobLocation": "Puno", "baseSalary": {"value": {"minValue": 0, "value": ""}}, "identifier": ["i"]}, '{"a":1}', "Puno", "", ""),
+    ({"hiringOrganization": None, "jobLocation": [[]], "baseSalary": "[A tratar]", "identifier": None}, "", "", "", ""),
+])
+def test_all_forms_of_a_posting_are_read(spark, held, empresa, ubicacion, sueldo_texto, id_externo):
+    df = spark.createDataFrame([(json.dumps(held),)], "t string").select(pages.job_posting_fields(F.parse_json("t")).alias("j"))
+    assert tuple(df.select("j.empresa", "j.ubicacion", "j.sueldo_texto", "j.id_externo").first()) == (empresa, ubicacion, sueldo_texto, id_externo)
