@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner import registry
-from gleaner.functions import classify, salary, text
+from gleaner.functions import classify, salary, text, titles
+from gleaner.plans import postings
 from gleaner.sources import pages
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +92,39 @@ def test_trailing_commas_go_outside_of_strings_only(spark):
 def test_all_forms_of_a_posting_are_read(spark, held, empresa, ubicacion, sueldo_texto, id_externo):
     df = spark.createDataFrame([(json.dumps(held),)], "t string").select(pages.job_posting_fields(F.parse_json("t")).alias("j"))
     assert tuple(df.select("j.empresa", "j.ubicacion", "j.sueldo_texto", "j.id_externo").first()) == (empresa, ubicacion, sueldo_texto, id_externo)
+
+
+def test_a_search_for_a_job_looks_for_each_trade_once_a_text(spark):
+    """Before, the search for a trade stood five times in the plan for each of three texts, and all texts were searched."""
+    none = F.array().cast("array<string>")
+    assert _plan(spark, titles.deduce_title(F.col("t"), none, none)).count("regexp_instr(") <= 3
+    duties = F.when(F.raise_error(F.lit("looked at")).isNull(), none).otherwise(none)
+    assert spark.createDataFrame([("Se busca operario de planta",)], "t string").select(titles.deduce_title(F.col("t"), duties, none).alias("v")).first().v == "Operario de planta"
+
+
+def test_a_chain_folds_a_body_once(spark):
+    """Place, mode and category share one folded text, which holds where signs go from it when it is folded."""
+    marks = "é" * 700
+    page = lambda body: ("f", "u", "Papa Johns", "e", f"<p>{body}</p>", "", "", "", None, "", {})
+    kind = "fuente string, url string, puesto string, empresa string, descripcion_html string, texto_plano string, ubicacion_texto string, sueldo_texto string, publicado date, id_externo string, extra map<string,string>"
+    bodies = ["TRUJILLO híbrido cocinero", marks + " trujillo remoto cocinero", "x" * 1194 + " lima", "x" * 1190 + " limati", "x" * 1300 + " lima home office"]
+    df = spark.createDataFrame([page(b) for b in bodies], kind)
+    got = [(r.ciudad, r.modalidad, r.categoria) for r in postings.process(df, F.lit("2026-01-01").cast("date")).select("ciudad", "modalidad", "categoria").collect()]
+    alone = [tuple(r) for r in df.select(F.regexp_replace("descripcion_html", "</?p>", "").alias("b")).select(classify.place(F.lit(""), F.col("b"))["ciudad"], classify.work_mode("b"), classify.category(F.lit("Papa Johns"), F.col("b"))).collect()]
+    assert got == alone and got[0] == ("Trujillo", "Híbrido", "Gastronomía") and got[3][0] == got[4][0] == ""
+
+
+@pytest.mark.parametrize(("html", "lines"), [
+    ("aa</\n<br> <BR/>p\n>bb", ["aa", "bb"]), ("ab</<br>p>cd", ["ab", "cd"]), ("ab</<br>x>cd", ["ab cd"]), ("<li>- 1) uno<li>2. dos", ["- 1) uno", "dos"]), ("•\n- 1) x y", ["x y"]), ("12)\n3) o\n●   \n ab \x85 ", ["ab"]),
+    ("ab &#9; &nbsp;cd​ef\tg", ["ab cdef g"]), ("&am<li>p;", ["&am", "p;"]), ("1) 2) tres\r\n\r\ncuatro", ["2) tres", "cuatro"]),
+])
+def test_lines_of_odd_pages_are_parted_alike(spark, html, lines):
+    got = spark.createDataFrame([(html,)], "t string").select(text.html_to_lines(F.col("t")).alias("l")).first().l
+    assert got == lines
+
+
+def test_sections_of_lines_with_odd_signs(spark):
+    lines = ["antes", "\x01requisitos", "Funciones del puesto : coordinar las entregas", "uno", "¿QUÉ OFRECEMOS?", "dos\ntres", "Contacto - x", "fin"]
+    got = spark.createDataFrame([(lines,), (lines[:5],)], "l array<string>").select(text.partition(F.col("l")).alias("p")).select("p.*").collect()
+    assert got[0].asDict() == {"intro": ["antes", "\x01requisitos"], "funciones": ["coordinar las entregas", "uno"], "requisitos": [], "beneficios": ["dos\ntres"], "descartado": ["fin"]}
+    assert got[1].beneficios == [] and got[1].funciones == ["coordinar las entregas", "uno"]
