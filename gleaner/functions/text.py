@@ -165,6 +165,15 @@ _TAGS = rf"(?=[< \t])(?:[ \t]*+(?:<[^>]+>[ \t]*+)++|{_BLANKS})"
 _PARTS = r"(?U)\s*?\n\s*+(?:[•\-*●▪·o](?:(?!\n)\s)*+)?(?:\d{1,2}[.)](?:(?!\n)\s)*+)?"
 
 
+#: A page without scripts, styles and tags within tags that ends with a break, but for white space and its own end.
+_CLOSED = r"(?is)^(?!.*<s[ct])(?!.*<[^<>]*<).*</\s*(?:p|div|li|tr|h[1-6]|section|ul|ol)\s*>\s*(?:</(?:body|html)>\s*)*$"
+
+
+def closed(html: Column) -> Column:
+    """Whether nothing of a page reaches into what is put behind it: the lines of both are those of each."""
+    return html.rlike(_CLOSED)
+
+
 def html_to_lines(html: Column) -> Column:
     """Array of clean lines; breaks follow block tags.
 

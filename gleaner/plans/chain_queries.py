@@ -86,8 +86,8 @@ _TENDER = (
 def tender_pages(spark, d):
     """Public tender pages read into raw postings; their benefits are counted as the reader of sections sees them (one of regime 728 reads as a heading)."""
     o = dealt(table(spark, d, "orders")).select(F.concat(F.lit("https://x.pe/"), "o_orderkey").alias("url"), F.expr(_TENDER).alias("html"))
-    raw = pages.public_postings(o, F.lit("estado"))
-    raw = text.once(raw, b=text.partition(text.html_to_lines(F.col("descripcion_html"))))
+    raw = pages.public_postings(o, F.lit("estado"), lines=True)
+    raw = text.once(raw, b=text.partition(F.col("lineas")))
     return raw.select("url", "puesto", "empresa", "sueldo_texto", "ubicacion_texto", F.col("extra")["regimen"].alias("regimen"), F.col("extra")["vence"].alias("vence"), F.size("b.beneficios").alias("n_beneficios"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import salary
-from ..functions.text import any_of, fold, fold_python, html_to_lines, let, literal, once
+from ..functions.text import any_of, closed, fold, fold_python, html_to_lines, let, literal, once
 
 # Months, in order, with their other spelling.
 MONTHS = {"enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8, "setiembre": 9, "septiembre": 9, "octubre": 10, "noviembre": 11, "diciembre": 12}
@@ -25,13 +25,14 @@ def _month(name: Column, prefix: bool = False) -> Column:
 def _day(text: Column, pattern: str, prefix: bool = False) -> Column:
     part = lambda k: F.regexp_extract(text, pattern, k)
     month = let(part(2), lambda name: _month(name, prefix))
-    return F.when(text.rlike(pattern), F.try_to_date(F.format_string("%s-%02d-%02d", part(3), month, part(1).try_cast("int")), "yyyy-MM-dd"))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    return F.when(text.rlike(pattern), F.concat_ws("-", part(3), F.coalesce(two(month), F.lit("")), two(part(1).cast("int"))).try_cast("date"))
 
 
 def spanish_date(text: Column) -> Column:
     """'21 de julio de 2026', '17 de Agosto del 2026' or '10 ago. 2026' as a date, else null (M3, C4)."""
     dates = lambda t: F.coalesce(_day(t, r"(\d{1,2})\s*de\s*([a-z]+)\s*del?\s*(\d{4})"), _day(t, r"(\d{1,2})\s+([a-z]{3})\.?\s*(\d{4})", True))
-    return let(fold(text), dates)
+    return F.when(text.rlike(r"\d{4}"), let(fold(text), dates))  # most texts have no year
 
 
 def flexible_date(value: Column) -> Column:
@@ -39,10 +40,15 @@ def flexible_date(value: Column) -> Column:
     return F.coalesce(F.to_date(F.timestamp_millis(value.try_cast("bigint"))), F.try_to_date(F.substring(value, 1, 10), "yyyy-MM-dd"))
 
 
+def _known(text: Column) -> Column:
+    """The text, unless it is empty; made once."""
+    return let(text, _some)
+
+
 def meta(html: Column, name: str) -> Column:
     """The content of a meta tag by name or property, attributes in either order, else empty (M1)."""
     key, content = rf"""(?:name|property)=["']{literal(name)}["']""", r"""content=["']([^"']*)["']"""
-    one = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
+    one = lambda p: _known(F.regexp_extract(html, p, 1))
     return F.coalesce(one(rf"(?i)<meta[^>]+{key}[^>]*{content}"), one(rf"(?i)<meta[^>]+{content}[^>]*{key}"), F.lit(""))
 
 
@@ -53,17 +59,24 @@ def heading_text(html: Column, tag: str = "h1") -> Column:
 
 def regime(text: Column) -> Column:
     """The labour regime that a text names (M4)."""
-    t = F.upper(text)
+    return let(F.upper(text), _regime)
+
+
+def _regime(t: Column) -> Column:
     return F.when(t.rlike(r"(?U)\bCAS\b|1057"), "CAS").when(t.contains("728"), "728").when(t.contains("276"), "276").otherwise("")
 
 
-def value_beside(lines: Column, label: str) -> Column:
-    """The value of a label: the next line if the label stands alone, else the rest of its line; first hit (M2)."""
-    bare = literal(label.lower().rstrip(":"))
-    alone = lambda x: F.lower(F.regexp_replace(F.trim(x), ":+$", "")) == label.lower().rstrip(":")
+def value_beside(lines: Column, label: str, low: Column | None = None) -> Column:
+    """The value of a label: the next line if the label stands alone, else the rest of its line; first hit (M2).
+
+    low: the lines in lower case, if they are there already."""
+    name = label.lower().rstrip(":")
+    bare = literal(name)
+    alone = lambda x: F.lower(F.regexp_replace(F.trim(x), ":+$", "")) == name
     beside = lambda x: F.regexp_replace(F.regexp_extract(F.trim(x), rf"(?iu)^{bare}\s*[:\-–—]?\s*(.+)$", 1), r"^[ :\-–—]+|[ :\-–—]+$", "")
-    read = lambda x, i: F.when(alone(x), F.coalesce(F.trim(F.get(lines, i + 1)), F.lit(""))).otherwise(F.nullif(beside(x), F.lit("")))
-    found = F.transform(lines, lambda x, i: F.when(F.lower(x).contains(label.lower().rstrip(":")), read(x, i)))  # few lines have the label at all
+    read = lambda x, i: F.when(alone(x), F.coalesce(F.trim(F.get(lines, i + 1)), F.lit(""))).otherwise(_known(beside(x)))
+    has = lambda x, i: (F.lower(x) if low is None else F.get(low, i)).contains(name)
+    found = F.transform(lines, lambda x, i: F.when(has(x, i), read(x, i)))  # few lines have the label at all
     return F.coalesce(F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0)), F.lit(""))
 
 
@@ -415,31 +428,46 @@ def statutory_benefits(name: Column) -> Column:
     return out.otherwise("")
 
 
-def public_postings(pages: DataFrame, source: Column) -> DataFrame:
+def _benefit_lines(name: Column) -> Column:
+    """The lines of statutory_benefits, which are fixed."""
+    out = F
+    for k, items in REGIME_BENEFITS.items():
+        out = out.when(name == k, F.array(F.lit("Beneficios"), *map(F.lit, items)))
+    return out.otherwise(F.array().cast("array<string>"))
+
+
+def public_postings(pages: DataFrame, source: Column, lines: bool = False) -> DataFrame:
     """A raw posting for each page (url, html) of a public tender that has a title (M5).
 
     The title is the heading's, the JSON-LD's or the site's; pay, place and dates are those of the
     sheet, then of the JSON-LD, then of the description. The body is the description, the JSON-LD's
-    body, the whole page, and the benefits of the regime."""
-    html = F.coalesce("html", F.lit(""))
-    df = once(pages.select("url", html.alias("html")), node=job_posting_node(F.col("html")), lines=html_to_lines(F.col("html")), about=F.coalesce(F.nullif(meta(F.col("html"), "description"), F.lit("")), meta(F.col("html"), "og:description")), named=meta(F.col("html"), "og:title"))
-    df = once(df, j=job_posting_fields(F.col("node")))
-    beside = lambda *labels: F.coalesce(*(F.nullif(value_beside(F.col("lines"), x), F.lit("")) for x in labels), F.lit(""))
-    known = lambda c: F.nullif(c, F.lit(""))
-    title = F.coalesce(known(heading_text(F.col("html"))), known(F.col("j.puesto")), known(F.trim(F.substring_index("named", " - ", 1))))
+    body, the whole page, and the benefits of the regime. With ``lines``, ``lineas`` are those of the body, put together
+    from the page's where its parts are closed."""
+    page = F.col("html")
+    df = once(pages.select("url", F.coalesce("html", F.lit("")).alias("html")), node=job_posting_node(page), lines=html_to_lines(page), described=meta(page, "description"), named=meta(page, "og:title"))
+    df = once(df, j=F.when(F.col("node").isNotNull(), job_posting_fields(F.col("node"))), low=F.lower(F.array_join("lines", "\n")), about=F.coalesce(_some(F.col("described")), meta(page, "og:description")))
+    df = once(df, low_lines=F.split("low", "\n", -1))
+    # a label that stands nowhere isn't looked for line by line
+    value = lambda x: F.when(F.col("low").contains(x.lower()), value_beside(F.col("lines"), x, F.col("low_lines"))).otherwise("")
+    beside = lambda *labels: F.coalesce(*(_known(value(x)) for x in labels), F.lit(""))
+    date = lambda *labels: (let(value(x), spanish_date) for x in labels)
+    title = F.coalesce(_known(heading_text(page)), _known(F.col("j.puesto")), _known(F.trim(F.substring_index("named", " - ", 1))))
     of_site = F.when(F.col("named").contains(" - "), F.trim(F.substring_index(F.regexp_replace("named", r"(?s)^.*? - ", ""), "|", 1)))
     told = F.regexp_extract("about", r"(?i)(?:sueldo|remuneraci[oó]n(?:\s+mensual)?)[:\s]*((?:S/|US\$)\s*[\d.,]+)", 1)
     df = once(
-        df, puesto=title, empresa=F.coalesce(known(F.col("j.empresa")), known(of_site), beside("Entidad", "Institución")), sueldo_texto=F.coalesce(known(beside("Sueldo", "Remuneración")), known(F.col("j.sueldo_texto")), told),
-        place=F.coalesce(known(beside("Ubicación", "Lugar de trabajo")), F.trim(F.concat_ws(" ", "j.ubicacion", "j.modalidad"))), mode=value_beside(F.col("lines"), "Modalidad"), contract=beside("Contrato", "Régimen"),
-        publicado=F.coalesce(*(spanish_date(value_beside(F.col("lines"), x)) for x in ("Publicación", "Fecha de publicación")), F.col("j.publicado")),
-        vence=F.coalesce(*(spanish_date(value_beside(F.col("lines"), x)) for x in ("Fecha límite", "Cierre de postulación")), spanish_date(F.right(meta(F.col("html"), "description"), F.lit(60)))),
+        df, puesto=title, empresa=F.coalesce(_known(F.col("j.empresa")), _known(of_site), beside("Entidad", "Institución")), sueldo_texto=F.coalesce(_known(beside("Sueldo", "Remuneración")), _known(F.col("j.sueldo_texto")), told),
+        place=F.coalesce(_known(beside("Ubicación", "Lugar de trabajo")), F.trim(F.concat_ws(" ", "j.ubicacion", "j.modalidad"))), mode=value("Modalidad"), contract=beside("Contrato", "Régimen"),
+        publicado=F.coalesce(*date("Publicación", "Fecha de publicación"), F.col("j.publicado")),
+        vence=F.coalesce(*date("Fecha límite", "Cierre de postulación"), spanish_date(F.right(F.col("described"), F.lit(60)))),
     ).filter("puesto is not null")
     df = once(df, regimen=regime(F.concat_ws(" ", "contract", "named", "url")))
     benefits = statutory_benefits(F.col("regimen"))
     body = F.concat(F.lit("<p>"), "about", F.lit("</p>"), F.coalesce("j.cuerpo", F.lit("")), "html", benefits)
+    parts = F.concat(html_to_lines(F.concat(F.lit("<p>"), "about", F.lit("</p>"))), F.col("lines"), _benefit_lines(F.col("regimen")))
+    apart = ~F.col("about").contains("<") & (F.coalesce("j.cuerpo", F.lit("")) == "") & closed(page)
+    more = [F.when(apart, parts).otherwise(html_to_lines(body)).alias("lineas")] if lines else []
     extra = {"perfil": F.lit("publico"), "regimen": F.col("regimen"), "contrato": F.col("contract"), "beneficios_de_ley": (benefits != "").cast("string"), "vence": F.coalesce(F.col("vence").cast("string"), F.lit(""))}
     return df.select(
         source.alias("fuente"), "url", "puesto", "empresa", body.alias("descripcion_html"), F.lit("").alias("texto_plano"), F.trim(F.concat_ws(" ", "place", "mode")).alias("ubicacion_texto"), "sueldo_texto", "publicado",
-        F.coalesce("j.id_externo", F.lit("")).alias("id_externo"), F.create_map(*(x for k, v in extra.items() for x in (F.lit(k), v))).alias("extra"),
+        F.coalesce("j.id_externo", F.lit("")).alias("id_externo"), F.create_map(*(x for k, v in extra.items() for x in (F.lit(k), v))).alias("extra"), *more,
     )

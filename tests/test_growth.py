@@ -128,3 +128,14 @@ def test_sections_of_lines_with_odd_signs(spark):
     got = spark.createDataFrame([(lines,), (lines[:5],)], "l array<string>").select(text.partition(F.col("l")).alias("p")).select("p.*").collect()
     assert got[0].asDict() == {"intro": ["antes", "\x01requisitos"], "funciones": ["coordinar las entregas", "uno"], "requisitos": [], "beneficios": ["dos\ntres"], "descartado": ["fin"]}
     assert got[1].beneficios == [] and got[1].funciones == ["coordinar las entregas", "uno"]
+
+
+@pytest.mark.parametrize("page", [
+    "<h1>Uno</h1><p>Contrato: CAS</p></body></html>", "<h1>Uno</h1><p>Contrato: CAS</p>cola", "<h1>Uno</h1><p>Contrato: CAS</p><b title='</p>", "<h1>Uno</h1><p>Contrato: 728</p><script>a</p>", "<h1>Uno</h1><p>Contrato: ley 276</p>&nbsp;</HTML>\n",
+    "<h1>Uno</h1><p>Contrato: CAS</P > \n", "<meta name='description' content='a <b'><h1>Uno</h1><p>Contrato: CAS</p>", "<h1>Uno</h1><p>Contrato: CAS</<br>p>", "<meta name='description' content='dos &amp'><h1>Uno</h1><p>1) Sin contrato</p><", "<h1>Uno</h1><script type='application/ld+json'>{\"@type\":\"JobPosting\",\"description\":\"<p>cuerpo\"}</script><p>fin</p>",
+])
+def test_lines_of_a_public_posting_are_those_of_its_body(spark, page):
+    """They are put together from those of the page, which before was parted again as a part of the body."""
+    df = pages.public_postings(spark.createDataFrame([("u", page)], "url string, html string"), F.lit("e"), lines=True)
+    got = df.select("lineas", text.html_to_lines(F.col("descripcion_html")).alias("all")).first()
+    assert got.lineas == got.all and len(got.all) > 0
